@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .mixing import mix_sources
+from .simhash import near_duplicates
 from .warc import archive_round_trip
 
 
@@ -15,12 +18,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {"op2_warc": op2_warc, "op10_mix": op10_mix}
+    return {"op2_warc": op2_warc, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
 
 
 OP2_SQL = r"""
