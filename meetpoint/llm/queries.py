@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_sources
 from .simhash import near_duplicates
+from .topk import exact_top_k
 from .warc import archive_round_trip
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -28,8 +34,19 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_warc": op2_warc, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
-
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
+
+
+OP1_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -68,4 +85,4 @@ FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc": OP2_SQL, "op10_mix": OP10_SQL}
+    return {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op10_mix": OP10_SQL}
