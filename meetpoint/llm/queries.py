@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .secrets import find_secrets
 from .simhash import near_duplicates
 from .topk import exact_top_k
 from .warc import archive_round_trip
@@ -24,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,7 +39,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
 
 
 OP1_SQL = r"""
