@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .langid import identify_languages
 from .mixing import mix_sources
 from .secrets import find_secrets
 from .simhash import near_duplicates
@@ -29,6 +30,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,7 +44,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
 
 
 OP1_SQL = r"""
