@@ -11,6 +11,7 @@ from .langid import identify_languages
 from .mixing import mix_sources
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .suffix_tree import score_texts
 from .topk import exact_top_k
 from .warc import archive_round_trip
 
@@ -39,12 +40,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op7_simhash": op7_simhash, "op10_mix": op10_mix}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op7_simhash": op7_simhash, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix}
 
 
 OP1_SQL = r"""
