@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_contamination
 from .langid import identify_languages
 from .mixing import mix_sources
 from .secrets import find_secrets
@@ -40,6 +41,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op7_simhash": op7_simhash, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix}
 
 
 OP1_SQL = r"""
