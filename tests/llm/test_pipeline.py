@@ -12,6 +12,9 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
 def test_stages_against_the_operators(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    extra = docs.where("doc_id in (1, 2)").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    extra = extra.withColumn("text", F.concat(F.lit("secret = Zx81kq0PPx "), F.reverse("text")))
+    docs = docs.union(extra)
     names = docs.columns
     now = docs
     seen = []
