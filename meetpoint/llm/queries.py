@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .langid import identify_languages
 from .licenses import find_licenses
 from .mixing import mix_sources
+from .pii import find_pii
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .suffix_tree import score_texts
@@ -41,6 +42,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,7 +64,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix}
 
 
 OP1_SQL = r"""

@@ -1,0 +1,79 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from meetpoint.llm import pii
+
+
+def plain_base(text):
+    text = text or ""
+    digits = lambda s: "".join(c for c in s if "0" <= c <= "9")
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = digits(m[0])
+        s = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+        if 12 <= len(d) <= 19 and s % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(found)
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(9)
+    bits = ["a.b", "@", "x", ".", "com", "-", "+", "1", "22", "255", "256", " ", "(", ")", "4111111111111111", "é", "٣", "\n", "0"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_base(text), text
+    assert pii.base_spans("9" * 6000 + ".1.1.1") == []
+
+
+def test_messages_equal_exact_marginals_on_a_tree():
+    rng = np.random.default_rng(1)
+    k = len(pii.LABELS)
+    potentials = rng.normal(size=(3, k))
+    pair = rng.normal(size=(2, k, k))
+    pair = (pair + pair.transpose(0, 2, 1)) / 2
+    edges = np.array([(0, 1, 0), (1, 2, 1)])
+    joint = np.exp(potentials[0][:, None, None] + potentials[1][None, :, None] + potentials[2][None, None, :] + pair[0][:, :, None] + pair[1][None, :, :])
+    joint /= joint.sum()
+    rounds, pii.ROUNDS = pii.ROUNDS, 60
+    try:
+        got = pii.beliefs(potentials, edges, pair)
+    finally:
+        pii.ROUNDS = rounds
+    assert np.allclose(got[0], joint.sum((1, 2)), atol=1e-6) and np.allclose(got[1], joint.sum((0, 2)), atol=1e-6)
+
+
+def test_query_rules_and_consistency(spark):
+    rng = random.Random(3)
+    def phone():
+        return f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows = []
+    for i in range(300):
+        p, mail = phone(), f"w{i}.x@mail{i % 7}.example.com"
+        filler = " ".join(rng.choice(["alpha", "beta", "version", "4.0.", "gamma", "3.", "12"]) for _ in range(30))
+        rows.append((i, f"{filler} call {p} or {mail} {filler} {p} and {mail} {rng.randint(1, 255)}.1.1.{rng.randint(1, 255)} end"))
+    repeat = "call +1 (415) 555-7713 now, later 415-555-7713 again"
+    clean = "chapter 12 has 40 pages, version 4.0. of 2019"
+    rows += [(900, repeat), (901, clean), (902, None), (903, ""), (904, "x " * 50_000 + "a@b.cc"), (None, repeat), (901, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.find_pii(docs).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        base = plain_base(texts[r.doc_id])
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
+        assert set(filter(None, line.split(","))) <= set(filter(None, r.spans.split(",")))
+    by = {r.doc_id: r for r in got}
+    at = repeat.index("415-555-7713")
+    assert f"phone:{at}:{at + 12}" in by[900].spans.split(",")
+    assert by[901].spans == ""
+
+
+def test_empty(spark):
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
