@@ -1,0 +1,106 @@
+import datetime as dt
+import random
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from meetpoint.functions import geo, text, times
+from meetpoint.plans.model import RES, centres
+from meetpoint.schemas import DAY_NAMES, DEPARTURES
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def plain_pick(local):
+    day = "saturday" if local.weekday() == 5 else "sunday" if local.weekday() == 6 else "weekday"
+    m = local.hour * 60 + local.minute
+    hour = min(DEPARTURES[day], key=lambda h: min(abs(h * 60 - m), 1440 - abs(h * 60 - m)))
+    return f"transit_{DAY_NAMES[day]}{hour:02d}"
+
+
+def test_transit_key_of_every_minute_of_a_week(spark):
+    minutes = spark.range(7 * 1440).select(F.expr("timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP_NTZ '2026-08-03 00:00:00')").alias("t"))
+    for r in minutes.select("t", times.pick_transit_key(F.col("t")).alias("k")).collect():
+        assert r.k == plain_pick(r.t)
+
+
+@pytest.mark.parametrize("at, key", [("2026-08-05 10:00", "transit_wed08"), ("2026-08-05 15:00", "transit_wed12"), ("2026-08-05 20:00", "transit_wed18"), ("2026-08-05 00:30", "transit_wed22"), ("2026-08-08 12:00", "transit_sat10"), ("2026-08-09 17:00", "transit_sun14")])
+def test_schedule_ties(spark, at, key):
+    assert one(spark, times.pick_transit_key(F.expr(f"TIMESTAMP_NTZ '{at}:00'"))) == key
+
+
+def test_local_time_over_a_clock_change(spark):
+    got = one(spark, times.to_local(F.expr("TIMESTAMP_NTZ '2026-10-25 00:30:00'")))
+    assert got == dt.datetime(2026, 10, 25, 2, 30)
+    assert one(spark, times.local_date(F.expr("TIMESTAMP_NTZ '2026-08-05 22:35:00'"))) == dt.date(2026, 8, 6)
+
+
+def test_cells_and_centres(spark):
+    cells = spark.createDataFrame(centres(), "cell_id int, lat double, lon double")
+    keys = cells.select("cell_id", geo.cell_key(F.col("lat"), F.col("lon"), RES).alias("k"))
+    got = {r.cell_id: (r.k.face, r.k.a, r.k.b) for r in keys.collect()}
+    assert len(set(got.values())) == 663
+    assert got[30] == (4, 7000 + 30 % 26, -1918 + 30 // 26)
+
+
+@pytest.mark.parametrize("lat, lon, res, key", [(37.77670234943567, -122.41845932318311, 9, (7, -1898, -4186)), (37.35171820183272, -122.05032565263946, 7, (7, -258, -584))])
+def test_published_centres(spark, lat, lon, res, key):
+    k = one(spark, geo.cell_key(F.lit(lat), F.lit(lon), res))
+    assert (k.face, k.a, k.b) == key
+
+
+def test_no_cell_for_missing_or_odd_coordinates(spark):
+    for lat, lon in ((None, 16.0), (float("nan"), 16.0), (48.0, float("inf")), (99.0, 1.0)):
+        assert one(spark, geo.cell_key(F.lit(lat).cast("double"), F.lit(lon).cast("double"), 9)) is None
+
+
+def test_texts(spark):
+    def t(f, *values):
+        return one(spark, f(*[F.lit(v).cast("string") for v in values]))
+
+    assert t(text.localised, "de", "  ", "X") == "X"
+    assert t(text.localised, "en", "D", " \x1cE\t") == "E"
+    assert t(text.title, "de", "", "") == "Untitled event"
+    assert t(text.address, None, "1010", "Wien") is None
+    assert t(text.address, "Stephansplatz 3", "1010", "Wien") == "Stephansplatz 3, 1010 Wien"
+    assert t(text.address, " A ", " ", None) == "A"
+    assert [one(spark, text.rounded(F.lit(x))) for x in (2.5, 3.5, 2.51)] == [2, 4, 3]
+    assert one(spark, text.minutes(F.lit(90))) == 2
+    assert t(geo.place_label, None, None, None) == "" and t(geo.place_label, "N", "S", "1") == "N, S 1" and t(geo.place_label, "S", "S", "1") == "S"
+    assert t(geo.place_context, "1010", "", "D", None, "AT") == "1010, AT" and t(geo.place_context, None, None, "D", "W", "") == "D, W"
+
+
+def test_uuids(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(200):
+        u = str(uuid.UUID(int=rng.getrandbits(128)))
+        s = rng.choice([u, u.upper(), f"urn:uuid:{u}", "{" + u + "}", u.replace("-", ""), u[:-1], u + "0", "404", ""])
+        rows.append((s,))
+    for r in spark.createDataFrame([*rows, (None,)], "s string").select("s", text.normalize_uuid(F.col("s")).alias("u")).collect():
+        try:
+            want = str(uuid.UUID(r.s))
+        except (ValueError, TypeError, AttributeError):
+            want = None
+        assert r.u == want
+
+
+def test_profiles(spark):
+    claims = F.lit('{"user_metadata": {"full_name": "", "name": " ", "picture": "p", "locale": "de", "x": 1}, "app_metadata": {"provider": "g"}}')
+    assert one(spark, text.display_name(claims)) == " "
+    assert one(spark, text.avatar_url(claims)) == "p"
+    assert one(spark, text.providers(claims)) == ["g"]
+    assert one(spark, text.auth_metadata(claims)) == {"full_name": "", "name": " ", "locale": "de"}
+    assert one(spark, text.providers(F.lit("{}"))) == [] and one(spark, text.auth_metadata(F.lit("not json"))) == {}
+
+
+def test_distance(spark):
+    import math
+
+    got = one(spark, geo.distance_meters(F.lit(48.2), F.lit(16.3), F.lit(48.21), F.lit(16.4)))
+    a, b, dl = math.radians(48.2), math.radians(48.21), math.radians(0.1)
+    want = geo.EARTH_RADIUS * math.acos(math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(dl))
+    assert abs(got - want) < 1e-3
