@@ -41,6 +41,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows for the session, since texts are long.
+
+    A Python worker holds a batch in several forms at once; Spark's own limit of
+    10,000 rows would take it some hundred MB with documents of tens of KB.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows or int(df.sparkSession.conf.get(key)) <= 0:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def delete_shared(df: DataFrame) -> None:
     """Delete the files that ``materialise`` wrote for ``df``."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -178,14 +178,15 @@ def identify(docs: DataFrame, net: Network | None, keep: bool = False) -> DataFr
     score 1, as is every text (score 0) if there is no network.
     """
     names = docs.columns if keep else ["doc_id"]
-    rows = docs.select(*names, F.col("text").cast("binary").alias("__bytes"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__letter"))
+    text = [] if "text" in names else [F.col("text")]
+    rows = small_batches(docs).select(*names, *text, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__letter"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         network = shared.value
         for batch in batches:
             letters = batch.column("__letter").to_pylist()
-            column = batch.column("__bytes")
+            column = batch.column("text").cast(pa.binary())
             pred, score = [UNDETERMINED] * len(letters), np.where(letters, 0.0, 1.0)
             todo = [i for i, x in enumerate(letters) if x] if network else []
             while todo:  # parts of some MB, so that long texts don't pile up

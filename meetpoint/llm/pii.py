@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
@@ -236,6 +238,7 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
     make one span.  Null and empty texts have none.  Repeated rows and null ids
     stay; an empty table gives no rows.
     """
+    small_batches(docs)
     unary, pair = learn(docs.where("text is not null"), sample_docs, sample_tokens)
 
     def run(batches):

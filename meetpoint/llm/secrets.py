@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,7 +157,7 @@ def scan_texts(docs: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(tests, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "tested"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
 
 
 def dismissed_bins(scanned: DataFrame, alpha: float) -> DataFrame:
@@ -246,4 +246,4 @@ def redact_secrets(docs: DataFrame, alpha: float = 0.05, mark: str = "[SECRET]")
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kind)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
