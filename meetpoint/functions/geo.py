@@ -36,22 +36,33 @@ SCALE = 0.38196601125010500003
 EARTH_RADIUS = 6371008.771415059
 
 
+def _face_sql(i: int, fa: float, fo: float, az: float) -> str:
+    p = (math.cos(fo) * math.cos(fa), math.sin(fo) * math.cos(fa), math.sin(fa))
+    named = [("face", str(i)), *[(k, f"{v!r}D") for k, v in zip(("fa", "fo", "az", "px", "py", "pz"), (fa, fo, az, *p), strict=True)]]
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in named) + ")"
+
+
+#: The faces as a constant array, which the planner folds into one literal.
+FACE_ARRAY = "array(" + ", ".join(_face_sql(i, *f) for i, f in enumerate(FACES)) + ")"
+
+
 def cell_key(latitude: Column, longitude: Column, res: int) -> Column:
     """Struct (face, a, b) of the hexagon that holds the point; null for null or non-finite input.
 
     Equal keys mean equal cells for points and centres on one face of the icosahedron.
     """
     la, lo = F.radians(latitude), F.radians(longitude)
-    vx, vy, vz = F.cos(lo) * F.cos(la), F.sin(lo) * F.cos(la), F.sin(la)
+    point = F.struct(la.alias("la"), lo.alias("lo"), (F.cos(lo) * F.cos(la)).alias("x"), (F.sin(lo) * F.cos(la)).alias("y"), F.sin(la).alias("z"))
 
-    def face(i, fa, fo, az):
-        px, py, pz = math.cos(fo) * math.cos(fa), math.sin(fo) * math.cos(fa), math.sin(fa)
-        d = (vx - px) * (vx - px) + (vy - py) * (vy - py) + (vz - pz) * (vz - pz)
-        return F.struct(d.alias("d"), F.lit(i).alias("face"), F.lit(fa).alias("fa"), F.lit(fo).alias("fo"), F.lit(az).alias("az"))
+    def nearest(p):
+        def distance(f):
+            dx, dy, dz = p["x"] - f["px"], p["y"] - f["py"], p["z"] - f["pz"]
+            return F.struct((dx * dx + dy * dy + dz * dz).alias("d"), f["face"].alias("face"), f["fa"].alias("fa"), f["fo"].alias("fo"), f["az"].alias("az"), p["la"].alias("la"), p["lo"].alias("lo"))
 
-    nearest = F.array_min(F.array(*[face(i, *f) for i, f in enumerate(FACES)]))
+        return F.array_min(F.transform(F.expr(FACE_ARRAY), distance))
 
     def project(n):
+        la, lo = n["la"], n["lo"]
         az = F.atan2(F.cos(la) * F.sin(lo - n["fo"]), F.cos(n["fa"]) * F.sin(la) - F.sin(n["fa"]) * F.cos(la) * F.cos(lo - n["fo"]))
         theta = n["az"] - az - (ODD_TURN if res % 2 else 0.0)
         r = F.tan(F.acos(1 - n["d"] / 2)) / SCALE * math.sqrt(7) ** res
@@ -70,7 +81,7 @@ def cell_key(latitude: Column, longitude: Column, res: int) -> Column:
         return F.struct(p["face"].alias("face"), a.cast("long").alias("a"), b.cast("long").alias("b"))
 
     # One-element transforms name each step, so that nothing is computed twice.
-    steps = F.transform(F.transform(F.transform(F.array(nearest), project), axial), cube)
+    steps = F.transform(F.transform(F.transform(F.transform(F.array(point), nearest), project), axial), cube)
     finite = ~F.isnan(latitude) & ~F.isnan(longitude) & (F.abs(latitude) <= 90) & (F.abs(longitude) <= 360)
     return F.when(finite, F.element_at(steps, 1))
 

@@ -66,8 +66,9 @@ def matrix_keys(mode: Column, transit_key: Column) -> Column:
 def participant_times(participants: DataFrame, meetups: DataFrame, cells: DataFrame, rows: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9) -> DataFrame:
     """Placed participants with cell_id, keys, transit_key and ``times``: seconds to every cell, the least over their matrices.
 
-    ``times`` is null off the grid and where a matrix is missing.  The two
-    matrices of a traveller are two joins, so nothing is regrouped.
+    ``times`` is null off the grid and where a matrix is missing; ``s1`` and
+    ``s2`` are the rows it is made of.  The two matrices of a traveller are two
+    joins, so nothing is regrouped.
     """
     m = meetups.select(F.col("id").alias("meetup_id"), pick_transit_key(to_local(F.col("starts_at"), tz)).alias("transit_key"))
     placed = snap(participants.where(is_placed()), cells, res).join(m, "meetup_id")
@@ -79,7 +80,7 @@ def participant_times(participants: DataFrame, meetups: DataFrame, cells: DataFr
         .join(first, ["k1", "cell_id"], "left").join(second, ["k2", "cell_id"], "left")
     )
     least = F.zip_with("s1", "s2", lambda a, b: F.least(a, b))
-    return joined.withColumn("times", F.when(F.col("k2").isNull(), F.col("s1")).otherwise(least)).drop("s1", "s2", "k1", "k2")
+    return joined.withColumn("times", F.when(F.col("k2").isNull(), F.col("s1")).otherwise(least)).drop("k1", "k2")
 
 
 def best_cell(times: DataFrame) -> DataFrame:
@@ -103,15 +104,16 @@ def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, ro
     if min_people:
         meetups = meetups.join(min_placed(participants, min_people), F.col("id") == F.col("meetup_id"), "left_semi")
     timed = participant_times(participants, meetups, cells, rows, tz, res)
-    bad = F.when(F.col("cell_id") == -1, "participant_off_grid").when(F.col("times").isNull(), MISSING_MATRIX)
+    bad = F.when(F.col("cell_id") == -1, "participant_off_grid").when(F.col("s1").isNull() | ((F.size("keys") > 1) & F.col("s2").isNull()), MISSING_MATRIX)
     groups = timed.groupBy("meetup_id").agg(
         F.min(F.when(bad.isNotNull(), F.struct("created_at", "id", "name", bad.alias("status")))).alias("bad"),
         F.bool_or(F.col("travel_mode") == "transit").alias("rides"), F.first("transit_key").alias("transit_key"),
     )
     good = timed.join(groups.where("bad is null").select("meetup_id"), "meetup_id", "left_semi")
     best = best_cell(good)
-    at_best = good.select("meetup_id", "id", "name", "created_at", "keys", "times").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id")
-    people = F.sort_array(F.collect_list(F.struct("created_at", "id", "name", F.get("times", F.col("best")).alias("seconds"), "keys")))
+    # Only the chosen cell of each row is read here; the element-wise minimum is not made again.
+    at_best = good.select("meetup_id", "id", "name", "created_at", "keys", "s1", "s2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id")
+    people = F.sort_array(F.collect_list(F.struct("created_at", "id", "name", F.least(F.get("s1", F.col("best")), F.get("s2", F.col("best"))).alias("seconds"), "keys")))
     # A meetup's people fit a row, as its answer lists them.
     answered = at_best.groupBy("meetup_id").agg(people.alias("people"))
     horizons = matrices.agg(F.map_from_entries(F.collect_list(F.struct("matrix_key", "max_seconds"))).alias("horizons"))  # a dozen matrices
