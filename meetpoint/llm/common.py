@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/meetpoint-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: the rows survive lost executors, are computed once
@@ -37,7 +37,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
