@@ -27,13 +27,16 @@ def owned_meetups(requests: DataFrame, meetups: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(found, OK).otherwise("meetup_not_found")).withColumn("message", F.when(~found, text)).drop("__id", "__owner")
 
 
-def list_meetups(meetups: DataFrame, account_id) -> DataFrame:
-    return meetups.where(F.col("created_by_account_id") == account_id).orderBy("starts_at", "id")
+def list_meetups(meetups: DataFrame, account_id=None) -> DataFrame:
+    """An account's meetups in order of (starts_at, id); without an account, the lists of all accounts."""
+    rows = meetups if account_id is None else meetups.where(F.col("created_by_account_id") == account_id)
+    return rows.orderBy("created_by_account_id", "starts_at", "id")
 
 
-def list_participants(participants: DataFrame, meetup_id) -> DataFrame:
-    rows = participants.where(F.col("meetup_id") == meetup_id)
-    return rows.withColumn("position", to_position(F.col("latitude"), F.col("longitude"))).orderBy("created_at", "id")
+def list_participants(participants: DataFrame, meetup_id=None) -> DataFrame:
+    """A meetup's participants in order of (created_at, id); without a meetup, the lists of all meetups."""
+    rows = participants if meetup_id is None else participants.where(F.col("meetup_id") == meetup_id)
+    return rows.withColumn("position", to_position(F.col("latitude"), F.col("longitude"))).orderBy("meetup_id", "created_at", "id")
 
 
 def get_participants(requests: DataFrame, participants: DataFrame) -> DataFrame:

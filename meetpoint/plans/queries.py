@@ -80,16 +80,14 @@ def owned_meetups(m: Model) -> DataFrame:
 
 @query("SELECT id AS meetup_id, name, CAST(starts_at AS VARCHAR) AS starts_at FROM meetups WHERE created_by_account_id = (SELECT min(created_by_account_id) FROM meetups)", ("meetups",))
 def list_meetups(m: Model) -> DataFrame:
-    owner = m.meetups.agg(F.min("created_by_account_id")).first()[0]
-    return meet.list_meetups(m.meetups, owner).select(F.col("id").alias("meetup_id"), "name", F.col("starts_at").cast("string").alias("starts_at"))
+    return meet.list_meetups(m.meetups).select(F.col("id").alias("meetup_id"), "name", F.col("starts_at").cast("string").alias("starts_at"))
 
 
 @query(
     """SELECT id AS participant_id, name, travel_mode, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round(latitude, 6) END AS latitude
        FROM participants WHERE meetup_id = (SELECT min(meetup_id) FROM participants)""", ("participants",))
 def list_participants(m: Model) -> DataFrame:
-    first = m.participants.agg(F.min("meetup_id")).first()[0]
-    return meet.list_participants(m.participants, first).select(F.col("id").alias("participant_id"), "name", "travel_mode", F.round("position.latitude", 6).alias("latitude"))
+    return meet.list_participants(m.participants).select(F.col("id").alias("participant_id"), "name", "travel_mode", F.round("position.latitude", 6).alias("latitude"))
 
 
 @query(

@@ -1,0 +1,55 @@
+from datetime import datetime
+
+import pytest
+
+from meetpoint.plans.model import N_CELLS, RATES, Model
+from meetpoint.plans.queries import QUERIES
+from meetpoint.schemas import UNREACHABLE
+
+#: (order, customer); none of the keys but 50 is a multiple of 50.
+ORDERS = [(1, 7), (2, 7), (3, 8), (50, 9), (51, 9)]
+#: (order, line, part, supplier): parts 4k walk, +1 bicycle, +2 car.
+LINES = [(1, 1, 4, 1), (1, 2, 41, 2), (2, 1, 202, 3), (2, 2, 240, 4), (2, 3, 30, 10), (50, 1, 301, 6), (51, 1, 82, 7), (51, 2, 401, 8)]
+
+
+@pytest.fixture(scope="module")
+def given(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("given"))
+    spark.createDataFrame(ORDERS, "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    rows = [(o, p, s, n, 1.0, 1.0, 0.0, 0.0, "A", "F", datetime(1995, 1, n)) for o, n, p, s in LINES]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def seconds(o, d, rate):
+    dq, ds = o % 26 - d % 26, o // 26 - d // 26
+    s = (abs(dq) + abs(ds) + abs(dq + ds)) // 2 * rate + (31 * o + 17 * d) % 60
+    return 0 if o == d else UNREACHABLE if s > 3600 else s
+
+
+def test_every_order_is_a_meetup(spark, given):
+    m = Model(spark, given)
+    assert sorted((r.id, r.created_by_account_id) for r in m.meetups.collect()) == ORDERS
+    assert sorted((r.meetup_id, r.id % 100) for r in m.participants.collect()) == [(o, n) for o, n, _, _ in LINES]
+
+
+def test_lists_of_all_owners_and_meetups(spark, given):
+    assert {r.meetup_id for r in QUERIES["list_meetups"](spark, given).collect()} == {o for o, _ in ORDERS}
+    assert {r.participant_id for r in QUERIES["list_participants"](spark, given).collect()} == {o * 100 + n for o, n, _, _ in LINES}
+
+
+def test_best_cells_by_brute_force(spark, given):
+    people = {}
+    for o, _, p, s in LINES:
+        if s % 10:
+            people.setdefault(o, []).append((p % N_CELLS, RATES[{0: "walk", 1: "bike", 2: "car"}[p % 4]]))
+    want = {}
+    for o, ps in people.items():
+        times = [[seconds(home, c, rate) for home, rate in ps] for c in range(N_CELLS)]
+        worst, total, cell = min((max(t), sum(t), c) for c, t in enumerate(times))
+        want[o] = (cell, worst, total)
+    assert {r.meetup_id: (r.cell_id, r.worst_seconds, r.total) for r in QUERIES["best_cell"](spark, given).collect()} == want
+    status = {r.meetup_id: (r.status, r.cell_id) for r in QUERIES["rendezvous"](spark, given).collect()}
+    assert set(status) == {o for o, _ in ORDERS} and status[3][0] == "no_positioned_participants"
+    assert all(status[o] == ("ok", want[o][0]) for o in want if want[o][1] < UNREACHABLE)
