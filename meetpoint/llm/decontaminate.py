@@ -6,7 +6,9 @@ hashed; the documents' windows meet the benchmark's by an equi-join on the hash.
 A document holds an item if the windows that match cover 0.8 or more of the
 item's words, and if its slots are consistent: what stands for one value of
 the item's placeholders is one value in the document.  So re-parameterised
-copies of a question are found as well as plain ones.
+copies of a question are found as well as plain ones.  This is judged for each
+occurrence by itself (the windows of one alignment, or of alignments up to
+``SHIFT`` words off it) and for all places together; one that passes is enough.
 
 The benchmark's windows are broadcast if they are few (``broadcast_windows``,
 checked by a count); otherwise the join shuffles.  Only hits go on from it.
@@ -23,6 +25,8 @@ WINDOW = 5
 SIMILARITY = 0.8
 #: A window needs so many words that are not placeholders.
 LEAST_WORDS = 3
+#: Alignments that words put in or left out may shift within one occurrence.
+SHIFT = 2
 # Units that make a placeholder after a number.
 UNITS = (
     "mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg t lb lbs oz pound pounds ml l liter liters litre litres "
@@ -99,6 +103,10 @@ def covered_words(positions: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
 
+#: What an occurrence of an item is known by.
+PLACE = ("doc_id", "text_hash", "item_id", "item_hash", "width", "anchor")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_windows: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, similarity, n_slots, n_conflicts): items that documents hold.
 
@@ -115,25 +123,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     keys = windows.select("h", "item_id", "item_hash", "item_pos", "item_words", F.size("slots").alias("n_slots"))
     hits = materialise(found.join(F.broadcast(keys) if few else keys, "h"))
     pairs = (
-        hits.groupBy("doc_id", "text_hash", "item_id", "item_hash")
+        occurrences(hits).groupBy(*PLACE)
         .agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("item_words").alias("item_words"), F.sum("n_slots").alias("n_slots"))
         # the set has at most as many entries as the item has windows
         .withColumn("similarity", covered_words(F.col("at")) / F.col("item_words"))
         .where(F.col("similarity") >= similarity)
-        .select("doc_id", "text_hash", "item_id", "item_hash", F.size("at").alias("n_windows"), "similarity", "n_slots")
+        .select(*PLACE, F.size("at").alias("n_windows"), "similarity", "n_slots")
     )
     pairs = materialise(pairs)
     if pairs.where("n_slots > 0").isEmpty():
         judged = pairs.withColumn("n_conflicts", F.lit(0).cast("long"))
     else:
         judged = with_conflicts(docs, pairs, hits, windows)
-    return judged.where(F.col("n_conflicts") <= (1 - similarity) * F.col("n_slots")).drop("item_hash")
+    passed = judged.where(F.col("n_conflicts") <= (1 - similarity) * F.col("n_slots"))
+    # all places together go first, then the fullest occurrence
+    best = F.min(F.struct("width", (-F.col("similarity")).alias("less"), "n_conflicts", "anchor", "n_windows", "similarity", "n_slots")).alias("best")
+    return passed.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(best).select(
+        "doc_id", "text_hash", "item_id", *[F.col(f"best.{c}").alias(c) for c in ("n_windows", "similarity", "n_slots", "n_conflicts")]
+    )
+
+
+def occurrences(hits: DataFrame) -> DataFrame:
+    """``hits`` in each occurrence they are part of: (width -1) all places, (0) one alignment, (SHIFT) alignments around the anchor."""
+    shift = F.col("doc_pos") - F.col("item_pos")
+    spots = [(-1, F.lit(0)), (0, shift), *((SHIFT, shift + k) for k in range(-SHIFT, SHIFT + 1))]
+    return hits.withColumn("spot", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), a.alias("anchor")) for w, a in spots]))).select("*", "spot.width", "spot.anchor").drop("spot")
 
 
 def with_conflicts(docs: DataFrame, pairs: DataFrame, hits: DataFrame, windows: DataFrame) -> DataFrame:
     """``pairs`` with the number of distinct item values (n_slots) and those that meet several values (n_conflicts)."""
-    slotted = pairs.where("n_slots > 0").select("doc_id", "text_hash", "item_id", "item_hash")
+    slotted = pairs.where("n_slots > 0").select(*PLACE)
     same_doc = F.expr("p.doc_id <=> d.doc_id and p.text_hash = d.text_hash")
+    same_place = F.expr(" and ".join(["p.doc_id <=> d.doc_id", *(f"p.{c} = d.{c}" for c in PLACE[1:])]))
     texts = (
         docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
         .join(slotted.select("doc_id", "text_hash").distinct().alias("p"), same_doc, "left_semi")
@@ -141,17 +162,17 @@ def with_conflicts(docs: DataFrame, pairs: DataFrame, hits: DataFrame, windows:
         .select("doc_id", "text_hash", raw_words(F.col("text")).alias("raw"))
     )
     places = (
-        hits.where("n_slots > 0").select("doc_id", "text_hash", "item_id", "item_hash", "item_pos", "doc_pos").alias("d")
-        .join(slotted.alias("p"), F.expr("p.doc_id <=> d.doc_id and p.text_hash = d.text_hash and p.item_id = d.item_id and p.item_hash = d.item_hash"), "left_semi")
+        occurrences(hits.where("n_slots > 0")).select(*PLACE, "item_pos", "doc_pos").alias("d")
+        .join(slotted.alias("p"), same_place, "left_semi")
         .join(windows.select("item_id", "item_hash", "item_pos", F.explode("slots").alias("slot")), ["item_id", "item_hash", "item_pos"])
         .alias("d").join(texts.alias("p"), same_doc)
-        .select("d.doc_id", "d.text_hash", "item_id", "item_hash", "slot.value", F.get("raw", F.col("doc_pos") + F.col("slot.k")).alias("here"))
+        .select("d.doc_id", "d.text_hash", "item_id", "item_hash", "width", "anchor", "slot.value", F.get("raw", F.col("doc_pos") + F.col("slot.k")).alias("here"))
     )
     conflicts = (
-        places.groupBy("doc_id", "text_hash", "item_id", "item_hash", "value").agg(F.min("here").alias("a"), F.max("here").alias("b"))
-        .groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.count("*").alias("values"), F.count_if(F.col("a") != F.col("b")).alias("n_conflicts"))
+        places.groupBy(*PLACE, "value").agg(F.min("here").alias("a"), F.max("here").alias("b"))
+        .groupBy(*PLACE).agg(F.count("*").alias("values"), F.count_if(F.col("a") != F.col("b")).alias("n_conflicts"))
     )
-    joined = pairs.drop("n_slots").alias("d").join(conflicts.alias("p"), F.expr("p.doc_id <=> d.doc_id and p.text_hash = d.text_hash and p.item_id = d.item_id and p.item_hash = d.item_hash"), "left")
+    joined = pairs.drop("n_slots").alias("d").join(conflicts.alias("p"), same_place, "left")
     return joined.select("d.*", F.coalesce("p.values", F.lit(0)).alias("n_slots"), F.coalesce("p.n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 

@@ -73,3 +73,10 @@ def test_drop_and_empty(spark):
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(2, "clean text of some words here", None), (None, None, "s")], key=str)
     assert dc.find_contamination(docs.limit(0), bench).count() == 0
     assert dc.find_contamination(docs, bench.limit(0)).count() == 0
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    other = ITEM.replace("40", "75").replace("3 hours", "8 hours").replace("Anna", "Maria")
+    longer = other.replace("hour and", "hour very soon and")
+    docs = [(1, f"first {ITEM} and then there is this {other} at the end"), (2, f"first {ITEM} and later on {longer}"), (3, f"see {longer} and {longer.replace('75', '81')}")]
+    assert find(spark, docs) == [(1, 7), (2, 7), (3, 7)]
