@@ -3,6 +3,9 @@
 Texts are canonicalised to templates: numbers, names and units become typed
 placeholders, other words lower case.  Windows of five template words are
 hashed; the documents' windows meet the benchmark's by an equi-join on the hash.
+A window of placeholders alone would meet any table of numbers, so it is hashed by
+its raw words; the windows with a plain word cover runs of up to eight placeholders.
+Items of fewer than five words are matched whole, by their raw words.
 A document holds an item if the windows that match cover 0.8 or more of the
 item's words, and if its slots are consistent: what stands for one value of
 the item's placeholders is one value in the document.  So re-parameterised
@@ -23,8 +26,6 @@ from .common import materialise
 
 WINDOW = 5
 SIMILARITY = 0.8
-#: A window needs so many words that are not placeholders.
-LEAST_WORDS = 3
 #: Alignments that words put in or left out may shift within one occurrence.
 SHIFT = 2
 # Units that make a placeholder after a number.
@@ -67,13 +68,34 @@ def template(text: Column) -> Column:
     return words(F.regexp_replace(numbered, rf"(?<={NUMBER} )({units})(?![\p{{L}}\p{{N}}])", UNIT))
 
 
-def window_hashes(tokens: Column) -> Column:
+def is_slot(word: Column) -> Column:
+    return word.isin(NUMBER, NAME, UNIT)
+
+
+def raw_hash(part: Column) -> Column:
+    return F.xxhash64(F.lit("raw"), part)
+
+
+def window_hash(tokens: Column, raw: Column, i: Column) -> Column:
+    """The hash of the window that starts at word ``i``, counted from 1."""
+    part = F.slice(tokens, i, WINDOW)
+    return F.when(F.forall(part, is_slot), raw_hash(F.slice(raw, i, WINDOW))).otherwise(F.xxhash64(part))
+
+
+def window_hashes(tokens: Column, raw: Column) -> Column:
     n = F.size(tokens) - WINDOW + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(tokens, i, WINDOW))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: window_hash(tokens, raw, i)))
 
 
-def is_slot(word: Column) -> Column:
-    return word.isin(NUMBER, NAME, UNIT)
+def short_hashes(raw: Column, lengths: list[int]) -> Column:
+    """(doc_pos, h) of all runs of so many raw words, hashed as whole items are."""
+
+    def runs(k: int) -> Column:
+        n = F.size(raw) - k + 1
+        spots = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("doc_pos"), raw_hash(F.slice(raw, i, k)).alias("h")))
+        return F.when(n > 0, spots).otherwise(F.array().cast("array<struct<doc_pos:int,h:bigint>>"))
+
+    return F.concat(*[runs(k) for k in lengths])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -90,15 +112,15 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         lambda x: x["slot"],
     )
     return (
-        spots.where(F.col("item_words") >= WINDOW)
+        spots.where(F.col("item_words") > 0)
         .withColumn("slots", F.transform(slots, lambda x: F.struct(x["k"].alias("k"), x["value"].alias("value"))))
-        .where(WINDOW - F.size("slots") >= LEAST_WORDS)
-        .select("item_id", "item_hash", "item_pos", F.xxhash64(part).alias("h"), "item_words", "slots")
+        .withColumn("h", F.when(F.col("item_words") < WINDOW, raw_hash(F.col("raw"))).otherwise(window_hash(F.col("tokens"), F.col("raw"), F.col("item_pos"))))
+        .select("item_id", "item_hash", "item_pos", "h", "item_words", "slots")
     )
 
 
 def covered_words(positions: Column) -> Column:
-    """Words covered by windows at the sorted, distinct ``positions``."""
+    """Words covered by windows at the sorted, distinct ``positions``; a short item's one window counts as five."""
     gaps = F.transform(positions, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(positions, i + 1) - p, F.lit(WINDOW))))
     return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
@@ -110,15 +132,19 @@ PLACE = ("doc_id", "text_hash", "item_id", "item_hash", "width", "anchor")
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_windows: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, similarity, n_slots, n_conflicts): items that documents hold.
 
-    A row per document text and item.  Items of fewer than five words are not
-    searched for (they would flag clean texts).  Null texts hold nothing; a null
+    A row per document text and item.  Items of fewer than five words are held
+    where all their words stand in a row.  Null texts hold nothing; a null
     doc_id is kept as it is; repeated rows of one id and text give one row.
     Either table may be empty.
     """
     windows = materialise(benchmark_windows(benchmark))
     # A column of its own: inside the windows' lambda the template would be made anew for each.
-    tokens = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("tokens"))
-    found = tokens.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tokens"))).alias("doc_pos", "h"))
+    tokens = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("tokens"), raw_words(F.col("text")).alias("raw"))
+    found = tokens.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tokens"), F.col("raw"))).alias("doc_pos", "h"))
+    short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]  # four at most
+    if short:
+        runs = tokens.select("doc_id", "text_hash", F.explode(short_hashes(F.col("raw"), sorted(short))).alias("run"))
+        found = found.unionByName(runs.select("doc_id", "text_hash", "run.doc_pos", "run.h"))
     few = windows.count() <= broadcast_windows
     keys = windows.select("h", "item_id", "item_hash", "item_pos", "item_words", F.size("slots").alias("n_slots"))
     hits = materialise(found.join(F.broadcast(keys) if few else keys, "h"))
@@ -126,7 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
         occurrences(hits).groupBy(*PLACE)
         .agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("item_words").alias("item_words"), F.sum("n_slots").alias("n_slots"))
         # the set has at most as many entries as the item has windows
-        .withColumn("similarity", covered_words(F.col("at")) / F.col("item_words"))
+        .withColumn("similarity", F.least(covered_words(F.col("at")), F.col("item_words")) / F.col("item_words"))
         .where(F.col("similarity") >= similarity)
         .select(*PLACE, F.size("at").alias("n_windows"), "similarity", "n_slots")
     )

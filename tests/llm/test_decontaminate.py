@@ -80,3 +80,12 @@ def test_each_occurrence_is_judged_by_itself(spark):
     longer = other.replace("hour and", "hour very soon and")
     docs = [(1, f"first {ITEM} and then there is this {other} at the end"), (2, f"first {ITEM} and later on {longer}"), (3, f"see {longer} and {longer.replace('75', '81')}")]
     assert find(spark, docs) == [(1, 7), (2, 7), (3, 7)]
+
+
+def test_items_dense_in_placeholders_and_short_ones(spark):
+    items = [(1, "Sort 7, 3, 9, 1 and 5"), (2, "12 km in 30 min at 5 m/s"), (3, "8 1 6 2 9 4 7 3 5 2 6 1"), (4, "name two primes")]
+    docs = [
+        (1, "Exam. Sort 7, 3, 9, 1 and 5 please"), (2, "he did 12 km in 30 min at 5 m/s today"), (3, "x 8 1 6 2 9 4 7 3 5 2 6 1 y"), (4, "Now name two primes, he said"),
+        (5, "sort 8, 4, 2, 6 and 1"), (6, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (7, "name two other primes"), (8, "sort 7 and 3"),
+    ]
+    assert find(spark, docs, items) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
