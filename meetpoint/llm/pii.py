@@ -245,7 +245,6 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
         for batch in batches:
             column, n = batch.column("text"), batch.num_rows
             base, nodes, bits, labels, edges = [[]] * n, [], [], [], []
-            texts = {}
             for i in range(n):
                 text = column[i].as_py()
                 if not text or not SIGN.search(text):
@@ -253,13 +252,11 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
                 base[i] = base_spans(text)
                 spans = tokens(text)
                 given, links = graph(text, spans, base[i])
-                if links:  # a token without neighbours is as its pattern says
-                    texts[i] = text
-                    first = len(nodes)
-                    nodes += [(i, a, b) for a, b in spans]
-                    bits += [features(text, a, b) for a, b in spans]
-                    labels += given
-                    edges += [(a + first, b + first, kind) for a, b, kind in links]
+                first = len(nodes)
+                nodes += [(i, a, b) for a, b in spans]
+                bits += [features(text, a, b) for a, b in spans]
+                labels += given
+                edges += [(a + first, b + first, kind) for a, b, kind in links]
             added: dict[int, list] = {}
             if nodes:
                 given = np.array(labels)

@@ -77,3 +77,11 @@ def test_query_rules_and_consistency(spark):
 
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_isolated_token_goes_through_the_field(spark, monkeypatch):
+    unary, pair = np.zeros((pii.N_FEATURES, len(pii.LABELS))), np.zeros((2, len(pii.LABELS), len(pii.LABELS)))
+    unary[17 + 3, 4] = 6.0  # a cue word of phones
+    monkeypatch.setattr(pii, "learn", lambda *_: (unary, pair))
+    docs = spark.createDataFrame([(1, "the phone 415-555-7713 of the house"), (2, "the phone 415-555-7713 of the house 12 34"), (3, "the door 415-555-7713")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.find_pii(docs).collect()} == {1: "phone:10:22", 2: "phone:10:22", 3: ""}
