@@ -4,8 +4,10 @@ The field's nodes are a document's tokens with a digit or an at sign, its labels
 none, email, ip, card and phone.  Tokens next to each other share chain
 potentials; distant tokens that are equal or similar (same text, same last
 seven digits, same mailbox) share skip potentials, by links from each to the
-next one alike.  Loopy sum-product message passing then lets what a pattern
-proves of one token decide about its likes elsewhere in the document.
+next one alike.  Where a pattern proves one of three or more alike, all are linked
+to a hub node that holds the proof instead, so it reaches each of them alike.
+Loopy sum-product message passing, until the messages stay, then lets what a
+pattern proves of one token decide about its likes elsewhere in the document.
 
 Weights are learned by pseudo-likelihood from tokens that the patterns label,
 on a bounded sample of tokens chosen by hash.
@@ -45,7 +47,9 @@ CUES = {
 }
 #: Potential by which a token inside a base span holds its label.
 EVIDENCE = 8.0
-ROUNDS = 6
+#: Messages are passed until none changes by more than TOLERANCE; ROUNDS ends what does not settle.
+ROUNDS = 1000
+TOLERANCE = 1e-4
 LEAST_BELIEF = 0.8
 
 
@@ -144,6 +148,31 @@ def graph(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, in
     return labels, edges
 
 
+def with_hubs(labels: list[int], edges: list[tuple[int, int, int]]) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
+    """(members of each hub, edges): the skip edges of a group of three or more with a proved token lead to its hub.
+
+    The hubs are numbered on from the tokens.
+    """
+    root = list(range(len(labels)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b, kind in edges:
+        if kind:
+            root[find(b)] = find(a)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(labels)):
+        groups.setdefault(find(i), []).append(i)
+    hubs = [g for g in groups.values() if len(g) > 2 and any(labels[i] for i in g)]
+    inside = {i for g in hubs for i in g}
+    kept = [e for e in edges if not (e[2] and e[0] in inside)]
+    return hubs, kept + [(i, len(labels) + h, 1) for h, g in enumerate(hubs) for i in g]
+
+
 def neighbour_counts(n: int, labels: list[int], edges: list[tuple[int, int, int]]) -> np.ndarray:
     """(n, 2, labels): how many chain and skip neighbours have each label."""
     out = np.zeros((n, 2, len(LABELS)))
@@ -224,7 +253,10 @@ def beliefs(potentials: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.n
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.log(np.einsum("ek,ekl->el", out, table))
             new -= new.max(axis=1, keepdims=True)
+            change = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
+            if change < TOLERANCE:
+                break
         np.add.at(base, target, message)
     p = np.exp(base - base.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -244,7 +276,7 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
     def run(batches):
         for batch in batches:
             column, n = batch.column("text"), batch.num_rows
-            base, nodes, bits, labels, edges = [[]] * n, [], [], [], []
+            base, nodes, bits, labels, edges, proved = [[]] * n, [], [], [], [], []
             for i in range(n):
                 text = column[i].as_py()
                 if not text or not SIGN.search(text):
@@ -252,20 +284,26 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
                 base[i] = base_spans(text)
                 spans = tokens(text)
                 given, links = graph(text, spans, base[i])
+                hubs, links = with_hubs(given, links)
                 first = len(nodes)
-                nodes += [(i, a, b) for a, b in spans]
-                bits += [features(text, a, b) for a, b in spans]
-                labels += given
+                proved += [(first + len(spans) + h, given[j], len(g)) for h, g in enumerate(hubs) for j in g if given[j]]
+                nodes += [(i, a, b) for a, b in spans] + [(i, -1, -1)] * len(hubs)
+                bits += [features(text, a, b) for a, b in spans] + [0] * len(hubs)
+                labels += given + [0] * len(hubs)
                 edges += [(a + first, b + first, kind) for a, b, kind in links]
             added: dict[int, list] = {}
             if nodes:
                 given = np.array(labels)
                 potentials = unpack(np.array(bits, np.int64)) @ unary
                 potentials[np.flatnonzero(given), given[given > 0]] += EVIDENCE
+                for hub, label, size in proved:  # so many tokens must not outvote the proof
+                    potentials[hub, label] += EVIDENCE * size
                 p = beliefs(potentials, np.array(edges, np.int64).reshape(-1, 3), pair)
                 best = p.argmax(axis=1)
                 for j in np.flatnonzero((given == 0) & (best > 0) & (p.max(axis=1) >= LEAST_BELIEF)):
                     i, a, b = nodes[j]
+                    if a < 0:
+                        continue
                     kind = int(best[j]) - 1
                     if any(s < b and a < e for s, _, e in base[i]):
                         continue

@@ -85,3 +85,25 @@ def test_isolated_token_goes_through_the_field(spark, monkeypatch):
     monkeypatch.setattr(pii, "learn", lambda *_: (unary, pair))
     docs = spark.createDataFrame([(1, "the phone 415-555-7713 of the house"), (2, "the phone 415-555-7713 of the house 12 34"), (3, "the door 415-555-7713")], "doc_id long, text string")
     assert {r.doc_id: r.spans for r in pii.find_pii(docs).collect()} == {1: "phone:10:22", 2: "phone:10:22", 3: ""}
+
+
+def test_proof_reaches_all_repeats(spark, monkeypatch):
+    k = len(pii.LABELS)
+    unary, pair = np.zeros((pii.N_FEATURES, k)), np.zeros((2, k, k))
+    unary[0, 0] = 1.0  # each token by itself is rather none
+    pair[1] = 4 * np.eye(k)
+    monkeypatch.setattr(pii, "learn", lambda *_: (unary, pair))
+    text = "a +1 (415) 555-7713 b " + "415-555-7713 and some words " * 40
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    at = [m.start() for m in re.finditer("(?<![0-9(])415-555", text)]
+    assert len(at) == 40 and {f"phone:{a}:{a + 12}" for a in at} <= set(pii.find_pii(docs).first().spans.split(","))
+
+
+def test_messages_pass_until_they_stay():
+    k, n = len(pii.LABELS), 30
+    potentials, pair = np.zeros((n, k)), np.zeros((2, k, k))
+    potentials[0, 4], pair[1] = 50.0, 6 * np.eye(k)
+    edges = np.array([(i, i + 1, 1) for i in range(n - 1)])
+    step = np.exp(pair[1]) / np.exp(pair[1]).sum(axis=1, keepdims=True)
+    want = np.linalg.matrix_power(step, n - 1)[4]
+    assert np.allclose(pii.beliefs(potentials, edges, pair)[-1], want, atol=1e-3)
