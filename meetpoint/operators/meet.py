@@ -8,21 +8,39 @@ is an error of a request there is a ``status`` of a meetup here.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import to_position
-from ..functions.text import minutes
+from ..functions.text import minutes, normalize_uuid
 from ..functions.times import pick_transit_key, to_local
 from ..schemas import DEFAULT_TIMEZONE, MISSING_MATRIX, MODE_MATRIX, OK, OUTCOMES, UNREACHABLE
+from ..sources.dataset import stored
 from .places import cell_position, snap
 
+#: Matrices of at most so many numbers (4 bytes each) go to the tasks whole; larger ones are joined.
+TASK_NUMBERS = 50_000_000
+#: People of a meetup that one task adds up; a larger meetup is dealt to several and put together.
+TASK_PEOPLE = 50_000
+
+
+def id_key(df: DataFrame, column: str) -> Column:
+    """What ids are compared by: text that spells a UUID in any usual way in its canonical form, anything else as it is."""
+    c = F.col(column)
+    return F.coalesce(normalize_uuid(c), c) if dict(df.dtypes)[column] == "string" else c
+
 
 def owned_meetups(requests: DataFrame, meetups: DataFrame) -> DataFrame:
-    """requests(meetup_id, account_id) with status ok, or meetup_not_found if it is absent or another's."""
-    m = meetups.select(F.col("id").alias("__id"), F.col("created_by_account_id").alias("__owner"))
-    found = F.col("__id").isNotNull() & F.col("__owner").eqNullSafe(F.col("account_id"))
-    joined = requests.join(m, F.col("meetup_id") == F.col("__id"), "left")
+    """requests(meetup_id, account_id) with status ok, or meetup_not_found if it is absent or another's.
+
+    UUIDs match in any spelling; a malformed id is absent.
+    """
+    m = meetups.select(id_key(meetups, "id").alias("__id"), id_key(meetups, "created_by_account_id").alias("__owner"))
+    found = F.col("__id").isNotNull() & F.col("__owner").eqNullSafe(id_key(requests, "account_id"))
+    joined = requests.join(m, id_key(requests, "meetup_id") == F.col("__id"), "left")
     text = F.format_string(OUTCOMES["meetup_not_found"][1], F.col("meetup_id").cast("string"))
     return joined.withColumn("status", F.when(found, OK).otherwise("meetup_not_found")).withColumn("message", F.when(~found, text)).drop("__id", "__owner")
 
@@ -40,9 +58,15 @@ def list_participants(participants: DataFrame, meetup_id=None) -> DataFrame:
 
 
 def get_participants(requests: DataFrame, participants: DataFrame) -> DataFrame:
-    """requests(meetup_id, participant_id) with the participant of both ids, else participant_not_found."""
-    p = participants.withColumn("participant_id", F.col("id")).withColumn("position", to_position(F.col("latitude"), F.col("longitude")))
-    return requests.join(p, ["meetup_id", "participant_id"], "left").withColumn("status", F.when(F.col("id").isNotNull(), OK).otherwise("participant_not_found"))
+    """requests(meetup_id, participant_id) with the participant of both ids, else participant_not_found.
+
+    UUIDs match in any spelling; a malformed id is absent.
+    """
+    p = participants.withColumns({
+        "__meetup": id_key(participants, "meetup_id"), "__person": id_key(participants, "id"), "position": to_position(F.col("latitude"), F.col("longitude")),
+    }).drop("meetup_id")
+    same = (id_key(requests, "meetup_id") == F.col("__meetup")) & (id_key(requests, "participant_id") == F.col("__person"))
+    return requests.join(p, same, "left").withColumn("status", F.when(F.col("id").isNotNull(), OK).otherwise("participant_not_found")).drop("__meetup", "__person")
 
 
 def is_placed() -> Column:
@@ -66,22 +90,28 @@ def matrix_keys(mode: Column, transit_key: Column) -> Column:
     return F.when(mode == "transit", F.array(F.lit("walk"), transit_key)).otherwise(F.array(F.element_at(static, mode)))
 
 
-def participant_times(participants: DataFrame, meetups: DataFrame, cells: DataFrame, rows: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9) -> DataFrame:
-    """Placed participants with cell_id, keys, transit_key and ``times``: seconds to every cell, the least over their matrices.
-
-    ``times`` is null off the grid and where a matrix is missing; ``s1`` and
-    ``s2`` are the rows it is made of.  The two matrices of a traveller are two
-    joins, so nothing is regrouped.
-    """
+def located(participants: DataFrame, meetups: DataFrame, cells: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9) -> DataFrame:
+    """Placed participants with cell_id, transit_key, and the one or two matrix keys of their mode: keys, k1, k2."""
     m = meetups.select(F.col("id").alias("meetup_id"), pick_transit_key(to_local(F.col("starts_at"), tz)).alias("transit_key"))
     placed = snap(participants.where(is_placed()), cells, res).join(m, "meetup_id")
     placed = placed.withColumn("keys", matrix_keys(F.col("travel_mode"), F.col("transit_key")))
+    return placed.withColumns({"k1": F.get("keys", F.lit(0)), "k2": F.get("keys", F.lit(1))})
+
+
+def with_rows(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``placed`` with ``s1`` and ``s2``, the rows of its keys: two joins, so nothing is regrouped."""
     first = rows.select(F.col("matrix_key").alias("k1"), F.col("origin").alias("cell_id"), F.col("seconds").alias("s1"))
     second = rows.select(F.col("matrix_key").alias("k2"), F.col("origin").alias("cell_id"), F.col("seconds").alias("s2"))
-    joined = (
-        placed.withColumns({"k1": F.get("keys", F.lit(0)), "k2": F.get("keys", F.lit(1))})
-        .join(first, ["k1", "cell_id"], "left").join(second, ["k2", "cell_id"], "left")
-    )
+    return placed.join(first, ["k1", "cell_id"], "left").join(second, ["k2", "cell_id"], "left")
+
+
+def participant_times(participants: DataFrame, meetups: DataFrame, cells: DataFrame, rows: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9) -> DataFrame:
+    """Placed participants with cell_id, keys, transit_key and ``times``: seconds to every cell, the least over their matrices.
+
+    ``times`` is null off the grid and where a matrix is missing; ``s1`` and
+    ``s2`` are the rows it is made of.
+    """
+    joined = with_rows(located(participants, meetups, cells, tz, res), rows)
     least = F.zip_with("s1", "s2", lambda a, b: F.least(a, b))
     return joined.withColumn("times", F.when(F.col("k2").isNull(), F.col("s1")).otherwise(least)).drop("k1", "k2")
 
@@ -96,38 +126,142 @@ def best_cell(times: DataFrame) -> DataFrame:
     return best.select("meetup_id", F.col("b.cell").alias("cell_id"), F.col("b.worst").alias("worst_seconds"), F.col("b.total").alias("total"))
 
 
+def task_matrices(rows: DataFrame) -> tuple[np.ndarray, DataFrame] | None:
+    """All rows as one array, and (matrix_key, origin, place) of each; None if they are too large or ragged for that."""
+    size = rows.agg(F.count("*").alias("n"), F.min(F.size("seconds")).alias("a"), F.max(F.size("seconds")).alias("b")).first()
+    if not size["n"] or size["a"] != size["b"] or size["n"] * size["b"] > TASK_NUMBERS:
+        return None
+    table = rows.select("matrix_key", "origin", "seconds").toArrow()
+    numbers = table.column("seconds").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    places = table.select(["matrix_key", "origin"]).append_column("place", pa.array(np.arange(len(table), dtype=np.int32)))
+    return numbers.reshape(len(table), -1), rows.sparkSession.createDataFrame(places)
+
+
+def best_cells(good: DataFrame, numbers: np.ndarray, people: DataFrame) -> DataFrame:
+    """(meetup_id, cell_id, worst_seconds, total) from good(meetup_id, id, i1, i2), places of rows in ``numbers``.
+
+    As ``best_cell``, with one array per meetup instead of a row per cell.
+    people(meetup_id, people) says which meetups are dealt to several tasks; of
+    those each task gives its maxima and sums, which are put together by cell.
+    """
+    shared = good.sparkSession.sparkContext.broadcast(numbers)
+    parts = F.ceil(F.col("people") / TASK_PEOPLE).cast("int")
+    dealt = good.join(people, "meetup_id").select("meetup_id", "i1", "i2", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    kind = dict(good.dtypes)["meetup_id"]
+
+    def emit(meetups, parts, worst, total):
+        cell = ((worst.astype(np.int64) << 44) | total).argmin(axis=1)
+        at = np.arange(len(cell))
+        many = parts > 1
+        offsets = np.concatenate(([0], np.cumsum(np.where(many, worst.shape[1], 0)))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, x[many].ravel()) for x in (worst, total)]
+        columns = [meetups, pa.array(many), pa.array(cell.astype(np.int32)), pa.array(worst[at, cell]), pa.array(total[at, cell]), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=["meetup_id", "many", "cell_id", "worst_seconds", "total", "worsts", "totals"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                i1, i2 = (part.column(c).fill_null(-1).to_numpy() for c in ("i1", "i2"))
+                times = shared.value[i1]
+                two = i2 >= 0
+                times[two] = np.minimum(times[two], shared.value[i2[two]])
+                meetup, piece = part.column("meetup_id"), part.column("part").to_numpy()
+                new = pc.not_equal(meetup.slice(1), meetup.slice(0, len(meetup) - 1)).to_numpy(zero_copy_only=False) | (piece[1:] != piece[:-1])
+                starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+                now = [meetup.take(pa.array(starts)), part.column("parts").to_numpy()[starts], np.maximum.reduceat(times, starts, axis=0), np.add.reduceat(times, starts, axis=0, dtype=np.int64)]
+                first = (meetup[0], piece[0])
+                if held is not None and held[0] == first:  # a meetup goes on from the rows before
+                    np.maximum(now[2][:1], held[1][2], out=now[2][:1])
+                    now[3][:1] += held[1][3]
+                elif held is not None:
+                    yield emit(*held[1])
+                if len(starts) > 1:
+                    yield emit(*(x[:-1] for x in now))
+                held = (meetup[len(meetup) - 1], piece[-1]), [x[-1:] for x in now]
+        if held is not None:
+            yield emit(*held[1])
+
+    found = (
+        dealt.repartition("meetup_id", "part").sortWithinPartitions("meetup_id", "part")
+        .mapInArrow(run, f"meetup_id {kind}, many boolean, cell_id int, worst_seconds int, total long, worsts array<int>, totals array<long>")
+    )
+    whole = found.where("not many").select("meetup_id", "cell_id", "worst_seconds", "total")
+    if people.where(F.col("people") > TASK_PEOPLE).isEmpty():
+        return whole
+    by_cell = (
+        found.where("many").select("meetup_id", F.posexplode(F.arrays_zip("worsts", "totals")).alias("cell", "x"))
+        .groupBy("meetup_id", "cell").agg(F.max("x.worsts").alias("worst"), F.sum("x.totals").alias("total"))
+        .groupBy("meetup_id").agg(F.min(F.struct("worst", "total", "cell")).alias("b"))
+    )
+    return whole.unionByName(by_cell.select("meetup_id", F.col("b.cell").alias("cell_id"), F.col("b.worst").alias("worst_seconds"), F.col("b.total").alias("total")))
+
+
+def seconds_at(people: DataFrame, numbers: np.ndarray) -> DataFrame:
+    """people(i1, i2, best, ...) with ``seconds`` to the cell ``best``."""
+    shared = people.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches):
+        for batch in batches:
+            i1, i2, cell = (batch.column(c).fill_null(-1).to_numpy() for c in ("i1", "i2", "best"))
+            first = shared.value[i1, cell]
+            seconds = np.where(i2 >= 0, np.minimum(first, shared.value[i2, cell]), first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seconds.astype(np.int32))], names=[*batch.schema.names, "seconds"])
+
+    return people.mapInArrow(run, people.withColumn("seconds", F.lit(0)).schema)
+
+
 def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, rows: DataFrame, matrices: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, min_people: int = 0) -> DataFrame:
     """One row per meetup: status, message, cell_id, position, worst_seconds, per_participant, excluded, transit_key_used.
 
     Outcomes in order: nobody placed; the first participant (created_at, id)
     off the grid or without a matrix; someone cannot reach the best cell; ok.
     Unreachable counts as 65535 in maximum and sum.  With ``min_people`` only
-    meetups with so many placed people are answered.
+    meetups with so many placed people are answered.  A meetup's people are
+    listed in its answer, so they must fit a row.
+
+    Participants are located once and stored as narrow rows.  Matrices that fit a
+    task (``TASK_NUMBERS``) go there whole and a meetup is one array; otherwise
+    their rows are joined and exploded by cell.
     """
     if min_people:
         meetups = meetups.join(min_placed(participants, min_people), F.col("id") == F.col("meetup_id"), "left_semi")
-    timed = participant_times(participants, meetups, cells, rows, tz, res)
-    bad = F.when(F.col("cell_id") == -1, "participant_off_grid").when(F.col("s1").isNull() | ((F.size("keys") > 1) & F.col("s2").isNull()), MISSING_MATRIX)
-    groups = timed.groupBy("meetup_id").agg(
-        F.min(F.when(bad.isNotNull(), F.struct("created_at", "id", "name", bad.alias("status")))).alias("bad"),
+    horizon = matrices.select("matrix_key", "max_seconds")
+    narrow = located(participants, meetups, cells, tz, res).select("meetup_id", "id", "name", "created_at", "travel_mode", "cell_id", "transit_key", "k1", "k2")
+    known = task_matrices(rows)
+    places = F.broadcast(known[1]) if known else rows.select("matrix_key", "origin").withColumn("place", F.lit(0))
+    for k in ("1", "2"):
+        narrow = narrow.join(places.select(F.col("matrix_key").alias(f"k{k}"), F.col("origin").alias("cell_id"), F.col("place").alias(f"i{k}")), [f"k{k}", "cell_id"], "left")
+        narrow = narrow.join(horizon.select(F.col("matrix_key").alias(f"k{k}"), F.col("max_seconds").alias(f"h{k}")), f"k{k}", "left")
+    off = F.col("cell_id") == -1
+    absent = F.col("i1").isNull() | (F.col("k2").isNotNull() & F.col("i2").isNull())
+    placed = stored(narrow.withColumn("bad", F.when(off, "participant_off_grid").when(absent, MISSING_MATRIX)))
+    groups = stored(placed.groupBy("meetup_id").agg(
+        F.min(F.when(F.col("bad").isNotNull(), F.struct("created_at", "id", "name", F.col("bad").alias("status")))).alias("bad"), F.count("*").alias("people"),
         F.bool_or(F.col("travel_mode") == "transit").alias("rides"), F.first("transit_key").alias("transit_key"),
-    )
-    good = timed.join(groups.where("bad is null").select("meetup_id"), "meetup_id", "left_semi")
-    best = best_cell(good)
-    # Only the chosen cell of each row is read here; the element-wise minimum is not made again.
-    at_best = good.select("meetup_id", "id", "name", "created_at", "keys", "s1", "s2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id")
-    people = F.sort_array(F.collect_list(F.struct("created_at", "id", "name", F.least(F.get("s1", F.col("best")), F.get("s2", F.col("best"))).alias("seconds"), "keys")))
-    # A meetup's people fit a row, as its answer lists them.
+    ))
+    sound = groups.where("bad is null").select("meetup_id", "people")
+    good = placed.join(sound.select("meetup_id"), "meetup_id", "left_semi")
+    chosen = ["meetup_id", "id", "name", "created_at", F.greatest("h1", "h2").alias("horizon")]
+    if known:
+        best = best_cells(good, known[0], sound)
+        at_best = seconds_at(good.select(*chosen, "i1", "i2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id"), known[0])
+    else:
+        timed = with_rows(good, rows)
+        least = F.when(F.col("k2").isNull(), F.col("s1")).otherwise(F.zip_with("s1", "s2", lambda a, b: F.least(a, b)))
+        best = best_cell(timed.select("meetup_id", least.alias("times")))
+        # Only the chosen cell of each row is read here; the element-wise minimum is not made again.
+        at_best = timed.select(*chosen, "s1", "s2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id").withColumn("seconds", F.least(F.get("s1", F.col("best")), F.get("s2", F.col("best"))))
+    people = F.sort_array(F.collect_list(F.struct("created_at", "id", "name", "seconds", "horizon")))
     answered = at_best.groupBy("meetup_id").agg(people.alias("people"))
-    horizons = matrices.agg(F.map_from_entries(F.collect_list(F.struct("matrix_key", "max_seconds"))).alias("horizons"))  # a dozen matrices
     _, excluded = split_positioned(participants)
-    stranded = F.filter("people", lambda p: p["seconds"] == UNREACHABLE)
     joined = (
-        meetups.select(F.col("id").alias("meetup_id")).join(groups, "meetup_id", "left").join(best, "meetup_id", "left")
-        .join(answered, "meetup_id", "left").join(excluded, "meetup_id", "left").join(F.broadcast(horizons))
-        .withColumn("stranded", stranded)
+        meetups.select(F.col("id").alias("meetup_id")).join(groups.drop("people"), "meetup_id", "left").join(best, "meetup_id", "left")
+        .join(answered, "meetup_id", "left").join(excluded, "meetup_id", "left")
+        .withColumn("stranded", F.filter("people", lambda p: p["seconds"] == UNREACHABLE))
     )
-    limit = F.array_max(F.flatten(F.transform("stranded", lambda p: F.transform(p["keys"], lambda k: F.element_at("horizons", k)))))
+    limit = F.array_max(F.transform("stranded", lambda p: p["horizon"]))
     status = (
         F.when(F.col("rides").isNull(), "no_positioned_participants").when(F.col("bad").isNotNull(), F.col("bad.status"))
         .when(F.size("stranded") > 0, "rendezvous_infeasible").otherwise(OK)

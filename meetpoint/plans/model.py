@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell_centre
 from ..schemas import UNREACHABLE, transit_keys
+from ..sources.dataset import stored
 
 N_CELLS, ROW = 663, 26
 FACE, FIRST_A, FIRST_B, RES = 4, 7000, -1918, 9
@@ -40,8 +41,6 @@ def seconds_sql(o: str, d: str, rate: str, div: str = "//") -> str:
 def select(dialect: str) -> dict[str, str]:
     """Table name -> SELECT over the given tables (and ``cells``)."""
     spark = dialect == "spark"
-    # Spark takes every order; the registered DuckDB text still states every fiftieth.
-    part = lambda key: "" if spark else f" WHERE {key} % 50 = 0"
     day = "2026-08-01 00:00:00"
 
     def plus(minutes: str) -> str:
@@ -55,7 +54,7 @@ def select(dialect: str) -> dict[str, str]:
         "meetups": f"""
             SELECT o_orderkey AS id, o_custkey AS created_by_account_id, 'Meetup ' || {text('o_orderkey')} AS name, 'Vienna' AS location,
                    {plus('(o_orderkey // 50) % 14 * 1440 + (o_orderkey // 50) % 24 * 60 + o_orderkey % 60')} AS starts_at
-            FROM orders{part('o_orderkey')}""",
+            FROM orders""",
         "participants": f"""
             SELECT l_orderkey * 100 + n AS id, l_orderkey AS meetup_id, CASE WHEN CAST(l_quantity AS BIGINT) % 3 = 0 THEN l_suppkey END AS account_id,
                    l_suppkey AS created_by_account_id, 'P' || {text('n')} AS name,
@@ -65,7 +64,7 @@ def select(dialect: str) -> dict[str, str]:
                    l_shipdate AS created_at,
                    CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_partkey % 97 = 0 THEN -1 ELSE l_partkey % {N_CELLS} END AS home
             FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-                         l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem{part('l_orderkey')}) l
+                         l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem) l
             JOIN cells ON cell_id = l_partkey % {N_CELLS}""",
         "happenings": f"""
             SELECT p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN 'en' ELSE 'de' END AS lang_primary,
@@ -87,24 +86,24 @@ def select(dialect: str) -> dict[str, str]:
             FROM lineitem""",
         "accounts": f"""
             SELECT {text('c_custkey')} AS id, {uid('c_custkey')} AS supabase_user_id, c_name || '@old.example' AS email, c_name AS display_name,
-                   CAST(NULL AS {'STRING' if spark else 'VARCHAR'}) AS avatar_url, c_custkey % 2 = 0 AS profile_customized FROM customer WHERE c_custkey % 2 = 0""",
+                   CAST(NULL AS {'STRING' if spark else 'VARCHAR'}) AS avatar_url, c_custkey % 2 = 0 AS profile_customized FROM customer""",
         "logins": f"""
             SELECT event_id AS seq, ts, CASE WHEN event_id % 29 = 0 THEN NULL ELSE
-                   '{{"sub": "' || CASE WHEN event_id % 17 = 0 THEN 'nobody' ELSE {uid('user_id')} END || '", "iss": "' || CASE WHEN event_id % 31 = 0 THEN 'x' ELSE '{ISSUER}' END
+                   '{{"sub": "' || CASE WHEN event_id % 17 = 0 THEN 'nobody' ELSE {uid('user_id * 20')} END || '", "iss": "' || CASE WHEN event_id % 31 = 0 THEN 'x' ELSE '{ISSUER}' END
                    || '", "aud": "{AUDIENCE}", "iat": 1, "exp": ' || CASE WHEN event_id % 19 = 0 THEN '5' ELSE '4000000000' END || ', "role": "' || CASE WHEN event_id % 23 = 0 THEN 'anon' ELSE 'authenticated' END
                    || '", "email": "u' || {text('event_id')} || '@mail.example", "user_metadata": {{"full_name": "' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Full ' || {text('event_id')} END
                    || '", "name": "Name ' || {text('event_id')} || '", "picture": "http://pic.example/' || {text('event_id')} || '", "other": 1}}, "app_metadata": {{'
                    || CASE event_id % 3 WHEN 0 THEN '"providers": ["google", "mail"]' WHEN 1 THEN '"provider": "apple"' ELSE '"providers": []' END || '}}}}' END AS claims
             FROM events WHERE event_type IN ('signup', 'view')""",
         "changes": f"""
-            SELECT event_id AS change_id, event_id AS seq, ts, user_id % 60 * 50 AS meetup_id, user_id % 60 * 5000 + event_id % 5 + 1 AS participant_id,
+            SELECT event_id AS change_id, event_id AS seq, ts, user_id * 100 + event_id % 100 AS meetup_id, (user_id * 100 + event_id % 100) * 100 + event_id % 5 + 1 AS participant_id,
                    CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'N' || {text('event_id')} END AS name,
                    CASE event_id % 6 WHEN 0 THEN 'walk' WHEN 1 THEN 'bicycle' WHEN 2 THEN 'car' WHEN 3 THEN 'transit' END AS travel_mode,
                    CASE WHEN event_id % 3 = 0 THEN NULL ELSE lat END AS latitude, CASE WHEN event_id % 3 = 0 THEN NULL ELSE lon END AS longitude,
-                   CASE WHEN event_id % 2 = 0 THEN event_id % 2500 END AS account_id
+                   CASE WHEN event_id % 2 = 0 THEN user_id * 20 + event_id % 20 END AS account_id
             FROM events JOIN cells ON cell_id = event_id % {N_CELLS} WHERE event_type IN ('click', 'purchase')""",
         "requests": f"""
-            SELECT event_id AS request_id, user_id % 60 * 50 AS meetup_id, user_id AS owner_id, CASE WHEN event_id % 2 = 0 THEN 'R' || {text('event_id')} END AS name,
+            SELECT event_id AS request_id, user_id * 100 + event_id % 100 AS meetup_id, user_id AS owner_id, CASE WHEN event_id % 2 = 0 THEN 'R' || {text('event_id')} END AS name,
                    CASE event_id % 5 WHEN 0 THEN 'teleport' WHEN 1 THEN 'walk' WHEN 2 THEN 'car' END AS travel_mode,
                    CASE event_id % 7 WHEN 0 THEN 'north' WHEN 1 THEN NULL ELSE '48.2' END AS latitude, CASE event_id % 3 WHEN 0 THEN NULL ELSE '16.4' END AS longitude,
                    CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'Vienna' END AS location, ts
@@ -162,7 +161,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([batch.column("matrix_key"), batch.column("origin"), lists], names=["matrix_key", "origin", "seconds"])
 
         # Stands in for the stored table: 13 x 663 rows whatever the input, read several times by a query.
-        return flat.mapInArrow(rows, "matrix_key string, origin int, seconds array<int>").persist()
+        return stored(flat.mapInArrow(rows, "matrix_key string, origin int, seconds array<int>"))
 
     def __getattr__(self, name: str) -> DataFrame:
         sql = self.__dict__.get("_sql", {}).get(name)

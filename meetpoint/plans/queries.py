@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, times
 from ..operators import changes, happenings, matrix, meet, places
 from ..schemas import UNREACHABLE
+from ..sources.dataset import stored
 from ..streaming import live
 from .model import AUDIENCE, ISSUER, MAX_SECONDS, N_CELLS, RATES, RES, ZONE, Model, duckdb_with, seconds_sql
 
@@ -78,14 +79,14 @@ def owned_meetups(m: Model) -> DataFrame:
     return meet.owned_meetups(asked, m.meetups.withColumn("created_by_account_id", F.col("created_by_account_id") % 5)).select("request_id", "meetup_id", "status", "message")
 
 
-@query("SELECT id AS meetup_id, name, CAST(starts_at AS VARCHAR) AS starts_at FROM meetups WHERE created_by_account_id = (SELECT min(created_by_account_id) FROM meetups)", ("meetups",))
+@query("SELECT id AS meetup_id, name, CAST(starts_at AS VARCHAR) AS starts_at FROM meetups", ("meetups",))
 def list_meetups(m: Model) -> DataFrame:
     return meet.list_meetups(m.meetups).select(F.col("id").alias("meetup_id"), "name", F.col("starts_at").cast("string").alias("starts_at"))
 
 
 @query(
     """SELECT id AS participant_id, name, travel_mode, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round(latitude, 6) END AS latitude
-       FROM participants WHERE meetup_id = (SELECT min(meetup_id) FROM participants)""", ("participants",))
+       FROM participants""", ("participants",))
 def list_participants(m: Model) -> DataFrame:
     return meet.list_participants(m.participants).select(F.col("id").alias("participant_id"), "name", "travel_mode", F.round("position.latitude", 6).alias("latitude"))
 
@@ -232,13 +233,6 @@ def bake_matrix(m: Model) -> DataFrame:
 
 # --- events near the rendezvous ---
 
-NEXT = f"""
-shown AS (
-  SELECT meetup_id, event_id, start_local, all_day FROM (
-    SELECT m.id AS meetup_id, o.event_id, o.start_local, o.all_day, row_number() OVER (PARTITION BY m.id, o.event_id ORDER BY o.start_utc, o.id) AS r
-    FROM meetups m JOIN occurrences o ON o.date_local = CAST({local('m.starts_at')} AS DATE) AND (o.all_day OR o.start_utc >= m.starts_at)) WHERE r = 1)"""
-
-
 def haversine(a1: str, o1: str, a2: str, o2: str) -> str:
     return f"2 * {geo.EARTH_RADIUS!r}e0 * asin(least(1e0, sqrt(sin(radians({a2} - {a1}) / 2) ** 2 + cos(radians({a1})) * cos(radians({a2})) * sin(radians({o2} - {o1}) / 2) ** 2)))"
 
@@ -246,6 +240,12 @@ def haversine(a1: str, o1: str, a2: str, o2: str) -> str:
 NEAR = f"""
 near AS (SELECT meetup_id, h.id AS event_id, {haversine('h.lat', 'h.lon', 'a.lat', 'a.lon')} AS d FROM answers a JOIN happenings h ON h.disappeared_at IS NULL AND h.lat IS NOT NULL AND h.lon IS NOT NULL WHERE a.status = 'ok'),
 in_radius AS (SELECT * FROM near WHERE d <= 1000)"""
+NEXT = f"""
+shown AS (
+  SELECT meetup_id, event_id, arg_min(start_local, k) AS start_local, arg_min(all_day, k) AS all_day FROM (
+    SELECT i.meetup_id, o.event_id, o.start_local, o.all_day, (o.start_utc, o.id) AS k
+    FROM in_radius i JOIN meetups m ON m.id = i.meetup_id
+    JOIN occurrences o ON o.event_id = i.event_id AND o.date_local = CAST({local('m.starts_at')} AS DATE) AND (o.all_day OR o.start_utc >= m.starts_at)) GROUP BY ALL)"""
 STRIP = lambda c: f"nullif(trim({c}), '')"
 TEXTS = f"""
 texts AS (SELECT id AS event_id, coalesce(CASE WHEN lang_primary = 'en' THEN coalesce({STRIP('title_en')}, {STRIP('title_de')}) ELSE coalesce({STRIP('title_de')}, {STRIP('title_en')}) END, 'Untitled event') AS title,
@@ -254,9 +254,10 @@ texts AS (SELECT id AS event_id, coalesce(CASE WHEN lang_primary = 'en' THEN coa
   CASE WHEN {STRIP('street')} IS NOT NULL THEN {STRIP('street')} || coalesce(', ' || nullif(concat_ws(' ', {STRIP('postcode')}, {STRIP('city')}), ''), '') END AS address FROM happenings)"""
 
 
-@query(", " + NEXT + "SELECT meetup_id, count(*) AS events, count(*) FILTER (WHERE all_day) AS all_day, CAST(min(start_local) AS VARCHAR) AS first_start, CAST(sum(event_id) AS BIGINT) AS id_sum FROM shown GROUP BY 1", ("meetups", "occurrences"))
+@query(ALL + "," + NEAR + "," + NEXT + "SELECT meetup_id, count(*) AS events, count(*) FILTER (WHERE all_day) AS all_day, CAST(min(start_local) AS VARCHAR) AS first_start, CAST(sum(event_id) AS BIGINT) AS id_sum FROM shown GROUP BY 1", ("meetups", "participants", "happenings", "occurrences"))
 def next_occurrence(m: Model) -> DataFrame:
-    found = happenings.next_occurrence(m.meetups, m.occurrences, ZONE)
+    near = happenings.events_in_radius(stored(centres_of(answers(m))), m.happenings, 1000)
+    found = happenings.next_occurrence(m.meetups, m.occurrences, near, ZONE)
     return found.groupBy("meetup_id").agg(F.count("*").alias("events"), F.count_if("all_day").alias("all_day"), F.min("start_local").cast("string").alias("first_start"), F.sum("event_id").alias("id_sum"))
 
 
@@ -266,7 +267,7 @@ def centres_of(df: DataFrame) -> DataFrame:
 
 @query(ALL + "," + NEAR + "SELECT meetup_id, event_id, CAST(round_even(d, 0) AS BIGINT) AS distance_meters FROM in_radius", ("meetups", "participants", "happenings"))
 def events_in_radius(m: Model) -> DataFrame:
-    found = happenings.events_in_radius(centres_of(answers(m)), m.happenings, 1000)
+    found = happenings.events_in_radius(stored(centres_of(answers(m))), m.happenings, 1000)
     return found.withColumn("distance_meters", text.rounded(F.col("distance_meters")).cast("long"))
 
 

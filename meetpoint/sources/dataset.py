@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,25 @@ from pyspark.sql import functions as F
 from ..schemas import DEFAULT_TIMEZONE, GRID, MANIFEST, SUPPORTED_FORMAT, TABLES
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read back.
+
+    Cuts the lineage: what several branches of a query read is computed once, and
+    the planner knows its size.  The folder is that of ``spark.checkpoint.dir``; in
+    plain local mode a temporary one will do, elsewhere its absence is an error.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="meetpoint-")
+    path = f"{root.rstrip('/')}/meetpoint-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per matrix, in the manifest's order, with the manifest's own columns."""
     raw = spark.read.schema(MANIFEST).json(path, multiLine=True)
@@ -48,13 +70,30 @@ def ingest_matrices(spark: SparkSession, folder: str, matrices: DataFrame) -> Da
     return named.select("matrix_key", "content").mapInArrow(rows, "matrix_key string, origin int, seconds array<int>")
 
 
-def read_tables(spark: SparkSession, where: str, fmt: str = "parquet", **options) -> dict[str, DataFrame]:
-    """The model's tables under their schemas: Parquet below a folder, or tables of a JDBC URL."""
+def read_tables(spark: SparkSession, where: str, fmt: str = "parquet", partitions: dict[str, tuple[str, int, int, int]] | None = None, **options) -> dict[str, DataFrame]:
+    """The model's tables under their schemas: Parquet below a folder, or tables of a JDBC URL.
+
+    Of a JDBC table only the model's columns are asked for.  ``partitions`` gives
+    tables a numeric column, its range and a number of parallel reads.
+    """
     if fmt == "jdbc":
-        return {t: spark.read.format("jdbc").options(url=where, dbtable=t, **options).load() for t in TABLES}
+        return {t: _jdbc_reader(spark, where, t, (partitions or {}).get(t), options).load() for t in TABLES}
     return {t: spark.read.schema(schema).format(fmt).options(**options).load(f"{where}/{t}") for t, schema in TABLES.items()}
 
 
+def jdbc_options(where: str, table: str, split: tuple[str, int, int, int] | None) -> dict[str, str]:
+    """Options of a JDBC read of the model's columns; ``split``: column, lower and upper bound, number of reads."""
+    columns = ", ".join(c.split()[0] for c in TABLES[table].replace("MAP<STRING,STRING>", "MAP").split(", "))
+    found = {"url": where, "dbtable": f"(SELECT {columns} FROM {table}) {table}"}
+    if split:
+        found |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, split), strict=True))
+    return found
+
+
+def _jdbc_reader(spark, where, table, split, options):
+    return spark.read.format("jdbc").options(**jdbc_options(where, table, split), **options)
+
+
 def read_evolved(spark: SparkSession, *paths: str) -> DataFrame:
     """Files of older and newer schemas as one table; columns that a file lacks are null."""
     first, *rest = [spark.read.parquet(p) for p in paths]

@@ -38,6 +38,16 @@ def test_local_time_over_a_clock_change(spark):
     assert one(spark, times.local_date(F.expr("TIMESTAMP_NTZ '2026-08-05 22:35:00'"))) == dt.date(2026, 8, 6)
 
 
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert one(spark, times.to_local(F.expr("TIMESTAMP '2026-08-01 10:00:00 UTC'"))) == dt.datetime(2026, 8, 1, 12)
+            assert one(spark, times.to_local(F.expr("TIMESTAMP_NTZ '2026-08-01 10:00:00'"), naive="local")) == dt.datetime(2026, 8, 1, 10)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_cells_and_centres(spark):
     cells = spark.createDataFrame(centres(), "cell_id int, lat double, lon double")
     keys = cells.select("cell_id", geo.cell_key(F.col("lat"), F.col("lon"), RES).alias("k"))
