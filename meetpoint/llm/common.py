@@ -19,16 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the one that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Where the setting
-    is absent (tests in local mode) a temporary folder stands in for it.
+    The cluster names that folder in ``spark.checkpoint.dir``.  In plain local mode
+    a temporary one stands in where it is unset; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="meetpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/meetpoint-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meetpoint.llm import decontaminate, langid, secrets, simhash
+from meetpoint.llm import decontaminate, langid, secrets
+
+from test_similar import plain_groups
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,7 +32,9 @@ def test_stages_against_the_operators(spark, tmp_path):
     marked = langid.identify(before, langid.train(before)).collect()
     assert ids(after) == {r.doc_id for r in marked if r.lang_pred != "und" and r.score >= 0.3}
     before, after = seen[1]
-    assert ids(after) == {r.component_id for r in simhash.near_duplicates(before).collect()}
+    rows = before.orderBy("doc_id").collect()
+    label = plain_groups([r.text for r in rows])
+    assert ids(after) == {rows[k].doc_id for k in set(label)} and len(set(label)) < len(rows)
     before, after = seen[2]
     bad = ids(decontaminate.find_contamination(before, spark.read.parquet(f"{DATA}/benchmark.parquet")))
     assert bad and ids(after) == ids(before) - bad
@@ -44,3 +48,19 @@ def test_stages_against_the_operators(spark, tmp_path):
     sums = after.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) <= 1 for r in sums)
     assert after.where("taken > 2 * size").isEmpty()
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    texts = [None, "", "   ", "12 34", "the same text for a few of the rows here and there", "the same text for a few of the rows here and there", "mot " * 50_000]
+    odd = spark.createDataFrame([(None if i % 2 else 9_000_000 + i, t, None, None, None) for i, t in enumerate(texts)], docs.schema)
+    names = {c: F.lit(1) for c in ("s", "Score", "LANG_PRED", "__hash", "text_hash", "cut_key", "row", "key", "node", "component")}
+    now = docs.unionByName(odd).unionByName(odd).withColumns(names)
+    given = now.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, DATA).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        assert set(given) <= set(now.columns) and now.count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0

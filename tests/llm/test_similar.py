@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from meetpoint.llm import similar, simhash
 
 
@@ -51,3 +53,21 @@ def test_rows_without_id_or_with_one_id_on_two_texts(spark):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, c), (5, a), (5, b), (7, None)], key=str)
     assert similar.keep_one_of_similar(docs.limit(0)).count() == 0
+
+
+def test_recall_of_scattered_changes_near_the_limit():
+    rng = random.Random(11)
+    vocab = [f"{a}{b}".encode() for a in "bdfgklmn" for b in range(400)]
+    found = tried = 0
+    while tried < 300:
+        words = [rng.choice(vocab) for _ in range(rng.randint(80, 400))]
+        new = list(words)
+        for _ in range(max(1, len(words) // 45)):
+            new[rng.randrange(len(new))] = rng.choice(vocab)
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, new))
+        if not 0.8 <= len(x & y) / len(x | y) < 0.84:
+            continue
+        prints = [np.packbits(similar.wide_print(similar.word_hashes(t)), bitorder="little").view(np.int64)[None] for t in (words, new)]
+        tried += 1
+        found += (similar.segment_pairs(prints[0]) == similar.segment_pairs(prints[1])).any()
+    assert found / tried > 0.97
