@@ -1,14 +1,14 @@
 """Mix sources to target weights, with DataFrame operations only.
 
-Every document gets a hash-random key.  Within its source the documents are
-range-partitioned by that key into buckets of bounded expected size, sorted
-inside each bucket, and prefix sums of their word counts are put together from
-the buckets' sums and the running sums inside them.  Each source is then cut
-where the prefix sum reaches its budget; budgets beyond a source's size repeat
-it for whole epochs first.
-
-Only narrow rows (source, key, size) are shuffled; texts never move.  The cut of
-a source is one row, so documents are compared with it in the scan.
+Every document gets a hash-random key, made of its id and text.  Within its source
+the documents are range-partitioned by that key into buckets of bounded expected
+size, sorted inside each bucket, and prefix sums of their word counts are put
+together from the buckets' sums and the running sums inside them.  Each source is
+then cut where the prefix sum reaches its budget; budgets beyond a source's size
+repeat it for whole epochs first.
+
+Only narrow rows (source, key, size) are shuffled, repeated rows as one; texts never
+move.  The cut of a source is one row, so documents are compared with it in the scan.
 """
 
 from __future__ import annotations
@@ -22,9 +22,30 @@ WEIGHTS = (5, 2, 1)
 
 
 def random_key(seed: str) -> Column:
-    """60 bits of the md5 of seed and doc_id, as a long: the same in every run."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    """60 bits of the md5 of seed, doc_id and text, as a long: the same in every run, and for repeated rows alone the same."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1])), 1, 15), 16, 10).cast("long")
+
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def numbered(parts: DataFrame, name: str, order: tuple[Column, ...] = (), by: str | None = None) -> DataFrame:
+    """Rows of ``parts`` numbered from 0 by partition and, inside each, by ``order``; with ``by``, for each of its values anew.
+
+    Rows are counted per partition and numbered inside each, so no group goes
+    through one task, only its partitions' counts.
+    """
+    value = F.col(by) if by else F.lit(0)
+    kept = materialise(parts.withColumns({"__part": F.spark_partition_id(), "__by": value}))
+    before = Window.partitionBy("__by").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy("__by", "__part").count().select(F.col("__by").alias("__b"), F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__by", "__part").orderBy(*order or (F.lit(0),))) - 1
+    return (
+        kept.withColumn(name, inside).join(offsets, F.expr("__part = __p and __by <=> __b"))
+        .withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__by", "__p", "__b", "__before")
+    )
 
 
 def source_targets(sources: DataFrame, share: float, cap: float, weights=WEIGHTS) -> DataFrame:
@@ -36,11 +57,12 @@ def source_targets(sources: DataFrame, share: float, cap: float, weights=WEIGHTS
     level L, targets are min(weight * L, cap * size); every round of sharing is
     one aggregate that gives the next L, so no source leaves the executors.
 
-    The rank needs one sort of the distinct sources (not of their documents).
+    The rank takes a range partitioning of the distinct sources.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
+    order = (F.col("source").isNull(), F.col("source"))
     ranked = materialise(
-        sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank - 1) % len(weights) + 1))
+        numbered(sources.repartitionByRange(*order), "rank", order)
+        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
         .withColumn("most", F.col("source_size") * F.lit(float(cap)))
     )
     level, stopped = 0.0, -1
@@ -69,30 +91,38 @@ def source_cuts(sized: DataFrame, share: float, cap: float, weights, bucket_rows
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
         .withColumn("buckets", F.ceil(F.col("n_docs") / bucket_rows).cast("long"))
     )
-    # Rows of one document id share a key; they form one unit of the order.
+    # Repeated rows share a key and a size; they form one unit of the order.
     units = (
-        sized.groupBy("source", "key").agg(F.sum("size").alias("unit"))
+        sized.groupBy("source", "key").agg(F.sum("size").alias("unit"), F.count("*").alias("rows"))
         .join(plan.select(F.col("source").alias("s"), "buckets", "rest"), F.expr("source <=> s")).drop("s")
         .withColumn("bucket", F.expr(f"key div ({1 << 60} div buckets + 1)"))
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(*so_far)
+    sums = units.groupBy("source", "bucket").agg(F.sum("unit").alias("n")).withColumn("block", F.expr("bucket div 1024"))
+    blocks = sums.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    over_blocks = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(*so_far)), F.lit(0))
+    in_block = F.coalesce(F.sum("n").over(Window.partitionBy("source", "block").orderBy("bucket").rowsBetween(*so_far)), F.lit(0))
+    first = blocks.select(F.col("source").alias("bs"), F.col("block").alias("bb"), over_blocks.alias("before"))
     offsets = (
-        units.groupBy("source", "bucket").agg(F.sum("unit").alias("n"))
-        .select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        sums.withColumn("within", in_block).join(first, F.expr("source <=> bs and block = bb"))
+        .select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("before") + F.col("within")).alias("offset"))
     )
     cut = (
         units.withColumn("running", F.coalesce(F.sum("unit").over(inside), F.lit(0)))
         .join(offsets, F.expr("source <=> s and bucket = b"))
         .withColumn("prefix", F.col("offset") + F.col("running"))
         .where((F.col("prefix") <= F.col("rest")) & (F.col("rest") < F.col("prefix") + F.col("unit")))
-        .select(F.col("source").alias("s"), F.col("key").alias("cut_key"), F.col("unit").alias("cut_unit"), (F.col("rest") - F.col("prefix")).alias("cut_words"))
+        .select(F.col("source").alias("s"), F.col("key").alias("cut_key"), F.col("rows").alias("cut_rows"), (F.col("rest") - F.col("prefix")).alias("cut_words"))
     )
     return plan.join(cut, F.expr("source <=> s"), "left").select(
-        "source", "source_size", "weight", "target", "epochs", "cut_key", "cut_unit", "cut_words"
+        "source", "source_size", "weight", "target", "epochs", "cut_key", "cut_rows", "cut_words"
     )
 
 
+ADDED = ("size", "source_size", "weight", "target", "taken", "epochs")
+
+
 def mix_sources(
     docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: str = "mix", bucket_rows: int = 1024
 ) -> DataFrame:
@@ -102,24 +132,27 @@ def mix_sources(
     whole epochs, one more for documents before the cut, and the first words of
     the document at the cut, so that a source's words meet its budget exactly.
 
-    Null texts have size 0.  A null source is a source of its own, ranked last.
-    Documents with the same (or no) doc_id in a source share a key; at the cut
-    each takes its part in proportion.  An empty table gives an empty result.
-    Columns of the input with the names added here are replaced.
+    Null and empty texts have size 0; long texts are counted whole.  A null source is
+    a source of its own, ranked last.  Missing ids and one id on several texts make no
+    difference, as the text is part of the key; repeated rows at the cut take their
+    words one after the other.  An empty table gives an empty result.  Columns of the
+    input with the names added here are replaced, all others stay, whatever their names.
     """
-    extra = ["key", "size", "source_size", "weight", "target", "epochs", "cut_key", "cut_unit", "cut_words", "taken"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in extra])
-    narrow = docs.select(
-        "source", random_key(seed).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
-    cuts = materialise(source_cuts(materialise(narrow), share, cap, weights, bucket_rows)).withColumnRenamed("source", "s")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    once_more = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(
-        F.col("key") == F.col("cut_key"), F.expr("cut_words * size div cut_unit")
-    )
-    return (
-        docs.withColumn("key", random_key(seed)).withColumn("size", size)
-        .join(cuts, F.expr("source <=> s"), "left")
-        .withColumn("taken", F.col("epochs") * F.col("size") + F.coalesce(once_more, F.lit(0)))
-        .select(*docs.columns, "size", "source_size", "weight", "target", "taken", "epochs")
-    )
+    names = [c for c in docs.columns if c.lower() not in ADDED]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "source", random_key(seed).alias("key"), word_count().alias("size"))
+    cuts = materialise(source_cuts(materialise(rows.select("source", "key", "size")), share, cap, weights, bucket_rows)).withColumnRenamed("source", "s")
+    joined = rows.join(cuts, F.expr("source <=> s"), "left")
+    at_cut = F.coalesce(F.col("key") == F.col("cut_key"), F.lit(False))
+    repeated = F.coalesce(F.col("cut_rows") > 1, F.lit(False)) & at_cut
+    cut_part = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(at_cut, F.col("cut_words"))
+
+    def finish(df: DataFrame, once_more: Column) -> DataFrame:
+        taken = F.col("epochs") * F.col("size") + F.coalesce(once_more, F.lit(0))
+        return df.withColumn("taken", taken).select("row.*", *ADDED)
+
+    if cuts.where("cut_rows > 1").isEmpty():
+        return finish(joined, cut_part)
+    # Equal rows at a cut cannot be told apart by their values, so they are numbered where they lie.
+    placed = numbered(joined.where(repeated), "place", by="source")
+    share_of_row = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut_words") - F.col("place") * F.col("size")))
+    return finish(joined.where(~repeated), cut_part).unionByName(finish(placed, share_of_row))
