@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -203,7 +203,12 @@ def with_conflicts(docs: DataFrame, pairs: DataFrame, hits: DataFrame, windows:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item; columns as they are."""
+    """The rows of docs whose text holds no benchmark item; columns as they are, whatever their names.
+
+    Null and empty texts hold nothing and stay; long texts are searched whole; rows
+    without an id and repeated rows are judged by their text.  Either table may be empty.
+    """
+    (mark,) = fresh(docs, "text_hash")
     bad = materialise(find_contamination(docs, benchmark, similarity).select("doc_id", "text_hash").distinct())
-    keyed = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
-    return keyed.join(bad.alias("b"), F.expr("d.doc_id <=> b.doc_id and d.__hash = b.text_hash"), "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(mark, F.xxhash64("text")).alias("d")
+    return keyed.join(bad.alias("b"), F.expr(f"d.doc_id <=> b.doc_id and d.{mark} = b.text_hash"), "left_anti").drop(mark)

@@ -30,6 +30,7 @@ PAIRS = max(WIDTHS) // 2
 FILTERS = 12  # of each width
 EMBEDDING = 8
 UNDETERMINED = "und"
+LEAST_WINDOWS = 20
 LETTER = r"\p{L}"
 
 
@@ -145,24 +146,25 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, sample: int = 6000, seed: str = "langid") -> Network | None:
-    """Fit a network on docs(doc_id, text, lang): at most about ``sample`` windows in all.
+    """Fit a network on docs(doc_id, text, lang): about ``sample`` windows in all, and ``LEAST_WINDOWS`` of each language at least.
 
     Only documents outside the held-out fold with a label and a letter are
-    used, for each language about the same number, chosen by a hash of the id; of each, one
-    window at a hashed place.  The sample size is a parameter of the training
-    alone.  None if there is nothing to learn from.
+    used, for each language about the same number, chosen by a hash of id and text; of
+    each, one window at a hashed place.  Repeated rows give one window.  The sample
+    size is a parameter of the training alone; all languages are learned (the driver
+    sees their names and sizes).  None if there is nothing to learn from.
     """
-    labelled = docs.where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & F.col("text").rlike(LETTER))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 20).collect()}
+    labelled = docs.where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    each = sample // len(sizes)
+    each = max(LEAST_WINDOWS, sample // len(sizes))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))]), F.col("lang"))
-    roll = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) / 1e6
+    roll = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) / 1e6
     data = F.col("text").cast("binary")
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit(1)), F.greatest(F.lit(1), F.length(data) - WINDOW + 1)) + 1
     window = F.substring(data, start.cast("int"), F.lit(WINDOW))
-    rows = labelled.where(roll < share).select("lang", window.alias("w")).orderBy("lang", "w").collect()
+    rows = labelled.where(roll < share).select("lang", window.alias("w")).distinct().orderBy("lang", "w").collect()
     if not rows:
         return None
     classes = sorted({r["lang"] for r in rows})
@@ -220,7 +222,13 @@ def identify_languages(docs: DataFrame, sample: int = 6000) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, sample: int = 6000) -> DataFrame:
-    """The rows of docs whose text has a language, by a score of at least ``min_score``; columns as they are."""
-    marked = identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), train(docs, sample), keep=True)
-    kept = marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score") if c in docs.columns})
+    """The rows of docs whose text has a language, by a score of at least ``min_score``; columns as they are.
+
+    Null and empty texts and texts without a letter go; long texts are scored whole;
+    repeated rows stay or go together; a null id is an id like any other.  An empty
+    table gives no rows, and without any labelled text all rows go.  Columns may have
+    any names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = identify(docs.select("text", row), train(docs, sample), keep=True)
+    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
