@@ -79,7 +79,8 @@ def raw_hash(part: Column) -> Column:
 def window_hash(tokens: Column, raw: Column, i: Column) -> Column:
     """The hash of the window that starts at word ``i``, counted from 1."""
     part = F.slice(tokens, i, WINDOW)
-    return F.when(F.forall(part, is_slot), raw_hash(F.slice(raw, i, WINDOW))).otherwise(F.xxhash64(part))
+    slots = is_slot(F.element_at(tokens, i)) & F.forall(part, is_slot)  # most windows are told by their first word
+    return F.when(slots, raw_hash(F.slice(raw, i, WINDOW))).otherwise(F.xxhash64(part))
 
 
 def window_hashes(tokens: Column, raw: Column) -> Column:
@@ -139,9 +140,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     """
     windows = materialise(benchmark_windows(benchmark))
     # A column of its own: inside the windows' lambda the template would be made anew for each.
-    tokens = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("tokens"), raw_words(F.col("text")).alias("raw"))
-    found = tokens.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tokens"), F.col("raw"))).alias("doc_pos", "h"))
     short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]  # four at most
+    tokens = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("tokens"))
+    # Raw words are needed for short items, and where so many placeholders stand that a window may have no other word.
+    raw = raw_words(F.col("text"))
+    tokens = tokens.withColumn("raw", raw if short else F.when(F.size(F.filter("tokens", is_slot)) >= WINDOW, raw)).drop("text")
+    found = tokens.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tokens"), F.col("raw"))).alias("doc_pos", "h"))
     if short:
         runs = tokens.select("doc_id", "text_hash", F.explode(short_hashes(F.col("raw"), sorted(short))).alias("run"))
         found = found.unionByName(runs.select("doc_id", "text_hash", "run.doc_pos", "run.h"))
