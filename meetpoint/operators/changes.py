@@ -16,14 +16,15 @@ def valid_logins(logins: DataFrame, issuer: str, audience: str, now=None) -> Dat
     audience, and not have expired at ``now`` (by default its own ts).
     """
     at = F.lit(now).cast("timestamp") if now is not None else F.col("ts").cast("timestamp")
-    get = lambda k, kind="string": F.try_variant_get(F.try_parse_json(F.col("claims")), f"$.{k}", kind)
+    parsed = logins.withColumn("__claims", F.try_parse_json("claims"))
+    get = lambda k, kind="string": F.try_variant_get(F.col("__claims"), f"$.{k}", kind)
     audiences = F.coalesce(get("aud", "array<string>"), F.array(get("aud")))
     ok = (
         (get("iss") == issuer) & F.array_contains(audiences, audience) & get("iat", "double").isNotNull()
         & (get("exp", "double") > F.unix_timestamp(at)) & text.normalize_uuid(get("sub")).isNotNull()
     )
     status = F.when(F.col("claims").isNull(), "missing_bearer_token").when(~F.coalesce(ok, F.lit(False)), "invalid_bearer_token").when(~F.coalesce(get("role") == "authenticated", F.lit(False)), "unauthenticated_role").otherwise(OK)
-    return logins.withColumn("status", status).withColumn("supabase_user_id", F.when(F.col("status") == OK, text.normalize_uuid(get("sub"))))
+    return parsed.withColumn("status", status).withColumn("supabase_user_id", F.when(F.col("status") == OK, text.normalize_uuid(get("sub")))).drop("__claims")
 
 
 def login_profiles(logins: DataFrame) -> DataFrame:
@@ -122,23 +123,48 @@ def linked_account_rejects(changes: DataFrame, accounts: DataFrame) -> DataFrame
     return bad.withColumn("status", F.lit("account_not_found")).withColumn("message", F.format_string(OUTCOMES["account_not_found"][1], F.col("account_id").cast("string")))
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
-    """requests of strings (name, travel_mode, latitude, longitude) with ``errors``: every bad field's place and type at once."""
+def error(bad, place: str, kind: str):
+    """The place and type of an error where ``bad`` holds."""
+    return F.when(bad, F.struct(F.lit(place).alias("location"), F.lit(kind).alias("type")))
+
+
+def link_errors(requests: DataFrame) -> list:
+    """An account_id that is there must be a UUID; requests without the column link nothing."""
+    if "account_id" not in requests.columns:
+        return []
+    c = F.col("account_id").cast("string")
+    return [error(c.isNotNull() & text.normalize_uuid(c).isNull(), "body.account_id", "uuid_parsing")]
+
 
-    def error(bad, place, kind):
-        return F.when(bad, F.struct(F.lit(place).alias("location"), F.lit(kind).alias("type")))
+def with_errors(requests: DataFrame, errors: list) -> DataFrame:
+    found = requests.withColumn("errors", F.array_compact(F.array(*errors)))
+    return found.withColumn("status", F.when(F.size("errors") > 0, "validation_error").otherwise(OK))
+
+
+def validate_requests(requests: DataFrame) -> DataFrame:
+    """Participants' requests of strings (name, travel_mode, latitude, longitude, account_id if any) with ``errors``: every bad field's place and type at once."""
 
     def number(c):
         return F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()
 
     both = F.col("latitude").isNull() != F.col("longitude").isNull()
-    errors = F.array_compact(F.array(
+    return with_errors(requests, [
         error(F.col("name").isNull(), "body.name", "missing"),
         error(F.col("travel_mode").isNotNull() & ~F.col("travel_mode").isin(*MODES), "body.travel_mode", "enum"),
         error(number("latitude"), "body.position.latitude", "float_parsing"), error(number("longitude"), "body.position.longitude", "float_parsing"),
         error(both & F.col("latitude").isNull(), "body.position.latitude", "missing"), error(both & F.col("longitude").isNull(), "body.position.longitude", "missing"),
-    ))
-    return requests.withColumn("errors", errors).withColumn("status", F.when(F.size("errors") > 0, "validation_error").otherwise(OK))
+        *link_errors(requests),
+    ])
+
+
+def validate_meetups(requests: DataFrame) -> DataFrame:
+    """Requests of strings (name, location, starts_at) that make meetups, with ``errors`` likewise; starts_at is an ISO time."""
+    at = F.col("starts_at")
+    return with_errors(requests, [
+        error(F.col("name").isNull(), "body.name", "missing"), error(F.col("location").isNull(), "body.location", "missing"),
+        error(at.isNull(), "body.starts_at", "missing"), error(at.isNotNull() & at.try_cast("timestamp").isNull(), "body.starts_at", "datetime_parsing"),
+        *link_errors(requests),
+    ])
 
 
 def delete_meetups(participants: DataFrame, deleted: DataFrame) -> DataFrame:

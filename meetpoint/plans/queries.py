@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text, times
 from ..operators import changes, happenings, matrix, meet, places
-from ..schemas import UNREACHABLE
+from ..schemas import OUTCOMES, TABLES, UNREACHABLE
+from ..sources import dataset
 from ..sources.dataset import stored
 from ..streaming import live
 from .model import AUDIENCE, ISSUER, MAX_SECONDS, N_CELLS, RATES, RES, ZONE, Model, duckdb_with, seconds_sql
@@ -411,6 +412,18 @@ def validate_requests(m: Model) -> DataFrame:
     return checked.select("request_id", "status", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["location"], e["type"])), ",").alias("errors"))
 
 
+@query("""SELECT request_id, concat_ws(',', CASE WHEN name IS NULL THEN 'body.name:missing' END, CASE WHEN location IS NULL THEN 'body.location:missing' END,
+    CASE request_id % 8 WHEN 1 THEN 'body.starts_at:missing' WHEN 0 THEN 'body.starts_at:datetime_parsing' END, CASE WHEN request_id % 6 = 0 THEN 'body.account_id:uuid_parsing' END) AS errors FROM requests""", ("requests",))
+def validate_meetups(m: Model) -> DataFrame:
+    """Bodies that make meetups, with times and account ids of all sorts."""
+    k = F.col("request_id")
+    asked = m.requests.select(
+        "request_id", "name", "location", F.when(k % 8 == 0, "soon").when(k % 8 != 1, "2026-08-01T10:00:00Z").alias("starts_at"),
+        F.when(k % 6 == 0, "me").when(k % 6 != 1, "00000000-0000-abcd-0000-00000000000a").alias("account_id"),
+    )
+    return changes.validate_meetups(asked).select("request_id", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["location"], e["type"])), ",").alias("errors"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN '00000000-0000-abcd-0000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') END AS id FROM events""")
 def normalize_uuid(m: Model) -> DataFrame:
     digits = F.lpad(F.col("event_id").cast("string"), 12, "0")
@@ -435,6 +448,210 @@ def touched_meetups(m: Model) -> DataFrame:
     return answer
 
 
+# --- data sets, files and streams ---
+
+BAKED = f"""
+p AS (SELECT mode, origin, dest, CAST(floor(quantile_cont(seconds, 0.5) + 0.5e0) AS BIGINT) AS s FROM trips GROUP BY ALL),
+baked AS (SELECT mode AS matrix_key, s FROM p WHERE s <= {MAX_SECONDS}),
+modes AS (SELECT DISTINCT mode AS matrix_key FROM trips)"""
+
+
+def written_dataset(m: Model) -> str:
+    """The folder of a data set that is baked from the trips and written as files."""
+    folder = dataset.shared_folder(m.spark)
+    dataset.write_dataset(stored(matrix.bake_matrix(m.trips, m.cells, 0.5, MAX_SECONDS)), m.cells, folder, "v1", MAX_SECONDS, {"transit_wed08": ZONE})
+    return folder
+
+
+@query("," + BAKED + f"""SELECT m.matrix_key, 'v1' AS grid_version, CAST({MAX_SECONDS} AS BIGINT) AS max_seconds, '{ZONE}' AS dataset_zone, CAST(min(s) AS BIGINT) AS min_seconds,
+    round(100e0 * count(s) / ({N_CELLS} * {N_CELLS}), 2) AS coverage_pct FROM modes m LEFT JOIN baked b ON b.matrix_key = m.matrix_key GROUP BY 1""", ("trips",))
+def dataset_manifest(m: Model) -> DataFrame:
+    """Manifest, horizons and time zone of a written data set."""
+    found = dataset.read_manifest(m.spark, f"{written_dataset(m)}/manifest.json")
+    horizons = matrix.matrix_horizon(found.select("matrix_key"), found).withColumnRenamed("max_seconds", "horizon")
+    zone = dataset.dataset_timezone(found).withColumnRenamed("timezone", "dataset_zone")
+    joined = found.join(horizons, "matrix_key").join(F.broadcast(zone))  # one row
+    return joined.select("matrix_key", "grid_version", F.col("horizon").cast("long").alias("max_seconds"), "dataset_zone", F.col("min_seconds").cast("long").alias("min_seconds"), "coverage_pct")
+
+
+@query("," + BAKED + f"""SELECT m.matrix_key, CAST({N_CELLS} AS BIGINT) AS origins, CAST({N_CELLS} * {N_CELLS} - count(s) AS BIGINT) AS unreached, CAST(coalesce(sum(s), 0) AS BIGINT) AS total
+    FROM modes m LEFT JOIN baked b ON b.matrix_key = m.matrix_key GROUP BY 1""", ("trips",))
+def ingested_matrices(m: Model) -> DataFrame:
+    folder = written_dataset(m)
+    rows = dataset.ingest_matrices(m.spark, folder, dataset.read_manifest(m.spark, f"{folder}/manifest.json"))
+    flat = rows.select("matrix_key", "origin", F.explode("seconds").alias("s"))
+    reached = F.when(F.col("s") != UNREACHABLE, F.col("s"))
+    return flat.groupBy("matrix_key").agg(F.count_distinct("origin").alias("origins"), F.count_if(F.col("s") == UNREACHABLE).alias("unreached"), F.coalesce(F.sum(reached), F.lit(0)).alias("total"))
+
+
+@query("""SELECT 'format_version' AS "check", NULL AS key, true AS ok UNION ALL SELECT 'grid_version', NULL, true UNION ALL SELECT 'n_cells', NULL, true
+    UNION ALL SELECT 'matrix_shape', mode, true FROM (SELECT DISTINCT mode FROM trips)""", ("trips",))
+def dataset_checks(m: Model) -> DataFrame:
+    folder = written_dataset(m)
+    found = dataset.read_manifest(m.spark, f"{folder}/manifest.json")
+    checks = dataset.validate_dataset(found, dataset.read_grid(m.spark, f"{folder}/grid.json"), dataset.ingest_matrices(m.spark, folder, found))
+    return checks.select("check", "key", "ok")
+
+
+@query("SELECT cell_id AS cell_id, round(lat, 6) AS lat, round(lon, 6) AS lon, 'v1' AS grid_version FROM cells WHERE cell_id IN (SELECT l_partkey % 663 FROM lineitem)")
+def grid_cells(m: Model) -> DataFrame:
+    """Cells of the written grid that some trip starts from."""
+    grid = dataset.read_grid(m.spark, f"{written_dataset(m)}/grid.json")
+    used = grid.join(m.trips.select(F.col("origin").cast("int").alias("cell_id")).distinct(), "cell_id", "left_semi")
+    return used.select("cell_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "grid_version")
+
+
+@query("""SELECT 'meetups' AS name, CAST(id AS VARCHAR) AS id, name AS what FROM meetups UNION ALL SELECT 'participants', CAST(id AS VARCHAR), travel_mode FROM participants
+    UNION ALL SELECT 'happenings', CAST(id AS VARCHAR), title_en FROM happenings UNION ALL SELECT 'accounts', id, email FROM accounts
+    UNION ALL SELECT 'occurrences', CAST(id AS VARCHAR), CAST(date_local AS VARCHAR) FROM occurrences""", ("meetups", "participants", "happenings", "accounts", "occurrences"))
+def read_tables(m: Model) -> DataFrame:
+    """The model's tables written under their schemas and read back."""
+    folder = dataset.shared_folder(m.spark)
+    full = {"meetups": m.meetups, "participants": m.participants, "happenings": m.happenings, "accounts": full_accounts(m), "occurrences": m.occurrences}
+    for name, df in full.items():
+        fields = [c.split() for c in TABLES[name].split(", ")]
+        dataset.write_results(df.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields]), f"{folder}/{name}")
+    read = dataset.read_tables(m.spark, folder)
+    shown = {"meetups": "name", "participants": "travel_mode", "happenings": "title_en", "accounts": "email", "occurrences": "date_local"}
+    parts = [read[n].select(F.lit(n).alias("name"), F.col("id").cast("string").alias("id"), F.col(c).cast("string").alias("what")) for n, c in shown.items()]
+    first, *rest = parts
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+@query("SELECT id, name, CASE WHEN meetup_id % 2 = 1 THEN round(latitude, 6) END AS latitude FROM participants", ("participants",))
+def read_evolved(m: Model) -> DataFrame:
+    """Participants of even meetups from files without positions, beside the others."""
+    old, new = dataset.shared_folder(m.spark), dataset.shared_folder(m.spark)
+    dataset.write_results(m.participants.where("meetup_id % 2 = 0").select("id", "name"), old)
+    dataset.write_results(m.participants.where("meetup_id % 2 = 1").select("id", "name", "latitude"), new)
+    return dataset.read_evolved(m.spark, old, new).select("id", "name", F.round("latitude", 6).alias("latitude"))
+
+
+@query("," + LOGIN_STATUS + "SELECT seq, status FROM checked", ("logins",))
+def write_results(m: Model) -> DataFrame:
+    """Login outcomes written in folders by status and read back."""
+    folder = dataset.shared_folder(m.spark)
+    dataset.write_results(changes.valid_logins(m.logins, ISSUER, AUDIENCE).select("seq", "status"), folder, partition_by=("status",))
+    return m.spark.read.parquet(folder).select("seq", F.col("status").cast("string").alias("status"))
+
+
+@query("," + LABELS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY place_id // 50 ORDER BY place_id) - 1 AS i FROM labels)
+    SELECT 'N' || place_id || '-' || i AS key, label, context, round(lat, 6) AS lat, round(lon, 6) AS lon FROM numbered""", ("places",))
+def read_places(m: Model) -> DataFrame:
+    """Places written as GeoJSON files of fifty and read back."""
+    c = F.col
+    names = ("name", "street", "housenumber", "postcode", "city", "district", "state", "country")
+    feature = F.struct(
+        c("place_id"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+        F.struct(F.lit("N").alias("osm_type"), c("place_id").alias("osm_id"), *names).alias("properties"),
+    )
+    files = m.places.groupBy(F.expr("place_id div 50").alias("part")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(feature)).alias("features"))).alias("value"))
+    folder = dataset.shared_folder(m.spark)
+    files.repartition("part").write.partitionBy("part").text(folder)
+    return dataset.read_places(m.spark, f"{folder}/*").select("key", "label", "context", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11000 BETWEEN 100 AND 10000 AND event_id % 130 BETWEEN 1 AND 100 THEN 'ok' ELSE 'validation_error' END AS status FROM events""")
+def parameter_bounds(m: Model) -> DataFrame:
+    events = m.spark.read.parquet(f"{m.sf_dir}/events.parquet")
+    return events.select("event_id", happenings.bounds_status(F.col("event_id") % 11000, F.col("event_id") % 130).alias("status"))
+
+
+OUTCOME_ROWS = ", ".join("('{}', {}, '{}')".format(k, s, t.replace("'", "''")) for k, (s, t) in OUTCOMES.items())
+
+
+@query("," + LOGIN_STATUS + f""", outcomes(code, http, message) AS (VALUES {OUTCOME_ROWS})
+    SELECT code, http, message, count(seq) AS logins FROM outcomes LEFT JOIN checked ON checked.status = code GROUP BY ALL""", ("logins",))
+def outcome_counts(m: Model) -> DataFrame:
+    """The catalogue of outcomes, with the number of logins that ended in each."""
+    counts = changes.valid_logins(m.logins, ISSUER, AUDIENCE).groupBy(F.col("status").alias("code")).agg(F.count("*").alias("n"))
+    catalogue = changes.outcome_catalogue(m.spark).withColumnRenamed("status", "http")
+    return catalogue.join(counts, "code", "left").select("code", "http", "message", F.coalesce("n", F.lit(0)).alias("logins"))
+
+
+@query("," + LOGIN_STATUS + "," + PROFILES + "SELECT supabase_user_id, count(*) AS n FROM profiles GROUP BY 1 HAVING count(*) > 1", ("logins",))
+def duplicate_accounts(m: Model) -> DataFrame:
+    """What an account per login would break: users with several."""
+    return changes.duplicate_accounts(profiles(m)).select("supabase_user_id", F.col("count").alias("n"))
+
+
+def streamed(m: Model, df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a stream of files, and a folder for its checkpoint."""
+    folder = dataset.shared_folder(m.spark)
+    df.write.parquet(folder)
+    return m.spark.readStream.schema(df.schema).parquet(folder), dataset.shared_folder(m.spark)
+
+
+class State:
+    """Tables that a stream keeps: each batch's in a folder of its own."""
+
+    def __init__(self, **tables: DataFrame):
+        self.tables = tables
+
+    def put(self, name: str, df: DataFrame) -> None:
+        self.tables[name] = stored(df)
+
+
+def run_meetup_stream(m: Model, with_events: bool) -> State:
+    """All changes streamed, an old and a repeated delivery among them; answers (and their events) of touched meetups."""
+    log = m.changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream, checkpoint = streamed(m, log.unionByName(log.where("change_id % 5 = 0")))
+    state = State(people=m.participants, seq=m.spark.createDataFrame([], "participant_id long, seq long"))
+
+    def answer(touched: DataFrame, people: DataFrame) -> DataFrame:
+        mine = m.meetups.join(touched.withColumnRenamed("meetup_id", "id"), "id", "left_semi")
+        return meet.rendezvous(mine, people, m.cells, m.times, m.matrices, ZONE, RES)
+
+    def keep(people: DataFrame, answered: DataFrame, batch_id: int) -> None:
+        answered = stored(answered)
+        if with_events:
+            found = happenings.rendezvous_events(answered, m.meetups, m.happenings, m.occurrences, 1000, 20, ZONE)
+            state.put("events", live.events_after(state.tables["events"], answered, found) if "events" in state.tables else found)
+        state.put("answers", live.upsert_answers(state.tables["answers"], answered) if "answers" in state.tables else answered)
+        state.put("people", people)
+
+    live.stream_rendezvous(stream, lambda: state.tables["people"], keep, answer, checkpoint, "30 days", lambda: state.tables["seq"], lambda df, _: state.put("seq", df)).awaitTermination()
+    return state
+
+
+CHANGED = f"""
+{LAST}, folk AS (SELECT p.id, p.meetup_id, p.created_at, CASE WHEN l.seq IS NULL THEN p.name ELSE l.name END AS name,
+  CASE WHEN l.seq IS NULL THEN p.travel_mode ELSE coalesce(l.travel_mode, 'transit') END AS travel_mode,
+  CASE WHEN l.seq IS NULL THEN p.home WHEN l.latitude IS NULL THEN NULL ELSE l.change_id % {N_CELLS} END AS home
+  FROM participants p LEFT JOIN last l ON l.participant_id = p.id AND l.meetup_id = p.meetup_id),
+touched AS (SELECT DISTINCT meetup_id AS id FROM changes)"""
+STREAMED = ", " + ",".join((CHANGED, PICK, TIMES.replace("FROM participants p", "FROM folk p"), ANSWER.replace("FROM participants GROUP", "FROM folk GROUP").replace("FROM meetups m", "FROM (SELECT * FROM meetups WHERE id IN (SELECT id FROM touched)) m")))
+
+
+@query(STREAMED + """SELECT meetup_id, status, message, CASE WHEN status = 'ok' THEN CAST(cell_id AS BIGINT) END AS cell_id, CASE WHEN status = 'ok' THEN CAST(worst_seconds AS BIGINT) END AS worst_seconds,
+    CASE WHEN status = 'ok' THEN per_participant END AS per_participant, CASE WHEN status = 'ok' THEN excluded END AS excluded FROM answers""", ("meetups", "participants", "changes"))
+def stream_rendezvous(m: Model) -> DataFrame:
+    found = flat_answers(run_meetup_stream(m, False).tables["answers"])
+    return found.select("meetup_id", "status", "message", "cell_id", "worst_seconds", "per_participant", "excluded")
+
+
+@query(STREAMED + "," + NEAR + "," + NEXT + """, ranked AS (SELECT i.meetup_id, i.event_id, i.d, start_local,
+      row_number() OVER (PARTITION BY i.meetup_id ORDER BY i.d, start_local, i.event_id) AS rank FROM in_radius i JOIN shown s ON s.meetup_id = i.meetup_id AND s.event_id = i.event_id)
+    SELECT meetup_id, event_id, rank, CAST(round_even(d, 0) AS BIGINT) AS distance_meters FROM ranked WHERE rank <= 20""", ("meetups", "participants", "changes", "happenings", "occurrences"))
+def stream_rendezvous_events(m: Model) -> DataFrame:
+    found = run_meetup_stream(m, True).tables["events"]
+    return found.select("meetup_id", "event_id", F.col("rank").cast("long").alias("rank"), F.col("distance_meters").cast("long").alias("distance_meters"))
+
+
+@query()
+def stream_accounts(m: Model) -> DataFrame:
+    stream, checkpoint = streamed(m, profiles(m).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    state = State(accounts=full_accounts(m))
+    live.stream_accounts(stream, lambda: state.tables["accounts"], lambda df, _: state.put("accounts", df), checkpoint).awaitTermination()
+    after = state.tables["accounts"]
+    return after.select("supabase_user_id", "email", "display_name", "avatar_url", F.array_join("providers", ",").alias("providers"), F.col("last_seen_at").cast("string").alias("last_seen_at"))
+
+
+SQL["stream_accounts"] = SQL["upsert_accounts"]  # the same accounts, merged batch by batch
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -10,26 +11,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DEFAULT_TIMEZONE, GRID, MANIFEST, SUPPORTED_FORMAT, TABLES
+from ..schemas import DEFAULT_TIMEZONE, GRID, MANIFEST, SUPPORTED_FORMAT, TABLES, UNREACHABLE
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read back.
 
     Cuts the lineage: what several branches of a query read is computed once, and
-    the planner knows its size.  The folder is that of ``spark.checkpoint.dir``; in
-    plain local mode a temporary one will do, elsewhere its absence is an error.
+    the planner knows its size.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``.
+
+    In plain local mode a temporary folder will do where that is unset; elsewhere its
+    absence is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="meetpoint-")
-    path = f"{root.rstrip('/')}/meetpoint-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/meetpoint-{uuid.uuid4().hex}"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +78,44 @@ def ingest_matrices(spark: SparkSession, folder: str, matrices: DataFrame) -> Da
     return named.select("matrix_key", "content").mapInArrow(rows, "matrix_key string, origin int, seconds array<int>")
 
 
+def write_dataset(rows: DataFrame, cells: DataFrame, folder: str, grid_version: str, max_seconds: int, timezones: dict[str, str] | None = None) -> None:
+    """Matrices (matrix_key, origin, seconds) and cells as a data set: manifest, grid and a .npy file per matrix.
+
+    Each matrix is a file of its own and is written by the driver, one at a time, so
+    its size (cells by cells, two bytes each) is what the driver must hold.
+    """
+    import io
+
+    spark = rows.sparkSession
+    grid = [r.asDict() for r in cells.orderBy("cell_id").select(F.col("cell_id").alias("id"), F.col("cell_id").cast("string").alias("h3"), "lat", "lon").collect()]
+    entries = {}
+    for key in [r[0] for r in rows.select("matrix_key").distinct().orderBy("matrix_key").collect()]:
+        table = rows.where(F.col("matrix_key") == key).select("origin", "seconds").toArrow().sort_by("origin")
+        m = table.column("seconds").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1).astype(np.uint16)
+        held = io.BytesIO()
+        np.save(held, m)
+        write_file(spark, f"{folder}/{key}.npy", held.getvalue())
+        ok = m[m != UNREACHABLE]
+        entries[key] = {
+            "file": f"{key}.npy", "build_inputs": {"mode": key}, "shape": list(m.shape), "coverage_pct": round(100 * ok.size / m.size, 2), "max_seconds": max_seconds,
+            "min_seconds": int(ok.min()) if ok.size else None, "timezone": (timezones or {}).get(key),
+        }
+    head = {"format_version": SUPPORTED_FORMAT, "grid_version": grid_version, "grid": {"file": "grid.json", "n_cells": len(grid)}, "matrices": entries}
+    write_file(spark, f"{folder}/manifest.json", json.dumps(head).encode())
+    write_file(spark, f"{folder}/grid.json", json.dumps({"grid_version": grid_version, "n_cells": len(grid), "cells": grid}).encode())
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file through the same file systems that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
 def read_tables(spark: SparkSession, where: str, fmt: str = "parquet", partitions: dict[str, tuple[str, int, int, int]] | None = None, **options) -> dict[str, DataFrame]:
     """The model's tables under their schemas: Parquet below a folder, or tables of a JDBC URL.
 

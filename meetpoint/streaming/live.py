@@ -38,14 +38,25 @@ def apply_batch(batch: DataFrame, participants: DataFrame, answer: Callable[[Dat
 
 
 def stream_rendezvous(
-    changes: DataFrame, load_participants: Callable[[], DataFrame], store: Callable[[DataFrame, DataFrame, int], None], answer: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, delay: str = "1 hour"
+    changes: DataFrame, load_participants: Callable[[], DataFrame], store: Callable[[DataFrame, DataFrame, int], None], answer: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, delay: str = "1 hour",
+    load_seq: Callable[[], DataFrame] | None = None, store_seq: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Recompute touched meetups in every micro-batch; ``store(participants, answers, batch_id)`` keeps both."""
+    """Recompute touched meetups in every micro-batch; ``store(participants, answers, batch_id)`` keeps both.
+
+    ``load_seq()`` gives (participant_id, seq) of the changes applied so far, and
+    ``store_seq(seq, batch_id)`` keeps them after a batch: a change of a later batch
+    that is older than the one applied is then ignored.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            store(*apply_batch(batch, load_participants(), answer), batch_id)
+            known = load_seq() if load_seq else None
+            fresh = newer_than_stored(batch, known) if load_seq else batch
+            store(*apply_batch(fresh, load_participants(), answer), batch_id)
+            if load_seq and store_seq:
+                both = known.select("participant_id", "seq").unionByName(batch.select("participant_id", "seq"))
+                store_seq(both.groupBy("participant_id").agg(F.max("seq").alias("seq")), batch_id)
         finally:
             batch.unpersist()
 
