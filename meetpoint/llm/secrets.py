@@ -1,21 +1,26 @@
 """Secrets in text: patterns, and tokens that pass a battery of randomness tests.
 
-A token over an encoding's alphabet is taken for random material unless the
-battery rejects that.  Per token three tests run under the hypothesis "these
-symbols are uniform and independent": chi-squared uniformity over classes of
-the alphabet, runs about the middle of the alphabet, and lag-one serial
-correlation.  Fisher's method joins them.  Rejections are controlled by the
-Benjamini-Hochberg rule at level ``alpha`` among all tokens of like length in
-the corpus: of the tokens dismissed as ordinary, at most that share is expected
-to be random.  The rule needs only a histogram of p-values, which is small.
+For a token over an encoding's alphabet four tests measure how far it is from
+uniform, independent symbols: chi-squared over all symbols of the alphabet,
+chi-squared over classes of it, runs about its middle, and lag-one serial
+correlation.  Fisher's statistic joins them; random material has a small one.
+
+How small it must be is told by decoys: identifiers of like length, made of the
+words of the documents themselves (a name in camel case, with underscores or
+slashes, and digits), one for each document.  The share of decoys with no larger a
+statistic is a token's p-value under "ordinary", and the Benjamini-Hochberg rule
+within each class of lengths bounds the share of ordinary tokens among those
+reported by ``alpha``.  It needs only histograms of statistics, which are small.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +42,10 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Classes of p-values: floor(-4 ln p), the last open.
-P_BINS = 160
+#: Classes of the statistic: quarters, the last open.
+BINS = 400
+#: Lengths from 2 ** (LONGEST - 1) on are one class.
+LONGEST = 8
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 MIXED = re.compile(r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]")
 
@@ -78,17 +85,27 @@ def chi2_tail(x: float, dof: int) -> float:
     return min(1.0, total)
 
 
+def sparse_tail(x: float, dof: int, n: int) -> float:
+    """Upper tail of the chi-squared statistic of ``n`` symbols in dof + 1 cells, few in each: mean and variance are exact."""
+    mean, var = dof, 2 * dof * (n - 1) / n
+    k = 2 * mean * mean / var
+    z = ((x * 2 * mean / var / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
 def battery(token: str, alphabet: str) -> float:
-    """Joint p-value of the three tests; small where the token is not random over the alphabet."""
+    """Fisher's statistic of the four tests; large where the token is not random over the alphabet."""
     n, size = len(token), len(alphabet)
     place = {c: i for i, c in enumerate(alphabet)}
     values = [place[c] for c in token]
-    classes = 8 if n >= 40 else 4
-    counts = [0] * classes
+    symbols = [0] * size
     for v in values:
-        counts[v * classes // size] += 1
-    share = [0] * classes
-    for v in range(size):
+        symbols[v] += 1
+    p0 = sparse_tail(max(0.0, size / n * sum(c * c for c in symbols) - n), size - 1, n)
+    classes = 8 if n >= 40 else 4
+    counts, share = [0] * classes, [0] * classes
+    for v, c in enumerate(symbols):
+        counts[v * classes // size] += c
         share[v * classes // size] += 1
     p1 = chi2_tail(sum((c - n * s / size) ** 2 / (n * s / size) for c, s in zip(counts, share, strict=True)), classes - 1)
     high = [2 * v >= size for v in values]
@@ -106,74 +123,121 @@ def battery(token: str, alphabet: str) -> float:
     power = sum(x * x for x in d)
     r = sum(a * b for a, b in zip(d, d[1:], strict=False)) / power if power else 1.0
     p3 = math.erfc(abs(r) * math.sqrt(n / 2))
-    fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
-    return chi2_tail(fisher, 6)
+    return -2 * sum(math.log(max(p, 1e-300)) for p in (p0, p1, p2, p3))
+
+
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the sorted spans, overlapping ones joined."""
+    starts, ends = [], []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
-    """Base spans, and (start, end, p) of tested tokens that no base span touches."""
+    """Base spans, and (start, end, statistic) of tested tokens that no base span touches."""
     base = base_spans(text)
+    starts, ends = merged(base)
     tested = []
     for m in TOKEN.finditer(text):
         a, b = m.span()
         token = m[0]
         encoding = infer_encoding(token)
-        if encoding and not any(s < b and a < e for s, _, e in base):
-            tested.append((a, b, battery(token, encoding[1])))
+        if encoding:
+            k = bisect_right(ends, a)  # the first that ends after the token's start
+            if k == len(starts) or starts[k] >= b:
+                tested.append((a, b, battery(token, encoding[1])))
     return base, tested
 
 
+WORDS = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_-])")
+
+
+def decoy(text: str) -> tuple[int, float] | None:
+    """(length, statistic) of an identifier made of some of the text's words, from a hashed place on; None without enough words."""
+    roll = xxhash.xxh64_intdigest(text.encode(errors="surrogatepass"), 7)
+    least = 20 if roll % (LONGEST - 4) == 0 else 1 << (roll % (LONGEST - 4) + 4)
+    length = least + (roll >> 8) % (min(2 * least, 32) - least if least == 20 else least)
+    style = (roll >> 20) % 3
+    at = (roll >> 24) % max(1, len(text) - 6 * length)
+    made, size = [], 0
+    for k, m in enumerate(WORDS.finditer(text, at)):
+        word = m[0].capitalize() if style == 0 else m[0].lower()
+        if k % 3 == 1:
+            word += str((roll >> 40) % 100)
+        made.append(word)
+        size += len(word) + (style > 0)
+        if size >= length:
+            break
+    token = ("", "_", "/")[style].join(made)[:length]
+    encoding = infer_encoding(token) if len(token) == length else None
+    return (length, battery(token, encoding[1])) if encoding else None
+
+
 SCANNED = (
     "doc_id long, n_assign long, n_access long, n_hex long, base string, "
-    "tested array<struct<start: int, stop: int, length_class: int, p_bin: int>>"
+    "tested array<struct<start: int, stop: int, length_class: int, s_bin: int>>, decoy struct<length_class: int, s_bin: int>"
 )
 
 
-def p_bin(p: float) -> int:
-    return min(P_BINS - 1, int(-4 * math.log(max(p, 1e-300))))
+def s_bin(statistic: float) -> int:
+    return min(BINS - 1, int(4 * statistic))
 
 
 def length_class(length: int) -> int:
-    return length.bit_length()
+    return min(LONGEST, length.bit_length())
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): base counts, base spans (kind:start:end text) and tested tokens."""
+    """Per row of docs(doc_id, text): base counts, base spans (kind:start:end text), tested tokens and the text's decoy."""
 
     def run(batches):
         for batch in batches:
             counts = [[], [], []]
-            bases, tests = [], []
+            bases, tests, decoys = [], [], []
             for value in batch.column("text"):
-                base, tested = scan(value.as_py() or "")
+                text = value.as_py() or ""
+                base, tested = scan(text)
                 for k, column in enumerate(counts):
                     column.append(sum(kind == k for _, kind, _ in base))
                 bases.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base))
                 tests.append([
-                    {"start": s, "stop": e, "length_class": length_class(e - s), "p_bin": p_bin(p)}
-                    for s, e, p in tested
+                    {"start": s, "stop": e, "length_class": length_class(e - s), "s_bin": s_bin(x)}
+                    for s, e, x in tested
                 ])
-            kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "stop", "length_class", "p_bin")]))
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(tests, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "tested"])
+                made = decoy(text)
+                decoys.append({"length_class": length_class(made[0]), "s_bin": s_bin(made[1])} if made else None)
+            ints = lambda *names: pa.struct([(n, pa.int32()) for n in names])
+            columns = [
+                batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()),
+                pa.array(tests, pa.list_(ints("start", "stop", "length_class", "s_bin"))), pa.array(decoys, ints("length_class", "s_bin")),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "tested", "decoy"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
 
 
-def dismissed_bins(scanned: DataFrame, alpha: float) -> DataFrame:
-    """(length_class, least_bin): tokens in bins from there on are dismissed as not random.
+def reported_bins(scanned: DataFrame, alpha: float) -> DataFrame:
+    """(length_class, last_bin): tokens in bins up to there are reported as random.
 
-    Benjamini-Hochberg within each length class, over a histogram: the largest
-    p (the end of a bin) with p <= alpha * (tokens up to it) / (all tokens).
-    At most 32 x P_BINS rows take part.
+    Benjamini-Hochberg within each length class, over histograms: the last bin
+    with p <= alpha * (tokens up to it) / (all tokens), p being the share of decoys
+    (and one more) up to it.  At most 8 x BINS rows take part.
     """
-    counts = scanned.select(F.explode("tested").alias("t")).groupBy("t.length_class", "t.p_bin").count()
-    from_small = Window.partitionBy("length_class").orderBy(F.col("p_bin").desc())
+    spots = scanned.select(F.explode("tested").alias("t")).select("t.length_class", "t.s_bin", F.lit(1).alias("token"))
+    made = scanned.where("decoy is not null").select("decoy.length_class", "decoy.s_bin", F.lit(0).alias("token"))
+    counts = spots.unionByName(made).groupBy("length_class", "s_bin").agg(F.sum("token").alias("tokens"), F.count_if(F.col("token") == 0).alias("decoys"))
+    upward = Window.partitionBy("length_class").orderBy("s_bin")
+    all_ = Window.partitionBy("length_class")
+    p = (1 + F.sum("decoys").over(upward)) / (1 + F.sum("decoys").over(all_))
     return (
-        counts.withColumn("up_to", F.sum("count").over(from_small))
-        .withColumn("all", F.sum("count").over(Window.partitionBy("length_class")))
-        .where(F.exp(-F.col("p_bin") / 4.0) * F.col("all") <= alpha * F.col("up_to"))
-        .groupBy("length_class").agg(F.min("p_bin").alias("least_bin"))
+        counts.withColumn("p", p).withColumn("up_to", F.sum("tokens").over(upward)).withColumn("all", F.sum("tokens").over(all_))
+        .where((F.col("tokens") > 0) & (F.col("p") * F.col("all") <= alpha * F.col("up_to")))
+        .groupBy("length_class").agg(F.max("s_bin").alias("last_bin"))
     )
 
 
@@ -182,14 +246,15 @@ def find_secrets(docs: DataFrame, alpha: float = 0.05) -> DataFrame:
 
     ``spans`` is text (kind:start:end, in code points, end exclusive, by start
     and kind), ``found`` the same as an array of structs.  Null and empty texts
-    have no spans.  Repeated rows and null ids are kept as they are; an empty
-    table gives no rows.
+    have no spans; long ones are scanned whole.  Repeated rows and null ids are kept as
+    they are; an empty table gives no rows.  Other columns are not read, so their names
+    do not matter.
     """
     scanned = materialise(scan_texts(docs))
-    # One row: a map from length class to the least dismissed bin (at most 32 entries).
-    limits = dict(map(tuple, dismissed_bins(scanned, alpha).collect()))
+    # A map from length class to the last reported bin (at most 8 entries).
+    limits = dict(map(tuple, reported_bins(scanned, alpha).collect()))
     known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<int,int>")
-    random = F.filter("tested", lambda t: t["p_bin"] < F.coalesce(F.element_at(known, t["length_class"]), F.lit(P_BINS)))
+    random = F.filter("tested", lambda t: t["s_bin"] <= F.coalesce(F.element_at(known, t["length_class"]), F.lit(-1)))
 
     def as_struct(kind, start, stop):
         order = F.array_position(F.array(*map(F.lit, KINDS)), kind)
@@ -222,10 +287,12 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 def redact_secrets(docs: DataFrame, alpha: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
     """docs with the secrets in ``text`` replaced by ``mark`` (and n_chars, if there, set anew).
 
-    All rows and columns stay.  The texts are scanned twice, once for the
-    corpus's p-values and once to replace, and are never shuffled.
+    All rows and columns stay, whatever their names; null and empty texts stay as they
+    are, repeated rows are treated alike, an empty table gives no rows.  The texts are
+    scanned whole and twice, once for the corpus's statistics and once to replace, and
+    are never shuffled.
     """
-    limits = dict(map(tuple, dismissed_bins(materialise(scan_texts(docs)), alpha).collect()))
+    limits = dict(map(tuple, reported_bins(materialise(scan_texts(docs)), alpha).collect()))
     names = docs.columns
     has_length = "n_chars" in names
 
@@ -237,7 +304,7 @@ def redact_secrets(docs: DataFrame, alpha: float = 0.05, mark: str = "[SECRET]")
                 if text:
                     base, tested = scan(text)
                     spans = [(s, e) for s, _, e in base]
-                    spans += [(s, e) for s, e, p in tested if p_bin(p) < limits.get(length_class(e - s), P_BINS)]
+                    spans += [(s, e) for s, e, x in tested if s_bin(x) <= limits.get(length_class(e - s), -1)]
                     text = redact(text, spans, mark) if spans else text
                 texts.append(text)
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}

@@ -30,6 +30,9 @@ def test_base_and_method(spark):
     texts += [f"word {pick(alnum, 32)} end {pick(string.ascii_uppercase + '234567', 32)}" for _ in range(40)]
     ordinary = ["the-quick-brown-fox-2024-jumps", "aaaaaaaaaaaaaaaa1111111", "path/to/some/file/name2/index", "introduction_to_chapter_12_final", "aaaaaaabbbbbbbccccccc1234567"]
     texts += [f"see {x} there" for x in ordinary * 20]
+    # prose, of whose words the decoys are made
+    prose = "the method of a measured test gives plain answers when every reader sees what was asked about and nobody has changed them since".split()
+    texts += [" ".join(rng.choice(prose) for _ in range(60)) for _ in range(600)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
     assert len(got) == len(texts)
