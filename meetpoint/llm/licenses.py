@@ -1,11 +1,16 @@
 """Licence mentions by a positional rare-token index, with DataFrame operations only.
 
-Texts are split into words.  The document frequency of every licence word is
-counted over all texts.  Each template (a phrase of a licence) is looked up by
-the rarest words of its key phrase: a posting of such a word at position p proposes that the
-template's mandatory key phrase starts at p minus the word's place in it, and
-the proposals of its rare words intersect by that start.  A proposal counts if
-the key phrase stands there word for word and enough of the template around it.
+Texts are split into words, and the document frequency of every licence word is
+counted over all texts.  The index is a table of templates (phrases of a licence or
+of its notice, each with a mandatory key phrase in it), posted under the word of the
+key phrase with the highest IDF.  A file's words that the index posts are joined with
+it: a posting of such a word at position p proposes that the key phrase starts at p
+minus the word's place in it.  The template's other rare words must stand at their
+places relative to that start, then the key phrase word for word, then enough of the
+template around it.
+
+A proposal carries only the words around it (twice the longest template), so no text
+is copied for its matches, and more templates make the index longer, not the plan.
 """
 
 from __future__ import annotations
@@ -43,73 +48,79 @@ TEMPLATES = (
     ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("epl", "under the terms of the eclipse public license", "eclipse public license"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "this program is free software you can redistribute it and or modify it"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file", "this source code form is subject to the terms of the mozilla public license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "neither the name of the copyright holder nor the names of its contributors"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work", "waived all copyright and related rights"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "provided as is without any express or implied warranty"),
+    ("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
-#: A phrase is looked up by so many of its rarest words.
+#: Of a key phrase, so many of its rarest words are posted (the first) or intersected (the others).
 RARE_WORDS = 4
 #: Of a method's template, this share of the words must stand at their places.
 LEAST_SHARE = 0.5
 
+INDEX = "label string, base boolean, phrase array<string>, key array<string>, key_at int, anchor string, place int, rare array<struct<word: string, place: int>>"
+
 
 def text_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), BREAK), lambda w: w != "")
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for *_, phrase in BASE for w in phrase.split()} | {w for _, phrase, _ in TEMPLATES for w in phrase.split()})
+def all_templates() -> list[tuple[str, bool, list[str], list[str]]]:
+    """(label, base, words, key words): a base phrase is its own key phrase."""
+    base = [(label, True, phrase.split(), phrase.split()) for label, phrase in BASE]
+    return base + [(label, False, phrase.split(), key.split()) for label, phrase, key in TEMPLATES]
 
 
-def literal_words(phrase: str) -> Column:
-    return F.array(*[F.lit(w) for w in phrase.split()])
+def vocabulary() -> list[str]:
+    return sorted({w for _, _, phrase, _ in all_templates() for w in phrase})
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, present, words): ``words`` only where all words of some key phrase are present."""
+    """(row, doc_id, n_words, present, words): ``words`` only where all words of some key phrase are present."""
     split = docs.select("doc_id", text_words(F.coalesce("text", F.lit(""))).alias("words"))
     present = split.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", F.array(*map(F.lit, vocabulary()))).alias("present"))
-    keys = {phrase for _, phrase in BASE} | {key for *_, key in TEMPLATES}
-    possible = F.lit(False)
-    for key in sorted(keys):
-        possible |= F.size(F.array_except(literal_words(key), "present")) == 0
-    return present.withColumn("words", F.when((F.size("present") > 1) & possible, F.col("words")))
+    keys = F.array(*[F.array(*map(F.lit, key)) for key in sorted({tuple(key) for *_, key in all_templates()})])
+    possible = F.exists(keys, lambda key: F.size(F.array_except(key, "present")) == 0)
+    return present.withColumn("words", F.when((F.size("present") > 1) & possible, F.col("words"))).withColumn("row", F.monotonically_increasing_id())
 
 
-def rarest(phrase: str, idf: dict[str, float]) -> list[tuple[str, int]]:
-    """(word, place) of the rarest words of a phrase; a word that comes again has its first place."""
-    words = phrase.split()
-    first = {w: i for i, w in reversed(list(enumerate(words)))}
+def rarest(key: list[str], idf: dict[str, float]) -> list[tuple[str, int]]:
+    """(word, place) of the rarest words of a key phrase, the rarest first; a word that comes again has its first place."""
+    first = {w: i for i, w in reversed(list(enumerate(key)))}
     return sorted(first.items(), key=lambda x: (-idf[x[0]], x[1]))[:RARE_WORDS]
 
 
-def starts_of(postings: Column, phrase: str, idf: dict[str, float]) -> Column:
-    """Starts that all of the phrase's rare words propose."""
-
-    def proposals(word, place):
-        return F.transform(F.filter(postings, lambda s: s["w"] == word), lambda s: s["i"] - place)
-
-    starts, *others = [proposals(w, place) for w, place in rarest(phrase, idf)]
-    for more in others:
-        starts = F.array_intersect(starts, more)
-    return F.array_distinct(starts)
-
-
-def stands(words: Column, phrase: str, at: Column) -> Column:
-    """Whether the phrase stands in ``words`` from position ``at`` (from 0) on."""
-    n = len(phrase.split())
-    return F.when(at >= 0, F.slice(words, at + 1, n) == literal_words(phrase)).otherwise(F.lit(False))
-
-
-def places_of(phrase: str, idf: dict[str, float]) -> Column:
-    """Where the phrase stands, from its rare words' postings and a check of all its words."""
-    return F.filter(starts_of(F.col("postings"), phrase, idf), lambda st: stands(F.col("words"), phrase, st))
-
-
-def matched_share(words: Column, phrase: str, start: Column) -> Column:
-    parts = [F.when(F.get(words, start + i) == w, 1).otherwise(0) for i, w in enumerate(phrase.split())]  # outside: null
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
-    return total / len(parts)
+def template_index(spark, idf: dict[str, float]) -> DataFrame:
+    """The index, a row per template under its anchor."""
+    rows = []
+    for label, base, phrase, key in all_templates():
+        key_at = next(i for i in range(len(phrase)) if phrase[i : i + len(key)] == key)
+        (anchor, place), *others = rarest(key, idf)
+        rows.append((label, base, phrase, key, key_at, anchor, place, others))
+    return spark.createDataFrame(rows, INDEX)
+
+
+def found_templates(likely: DataFrame, index: DataFrame, anchors: list[str]) -> DataFrame:
+    """(row, label, base, start, share): places of key phrases in likely(row, words)."""
+    reach = max(len(phrase) for _, _, phrase, _ in all_templates())
+    posted = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: s["word"].isin(anchors))
+    around = F.transform(posted, lambda s: F.struct(
+        s["word"].alias("word"), s["i"].alias("i"), F.greatest(F.lit(0), s["i"] - reach).alias("from"),
+        F.slice("words", F.greatest(F.lit(0), s["i"] - reach) + 1, 2 * reach + 1).alias("near"),
+    ))
+    spots = likely.select("row", F.explode(around).alias("s")).select("row", "s.word", "s.i", "s.from", "s.near")
+    # A row per template of the module, so small by definition.
+    proposed = spots.join(F.broadcast(index), F.col("word") == F.col("anchor")).withColumn("start", F.col("i") - F.col("place")).where("start >= 0")
+    at = F.col("start") - F.col("from")  # in the words around; below 0 only where the text is left of them
+    met = proposed.where((at >= 0) & F.forall("rare", lambda r: F.coalesce(F.get("near", at + r["place"]) == r["word"], F.lit(False))))
+    stands = met.where(F.slice("near", at + 1, F.size("key")) == F.col("key"))
+    first = at - F.col("key_at")
+    hits = F.size(F.filter(F.transform("phrase", lambda w, k: (first + k >= 0) & F.coalesce(F.get("near", F.greatest(F.lit(0), first + k)) == w, F.lit(False))), lambda x: x))
+    return stands.select("row", "label", "base", "start", (hits / F.size("phrase")).alias("share"))
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
@@ -118,35 +129,26 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     ``n_base`` counts all places of the base phrases, ``first_word`` and
     ``last_word`` are the smallest and largest start among them.  ``score`` is 1
     with a base phrase, else the largest share of a template's words at their
-    places, else 0.  Null and empty texts have no words; repeated rows and null
-    ids stay; an empty table gives no rows.
+    places, else 0.  Null and empty texts have no words, long ones are read whole;
+    repeated rows and null ids stay; an empty table gives no rows.  Other columns are
+    not read, so their names do not matter.
     """
     rows = materialise(indexed(docs))
     n_docs = rows.count()
     counted = rows.select(F.explode("present").alias("word")).groupBy("word").count().collect()  # licence words only
     seen = {r["word"]: r["count"] for r in counted}
     idf = {w: math.log((n_docs + 1) / (seen.get(w, 0) + 1)) for w in vocabulary()}
-    looked_up = sorted({w for phrase in [p for _, p in BASE] + [key for *_, key in TEMPLATES] for w, _ in rarest(phrase, idf)})
-    postings = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(looked_up))
-    found = rows.where("words is null").select("doc_id", "n_words", *[F.array().cast("array<int>").alias(f"b{k}") for k in range(len(BASE))], *[F.lit(0.0).alias(f"t{k}") for k in range(len(TEMPLATES))])
-    likely = rows.where("words is not null").withColumn("postings", postings)
-    base = {f"b{k}": places_of(phrase, idf) for k, (_, phrase) in enumerate(BASE)}
-
-    def best_share(phrase, key):
-        offset = len(f" {phrase} "[: f" {phrase} ".index(f" {key} ")].split())
-        shares = F.transform(places_of(key, idf), lambda at: matched_share(F.col("words"), phrase, at - offset))
-        return F.coalesce(F.array_max(shares), F.lit(0.0))
-
-    method = {f"t{k}": best_share(phrase, key) for k, (_, phrase, key) in enumerate(TEMPLATES)}
-    likely = likely.select("doc_id", "n_words", *[c.cast("array<int>").alias(n) for n, c in base.items()], *[c.alias(n) for n, c in method.items()])
-    both = found.unionByName(likely)
-    places = F.flatten(F.array(*base))
-    base_labels = F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(BASE)]))
-    more = F.array_compact(F.array(*[F.when(F.col(f"t{k}") >= LEAST_SHARE, F.lit(label)) for k, (label, *_) in enumerate(TEMPLATES)]))
-    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    best = F.greatest(*[F.col(n) for n in method])
-    return both.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, more)).alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).when(best >= LEAST_SHARE, best).otherwise(F.lit(0.0)).alias("score"),
+    anchors = sorted({rarest(key, idf)[0][0] for *_, key in all_templates()})
+    found = found_templates(rows.where("words is not null").select("row", "words"), template_index(docs.sparkSession, idf), anchors)
+    base = F.col("base")
+    sure = base | (F.col("share") >= LEAST_SHARE)
+    by_row = found.groupBy("row").agg(
+        F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
+        F.collect_set(F.when(base, F.col("label"))).alias("base_labels"), F.collect_set(F.when(sure, F.col("label"))).alias("labels"),  # as many as there are labels
+        F.max(F.when(base, F.lit(1.0)).when(F.col("share") >= LEAST_SHARE, F.col("share"))).alias("score"),
+    )
+    joined = lambda labels: F.coalesce(F.array_join(F.array_sort(labels), ","), F.lit(""))
+    return rows.select("row", "doc_id", "n_words").join(by_row, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
+        joined("base_labels").alias("base_labels"), joined("labels").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

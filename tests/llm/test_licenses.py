@@ -49,3 +49,41 @@ def test_method_finds_changed_notices(spark):
 
 def test_empty(spark):
     assert licenses.find_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_method(text):
+    """Labels and score by trying every template at every place."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    labels, score = set(), 0.0
+    for label, base, phrase, key in licenses.all_templates():
+        key_at = next(i for i in range(len(phrase)) if phrase[i : i + len(key)] == key)
+        for i in range(len(words)):
+            if words[i : i + len(key)] == key:
+                first = i - key_at
+                share = sum(0 <= first + k < len(words) and words[first + k] == w for k, w in enumerate(phrase)) / len(phrase)
+                if base or share >= licenses.LEAST_SHARE:
+                    labels.add(label)
+                    score = max(score, 1.0 if base else share)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_equal_a_search_of_all_places(spark):
+    rng = random.Random(9)
+    pool = [" ".join(phrase) for _, _, phrase, _ in licenses.all_templates()] + [" ".join(key) for *_, key in licenses.all_templates()]
+    noise = licenses.vocabulary() + ["bridge", "walk"]
+    texts = []
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            part = rng.choice(pool).split()
+            for _ in range(rng.choice([0, 0, 0, 1, 3, 8])):
+                part[rng.randrange(len(part))] = rng.choice(noise)
+            words += [rng.choice(noise) for _ in range(rng.randint(0, 6))] + part[rng.choice([0, 0, 3]) :]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = 0
+    for r in licenses.find_licenses(docs).collect():
+        labels, score = plain_method(texts[r.doc_id])
+        assert r.labels == labels and abs(r.score - score) < 1e-12, texts[r.doc_id]
+        found += bool(labels)
+    assert found > 100
