@@ -16,7 +16,8 @@ the tasks go tables of a bounded size: the dictionary, the retained contexts
 (those of two symbols make up ``least_share`` of all tokens each, so there are
 at most 1 / least_share) and the commonest entries (bounded likewise).  A task
 scores all tokens as if unseen in their state, adds the gains of the common
-entries, and emits the other tokens' entries, which are joined with the table.
+entries, and emits the other tokens' entries, which are joined with the table; those
+that a filter of fixed size rules out are not asked for.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, small_batches
+from .common import crc_mod, delete_shared, materialise, small_batches
 
 END, RARE = 0, 1
 #: Symbols take so many bits in a key: (one before last + 1, last, next), the first 0 for a context of one symbol.
@@ -42,6 +43,8 @@ HELD_WORDS = 400_000
 #: Keys that a counting task holds before it counts and emits them.
 HELD_KEYS = 4_000_000
 PART_BYTES = 4 << 20
+#: Bits of the filter of entries, a prime: 16 MB whatever the corpus.
+SLOTS = 134_217_689
 
 
 def normal(text: bytes | None) -> list[bytes]:
@@ -208,13 +211,34 @@ def grow(training: DataFrame, ids, roots: DataFrame, n: int, least: int, least_s
     share = F.when(F.col("m") > 1, F.col("m") - DISCOUNT).otherwise(0.0) / F.col("size") + F.col("left") * F.col("root")
     parents = rooted(triples).join(seen, short == F.col("short"), "left").join(one, F.shiftright(short, BITS) == F.col("c"))
     second = materialise(retained(parents.select("key", "n", share.alias("parent")), least, evidence))
-    entries = gains(rooted(pairs), F.broadcast(first)).unionByName(gains(rooted(triples), F.broadcast(second)))
+    entries = materialise(gains(rooted(pairs), F.broadcast(first)).unionByName(gains(rooted(triples), F.broadcast(second))), "zstd")
+    delete_shared(pairs)
+    delete_shared(triples)
     kept = first.unionByName(second).toArrow()
     order = np.argsort(kept.column("context").to_numpy())
     return States(kept.column("context").to_numpy()[order], np.log10(kept.column("left").to_numpy()[order])), entries
 
 
-def score_tokens(states_: States, common: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def entry_filter(entries: DataFrame) -> np.ndarray:
+    """A bitmap of the entries' keys modulo ``SLOTS``: a key whose bit is off has no entry, so it need not be asked for.
+
+    Its size is fixed; with more entries more keys without an entry are asked for
+    in vain, and the scores stay the same.
+    """
+    slot = F.col("key") % SLOTS + 1
+    blocks = entries.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    found = np.zeros((SLOTS // 32768 + 1) * 4096, np.uint8)
+    for r in blocks:
+        found[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return found
+
+
+def may_be(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys % SLOTS
+    return (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def score_tokens(states_: States, common: tuple[np.ndarray, np.ndarray], filter_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(what to add to the base log10 probability of each token, key to look up or -1)."""
     add, look = np.zeros(len(keys)), np.full(len(keys), -1)
     at, two = place(states_.contexts, keys >> BITS)
@@ -227,6 +251,8 @@ def score_tokens(states_: States, common: tuple[np.ndarray, np.ndarray], keys: n
     at, there = place(common[0], look)
     add[there] += common[1][at[there]]
     look[there] = -1
+    asked = np.flatnonzero(look >= 0)
+    look[asked[~may_be(filter_, look[asked])]] = -1
     return add, look
 
 
@@ -249,10 +275,10 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
     n, v = n_words + n_docs, distinct + (n_docs > 0)
     norm = n + 0.1 * (v + 1)
     found = [(bytes(r["word"]), r["n"]) for r in commonest(words, min(common_words, ONE >> 2)).collect()]
-    end_known, end_base = int(n_docs > 0), math.log10((n_docs + 0.1) / norm)
+    end_known = int(n_docs > 0)
     ids = spark.sparkContext.broadcast({w: k for k, (w, _) in enumerate(found, 2)})
-    rest = (n_words - sum(c for _, c in found) + 0.1 * (distinct - len(found) + 1)) / norm
-    root = [(n_docs + 0.1) / norm, rest, *((c + 0.1) / norm for _, c in found)]
+    rare_share = (n_words - sum(c for _, c in found) + 0.1 * (distinct - len(found) + 1)) / norm
+    root = [(n_docs + 0.1) / norm, rare_share, *((c + 0.1) / norm for _, c in found)]
     base_of = np.log10(root)
     base_of[RARE] = 0.0  # a rare word's own is added by itself
     tree, entries = grow(training, ids, spark.createDataFrame(list(enumerate(root)), "symbol long, root double"), n, least, least_share, evidence)
@@ -260,15 +286,16 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
     top = entries.where(F.col("n") >= most).select("key", "gain").toArrow()
     order = np.argsort(top.column("key").to_numpy())
     common = tuple(top.column(c).to_numpy()[order] for c in ("key", "gain"))
-    shared = spark.sparkContext.broadcast((tree, common, base_of))
+    rest = entries.where(F.col("n") < most).select("key", "gain")
+    shared = spark.sparkContext.broadcast((tree, common, entry_filter(rest), base_of))
 
     def run(batches):
-        tree, common, base_of = shared.value
+        tree, common, filter_, base_of = shared.value
         find = ids.value.get
         for batch in batches:
             for at, texts in parts(batch.column("text")):
                 keys, symbols, starts = states(texts, ids.value)
-                add, look = score_tokens(tree, common, keys)
+                add, look = score_tokens(tree, common, filter_, keys)
                 ends = [*starts[1:].tolist(), len(keys)]
                 base = np.add.reduceat(base_of[symbols], starts)
                 known = np.add.reduceat((symbols > RARE).astype(np.int64), starts) + end_known
@@ -300,7 +327,7 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
         .groupBy("row").agg(F.sum(F.col("times") * value).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("found"), F.lit(0.0).alias("gain"))
     )
     gained = (
-        scored.select("row", F.explode("asked").alias("key")).join(entries.where(F.col("n") < most).select("key", "gain"), "key")
+        scored.select("row", F.explode("asked").alias("key")).join(rest, "key")
         .groupBy("row").agg(F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("found"), F.sum("gain").alias("gain"))
     )
     more = rare.unionByName(gained).groupBy(F.col("row").alias("k")).agg(*[F.sum(c).alias(c) for c in ("more", "found", "gain")])
