@@ -68,9 +68,14 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def delete_shared(df: DataFrame) -> None:
-    """Delete the files that ``materialise`` wrote for ``df``."""
+    """Delete the files that ``materialise`` wrote for ``df``.
+
+    The driver also collects its garbage, since only then Spark's cleaner deletes
+    the shuffle files of queries that have ended.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
+    jvm.System.gc()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -118,12 +118,29 @@ def states(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray,
     return ((s[at - 2] + 1) << 2 * BITS) | (s[at - 1] << BITS) | s[at], s[at], starts
 
 
-def place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the sorted table, whether the key is there)."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+class Lookup:
+    """A sorted table of keys with a small bitmap before it, as most keys asked for are not there."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.bits = np.zeros(1 << 21, np.uint8)
+        slots = self.slots(table)
+        np.bitwise_or.at(self.bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+    def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the keys that are there, their places in the table)."""
+        slots = self.slots(keys)
+        rows = np.flatnonzero((self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
+        if not len(rows) or not len(self.table):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        asked = keys[rows]
+        at = np.minimum(np.searchsorted(self.table, asked), len(self.table) - 1)
+        there = self.table[at] == asked
+        return rows[there], at[there]
 
 
 def count_keys(training: DataFrame, ids, contexts=None) -> DataFrame:
@@ -131,6 +148,7 @@ def count_keys(training: DataFrame, ids, contexts=None) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
+        lookup = Lookup(contexts.value) if contexts else None
 
         def emit():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -140,7 +158,7 @@ def count_keys(training: DataFrame, ids, contexts=None) -> DataFrame:
         for batch in batches:
             for _, words in parts(batch.column("text")):
                 keys = states(words, ids.value)[0]
-                keys = keys[place(contexts.value, keys >> BITS)[1]] if contexts else keys & (ONE * ONE - 1)
+                keys = keys[lookup.place(keys >> BITS)[0]] if contexts else keys & (ONE * ONE - 1)
                 held.append(keys)
                 size += len(keys)
                 if size >= HELD_KEYS:
@@ -238,19 +256,17 @@ def may_be(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def score_tokens(states_: States, common: tuple[np.ndarray, np.ndarray], filter_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def score_tokens(contexts: Lookup, left: np.ndarray, common: Lookup, gain: np.ndarray, filter_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(what to add to the base log10 probability of each token, key to look up or -1)."""
     add, look = np.zeros(len(keys)), np.full(len(keys), -1)
-    at, two = place(states_.contexts, keys >> BITS)
     short = keys & (ONE * ONE - 1)
-    at1, one = place(states_.contexts, short >> BITS)
-    one &= ~two
-    for at, where, entry in ((at, two, keys), (at1, one, short)):
-        add[where] = states_.left[at[where]]
-        look[where] = entry[where]
-    at, there = place(common[0], look)
-    add[there] += common[1][at[there]]
-    look[there] = -1
+    rows, at = contexts.place(short >> BITS)
+    add[rows], look[rows] = left[at], short[rows]
+    rows, at = contexts.place(keys >> BITS)  # a longer state stands over a shorter one
+    add[rows], look[rows] = left[at], keys[rows]
+    rows, at = common.place(look)
+    add[rows] += gain[at]
+    look[rows] = -1
     asked = np.flatnonzero(look >= 0)
     look[asked[~may_be(filter_, look[asked])]] = -1
     return add, look
@@ -291,17 +307,17 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
 
     def run(batches):
         tree, common, filter_, base_of = shared.value
-        find = ids.value.get
+        known = Lookup(tree.contexts), tree.left, Lookup(common[0]), common[1], filter_
         for batch in batches:
             for at, texts in parts(batch.column("text")):
                 keys, symbols, starts = states(texts, ids.value)
-                add, look = score_tokens(tree, common, filter_, keys)
+                add, look = score_tokens(*known, keys)
                 ends = [*starts[1:].tolist(), len(keys)]
                 base = np.add.reduceat(base_of[symbols], starts)
-                known = np.add.reduceat((symbols > RARE).astype(np.int64), starts) + end_known
+                n_known = np.add.reduceat((symbols > RARE).astype(np.int64), starts) + end_known
                 rare, asked = [], []
                 for ws, a, b in zip(texts, starts.tolist(), ends, strict=True):
-                    left = Counter([w for w in ws if find(w) is None]) if (symbols[a:b] == RARE).any() else {}
+                    left = Counter([ws[i] for i in np.flatnonzero(symbols[a:b] == RARE).tolist()])
                     rare.append([{"word": w, "times": t} for w, t in left.items()])
                     asked.append(np.sort(look[a:b][look[a:b] >= 0]))
                 kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
@@ -309,7 +325,7 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(texts)), batch.column("held_out").slice(at, len(texts)),
-                        pa.array([len(ws) + 1 for ws in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(np.add.reduceat(add, starts)),
+                        pa.array([len(ws) + 1 for ws in texts], pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(add, starts)),
                         pa.array(rare, kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(asked))),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "known", "base", "added", "rare", "asked"],
