@@ -272,7 +272,7 @@ def score_tokens(contexts: Lookup, left: np.ndarray, common: Lookup, gain: np.nd
     return add, look
 
 
-def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, least: int = 16, least_share: float = 2e-6, evidence: float = 2.0) -> DataFrame:
+def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, least: int = 16, least_share: float = 2e-6, evidence: float = 2.0, entry_share: float = 5e-7) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Training texts are those whose crc32(doc_id as text) modulo ``folds`` is not
@@ -281,6 +281,10 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
     an empty table gives no rows, and without training texts N, V and all counts
     are 0 and the scores are those of the counts.  A context is retained from
     ``least`` tokens on, one of two symbols if these are also ``least_share`` of all.
+    Entries with ``entry_share`` of all tokens (at most twice 1 / entry_share of them, as a
+    token has an entry after one symbol and one after two) go to the tasks, which
+    saves shuffling and changes no score.  Long texts are scored whole.  Other columns
+    are not read, so their names do not matter.
     """
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), (crc_mod("doc_id", folds) == 0).alias("held_out"))
@@ -298,7 +302,7 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
     base_of = np.log10(root)
     base_of[RARE] = 0.0  # a rare word's own is added by itself
     tree, entries = grow(training, ids, spark.createDataFrame(list(enumerate(root)), "symbol long, root double"), n, least, least_share, evidence)
-    most = least_share * n
+    most = entry_share * n
     top = entries.where(F.col("n") >= most).select("key", "gain").toArrow()
     order = np.argsort(top.column("key").to_numpy())
     common = tuple(top.column(c).to_numpy()[order] for c in ("key", "gain"))
