@@ -62,9 +62,6 @@ RARE_WORDS = 4
 #: Of a method's template, this share of the words must stand at their places.
 LEAST_SHARE = 0.5
 
-INDEX = "label string, base boolean, phrase array<string>, key array<string>, key_at int, anchor string, place int, rare array<struct<word: string, place: int>>"
-
-
 def text_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), BREAK), lambda w: w != "")
 
@@ -95,13 +92,18 @@ def rarest(key: list[str], idf: dict[str, float]) -> list[tuple[str, int]]:
 
 
 def template_index(spark, idf: dict[str, float]) -> DataFrame:
-    """The index, a row per template under its anchor."""
+    """The index: a row (label, base, phrase, key, key_at, anchor, place, rare) per template, under its anchor."""
     rows = []
     for label, base, phrase, key in all_templates():
         key_at = next(i for i in range(len(phrase)) if phrase[i : i + len(key)] == key)
         (anchor, place), *others = rarest(key, idf)
-        rows.append((label, base, phrase, key, key_at, anchor, place, others))
-    return spark.createDataFrame(rows, INDEX)
+        rare = [F.struct(F.lit(w).alias("word"), F.lit(i).alias("place")) for w, i in others]
+        values = {
+            "label": F.lit(label), "base": F.lit(base), "phrase": F.lit(phrase), "key": F.lit(key), "key_at": F.lit(key_at), "anchor": F.lit(anchor), "place": F.lit(place),
+            "rare": F.array(*rare).cast("array<struct<word:string,place:int>>"),
+        }
+        rows.append(F.struct(*[c.alias(n) for n, c in values.items()]))
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def found_templates(likely: DataFrame, index: DataFrame, anchors: list[str]) -> DataFrame:
