@@ -289,7 +289,7 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), (crc_mod("doc_id", folds) == 0).alias("held_out"))
     training = rows.where("not held_out").select("text")
-    words = materialise(count_words(training))
+    words = materialise(count_words(training), "zstd")
     n_docs = training.count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n_words + n_docs, distinct + (n_docs > 0)
