@@ -43,15 +43,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy", *folders: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: the rows survive lost executors, are computed once
-    however often they are read, and the planner knows their size.
+    however often they are read, and the planner knows their size.  Each value of
+    the columns ``folders`` has a folder of its own.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, partitionBy=list(folders), compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

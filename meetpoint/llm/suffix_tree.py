@@ -1,49 +1,47 @@
 """Score texts with a probabilistic suffix tree over words, and with word counts.
 
-The tree's symbols are the commonest words of the lower-cased training texts (a
-bounded dictionary), an end-of-text symbol, and RARE for all other words.  A
-context is the one or two symbols before a token.  It is retained if it is
-frequent and its next-symbol distribution diverges from that of its suffix by a
-likelihood-ratio test.  A token is scored in the state of the longest retained
-suffix of what precedes it.  A state's distribution is smoothed with the word
-counts: entries seen once, and a discount of each other one, leave a share that
-is dealt by the word counts (the base distribution), which also deal RARE's
-share among its words.
-
-All counts are Spark aggregates over all training texts, and the tree's entries
-(state, next symbol) stay a distributed table that grows with the corpus.  To
-the tasks go tables of a bounded size: the dictionary, the retained contexts
-(those of two symbols make up ``least_share`` of all tokens each, so there are
-at most 1 / least_share) and the commonest entries (bounded likewise).  A task
-scores all tokens as if unseen in their state, adds the gains of the common
-entries, and emits the other tokens' entries, which are joined with the table; those
-that a filter of fixed size rules out are not asked for.
+Symbols are 64-bit hashes of all lower-cased words, and an end-of-text symbol.
+A context is a run of symbols before a token, the text's start counting as one.
+It is retained if it is used ``least`` times, its suffix (itself less its first
+symbol) is retained, and its next symbols diverge from what that suffix predicts
+by a likelihood-ratio test.  Contexts grow by a symbol as long as the test
+retains any.  A token is scored in the state of the longest retained context
+before it.  A state's distribution takes a discount off each entry seen more
+than once and all of those seen once, and deals that share as the state's suffix
+would; the suffix of one symbol deals it by the word counts.
+
+So the log probability of a token is that of its word by the counts, plus for each
+retained context before it the log of the share left, plus for each entry (context,
+token) seen more than once a gain.  All of these are values of 64-bit keys, and a text's
+score is a sum of values.  Words, contexts and entries are distributed tables that grow
+with the corpus.  The commonest keys (a bounded number) are added in the tasks; the
+others are joined with the tables, but for those that a filter of fixed size rules out.
+Neither shortcut changes a score.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, delete_shared, materialise, small_batches
 
-END, RARE = 0, 1
-#: Symbols take so many bits in a key: (one before last + 1, last, next), the first 0 for a context of one symbol.
-BITS = 20
-ONE = 1 << BITS
+#: The end of a text, and what stands before its first word.
+END = np.uint64(xxhash.xxh64_intdigest(b""))
+#: Multipliers of the hash of a context.
+MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 DISCOUNT = 0.75
-#: Distinct words that a counting task holds before it emits them.
+#: Words whose hashes a task remembers.
 HELD_WORDS = 400_000
-#: Keys that a counting task holds before it counts and emits them.
-HELD_KEYS = 4_000_000
-PART_BYTES = 4 << 20
-#: Bits of the filter of entries, a prime: 16 MB whatever the corpus.
+#: Tokens that a counting task holds before it counts and emits them.
+HELD_TOKENS = 2_000_000
+PART_TOKENS = 500_000
+#: Bits of a filter of keys, a prime: 16 MB whatever the corpus.
 SLOTS = 134_217_689
 
 
@@ -51,228 +49,250 @@ def normal(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []  # of bytes: ASCII letters and white space only
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """(word binary, n) over all texts of training(text binary)."""
+def encode(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, held_out, text binary) -> (doc_id, held_out, symbols): hashes of the words, then the end."""
 
     def run(batches):
-        held: Counter = Counter()
+        known: dict[bytes, int] = {}
         for batch in batches:
-            for value in batch.column("text"):
-                held.update(normal(value.as_py()))
-                if len(held) >= HELD_WORDS:
-                    yield emit(held)
-                    held = Counter()
-        if held:
-            yield emit(held)
-
-    def emit(held):
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-
-    return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def commonest(words: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` words, no word rarer than one that is left out.
-
-    A histogram of the counts (a thousand bins at most) gives the bin to cut at,
-    so the words are filtered where they are and never sorted.
-    """
-    size = F.floor(F.log2("n") * 16).cast("int")
-    cut, taken = None, 0
-    for r in sorted(words.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
-        taken += r["count"]
-        if taken > most:
-            break
-        cut = r["size"]
-    return words.where(size >= cut) if cut is not None else words.limit(0)
+            flat, offsets, done = [], [0], 0
+            for k, value in enumerate(batch.column("text")):
+                words = normal(value.as_py())
+                for w in set(words) - known.keys():
+                    known[w] = xxhash.xxh64_intdigest(w)
+                flat.append(np.array([*map(known.__getitem__, words), int(END)], np.uint64))
+                offsets.append(offsets[-1] + len(words) + 1)
+                if len(known) > HELD_WORDS:
+                    known.clear()
+                if offsets[-1] >= PART_TOKENS or k == len(batch) - 1:
+                    symbols = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, k + 1 - done) for c in ("doc_id", "held_out")), symbols], names=["doc_id", "held_out", "symbols"])
+                    flat, offsets, done = [], [0], k + 1
+
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, symbols array<long>")
 
 
 def parts(column):
-    """Normal texts of a column in lists of some MB: (first row, words of each)."""
-    words, size, at = [], 0, 0
-    for k, value in enumerate(column):
-        words.append(normal(value.as_py()))
-        size += sum(map(len, words[-1])) + 8 * len(words[-1])
-        if size >= PART_BYTES:
-            yield at, words
-            words, size, at = [], 0, k + 1
-    if words:
-        yield at, words
-
-
-def states(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each token after two symbols, its symbol, first token of each text).
-
-    The tokens of a text are its words and an end; before it stand two ends.
+    """Symbols of a column in parts of whole texts: (first row, symbols, place of each in its text, first symbol of each text)."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy().view(np.uint64)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_TOKENS, "right")) - 1)
+        s = values[offsets[at] : offsets[to]]
+        starts = offsets[at:to] - offsets[at]
+        yield at, s, np.arange(len(s)) - np.repeat(starts, np.diff(offsets[at : to + 1])), starts
+        at = to
+
+
+def longer(context: np.ndarray, s: np.ndarray, index: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of the contexts of ``depth`` symbols, from those of one symbol less; undefined where the text is shorter."""
+    symbol = np.full(len(s), END)
+    symbol[depth:] = s[:-depth]
+    x = context * MULTIPLIERS[0] + np.where(index >= depth, symbol, END)
+    x = (x ^ (x >> np.uint64(30))) * MULTIPLIERS[1]
+    x = (x ^ (x >> np.uint64(27))) * MULTIPLIERS[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of keys(key) modulo ``SLOTS``: a key whose bit is off is not there.
+
+    Its size is fixed; with more keys more are looked for in vain, and the results
+    stay the same.
     """
-    flat: list[int] = []
-    find = ids.get
-    for ws in texts:
-        flat += (END, END)
-        flat.extend([find(w, RARE) for w in ws])
-        flat.append(END)
-    s = np.array(flat, np.int64)
-    lengths = np.array([len(ws) + 1 for ws in texts], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    at = np.arange(lengths.sum()) + 2 * np.repeat(np.arange(1, len(texts) + 1), lengths)
-    return ((s[at - 2] + 1) << 2 * BITS) | (s[at - 1] << BITS) | s[at], s[at], starts
-
+    slot = F.pmod("key", F.lit(SLOTS)) + 1
+    blocks = keys.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    found = np.zeros((SLOTS // 32768 + 1) * 4096, np.uint8)
+    for r in blocks:
+        found[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return found
 
-class Lookup:
-    """A sorted table of keys with a small bitmap before it, as most keys asked for are not there."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.bits = np.zeros(1 << 21, np.uint8)
-        slots = self.slots(table)
-        np.bitwise_or.at(self.bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+def may_be(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.int64) % SLOTS
+    return (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
-    @staticmethod
-    def slots(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
-    def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of the keys that are there, their places in the table)."""
-        slots = self.slots(keys)
-        rows = np.flatnonzero((self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
-        if not len(rows) or not len(self.table):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        asked = keys[rows]
-        at = np.minimum(np.searchsorted(self.table, asked), len(self.table) - 1)
-        there = self.table[at] == asked
-        return rows[there], at[there]
+def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens to count at this depth, hash of each token's context, of that context's suffix).
 
+    ``filters`` has for each smaller depth the retained contexts and the entries
+    used often enough.  A context is counted if its suffix may be retained and
+    it may be used often enough itself, which the entry that it makes up tells
+    where such entries were counted.  So all its uses are counted, or none.
+    """
+    context, suffix = longer(np.zeros(len(s), np.uint64), s, index, 1), np.zeros(len(s), np.uint64)
+    now = np.ones(len(s), bool)
+    for depth, (kept, often) in enumerate(filters, 2):
+        rows = np.flatnonzero(index >= depth - 1)
+        rows = rows[may_be(kept, context[rows])]
+        before = rows - 1
+        rows = rows[~now[before] | may_be(often, s[before] ^ context[before])]
+        now = np.zeros(len(s), bool)
+        now[rows] = True
+        suffix, context = context, longer(context, s, index, depth)
+    return np.flatnonzero(now), context, suffix
+
+
+def count_entries(training: DataFrame, filters: list) -> DataFrame:
+    """(context, key, n) over all tokens in contexts to count; a context's own row has its suffix as key and -n."""
+    shared = training.sparkSession.sparkContext.broadcast(filters)
+
+    def tally(keys, *others):
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[first], np.diff(np.append(first, len(keys))), *(x[order[first]] for x in others)
 
-def count_keys(training: DataFrame, ids, contexts=None) -> DataFrame:
-    """(key, n) over all tokens of all texts: after one symbol, or after two in the given sorted contexts."""
+    def emit(held):
+        context, suffix, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, n, of = tally(key, context)
+        contexts, uses, suffixes = tally(context, suffix)
+        columns = np.concatenate((of, contexts)), np.concatenate((keys, suffixes)), np.concatenate((n, -uses))
+        for at in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in columns], names=["context", "key", "n"])
 
     def run(batches):
         held, size = [], 0
-        lookup = Lookup(contexts.value) if contexts else None
-
-        def emit():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["key", "n"])
-
         for batch in batches:
-            for _, words in parts(batch.column("text")):
-                keys = states(words, ids.value)[0]
-                keys = keys[lookup.place(keys >> BITS)[0]] if contexts else keys & (ONE * ONE - 1)
-                held.append(keys)
-                size += len(keys)
-                if size >= HELD_KEYS:
-                    yield from emit()
+            for _, s, index, _ in parts(batch.column("symbols")):
+                rows, context, suffix = counted(s, index, shared.value)
+                held.append((context[rows], suffix[rows], s[rows] ^ context[rows]))
+                size += len(rows)
+                if size >= HELD_TOKENS:
+                    yield from emit(held)
                     held, size = [], 0
         if size:
-            yield from emit()
-
-    return training.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
+            yield from emit(held)
 
-@dataclass
-class States:
-    """Retained contexts (sorted; (a + 1) * ONE + b, or just b) with log10 of the share left to the base distribution."""
+    return training.select("symbols").mapInArrow(run, "context long, key long, n long").groupBy("context", "key").agg(F.sum("n").alias("n"))
 
-    contexts: np.ndarray
-    left: np.ndarray
-
-
-def retained(entries: DataFrame, least: int, evidence: float) -> DataFrame:
-    """(context, size, left) of the contexts to keep, from entries(key, n, parent).
-
-    ``parent`` is the entry's probability in the context's suffix.  The
-    likelihood ratio 2 n KL must be over ``evidence`` times the number of
-    different next symbols.
-    """
-    found = entries.groupBy(F.shiftright("key", BITS).alias("context")).agg(
-        F.sum("n").alias("size"), F.count("*").alias("kinds"), F.sum(F.when(F.col("n") > 1, DISCOUNT).otherwise(1.0)).alias("off"),
-        F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("info"),
-    )
-    ratio = 2 * (F.col("info") - F.col("size") * F.log("size"))
-    return found.where((F.col("size") >= least) & (ratio > evidence * F.col("kinds"))).select("context", "size", (F.col("off") / F.col("size")).alias("left"))
 
+def count_words(training: DataFrame) -> DataFrame:
+    """(key, n): the uses of each symbol."""
 
-def gains(entries: DataFrame, kept: DataFrame) -> DataFrame:
-    """(key, n, gain): log10 of an entry's probability in its state over that of an unseen one.
+    def run(batches):
+        for batch in batches:
+            for _, s, _, _ in parts(batch.column("symbols")):
+                keys, n = np.unique(s, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    Entries seen once are as unseen.  entries(key, n, root) with the base
-    probability of the next symbol.
-    """
-    return entries.where("n > 1").withColumn("context", F.shiftright("key", BITS)).join(kept, "context").select(
-        "key", "n", F.log10(1 + (F.col("n") - DISCOUNT) / (F.col("size") * F.col("left") * F.col("root"))).alias("gain")
-    )
+    return training.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def grow(training: DataFrame, ids, roots: DataFrame, n: int, least: int, least_share: float, evidence: float) -> tuple[States, DataFrame]:
-    """The retained states, and the table of (key, n, gain) of all their entries.
+def retained(entries: DataFrame, evidence: float) -> DataFrame:
+    """(context, size, left) of the contexts to keep, from entries(context, size, n, parent) used more than once.
 
-    roots(symbol, root) has a row per symbol, so its broadcasts are bounded by
-    the dictionary's size, and those of contexts by the symbols or 1 / least_share.
+    ``parent`` is the entry's probability in the context's suffix.  All symbols
+    without such an entry are one outcome of the test: the ratio 2 n KL must be
+    over ``evidence`` times the number of outcomes.
     """
-    symbol = (F.col("key") % ONE).alias("symbol")
-    rooted = lambda df: df.withColumn("symbol", symbol).join(F.broadcast(roots), "symbol")
-    pairs = materialise(count_keys(training, ids), "zstd")
-    first = materialise(retained(rooted(pairs).withColumn("parent", F.col("root")), least, evidence))
-    frequent = max(least, math.ceil(least_share * n))
-    after = (
-        pairs.where((F.col("n") >= frequent) & (F.col("key") % ONE != END))
-        .join(F.broadcast(first.select(F.col("context").alias("c"))), F.col("key") % ONE == F.col("c"), "left_semi")
-        .select((F.col("key") + ONE).alias("context")).toArrow()
+    found = entries.groupBy("context").agg(
+        F.max("size").alias("size"), F.count("*").alias("kinds"), F.sum("n").alias("seen"),
+        F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("info"), F.sum("parent").alias("share"),
     )
-    contexts = np.sort(after.column("context").to_numpy())
-    spark = training.sparkSession
-    triples = materialise(count_keys(training, ids, spark.sparkContext.broadcast(contexts)), "zstd")
-    one = F.broadcast(first.withColumnRenamed("context", "c"))
-    seen = pairs.where("n > 1").select(F.col("key").alias("short"), F.col("n").alias("m"))
-    short = F.col("key") % (ONE * ONE)
-    share = F.when(F.col("m") > 1, F.col("m") - DISCOUNT).otherwise(0.0) / F.col("size") + F.col("left") * F.col("root")
-    parents = rooted(triples).join(seen, short == F.col("short"), "left").join(one, F.shiftright(short, BITS) == F.col("c"))
-    second = materialise(retained(parents.select("key", "n", share.alias("parent")), least, evidence))
-    entries = materialise(gains(rooted(pairs), F.broadcast(first)).unionByName(gains(rooted(triples), F.broadcast(second))), "zstd")
-    delete_shared(pairs)
-    delete_shared(triples)
-    kept = first.unionByName(second).toArrow()
-    order = np.argsort(kept.column("context").to_numpy())
-    return States(kept.column("context").to_numpy()[order], np.log10(kept.column("left").to_numpy()[order])), entries
-
-
-def entry_filter(entries: DataFrame) -> np.ndarray:
-    """A bitmap of the entries' keys modulo ``SLOTS``: a key whose bit is off has no entry, so it need not be asked for.
-
-    Its size is fixed; with more entries more keys without an entry are asked for
-    in vain, and the scores stay the same.
-    """
-    slot = F.col("key") % SLOTS + 1
-    blocks = entries.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    found = np.zeros((SLOTS // 32768 + 1) * 4096, np.uint8)
-    for r in blocks:
-        found[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return found
-
-
-def may_be(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys % SLOTS
-    return (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+    rest = F.col("size") - F.col("seen")
+    other = F.when(rest > 0, rest * F.log(rest / F.col("size") / F.greatest(1 - F.col("share"), F.lit(1e-12)))).otherwise(0.0)
+    ratio = 2 * (F.col("info") - F.col("seen") * F.log("size") + other)
+    outcomes = F.col("kinds") + F.when(rest > 0, 1).otherwise(0)
+    return found.where(ratio > evidence * outcomes).select("context", "size", ((DISCOUNT * F.col("kinds") + rest) / F.col("size")).alias("left"))
+
+
+def grow(training: DataFrame, words: DataFrame, norm: float, least: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
+    """For each depth: the retained contexts(context, size, left) and their entries(key, n, p, gain), written tables."""
+    tree: list[tuple[DataFrame, DataFrame]] = []
+    filters: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        counts = count_entries(training, filters).where((F.col("n") > 1) | (F.col("n") <= -least))
+        counts = materialise(counts.withColumn("own", F.col("n") < 0), "zstd", "own")
+        contexts = counts.where("own").select("context", F.col("key").alias("suffix"), (-F.col("n")).alias("size"))
+        if tree:
+            contexts = contexts.join(tree[-1][0].select(F.col("context").alias("suffix")), "suffix", "left_semi")
+            parents = tree[-1][1].select(F.col("key").alias("up"), F.col("p").alias("parent"))
+        else:
+            parents = words.select(F.col("key").alias("up"), ((F.col("n") + 0.1) / norm).alias("parent"))
+        up = F.col("key").bitwiseXOR(F.col("context")).bitwiseXOR(F.col("suffix"))
+        entries = counts.where("not own").select("context", "key", "n").join(contexts, "context").withColumn("up", up).join(parents, "up")
+        kept = materialise(retained(entries, evidence))
+        if kept.isEmpty():
+            delete_shared(counts)
+            delete_shared(kept)
+            return tree
+        own = (F.col("n") - DISCOUNT) / F.col("size")
+        below = F.col("left") * F.col("parent")
+        found = entries.drop("size").join(kept, "context").select("key", "n", (own + below).alias("p"), F.log10(1 + own / below).alias("gain"))
+        tree.append((kept, materialise(found, "zstd")))
+        often = counts.where((F.col("n") >= least) & ~F.col("own"))
+        filters.append((key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)))
+        delete_shared(counts)
+
+
+def commonest(values: DataFrame, most: int) -> int:
+    """The least number of uses at which at most ``most`` rows of values(uses) are as common, from a histogram of a thousand bins at most."""
+    size = F.floor(F.log2("uses") * 16).cast("int")
+    cut, taken = None, 0
+    for r in sorted(values.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("uses").alias("uses")).collect(), key=lambda r: -r["size"]):
+        taken += r["rows"]
+        if taken > most:
+            break
+        cut = r["uses"]
+    return (1 << 62) if cut is None else cut
 
 
-def score_tokens(contexts: Lookup, left: np.ndarray, common: Lookup, gain: np.ndarray, filter_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(what to add to the base log10 probability of each token, key to look up or -1)."""
-    add, look = np.zeros(len(keys)), np.full(len(keys), -1)
-    short = keys & (ONE * ONE - 1)
-    rows, at = contexts.place(short >> BITS)
-    add[rows], look[rows] = left[at], short[rows]
-    rows, at = contexts.place(keys >> BITS)  # a longer state stands over a shorter one
-    add[rows], look[rows] = left[at], keys[rows]
-    rows, at = common.place(look)
-    add[rows] += gain[at]
-    look[rows] = -1
-    asked = np.flatnonzero(look >= 0)
-    look[asked[~may_be(filter_, look[asked])]] = -1
-    return add, look
+class Lookup:
+    """A sorted table of keys with a small bitmap before it, as most keys asked for are not there."""
 
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.bits = np.zeros(1 << 22, np.uint8)
+        slots = self.slots(table)
+        np.bitwise_or.at(self.bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
 
-def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, least: int = 16, least_share: float = 2e-6, evidence: float = 2.0, entry_share: float = 5e-7) -> DataFrame:
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys * MULTIPLIERS[0]) >> np.uint64(39)).astype(np.int64)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, -1 if it is not there."""
+        out = np.full(len(keys), -1)
+        if len(self.table):
+            slots = self.slots(keys)
+            rows = np.flatnonzero((self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
+            asked, which = np.unique(keys[rows], return_inverse=True)
+            at = np.minimum(np.searchsorted(self.table, asked), len(self.table) - 1)
+            out[rows] = np.where(self.table[at] == asked, at, -1)[which]
+        return out
+
+
+def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: np.ndarray, depth: int, s: np.ndarray, index: np.ndarray):
+    """(base and gain of each token from the common keys, [tokens, their other keys] to look up)."""
+    sums, asked = [np.zeros(len(s)), np.zeros(len(s))], []
+
+    def take(rows, keys):
+        """Which of the keys are there or may be."""
+        at = common.place(keys)
+        there = at >= 0
+        sums[0][rows[there]] += base[at[there]]
+        sums[1][rows[there]] += gain[at[there]]
+        others = np.flatnonzero(~there)
+        others = others[may_be(filter_, keys[others])]
+        asked.append((rows[others], keys[others]))
+        there[others] = True
+        return there
+
+    rows = np.arange(len(s))
+    take(rows, s)
+    context = np.zeros(len(s), np.uint64)
+    for d in range(1, depth + 1):
+        context = longer(context, s, index, d)
+        rows = rows[index[rows] >= d - 1]
+        rows = rows[take(rows, context[rows])]
+        take(rows, s[rows] ^ context[rows])
+    return *sums, tuple(np.concatenate(x) for x in zip(*asked, strict=True))
+
+
+def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, evidence: float = 2.0, most_common: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Training texts are those whose crc32(doc_id as text) modulo ``folds`` is not
@@ -280,79 +300,64 @@ def score_texts(docs: DataFrame, common_words: int = 1 << 16, folds: int = 10, l
     end; a null text has just the end.  Every row is scored, repeated ones each;
     an empty table gives no rows, and without training texts N, V and all counts
     are 0 and the scores are those of the counts.  A context is retained from
-    ``least`` tokens on, one of two symbols if these are also ``least_share`` of all.
-    Entries with ``entry_share`` of all tokens (at most twice 1 / entry_share of them, as a
-    token has an entry after one symbol and one after two) go to the tasks, which
-    saves shuffling and changes no score.  Long texts are scored whole.  Other columns
+    ``least`` uses on, whatever the corpus.  At most ``most_common`` keys go to
+    the tasks, which saves shuffling and changes no score.  Two words with one
+    64-bit hash would count as one.  Long texts are scored whole.  Other columns
     are not read, so their names do not matter.
     """
     spark = docs.sparkSession
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), (crc_mod("doc_id", folds) == 0).alias("held_out"))
-    training = rows.where("not held_out").select("text")
-    words = materialise(count_words(training), "zstd")
-    n_docs = training.count()
-    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n, v = n_words + n_docs, distinct + (n_docs > 0)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), (crc_mod("doc_id", folds) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    corpus = materialise(encode(rows), "zstd")
+    training = corpus.where("not held_out")
+    words = materialise(count_words(training))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = n + 0.1 * (v + 1)
-    found = [(bytes(r["word"]), r["n"]) for r in commonest(words, min(common_words, ONE >> 2)).collect()]
-    end_known = int(n_docs > 0)
-    ids = spark.sparkContext.broadcast({w: k for k, (w, _) in enumerate(found, 2)})
-    rare_share = (n_words - sum(c for _, c in found) + 0.1 * (distinct - len(found) + 1)) / norm
-    root = [(n_docs + 0.1) / norm, rare_share, *((c + 0.1) / norm for _, c in found)]
-    base_of = np.log10(root)
-    base_of[RARE] = 0.0  # a rare word's own is added by itself
-    tree, entries = grow(training, ids, spark.createDataFrame(list(enumerate(root)), "symbol long, root double"), n, least, least_share, evidence)
-    most = entry_share * n
-    top = entries.where(F.col("n") >= most).select("key", "gain").toArrow()
-    order = np.argsort(top.column("key").to_numpy())
-    common = tuple(top.column(c).to_numpy()[order] for c in ("key", "gain"))
-    rest = entries.where(F.col("n") < most).select("key", "gain")
-    shared = spark.sparkContext.broadcast((tree, common, entry_filter(rest), base_of))
+    tree = grow(training, words, norm, least, evidence)
+    none = F.lit(0.0)
+    tables = [words.select("key", F.col("n").alias("uses"), F.log10(F.col("n") * 10 + 1).alias("base"), none.alias("gain"))]
+    for kept, entries in tree:
+        tables.append(kept.select(F.col("context").alias("key"), F.col("size").alias("uses"), none.alias("base"), F.log10("left").alias("gain")))
+        tables.append(entries.select("key", F.col("n").alias("uses"), none.alias("base"), "gain"))
+    values = reduce(DataFrame.unionByName, tables)
+    cut = commonest(values, most_common)
+    top = values.where(F.col("uses") >= cut).select("key", "base", "gain").toArrow()
+    keys = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    common = keys[order], *(top.column(c).to_numpy()[order] for c in ("base", "gain"))
+    rest = values.where(F.col("uses") < cut).select("key", "base", "gain")
+    shared = spark.sparkContext.broadcast((common, key_filter(rest)))
+    depth = len(tree)
 
     def run(batches):
-        tree, common, filter_, base_of = shared.value
-        known = Lookup(tree.contexts), tree.left, Lookup(common[0]), common[1], filter_
+        (keys, base, gain), filter_ = shared.value
+        known = Lookup(keys), base, gain, filter_, depth
         for batch in batches:
-            for at, texts in parts(batch.column("text")):
-                keys, symbols, starts = states(texts, ids.value)
-                add, look = score_tokens(*known, keys)
-                ends = [*starts[1:].tolist(), len(keys)]
-                base = np.add.reduceat(base_of[symbols], starts)
-                n_known = np.add.reduceat((symbols > RARE).astype(np.int64), starts) + end_known
-                rare, asked = [], []
-                for ws, a, b in zip(texts, starts.tolist(), ends, strict=True):
-                    left = Counter([ws[i] for i in np.flatnonzero(symbols[a:b] == RARE).tolist()])
-                    rare.append([{"word": w, "times": t} for w, t in left.items()])
-                    asked.append(np.sort(look[a:b][look[a:b] >= 0]))
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in asked]))).astype(np.int32)
+            for at, s, index, starts in parts(batch.column("symbols")):
+                base_of, gain_of, (tokens, asked) = score_tokens(*known, s, index)
+                order = np.argsort(tokens, kind="stable")
+                offsets = np.append(np.searchsorted(tokens[order], starts), len(tokens)).astype(np.int32)
+                sums = [np.add.reduceat(x, starts) for x in (base_of, gain_of)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, len(texts)), batch.column("held_out").slice(at, len(texts)),
-                        pa.array([len(ws) + 1 for ws in texts], pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(add, starts)),
-                        pa.array(rare, kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(asked))),
+                        batch.column("doc_id").slice(at, len(starts)), batch.column("held_out").slice(at, len(starts)),
+                        pa.array(np.diff(np.append(starts, len(s))).astype(np.int64)), pa.array(np.add.reduceat((base_of > 0).astype(np.int64), starts)),
+                        *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets), pa.array(asked[order].view(np.int64))),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "added", "rare", "asked"],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "gain", "asked"],
                 )
 
     scored = materialise(
-        rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, added double, rare array<struct<word: binary, times: long>>, asked array<long>")
+        corpus.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, asked array<long>")
         .withColumn("row", F.monotonically_increasing_id()),
         "zstd",
     )
-    value = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(norm))
-    rare = (
-        scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-        .join(words, "word", "left")
-        .groupBy("row").agg(F.sum(F.col("times") * value).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("found"), F.lit(0.0).alias("gain"))
-    )
-    gained = (
+    more = (
         scored.select("row", F.explode("asked").alias("key")).join(rest, "key")
-        .groupBy("row").agg(F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("found"), F.sum("gain").alias("gain"))
+        .groupBy(F.col("row").alias("k")).agg(F.sum("base").alias("base_more"), F.sum("gain").alias("gain_more"), F.sum(F.when(F.col("base") > 0, 1)).alias("found"))
     )
-    more = rare.unionByName(gained).groupBy(F.col("row").alias("k")).agg(*[F.sum(c).alias(c) for c in ("more", "found", "gain")])
-    base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare", "asked").join(more, F.col("row") == F.col("k"), "left").select(
+    # a token adds log10(0.1 / norm), and log10((c + 0.1) / 0.1) if it is known
+    base = F.col("base") + F.coalesce("base_more", none) - F.col("n_tokens") * F.log10(F.lit(norm * 10))
+    return scored.join(more, F.col("row") == F.col("k"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("added") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("gain_more", none)).alias("score"),
     )

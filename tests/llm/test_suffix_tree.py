@@ -31,12 +31,13 @@ def sample_rows():
     return rows + [(80, None), (81, ""), (82, " \t\x0b"), (83, "unseen " * 30_000), (None, "the a the"), (3, rows[3][1])]
 
 
-@pytest.mark.parametrize("common", [4, 1000])
+@pytest.mark.parametrize("common", [0, 10, 1000])
 def test_base_part(spark, common, monkeypatch):
     monkeypatch.setattr(st, "HELD_WORDS", 10)
+    monkeypatch.setattr(st, "PART_TOKENS", 100)
     rows = sample_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((tuple(r) for r in st.score_texts(docs, common).collect()), key=str)
+    got = sorted((tuple(r) for r in st.score_texts(docs, most_common=common).collect()), key=str)
     want = sorted(plain(rows), key=str)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
@@ -44,78 +45,77 @@ def test_base_part(spark, common, monkeypatch):
         assert g[6] < 0 and math.isfinite(g[6])
 
 
-def plain_scores(rows, most_words, least, share, evidence):
-    """log10 probability of each text, and a function (context, next symbol) -> probability, by loops over dictionaries."""
+def plain_scores(rows, least, evidence):
+    """log10 probability of each text, a function (context, next symbol) -> probability, and the tree, by loops over dictionaries."""
     train = [lower(t) for d, t in rows if zlib.crc32(str("" if d is None else d).encode()) % 10]
     c = Counter(w for ws in train for w in [*ws, None])
     n, v = sum(c.values()), len(c)
-    p0 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    by_size = {}
-    for w, m in c.items():
-        if w is not None:
-            by_size.setdefault(math.floor(math.log2(m) * 16), []).append(w)
-    known = set()
-    for size in sorted(by_size, reverse=True):
-        if len(known) + len(by_size[size]) > most_words:
-            break
-        known |= set(by_size[size])
-    name = lambda w: w if w is None or w in known else "RARE"
-    symbols = [None, "RARE", *known]
-    root = {w: p0(w) for w in symbols if w != "RARE"}
-    root["RARE"] = 1 - sum(root.values())
     counts = {}
     for ws in train:
-        s = [None, None, *map(name, ws), None]
-        for i in range(2, len(s)):
-            for context in ((s[i - 1],), (s[i - 2], s[i - 1])):
-                counts.setdefault(context, Counter())[s[i]] += 1
-    kept = {}
+        s = [None, *ws, None]
+        for i in range(1, len(s)):
+            for d in range(1, i + 1):
+                counts.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+    kept = set()
 
     def p(context, w):
-        while context and context not in kept:
-            context = context[1:]
         if not context:
-            return root[w]
+            return (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        if context not in kept:
+            return p(context[1:], w)
         own, size = counts[context], sum(counts[context].values())
         left = sum(0.75 if m > 1 else 1 for m in own.values()) / size
-        return (own[w] - 0.75 if own[w] > 1 else 0) / size + left * root[w]
-
-    for length in (1, 2):
-        for context, own in counts.items():
-            size = sum(own.values())
-            if len(context) != length or size < least:
-                continue
-            if length == 2 and (context[1] is None or context[1:] not in kept or size < share * n):
-                continue
-            if 2 * sum(m * math.log(m / size / p(context[1:], w)) for w, m in own.items()) > evidence * len(own):
-                kept[context] = True
+        return (own[w] - 0.75 if own[w] > 1 else 0) / size + left * p(context[1:], w)
+
+    for context in sorted(counts, key=len):
+        own, size = counts[context], sum(counts[context].values())
+        often = {w: m for w, m in own.items() if m > 1}
+        if size < least or (len(context) > 1 and context[1:] not in kept) or not often:
+            continue
+        rest = size - sum(often.values())
+        ratio = sum(m * math.log(m / size / p(context[1:], w)) for w, m in often.items())
+        if rest:
+            ratio += rest * math.log(rest / size / (1 - sum(p(context[1:], w) for w in often)))
+        if 2 * ratio > evidence * (len(often) + (rest > 0)):
+            kept.add(context)
     out = []
     for _, t in rows:
-        tokens = [*lower(t), None]
-        s = [None, None, *map(name, tokens)]
-        out.append(sum(math.log10(p((s[i], s[i + 1]), s[i + 2]) * p0(w) / (root["RARE"] if s[i + 2] == "RARE" else p0(w))) for i, w in enumerate(tokens)))
-    return out, p, kept, symbols
+        s = [None, *lower(t), None]
+        out.append(sum(math.log10(p(tuple(s[:i]), s[i])) for i in range(1, len(s))))
+    return out, p, kept, [*c]
 
 
-@pytest.mark.parametrize(("common", "share"), [(5, 1e-6), (1000, 0.005), (1000, 1e-6)])
-def test_scores_are_those_of_the_tree(spark, common, share, monkeypatch):
-    monkeypatch.setattr(st, "HELD_KEYS", 50)
+@pytest.mark.parametrize(("common", "least"), [(0, 8), (40, 8), (10_000, 3)])
+def test_scores_are_those_of_the_tree(spark, common, least, monkeypatch):
+    monkeypatch.setattr(st, "HELD_TOKENS", 50)
+    monkeypatch.setattr(st, "PART_TOKENS", 100)
     rng = random.Random(3)
-    phrases = ["the cat sat on the mat", "a dog sat on a log", "été à la mer", "on the sea", "so on"] + [f"x{i}" for i in range(9)]
+    phrases = ["the cat sat on the mat", "a dog sat on a log", "été à la mer", "on the sea", "so on", "x on the y on the z", "z on the y on the x"] + [f"x{i}" for i in range(9)]
     rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 15)))) for i in range(150)] + [(200, None), (201, "never seen"), (None, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scored = st.score_texts(docs, common, least=8, least_share=share).collect()
+    scored = st.score_texts(docs, least=least, most_common=common).collect()
     got = {r.doc_id: r.score for r in scored}
-    want, p, kept, symbols = plain_scores(rows, common, 8, share, 2.0)
-    assert {len(k) for k in kept} == {1, 2}
+    want, p, kept, symbols = plain_scores(rows, least, 2.0)
+    assert {len(k) for k in kept} >= {1, 2, 3}
+    unseen = 0.1 / (len(symbols) * 0.1 + 0.1 + next(r.train_tokens for r in scored))
     for context in [*kept, ("never", "kept")]:
-        assert math.isclose(sum(p(context, w) for w in symbols), 1, rel_tol=1e-9)
+        assert sum(p(context, w) for w in symbols) <= 1 + 1e-9
+        assert sum(p(context, w) for w in symbols) + unseen >= 1 - 1e-9
     for (d, _), x in zip(rows, want, strict=True):
         assert math.isclose(got[d], x, rel_tol=1e-6), d
     held = [r for r in scored if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_a_context_counts_all_its_uses_or_none(spark):
+    """Contexts whose prefix is not retained are counted all the same."""
+    rows = [(i, "q r s t" if i % 2 else "u v s w") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in st.score_texts(docs).collect()}
+    for (d, _), x in zip(rows, plain_scores(rows, 16, 2.0)[0], strict=True):
+        assert math.isclose(got[d], x, rel_tol=1e-6)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert st.score_texts(docs).count() == 0
