@@ -5,7 +5,7 @@ A context is a run of symbols before a token, the text's start counting as one.
 It is retained if it is used ``least`` times, its suffix (itself less its first
 symbol) is retained, and its next symbols diverge from what that suffix predicts
 by a likelihood-ratio test.  Contexts grow by a symbol as long as the test
-retains any.  A token is scored in the state of the longest retained context
+retains any, up to ``longest`` symbols.  A token is scored in the state of the longest retained context
 before it.  A state's distribution takes a discount off each entry seen more
 than once and all of those seen once, and deals that share as the state's suffix
 would; the suffix of one symbol deals it by the word counts.
@@ -49,17 +49,23 @@ def normal(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []  # of bytes: ASCII letters and white space only
 
 
+class Hashes(dict):
+    """The hashes of the words asked for so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = xxhash.xxh64_intdigest(word)
+        return self[word]
+
+
 def encode(rows: DataFrame) -> DataFrame:
     """rows(doc_id, held_out, text binary) -> (doc_id, held_out, symbols): hashes of the words, then the end."""
 
     def run(batches):
-        known: dict[bytes, int] = {}
+        known = Hashes()
         for batch in batches:
             flat, offsets, done = [], [0], 0
             for k, value in enumerate(batch.column("text")):
                 words = normal(value.as_py())
-                for w in set(words) - known.keys():
-                    known[w] = xxhash.xxh64_intdigest(w)
                 flat.append(np.array([*map(known.__getitem__, words), int(END)], np.uint64))
                 offsets.append(offsets[-1] + len(words) + 1)
                 if len(known) > HELD_WORDS:
@@ -199,11 +205,11 @@ def retained(entries: DataFrame, evidence: float) -> DataFrame:
     return found.where(ratio > evidence * outcomes).select("context", "size", ((DISCOUNT * F.col("kinds") + rest) / F.col("size")).alias("left"))
 
 
-def grow(training: DataFrame, words: DataFrame, norm: float, least: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
+def grow(training: DataFrame, words: DataFrame, norm: float, least: int, longest: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
     """For each depth: the retained contexts(context, size, left) and their entries(key, n, p, gain), written tables."""
     tree: list[tuple[DataFrame, DataFrame]] = []
     filters: list[tuple[np.ndarray, np.ndarray]] = []
-    while True:
+    while len(tree) < longest:
         counts = count_entries(training, filters).where((F.col("n") > 1) | (F.col("n") <= -least))
         counts = materialise(counts.withColumn("own", F.col("n") < 0), "zstd", "own")
         contexts = counts.where("own").select("context", F.col("key").alias("suffix"), (-F.col("n")).alias("size"))
@@ -218,7 +224,7 @@ def grow(training: DataFrame, words: DataFrame, norm: float, least: int, evidenc
         if kept.isEmpty():
             delete_shared(counts)
             delete_shared(kept)
-            return tree
+            break
         own = (F.col("n") - DISCOUNT) / F.col("size")
         below = F.col("left") * F.col("parent")
         found = entries.drop("size").join(kept, "context").select("key", "n", (own + below).alias("p"), F.log10(1 + own / below).alias("gain"))
@@ -226,6 +232,7 @@ def grow(training: DataFrame, words: DataFrame, norm: float, least: int, evidenc
         often = counts.where((F.col("n") >= least) & ~F.col("own"))
         filters.append((key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)))
         delete_shared(counts)
+    return tree
 
 
 def commonest(values: DataFrame, most: int) -> int:
@@ -292,7 +299,7 @@ def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: np
     return *sums, tuple(np.concatenate(x) for x in zip(*asked, strict=True))
 
 
-def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, evidence: float = 2.0, most_common: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int = 4, evidence: float = 2.0, most_common: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Training texts are those whose crc32(doc_id as text) modulo ``folds`` is not
@@ -300,7 +307,8 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, evidence: flo
     end; a null text has just the end.  Every row is scored, repeated ones each;
     an empty table gives no rows, and without training texts N, V and all counts
     are 0 and the scores are those of the counts.  A context is retained from
-    ``least`` uses on, whatever the corpus.  At most ``most_common`` keys go to
+    ``least`` uses on, whatever the corpus, and has at most ``longest`` symbols, the
+    order of the model.  At most ``most_common`` keys go to
     the tasks, which saves shuffling and changes no score.  Two words with one
     64-bit hash would count as one.  Long texts are scored whole.  Other columns
     are not read, so their names do not matter.
@@ -312,7 +320,7 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, evidence: flo
     words = materialise(count_words(training))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = n + 0.1 * (v + 1)
-    tree = grow(training, words, norm, least, evidence)
+    tree = grow(training, words, norm, least, longest, evidence)
     none = F.lit(0.0)
     tables = [words.select("key", F.col("n").alias("uses"), F.log10(F.col("n") * 10 + 1).alias("base"), none.alias("gain"))]
     for kept, entries in tree:

@@ -45,7 +45,7 @@ def test_base_part(spark, common, monkeypatch):
         assert g[6] < 0 and math.isfinite(g[6])
 
 
-def plain_scores(rows, least, evidence):
+def plain_scores(rows, least, longest, evidence):
     """log10 probability of each text, a function (context, next symbol) -> probability, and the tree, by loops over dictionaries."""
     train = [lower(t) for d, t in rows if zlib.crc32(str("" if d is None else d).encode()) % 10]
     c = Counter(w for ws in train for w in [*ws, None])
@@ -54,7 +54,7 @@ def plain_scores(rows, least, evidence):
     for ws in train:
         s = [None, *ws, None]
         for i in range(1, len(s)):
-            for d in range(1, i + 1):
+            for d in range(1, min(i, longest) + 1):
                 counts.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
     kept = set()
 
@@ -85,18 +85,18 @@ def plain_scores(rows, least, evidence):
     return out, p, kept, [*c]
 
 
-@pytest.mark.parametrize(("common", "least"), [(0, 8), (40, 8), (10_000, 3)])
-def test_scores_are_those_of_the_tree(spark, common, least, monkeypatch):
+@pytest.mark.parametrize(("common", "least", "longest"), [(0, 8, 9), (40, 8, 2), (10_000, 3, 4)])
+def test_scores_are_those_of_the_tree(spark, common, least, longest, monkeypatch):
     monkeypatch.setattr(st, "HELD_TOKENS", 50)
     monkeypatch.setattr(st, "PART_TOKENS", 100)
     rng = random.Random(3)
     phrases = ["the cat sat on the mat", "a dog sat on a log", "été à la mer", "on the sea", "so on", "x on the y on the z", "z on the y on the x"] + [f"x{i}" for i in range(9)]
     rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 15)))) for i in range(150)] + [(200, None), (201, "never seen"), (None, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scored = st.score_texts(docs, least=least, most_common=common).collect()
+    scored = st.score_texts(docs, least=least, longest=longest, most_common=common).collect()
     got = {r.doc_id: r.score for r in scored}
-    want, p, kept, symbols = plain_scores(rows, least, 2.0)
-    assert {len(k) for k in kept} >= {1, 2, 3}
+    want, p, kept, symbols = plain_scores(rows, least, longest, 2.0)
+    assert {len(k) for k in kept} >= {1, 2, min(3, longest)}
     unseen = 0.1 / (len(symbols) * 0.1 + 0.1 + next(r.train_tokens for r in scored))
     for context in [*kept, ("never", "kept")]:
         assert sum(p(context, w) for w in symbols) <= 1 + 1e-9
@@ -112,7 +112,7 @@ def test_a_context_counts_all_its_uses_or_none(spark):
     rows = [(i, "q r s t" if i % 2 else "u v s w") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.score for r in st.score_texts(docs).collect()}
-    for (d, _), x in zip(rows, plain_scores(rows, 16, 2.0)[0], strict=True):
+    for (d, _), x in zip(rows, plain_scores(rows, 16, 4, 2.0)[0], strict=True):
         assert math.isclose(got[d], x, rel_tol=1e-6)
 
 
