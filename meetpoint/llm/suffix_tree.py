@@ -41,8 +41,8 @@ HELD_WORDS = 400_000
 #: Tokens that a counting task holds before it counts and emits them.
 HELD_TOKENS = 2_000_000
 PART_TOKENS = 500_000
-#: Bits of a filter of keys, a prime: 16 MB whatever the corpus.
-SLOTS = 134_217_689
+#: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
+BITS, MOST_BITS = 16, 1 << 27
 
 
 def normal(text: bytes | None) -> list[bytes]:
@@ -101,23 +101,25 @@ def longer(context: np.ndarray, s: np.ndarray, index: np.ndarray, depth: int) ->
     return x ^ (x >> np.uint64(31))
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of keys(key) modulo ``SLOTS``: a key whose bit is off is not there.
+def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """The length and bits of a bitmap of keys(key), written before, modulo its length: a key whose bit is off is not there.
 
-    Its size is fixed; with more keys more are looked for in vain, and the results
-    stay the same.
+    Its length is bounded; with more keys more are looked for in vain, and the
+    results stay the same.
     """
-    slot = F.pmod("key", F.lit(SLOTS)) + 1
+    length = min(MOST_BITS, BITS * keys.count() + 1)
+    slot = F.pmod("key", F.lit(length)) + 1
     blocks = keys.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    found = np.zeros((SLOTS // 32768 + 1) * 4096, np.uint8)
+    found = np.zeros((length // 32768 + 1) * 4096, np.uint8)
     for r in blocks:
         found[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return found
+    return length, found
 
 
-def may_be(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.int64) % SLOTS
-    return (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+def may_be(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    length, bits = filter_
+    slot = keys.view(np.int64) % length
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
 def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +145,6 @@ def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray
 
 def count_entries(training: DataFrame, filters: list) -> DataFrame:
     """(context, key, n) over all tokens in contexts to count; a context's own row has its suffix as key and -n."""
-    shared = training.sparkSession.sparkContext.broadcast(filters)
 
     def tally(keys, *others):
         order = np.argsort(keys)
@@ -163,7 +164,7 @@ def count_entries(training: DataFrame, filters: list) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for _, s, index, _ in parts(batch.column("symbols")):
-                rows, context, suffix = counted(s, index, shared.value)
+                rows, context, suffix = counted(s, index, [f.value for f in filters])
                 held.append((context[rows], suffix[rows], s[rows] ^ context[rows]))
                 size += len(rows)
                 if size >= HELD_TOKENS:
@@ -208,7 +209,7 @@ def retained(entries: DataFrame, evidence: float) -> DataFrame:
 def grow(training: DataFrame, words: DataFrame, norm: float, least: int, longest: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
     """For each depth: the retained contexts(context, size, left) and their entries(key, n, p, gain), written tables."""
     tree: list[tuple[DataFrame, DataFrame]] = []
-    filters: list[tuple[np.ndarray, np.ndarray]] = []
+    filters: list = []  # broadcast once each
     while len(tree) < longest:
         counts = count_entries(training, filters).where((F.col("n") > 1) | (F.col("n") <= -least))
         counts = materialise(counts.withColumn("own", F.col("n") < 0), "zstd", "own")
@@ -230,7 +231,8 @@ def grow(training: DataFrame, words: DataFrame, norm: float, least: int, longest
         found = entries.drop("size").join(kept, "context").select("key", "n", (own + below).alias("p"), F.log10(1 + own / below).alias("gain"))
         tree.append((kept, materialise(found, "zstd")))
         often = counts.where((F.col("n") >= least) & ~F.col("own"))
-        filters.append((key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)))
+        pair = key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)
+        filters.append(training.sparkSession.sparkContext.broadcast(pair))
         delete_shared(counts)
     return tree
 
@@ -272,7 +274,7 @@ class Lookup:
         return out
 
 
-def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: np.ndarray, depth: int, s: np.ndarray, index: np.ndarray):
+def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: tuple, depth: int, s: np.ndarray, index: np.ndarray):
     """(base and gain of each token from the common keys, [tokens, their other keys] to look up)."""
     sums, asked = [np.zeros(len(s)), np.zeros(len(s))], []
 
@@ -331,14 +333,15 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     top = values.where(F.col("uses") >= cut).select("key", "base", "gain").toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    common = keys[order], *(top.column(c).to_numpy()[order] for c in ("base", "gain"))
+    base, gain = (top.column(c).to_numpy()[order] for c in ("base", "gain"))
+    common = keys[order], base + gain, base > 0  # a word has no gain, other keys no base
     rest = values.where(F.col("uses") < cut).select("key", "base", "gain")
     shared = spark.sparkContext.broadcast((common, key_filter(rest)))
     depth = len(tree)
 
     def run(batches):
-        (keys, base, gain), filter_ = shared.value
-        known = Lookup(keys), base, gain, filter_, depth
+        (keys, value, word), filter_ = shared.value
+        known = Lookup(keys), value * word, value * ~word, filter_, depth
         for batch in batches:
             for at, s, index, starts in parts(batch.column("symbols")):
                 base_of, gain_of, (tokens, asked) = score_tokens(*known, s, index)
