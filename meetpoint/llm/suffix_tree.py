@@ -39,7 +39,7 @@ DISCOUNT = 0.75
 #: Words whose hashes a task remembers.
 HELD_WORDS = 400_000
 #: Tokens that a counting task holds before it counts and emits them.
-HELD_TOKENS = 2_000_000
+HELD_TOKENS = 1_000_000
 PART_TOKENS = 500_000
 #: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
 BITS, MOST_BITS = 16, 1 << 27
