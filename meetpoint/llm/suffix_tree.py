@@ -41,6 +41,8 @@ HELD_WORDS = 400_000
 #: Tokens that a counting task holds before it counts and emits them.
 HELD_TOKENS = 1_000_000
 PART_TOKENS = 500_000
+#: Training tokens for each slice of the entries, and the words whose contexts are split at most.
+SLICE_TOKENS, MOST_SPLIT = 1_500_000, 1 << 18
 #: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
 BITS, MOST_BITS = 16, 1 << 27
 
@@ -143,37 +145,95 @@ def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray
     return np.flatnonzero(now), context, suffix
 
 
-def count_entries(training: DataFrame, filters: list) -> DataFrame:
-    """(context, key, n) over all tokens in contexts to count; a context's own row has its suffix as key and -n."""
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` in pieces that end before the given places."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, *map(pa.py_buffer, (offsets, np.ascontiguousarray(values)))])
 
-    def tally(keys, *others):
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[first], np.diff(np.append(first, len(keys))), *(x[order[first]] for x in others)
 
-    def emit(held):
-        context, suffix, key = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, n, of = tally(key, context)
-        contexts, uses, suffixes = tally(context, suffix)
-        columns = np.concatenate((of, contexts)), np.concatenate((keys, suffixes)), np.concatenate((n, -uses))
-        for at in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in columns], names=["context", "key", "n"])
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows of the sorted columns ``keys`` starts."""
+    return np.flatnonzero(np.concatenate(([len(keys[0]) > 0], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys]))))
+
+
+def packed(context: np.ndarray, suffix: np.ndarray, key: np.ndarray, split: np.ndarray, slices: int) -> pa.RecordBatch:
+    """The entries of some tokens, counted, a row for each slice: its contexts, and each one's keys and counts.
+
+    A context's entries are in one slice, and those of a context to split are dealt by key to
+    as many other slices.  Rows of a pair each would be twice as long.
+    """
+    order = np.argsort(key)
+    key = key[order]
+    first = starts_of(key)
+    n = np.diff(np.append(first, len(key))).astype(np.int32)
+    key, context, suffix, split = key[first], *(x[order[first]] for x in (context, suffix, split))
+    of = np.uint64(slices)
+    piece = np.where(split, of + key % of, context % of).astype(np.int64)
+    order = np.lexsort((context, piece))
+    key, n, context, suffix, piece = (x[order] for x in (key, n, context, suffix, piece))
+    runs = starts_of(piece, context)
+    kinds = np.diff(np.append(runs, len(key))).astype(np.int32)
+    pieces = starts_of(piece)
+    ends = np.append(pieces[1:], len(key))
+    run_ends = np.searchsorted(runs, ends)
+    columns = [pa.array(piece[pieces]), *(binaries(x, run_ends) for x in (context[runs], suffix[runs], kinds)), binaries(key, ends), binaries(n, ends)]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "contexts", "suffixes", "kinds", "keys", "n"])
+
+
+def merged(table: pa.Table, least: int, whole: bool) -> pa.Table:
+    """(context, key, n, own) of a slice: entries seen more than once, and each context's uses with its suffix as key.
+
+    Of a slice that has its contexts ``whole``, those used less than ``least`` times and their entries go.
+    """
+    contexts, suffixes, kinds, keys, n = (
+        np.frombuffer(b"".join(table.column(c).to_pylist()), d)
+        for c, d in (("contexts", np.uint64), ("suffixes", np.uint64), ("kinds", np.int32), ("keys", np.uint64), ("n", np.int32))
+    )
+    uses = np.add.reduceat(n, np.cumsum(kinds) - kinds, dtype=np.int64)
+    order = np.argsort(contexts)
+    first = starts_of(contexts[order])
+    uses = np.add.reduceat(uses[order], first)
+    own, of = contexts[order[first]], suffixes[order[first]]
+    enough = uses >= (least if whole else 0)
+    holder = np.repeat(np.searchsorted(own, contexts), kinds)
+    rows = np.flatnonzero(enough[holder])
+    rows = rows[np.argsort(keys[rows])]
+    first = starts_of(keys[rows])
+    seen = np.add.reduceat(n[rows], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    first, seen = rows[first[seen > 1]], seen[seen > 1]
+    columns = np.concatenate((own[holder[first]], own[enough])), np.concatenate((keys[first], of[enough])), np.concatenate((seen, uses[enough]))
+    is_own = np.repeat([False, True], [len(first), enough.sum()])
+    return pa.table([*(pa.array(x.view(np.int64)) for x in columns), pa.array(is_own)], names=["context", "key", "n", "own"])
+
+
+def count_entries(training: DataFrame, filters: list, often: np.ndarray, slices: int, least: int) -> DataFrame:
+    """(context, key, n, own) over all tokens in contexts to count, as ``merged`` has them.
+
+    The contexts that end in one of the words ``often`` (sorted) are split, as only
+    they can be a large share of a slice; their own rows hold parts of their uses.
+    """
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, s, index, _ in parts(batch.column("symbols")):
                 rows, context, suffix = counted(s, index, [f.value for f in filters])
-                held.append((context[rows], suffix[rows], s[rows] ^ context[rows]))
+                before = np.where(index[rows] > 0, s[rows - 1], END)
+                at = np.searchsorted(often, before)
+                split = often[np.minimum(at, len(often) - 1)] == before if len(often) else np.zeros(len(rows), bool)
+                held.append((context[rows], suffix[rows], s[rows] ^ context[rows], split))
                 size += len(rows)
                 if size >= HELD_TOKENS:
-                    yield from emit(held)
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)), slices)
                     held, size = [], 0
         if size:
-            yield from emit(held)
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)), slices)
+
+    def merge(key, table):
+        return merged(table, least, key[0].as_py() < slices)
 
-    return training.select("symbols").mapInArrow(run, "context long, key long, n long").groupBy("context", "key").agg(F.sum("n").alias("n"))
+    found = training.select("symbols").mapInArrow(run, "slice long, contexts binary, suffixes binary, kinds binary, keys binary, n binary")
+    return found.groupBy("slice").applyInArrow(merge, "context long, key long, n long, own boolean")
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -206,14 +266,16 @@ def retained(entries: DataFrame, evidence: float) -> DataFrame:
     return found.where(ratio > evidence * outcomes).select("context", "size", ((DISCOUNT * F.col("kinds") + rest) / F.col("size")).alias("left"))
 
 
-def grow(training: DataFrame, words: DataFrame, norm: float, least: int, longest: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
+def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least: int, longest: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
     """For each depth: the retained contexts(context, size, left) and their entries(key, n, p, gain), written tables."""
     tree: list[tuple[DataFrame, DataFrame]] = []
     filters: list = []  # broadcast once each
+    slices = tokens // SLICE_TOKENS + 1
+    share = max(tokens // slices // 4, tokens // MOST_SPLIT)  # so there are fewer than MOST_SPLIT such words
+    common = np.sort(words.where(F.col("n") > share).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     while len(tree) < longest:
-        counts = count_entries(training, filters).where((F.col("n") > 1) | (F.col("n") <= -least))
-        counts = materialise(counts.withColumn("own", F.col("n") < 0), "zstd", "own")
-        contexts = counts.where("own").select("context", F.col("key").alias("suffix"), (-F.col("n")).alias("size"))
+        counts = materialise(count_entries(training, filters, common, slices, least), "zstd", "own")
+        contexts = counts.where("own").groupBy("context").agg(F.max("key").alias("suffix"), F.sum("n").alias("size")).where(F.col("size") >= least)
         if tree:
             contexts = contexts.join(tree[-1][0].select(F.col("context").alias("suffix")), "suffix", "left_semi")
             parents = tree[-1][1].select(F.col("key").alias("up"), F.col("p").alias("parent"))
@@ -322,7 +384,7 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     words = materialise(count_words(training))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = n + 0.1 * (v + 1)
-    tree = grow(training, words, norm, least, longest, evidence)
+    tree = grow(training, words, n, norm, least, longest, evidence)
     none = F.lit(0.0)
     tables = [words.select("key", F.col("n").alias("uses"), F.log10(F.col("n") * 10 + 1).alias("base"), none.alias("gain"))]
     for kept, entries in tree:

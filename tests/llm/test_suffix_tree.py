@@ -88,6 +88,7 @@ def plain_scores(rows, least, longest, evidence):
 @pytest.mark.parametrize(("common", "least", "longest"), [(0, 8, 9), (40, 8, 2), (10_000, 3, 4)])
 def test_scores_are_those_of_the_tree(spark, common, least, longest, monkeypatch):
     monkeypatch.setattr(st, "HELD_TOKENS", 50)
+    monkeypatch.setattr(st, "SLICE_TOKENS", 300)  # several slices, with contexts that are split
     monkeypatch.setattr(st, "PART_TOKENS", 100)
     rng = random.Random(3)
     phrases = ["the cat sat on the mat", "a dog sat on a log", "été à la mer", "on the sea", "so on", "x on the y on the z", "z on the y on the x"] + [f"x{i}" for i in range(9)]
