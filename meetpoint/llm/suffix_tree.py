@@ -60,7 +60,7 @@ class Hashes(dict):
 
 
 def encode(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, held_out, text binary) -> (doc_id, held_out, symbols): hashes of the words, then the end."""
+    """rows(doc_id, held_out, text binary) -> (doc_id, held_out, n_tokens, symbols): hashes of the words, then the end."""
 
     def run(batches):
         known = Hashes()
@@ -74,10 +74,11 @@ def encode(rows: DataFrame) -> DataFrame:
                     known.clear()
                 if offsets[-1] >= PART_TOKENS or k == len(batch) - 1:
                     symbols = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, k + 1 - done) for c in ("doc_id", "held_out")), symbols], names=["doc_id", "held_out", "symbols"])
+                    same = (batch.column(c).slice(done, k + 1 - done) for c in ("doc_id", "held_out"))
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.diff(offsets)), symbols], names=["doc_id", "held_out", "n_tokens", "symbols"])
                     flat, offsets, done = [], [0], k + 1
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, symbols array<long>")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, symbols array<long>")
 
 
 def parts(column):
@@ -363,6 +364,37 @@ def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: tu
     return *sums, tuple(np.concatenate(x) for x in zip(*asked, strict=True))
 
 
+def asking(docs: np.ndarray, sums: np.ndarray, rows: np.ndarray, keys: np.ndarray, slices: int) -> pa.RecordBatch:
+    """The sums of some texts, and keys to look up for their rows: a row for each slice of the keys."""
+    piece = keys % slices
+    order = np.argsort(piece, kind="stable")
+    first = starts_of(piece[order])
+    ends = np.append(first[1:], len(keys))[: len(first)]
+    pieces = np.append(piece[order[first]], docs[0] % slices)  # the sums go to any slice
+    nothing = np.zeros(len(first), np.int64)
+    columns = [
+        pa.array(pieces), binaries(docs, np.append(nothing, len(docs))), binaries(sums.ravel(), np.append(nothing, sums.size)),
+        *(binaries(x[order], np.append(ends, len(keys))) for x in (rows, keys)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "docs", "sums", "rows", "keys"])
+
+
+def answered(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """(k, base, gain, known) of a slice: sums of the texts' rows k, from ``asking`` and the slice's known(key, base, gain)."""
+    docs, sums, rows, keys = (np.frombuffer(b"".join(asked.column(c).to_pylist()), d) for c, d in (("docs", np.int64), ("sums", float), ("rows", np.int64), ("keys", np.int64)))
+    out = [docs, *sums.reshape(-1, 3).T]
+    if len(keys) and len(known):
+        table = known.column("key").to_numpy()
+        order = np.argsort(table)
+        at = np.minimum(np.searchsorted(table, keys, sorter=order), len(table) - 1)
+        there = np.flatnonzero(table[order[at]] == keys)
+        ids, which = np.unique(rows[there], return_inverse=True)
+        base, gain = (known.column(c).to_numpy()[order[at[there]]] for c in ("base", "gain"))
+        more = ids, *(np.bincount(which, x, len(ids)) for x in (base, gain, base > 0))
+        out = [np.concatenate(x) for x in zip(out, more, strict=True)]
+    return pa.table([pa.array(x) for x in out], names=["k", "base", "gain", "known"])
+
+
 def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int = 4, evidence: float = 2.0, most_common: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -379,7 +411,7 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     """
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), (crc_mod("doc_id", folds) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    corpus = materialise(encode(rows), "zstd")
+    corpus = materialise(encode(rows).withColumn("row", F.monotonically_increasing_id()), "zstd")
     training = corpus.where("not held_out")
     words = materialise(count_words(training))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -401,36 +433,29 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     shared = spark.sparkContext.broadcast((common, key_filter(rest)))
     depth = len(tree)
 
+    slices = n // SLICE_TOKENS + 1
+
     def run(batches):
         (keys, value, word), filter_ = shared.value
         known = Lookup(keys), value * word, value * ~word, filter_, depth
         for batch in batches:
+            row = batch.column("row").to_numpy()
             for at, s, index, starts in parts(batch.column("symbols")):
                 base_of, gain_of, (tokens, asked) = score_tokens(*known, s, index)
-                order = np.argsort(tokens, kind="stable")
-                offsets = np.append(np.searchsorted(tokens[order], starts), len(tokens)).astype(np.int32)
-                sums = [np.add.reduceat(x, starts) for x in (base_of, gain_of)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, len(starts)), batch.column("held_out").slice(at, len(starts)),
-                        pa.array(np.diff(np.append(starts, len(s))).astype(np.int64)), pa.array(np.add.reduceat((base_of > 0).astype(np.int64), starts)),
-                        *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets), pa.array(asked[order].view(np.int64))),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "gain", "asked"],
-                )
-
-    scored = materialise(
-        corpus.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, asked array<long>")
-        .withColumn("row", F.monotonically_increasing_id()),
-        "zstd",
-    )
-    more = (
-        scored.select("row", F.explode("asked").alias("key")).join(rest, "key")
-        .groupBy(F.col("row").alias("k")).agg(F.sum("base").alias("base_more"), F.sum("gain").alias("gain_more"), F.sum(F.when(F.col("base") > 0, 1)).alias("found"))
-    )
+                here = row[at : at + len(starts)]
+                sums = np.stack([np.add.reduceat(x, starts) for x in (base_of, gain_of, (base_of > 0).astype(float))], axis=1)
+                yield asking(here, sums, here[np.searchsorted(starts, tokens, "right") - 1], asked.view(np.int64), slices)
+
+    def answer(key, asked, known):
+        return answered(asked, known)
+
+    asked = corpus.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
+    sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
+    found = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
+    found = found.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known")))
     # a token adds log10(0.1 / norm), and log10((c + 0.1) / 0.1) if it is known
-    base = F.col("base") + F.coalesce("base_more", none) - F.col("n_tokens") * F.log10(F.lit(norm * 10))
-    return scored.join(more, F.col("row") == F.col("k"), "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("gain_more", none)).alias("score"),
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(norm * 10))
+    return corpus.join(found, F.col("row") == F.col("k")).select(
+        "doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"),
     )
