@@ -68,15 +68,16 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def delete_shared(df: DataFrame) -> None:
-    """Delete the files that ``materialise`` wrote for ``df``.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, since only then Spark's cleaner deletes the shuffle files of ended queries."""
+    spark.sparkContext._jvm.System.gc()
 
-    The driver also collects its garbage, since only then Spark's cleaner deletes
-    the shuffle files of queries that have ended.
-    """
+
+def delete_shared(df: DataFrame) -> None:
+    """Delete the files that ``materialise`` wrote for ``df``, and the shuffle files of queries that have ended."""
     spark = df.sparkSession
+    free_shuffles(spark)
     jvm = spark.sparkContext._jvm
-    jvm.System.gc()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, delete_shared, materialise, small_batches
+from .common import crc_mod, delete_shared, free_shuffles, materialise, small_batches
 
 #: The end of a text, and what stands before its first word.
 END = np.uint64(xxhash.xxh64_intdigest(b""))
@@ -43,6 +43,8 @@ HELD_TOKENS = 1_000_000
 PART_TOKENS = 500_000
 #: Training tokens for each slice of the entries, and the words whose contexts are split at most.
 SLICE_TOKENS, MOST_SPLIT = 1_500_000, 1 << 18
+#: Parts of the texts whose keys are looked up one after another, so that their shuffles share the disk.
+ROUNDS = 2
 #: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
 BITS, MOST_BITS = 16, 1 << 27
 
@@ -105,14 +107,15 @@ def longer(context: np.ndarray, s: np.ndarray, index: np.ndarray, depth: int) ->
 
 
 def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
-    """The length and bits of a bitmap of keys(key), written before, modulo its length: a key whose bit is off is not there.
+    """The length and bits of a bitmap of keys(key), written before: a key that has one of its two bits off is not there.
 
     Its length is bounded; with more keys more are looked for in vain, and the
     results stay the same.
     """
     length = min(MOST_BITS, BITS * keys.count() + 1)
-    slot = F.pmod("key", F.lit(length)) + 1
-    blocks = keys.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    halves = F.explode(F.array("key", F.shiftrightunsigned("key", 32))).alias("half")
+    slot = F.pmod("half", F.lit(length)) + 1
+    blocks = keys.select(halves).groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     found = np.zeros((length // 32768 + 1) * 4096, np.uint8)
     for r in blocks:
         found[(r["block"] - 1) * 4096 : r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -121,8 +124,14 @@ def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
 
 def may_be(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     length, bits = filter_
-    slot = keys.view(np.int64) % length
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    def on(halves):
+        slot = halves.view(np.int64) % length
+        return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    there = on(keys)
+    there[there] = on(keys[there] >> np.uint64(32))
+    return there
 
 
 def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,16 +292,18 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
         else:
             parents = words.select(F.col("key").alias("up"), ((F.col("n") + 0.1) / norm).alias("parent"))
         up = F.col("key").bitwiseXOR(F.col("context")).bitwiseXOR(F.col("suffix"))
-        entries = counts.where("not own").select("context", "key", "n").join(contexts, "context").withColumn("up", up).join(parents, "up")
+        entries = counts.where("not own").select("context", "key", "n").join(contexts, "context").withColumn("up", up).join(parents, "up").drop("up")
+        entries = materialise(entries, "zstd")
         kept = materialise(retained(entries, evidence))
         if kept.isEmpty():
-            delete_shared(counts)
-            delete_shared(kept)
+            for table in (counts, entries, kept):
+                delete_shared(table)
             break
         own = (F.col("n") - DISCOUNT) / F.col("size")
         below = F.col("left") * F.col("parent")
         found = entries.drop("size").join(kept, "context").select("key", "n", (own + below).alias("p"), F.log10(1 + own / below).alias("gain"))
         tree.append((kept, materialise(found, "zstd")))
+        delete_shared(entries)
         often = counts.where((F.col("n") >= least) & ~F.col("own"))
         pair = key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)
         filters.append(training.sparkSession.sparkContext.broadcast(pair))
@@ -449,10 +460,18 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     def answer(key, asked, known):
         return answered(asked, known)
 
-    asked = corpus.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
-    sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
-    found = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
-    found = found.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known")))
+    def looked_up(texts):
+        """The sums of some of the texts, a written table."""
+        asked = texts.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
+        sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
+        found = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
+        return materialise(found.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known"))))
+
+    found = None
+    for part in range(ROUNDS):
+        free_shuffles(spark)
+        sums = looked_up(corpus.where(F.col("row") % ROUNDS == part))
+        found = sums if found is None else found.unionByName(sums)
     # a token adds log10(0.1 / norm), and log10((c + 0.1) / 0.1) if it is known
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(norm * 10))
     return corpus.join(found, F.col("row") == F.col("k")).select(
