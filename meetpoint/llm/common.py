@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,7 +70,12 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, since only then Spark's cleaner deletes the shuffle files of ended queries."""
+    """Let the driver collect its garbage, since only then Spark's cleaner deletes the shuffle files of ended queries.
+
+    Twice, with a second between, as the first time frees little of a query that has just ended (measured).
+    """
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
 
 
