@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,15 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def byte_blocks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges (a, b) of the texts that end at ``offsets``, of at most ``most`` bytes each or of one text."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver collect its garbage, since only then Spark's cleaner deletes the shuffle files of ended queries.
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WORD, table
 from .decontaminate import find_contamination
+from .fim import fill_in_middle, restored
 from .langid import identify_languages
 from .licenses import find_licenses
 from .mixing import mix_sources
 from .pii import find_pii
+from .runs import periodic_runs
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .suffix_tree import score_texts
@@ -63,8 +65,36 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs, with a periodic tail in a tenth of the texts, chosen by the id's crc32."""
+    c = F.col
+    words = docs.select("doc_id", "text", F.crc32(F.coalesce(c("doc_id").cast("string"), F.lit(""))).alias("h")).withColumn("g", F.expr("h div 10"))
+    some = words.withColumn("w", F.when(c("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    some = some.withColumn("n", F.when(F.size("w") > 0, F.size("w"))).withColumn("a", c("g") % c("n")).withColumn("times", 3 + c("g") % 8)
+    some = some.withColumn("p", F.expr("1 + (n - a) div times"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int(times))), 1, int(n - a))")
+    return some.select("doc_id", F.when(c("n").isNull(), c("text")).otherwise(F.array_join(F.concat(F.expr("slice(w, 1, int(a))"), tail), " ")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x.length.alias("length"), (-x.start).alias("start"), (-x.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda x: F.format_string("%d,%d,%d\n", x.start, x.length, x.period)), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix, "op11_runs": op11_runs, "op13_fim": op13_fim}
 
 
 OP1_SQL = r"""
@@ -114,5 +144,22 @@ FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source
 """
 
 
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), k, 8) AS BIGINT)) AS h
+  FROM documents),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                  WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op10_mix": OP10_SQL}
+    return {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op10_mix": OP10_SQL, "op13_fim": OP13_SQL}
