@@ -12,6 +12,7 @@ from .fim import fill_in_middle, restored
 from .langid import identify_languages
 from .licenses import find_licenses
 from .mixing import mix_sources
+from .multiindex import link_vectors
 from .pii import find_pii
 from .runs import periodic_runs
 from .secrets import find_secrets
@@ -86,6 +87,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents"))
     return made.select(
@@ -94,7 +99,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix, "op11_runs": op11_runs, "op13_fim": op13_fim}
+    return {"op1_topk": op1_topk, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_suffix_tree": op9_suffix_tree, "op10_mix": op10_mix, "op11_runs": op11_runs, "op12_multiindex": op12_multiindex, "op13_fim": op13_fim}
 
 
 OP1_SQL = r"""
@@ -144,6 +149,20 @@ FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+m AS (SELECT a, min(b) AS m FROM reached GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
 OP13_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
@@ -162,4 +181,4 @@ FROM p
 
 
 def oracle_sql() -> dict:
-    return {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op10_mix": OP10_SQL, "op13_fim": OP13_SQL}
+    return {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op10_mix": OP10_SQL, "op12_multiindex": OP12_SQL, "op13_fim": OP13_SQL}
