@@ -40,30 +40,50 @@ OWNED = ("display_name", "avatar_url")
 REFRESHED = ("email", "providers", "auth_metadata")
 
 
-def upsert_accounts(accounts: DataFrame, profiles: DataFrame, order: str = "seq") -> DataFrame:
-    """Accounts after the logins: the first login makes an account, later ones refresh what is not the user's own.
+LOGIN_KEYS = ("first_login", "last_login")
+
+
+def with_login_keys(accounts: DataFrame, profiles: DataFrame, order: str = "seq") -> DataFrame:
+    """Accounts with the keys (ts, seq) of the first and last login merged into them, none yet."""
+    key = f"struct<ts: {dict(profiles.dtypes)['ts']}, {order}: {dict(profiles.dtypes)[order]}>"
+    return accounts.withColumns({c: F.lit(None).cast(key) for c in LOGIN_KEYS})
+
+
+def merge_logins(accounts: DataFrame, profiles: DataFrame, order: str = "seq") -> DataFrame:
+    """accounts(..., first_login, last_login) after the logins, which may come in any order, batch by batch.
 
     profiles(supabase_user_id, ts, seq, email, ...).  One row per user comes
-    out of a partial aggregate, then one full outer join.
+    out of a partial aggregate, then one full outer join.  What a login refreshes
+    follows the latest one; what it gives a new account follows the earliest one,
+    unless the user has customised the profile meanwhile.
     """
     key = "supabase_user_id"
     when = F.struct(F.col("ts"), F.col(order))
     seen = profiles.groupBy(key).agg(
-        F.min_by(F.struct(*OWNED), when).alias("first"), F.max_by(F.struct(*REFRESHED), when).alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+        F.min_by(F.struct(*OWNED), when).alias("first"), F.max_by(F.struct(*REFRESHED), when).alias("last"), F.min(when).alias("first_login"), F.max(when).alias("last_login")
     )
     known = F.col(f"a.{key}").isNotNull()
+    customised = F.coalesce("a.profile_customized", F.lit(False))
     joined = accounts.alias("a").join(seen.alias("l"), F.col(f"a.{key}") == F.col(f"l.{key}"), "full")
     user = F.coalesce(f"a.{key}", f"l.{key}")
-    digest = F.sha2(user, 256)
-    new_id = text.normalize_uuid(F.substring(digest, 1, 32))
+    later = F.col("l.last_login").isNotNull() & F.coalesce(F.col("l.last_login") > F.col("a.last_login"), F.lit(True))
+    made = ~known | F.coalesce(F.col("l.first_login") < F.col("a.first_login"), F.lit(False))  # by a login, and none earlier was seen
+    new_id = text.normalize_uuid(F.substring(F.sha2(user, 256), 1, 32))
     out = {
         "id": F.coalesce("a.id", new_id), key: user,
-        **{c: F.when(F.col("l.last").isNotNull(), F.col(f"l.last.{c}")).otherwise(F.col(f"a.{c}")) for c in REFRESHED},
-        **{c: F.when(known, F.col(f"a.{c}")).otherwise(F.col(f"l.first.{c}")) for c in OWNED},
-        "profile_customized": F.coalesce("a.profile_customized", F.lit(False)), "is_active": F.coalesce("a.is_active", F.lit(True)),
-        "last_seen_at": F.coalesce("l.last_ts", "a.last_seen_at"), "created_at": F.coalesce("a.created_at", "l.first_ts"), "updated_at": F.coalesce("l.last_ts", "a.updated_at"),
+        **{c: F.when(later, F.col(f"l.last.{c}")).otherwise(F.col(f"a.{c}")) for c in REFRESHED},
+        **{c: F.when(made & ~customised, F.col(f"l.first.{c}")).otherwise(F.col(f"a.{c}")) for c in OWNED},
+        "profile_customized": customised, "is_active": F.coalesce("a.is_active", F.lit(True)),
+        "last_seen_at": F.when(later, F.col("l.last_login.ts")).otherwise(F.col("a.last_seen_at")), "updated_at": F.when(later, F.col("l.last_login.ts")).otherwise(F.col("a.updated_at")),
+        "created_at": F.when(made, F.col("l.first_login.ts")).otherwise(F.coalesce("a.created_at", "l.first_login.ts")),
+        "first_login": F.when(made, F.col("l.first_login")).otherwise(F.col("a.first_login")), "last_login": F.when(later, F.col("l.last_login")).otherwise(F.col("a.last_login")),
     }
-    return joined.select(*[out[c].alias(c) for c in accounts.columns])
+    return joined.select(*[out[c].cast(t).alias(c) for c, t in accounts.dtypes])
+
+
+def upsert_accounts(accounts: DataFrame, profiles: DataFrame, order: str = "seq") -> DataFrame:
+    """Accounts after the logins: the first login makes an account, later ones refresh what is not the user's own."""
+    return merge_logins(with_login_keys(accounts, profiles, order), profiles, order).drop(*LOGIN_KEYS)
 
 
 def duplicate_accounts(accounts: DataFrame) -> DataFrame:

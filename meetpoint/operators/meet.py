@@ -90,9 +90,9 @@ def matrix_keys(mode: Column, transit_key: Column) -> Column:
     return F.when(mode == "transit", F.array(F.lit("walk"), transit_key)).otherwise(F.array(F.element_at(static, mode)))
 
 
-def located(participants: DataFrame, meetups: DataFrame, cells: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9) -> DataFrame:
+def located(participants: DataFrame, meetups: DataFrame, cells: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, naive: str = "utc") -> DataFrame:
     """Placed participants with cell_id, transit_key, and the one or two matrix keys of their mode: keys, k1, k2."""
-    m = meetups.select(F.col("id").alias("meetup_id"), pick_transit_key(to_local(F.col("starts_at"), tz)).alias("transit_key"))
+    m = meetups.select(F.col("id").alias("meetup_id"), pick_transit_key(to_local(F.col("starts_at"), tz, naive)).alias("transit_key"))
     placed = snap(participants.where(is_placed()), cells, res).join(m, "meetup_id")
     placed = placed.withColumn("keys", matrix_keys(F.col("travel_mode"), F.col("transit_key")))
     return placed.withColumns({"k1": F.get("keys", F.lit(0)), "k2": F.get("keys", F.lit(1))})
@@ -105,13 +105,13 @@ def with_rows(placed: DataFrame, rows: DataFrame) -> DataFrame:
     return placed.join(first, ["k1", "cell_id"], "left").join(second, ["k2", "cell_id"], "left")
 
 
-def participant_times(participants: DataFrame, meetups: DataFrame, cells: DataFrame, rows: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9) -> DataFrame:
+def participant_times(participants: DataFrame, meetups: DataFrame, cells: DataFrame, rows: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, naive: str = "utc") -> DataFrame:
     """Placed participants with cell_id, keys, transit_key and ``times``: seconds to every cell, the least over their matrices.
 
     ``times`` is null off the grid and where a matrix is missing; ``s1`` and
     ``s2`` are the rows it is made of.
     """
-    joined = with_rows(located(participants, meetups, cells, tz, res), rows)
+    joined = with_rows(located(participants, meetups, cells, tz, res, naive), rows)
     least = F.zip_with("s1", "s2", lambda a, b: F.least(a, b))
     return joined.withColumn("times", F.when(F.col("k2").isNull(), F.col("s1")).otherwise(least)).drop("k1", "k2")
 
@@ -212,14 +212,15 @@ def seconds_at(people: DataFrame, numbers: np.ndarray) -> DataFrame:
     return people.mapInArrow(run, people.withColumn("seconds", F.lit(0)).schema)
 
 
-def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, rows: DataFrame, matrices: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, min_people: int = 0) -> DataFrame:
+def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, rows: DataFrame, matrices: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, min_people: int = 0, naive: str = "utc") -> DataFrame:
     """One row per meetup: status, message, cell_id, position, worst_seconds, per_participant, excluded, transit_key_used.
 
     Outcomes in order: nobody placed; the first participant (created_at, id)
     off the grid or without a matrix; someone cannot reach the best cell; ok.
     Unreachable counts as 65535 in maximum and sum.  With ``min_people`` only
     meetups with so many placed people are answered.  A meetup's people are
-    listed in its answer, so they must fit a row.
+    listed in its answer, so they must fit a row.  ``naive`` says what a starts_at
+    without a zone is: a UTC wall clock, or with "local" one of ``tz``.
 
     Participants are located once and stored as narrow rows.  Matrices that fit a
     task (``TASK_NUMBERS``) go there whole and a meetup is one array; otherwise
@@ -228,7 +229,7 @@ def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, ro
     if min_people:
         meetups = meetups.join(min_placed(participants, min_people), F.col("id") == F.col("meetup_id"), "left_semi")
     horizon = matrices.select("matrix_key", "max_seconds")
-    narrow = located(participants, meetups, cells, tz, res).select("meetup_id", "id", "name", "created_at", "travel_mode", "cell_id", "transit_key", "k1", "k2")
+    narrow = located(participants, meetups, cells, tz, res, naive).select("meetup_id", "id", "name", "created_at", "travel_mode", "cell_id", "transit_key", "k1", "k2")
     known = task_matrices(rows)
     places = F.broadcast(known[1]) if known else rows.select("matrix_key", "origin").withColumn("place", F.lit(0))
     for k in ("1", "2"):

@@ -11,6 +11,7 @@ from ..schemas import OUTCOMES, TABLES, UNREACHABLE
 from ..sources import dataset
 from ..sources.dataset import stored
 from ..streaming import live
+from ..streaming.state import KeptTables
 from .model import AUDIENCE, ISSUER, MAX_SECONDS, N_CELLS, RATES, RES, ZONE, Model, duckdb_with, seconds_sql
 
 QUERIES: dict = {}
@@ -577,43 +578,39 @@ def duplicate_accounts(m: Model) -> DataFrame:
     return changes.duplicate_accounts(profiles(m)).select("supabase_user_id", F.col("count").alias("n"))
 
 
-def streamed(m: Model, df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a stream of files, and a folder for its checkpoint."""
-    folder = dataset.shared_folder(m.spark)
-    df.write.parquet(folder)
-    return m.spark.readStream.schema(df.schema).parquet(folder), dataset.shared_folder(m.spark)
-
+#: Micro-batches of a registered stream.
+ROUNDS = 4
 
-class State:
-    """Tables that a stream keeps: each batch's in a folder of its own."""
 
-    def __init__(self, **tables: DataFrame):
-        self.tables = tables
+def streamed(m: Model, df: DataFrame, deliveries) -> tuple[DataFrame, str]:
+    """``df`` as a stream of files, one for each of ROUNDS micro-batches, and a folder for its checkpoint.
 
-    def put(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = stored(df)
+    ``deliveries`` gives a row's round or rounds: rows come in no order of time.
+    """
+    folder = dataset.shared_folder(m.spark)
+    dealt = df.withColumn("__round", F.explode(deliveries)).repartitionByRange(ROUNDS, "__round").drop("__round")
+    dealt.write.parquet(folder)
+    return m.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder), dataset.shared_folder(m.spark)
 
 
-def run_meetup_stream(m: Model, with_events: bool) -> State:
-    """All changes streamed, an old and a repeated delivery among them; answers (and their events) of touched meetups."""
+def run_meetup_stream(m: Model, with_events: bool) -> KeptTables:
+    """All changes in rounds, older ones after newer ones and a fifth delivered twice; answers (and their events) of touched meetups."""
     log = m.changes.withColumn("ts", F.col("ts").cast("timestamp"))
-    stream, checkpoint = streamed(m, log.unionByName(log.where("change_id % 5 = 0")))
-    state = State(people=m.participants, seq=m.spark.createDataFrame([], "participant_id long, seq long"))
+    round_ = F.pmod(F.xxhash64("change_id"), F.lit(ROUNDS))
+    stream, checkpoint = streamed(m, log, F.when(F.col("change_id") % 5 == 0, F.array(round_, (round_ + 1) % ROUNDS)).otherwise(F.array(round_)))
+    kept = KeptTables(m.spark, dataset.shared_folder(m.spark), live.MEETUP_TABLES, 16)
+    kept.start(people=m.participants)
 
     def answer(touched: DataFrame, people: DataFrame) -> DataFrame:
         mine = m.meetups.join(touched.withColumnRenamed("meetup_id", "id"), "id", "left_semi")
         return meet.rendezvous(mine, people, m.cells, m.times, m.matrices, ZONE, RES)
 
-    def keep(people: DataFrame, answered: DataFrame, batch_id: int) -> None:
-        answered = stored(answered)
-        if with_events:
-            found = happenings.rendezvous_events(answered, m.meetups, m.happenings, m.occurrences, 1000, 20, ZONE)
-            state.put("events", live.events_after(state.tables["events"], answered, found) if "events" in state.tables else found)
-        state.put("answers", live.upsert_answers(state.tables["answers"], answered) if "answers" in state.tables else answered)
-        state.put("people", people)
+    def events(answered: DataFrame) -> DataFrame:
+        return happenings.rendezvous_events(answered, m.meetups, m.happenings, m.occurrences, 1000, 20, ZONE)
 
-    live.stream_rendezvous(stream, lambda: state.tables["people"], keep, answer, checkpoint, "30 days", lambda: state.tables["seq"], lambda df, _: state.put("seq", df)).awaitTermination()
-    return state
+    m.times  # noqa: B018  stored once, outside the batches' own folders
+    live.stream_rendezvous(stream, kept, answer, checkpoint, "30 days", events if with_events else None).awaitTermination()
+    return kept
 
 
 CHANGED = f"""
@@ -628,7 +625,7 @@ STREAMED = ", " + ",".join((CHANGED, PICK, TIMES.replace("FROM participants p",
 @query(STREAMED + """SELECT meetup_id, status, message, CASE WHEN status = 'ok' THEN CAST(cell_id AS BIGINT) END AS cell_id, CASE WHEN status = 'ok' THEN CAST(worst_seconds AS BIGINT) END AS worst_seconds,
     CASE WHEN status = 'ok' THEN per_participant END AS per_participant, CASE WHEN status = 'ok' THEN excluded END AS excluded FROM answers""", ("meetups", "participants", "changes"))
 def stream_rendezvous(m: Model) -> DataFrame:
-    found = flat_answers(run_meetup_stream(m, False).tables["answers"])
+    found = flat_answers(run_meetup_stream(m, False).table("answers"))
     return found.select("meetup_id", "status", "message", "cell_id", "worst_seconds", "per_participant", "excluded")
 
 
@@ -636,16 +633,18 @@ def stream_rendezvous(m: Model) -> DataFrame:
       row_number() OVER (PARTITION BY i.meetup_id ORDER BY i.d, start_local, i.event_id) AS rank FROM in_radius i JOIN shown s ON s.meetup_id = i.meetup_id AND s.event_id = i.event_id)
     SELECT meetup_id, event_id, rank, CAST(round_even(d, 0) AS BIGINT) AS distance_meters FROM ranked WHERE rank <= 20""", ("meetups", "participants", "changes", "happenings", "occurrences"))
 def stream_rendezvous_events(m: Model) -> DataFrame:
-    found = run_meetup_stream(m, True).tables["events"]
+    found = run_meetup_stream(m, True).table("events")
     return found.select("meetup_id", "event_id", F.col("rank").cast("long").alias("rank"), F.col("distance_meters").cast("long").alias("distance_meters"))
 
 
 @query()
 def stream_accounts(m: Model) -> DataFrame:
-    stream, checkpoint = streamed(m, profiles(m).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-    state = State(accounts=full_accounts(m))
-    live.stream_accounts(stream, lambda: state.tables["accounts"], lambda df, _: state.put("accounts", df), checkpoint).awaitTermination()
-    after = state.tables["accounts"]
+    logins = profiles(m).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    stream, checkpoint = streamed(m, logins, F.array(F.pmod(F.xxhash64("seq"), F.lit(ROUNDS))))
+    kept = KeptTables(m.spark, dataset.shared_folder(m.spark), live.ACCOUNT_TABLES, 16)
+    kept.start(accounts=changes.with_login_keys(full_accounts(m), logins))
+    live.stream_accounts(stream, kept, checkpoint).awaitTermination()
+    after = kept.table("accounts")
     return after.select("supabase_user_id", "email", "display_name", "avatar_url", F.array_join("providers", ",").alias("providers"), F.col("last_seen_at").cast("string").alias("last_seen_at"))
 
 

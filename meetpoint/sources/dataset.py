@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Below which folder intermediate tables lie, if ``scratch`` gives one.
+SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it, ``stored`` writes below one folder, which goes at the end; results must be written elsewhere by then."""
+    folder = shared_folder(spark)
+    token = SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        SCRATCH.reset(token)
+        delete_path(spark, folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 
     In plain local mode a temporary folder will do where that is unset; elsewhere its
     absence is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
@@ -105,15 +124,44 @@ def write_dataset(rows: DataFrame, cells: DataFrame, folder: str, grid_version:
     write_file(spark, f"{folder}/grid.json", json.dumps({"grid_version": grid_version, "n_cells": len(grid), "cells": grid}).encode())
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers see them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def write_file(spark: SparkSession, path: str, content: bytes) -> None:
-    """A file through the same file systems that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    """A small file, there as a whole or not at all, through the same file systems that Spark reads."""
+    fs, at = hadoop_path(spark, path)
+    part = hadoop_path(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")[1]
+    out = fs.create(part, True)
     try:
         out.write(content)
     finally:
         out.close()
+    if not fs.rename(part, at):  # the target may be there from before
+        fs.delete(at, False)
+        if not fs.rename(part, at):
+            raise OSError(f"can't write {path}")
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A small file's content."""
+    fs, at = hadoop_path(spark, path)
+    jvm, held = spark.sparkContext._jvm, spark.sparkContext._jvm.java.io.ByteArrayOutputStream()
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(at), held, 1 << 16, True)
+    return bytes(held.toByteArray())
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it is absent."""
+    fs, at = hadoop_path(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, at = hadoop_path(spark, path)
+    fs.delete(at, True)
 
 
 def read_tables(spark: SparkSession, where: str, fmt: str = "parquet", partitions: dict[str, tuple[str, int, int, int]] | None = None, **options) -> dict[str, DataFrame]:

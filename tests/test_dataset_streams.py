@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meetpoint.operators import matrix
+from meetpoint.operators import changes, matrix
 from meetpoint.schemas import UNREACHABLE
 from meetpoint.sources import dataset
 from meetpoint.streaming import live
+from meetpoint.streaming.state import Batch, KeptTables
 
 
 def write_dataset(folder, n=4, bad=None):
@@ -86,58 +87,177 @@ def test_tables_places_and_evolution(spark, tmp_path):
 PEOPLE = "id long, meetup_id long, account_id long, name string, travel_mode string, latitude double, longitude double, created_at long"
 
 
-def test_replayed_log_equals_the_batch(spark, tmp_path):
-    folk = spark.createDataFrame([(i, i % 4, None, f"P{i}", "walk", None, None, 0) for i in range(12)], PEOPLE)
-    log = [(k, k, f"2026-01-01 00:{k:02d}:00", k % 3, (k * 5) % 12, f"N{k}", "car" if k % 2 else None, float(k), 1.0, None) for k in range(30)]
-    schema = "change_id long, seq long, ts string, meetup_id long, participant_id long, name string, travel_mode string, latitude double, longitude double, account_id long"
-    full = spark.createDataFrame(log, schema).withColumn("ts", F.to_timestamp("ts"))
-    for k in range(3):  # files are micro-batches; the last one repeats changes
-        rows = log[k * 10 : k * 10 + 10] + (log[15:20] if k == 2 else [])
-        spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    state = {"people": folk, "answers": spark.createDataFrame([], "meetup_id long, n long, m double"), "batches": []}
-
-    def answer(touched, people):
-        return people.groupBy("meetup_id").agg(F.count("latitude").alias("n"), F.sum("latitude").alias("m"))
-
-    def store(people, answers, batch_id):
-        people.write.mode("overwrite").parquet(f"{tmp_path}/people/{batch_id}")
-        live.upsert_answers(state["answers"], answers).write.mode("overwrite").parquet(f"{tmp_path}/answers/{batch_id}")
-        state["people"] = spark.read.parquet(f"{tmp_path}/people/{batch_id}")
-        state["answers"] = spark.read.parquet(f"{tmp_path}/answers/{batch_id}")
-        state["batches"].append(batch_id)
-
-    stream = spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = live.stream_rendezvous(stream, lambda: state["people"], store, answer, f"{tmp_path}/check")
-    q.awaitTermination()
-    assert len(state["batches"]) >= 3
-    after, answers = live.apply_batch(full, folk, answer)
-    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
-    assert same(after, state["people"])
-    assert same(answers, state["answers"])
-
-
-def test_older_changes_are_ignored_and_events_cleared(spark):
-    stored = spark.createDataFrame([(1, 5)], "participant_id long, seq long")
-    new = spark.createDataFrame([(1, 4), (1, 6), (2, 1)], "participant_id long, seq long")
-    assert sorted((r.participant_id, r.seq) for r in live.newer_than_stored(new, stored).collect()) == [(1, 6), (2, 1)]
+LOG = "change_id long, seq long, ts string, meetup_id long, participant_id long, name string, travel_mode string, latitude double, longitude double, account_id long"
+
+
+def change_log(spark, rows):
+    return spark.createDataFrame(rows, LOG).withColumn("ts", F.to_timestamp("ts"))
+
+
+def change(k, meetup=None, person=None, at=None):
+    person = (k * 5) % 12 if person is None else person
+    at = k if at is None else at
+    return (k, k, f"2026-01-01 {at // 60:02d}:{at % 60:02d}:00", person % 4 if meetup is None else meetup, person, f"N{k}", "car" if k % 2 else None, float(k), 1.0, None)
+
+
+def people_of(spark):
+    return spark.createDataFrame([(i, i % 4, None, f"P{i}", "walk", None, None, 0) for i in range(12)], PEOPLE)
+
+
+def answer(touched, people):
+    return people.groupBy("meetup_id").agg(F.count("latitude").alias("n"), F.sum("latitude").alias("m"))
+
+
+def events(answers):
+    return answers.where("n > 1").select("meetup_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("event_id"), "m")
+
+
+def rows_of(df, columns=None):
+    return sorted(map(str, df.select(columns or df.columns).collect()))
+
+
+def feed(spark, folder, *rounds):
+    """A stream of files; each is a micro-batch."""
+    for rows in rounds:
+        change_log(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(change_log(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def mixed(rng, n=30, rounds=4):
+    """Rounds of changes in random order, some delivered twice and some to a wrong meetup or an unknown person."""
+    log = [change(k) for k in range(n)] + [change(n + k, meetup=(k + 1) % 4, person=k % 4) for k in range(6)] + [change(n + 9, 2, 99)]
+    rng.shuffle(log)
+    parts = [log[k::rounds] for k in range(rounds)]
+    return log, [part + parts[k - 1][:3] for k, part in enumerate(parts)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changes_in_any_order_equal_the_batch(spark, tmp_path, seed):
+    log, rounds = mixed(np.random.default_rng(seed))
+    folk = people_of(spark)
+    kept = KeptTables(spark, f"{tmp_path}/kept", live.MEETUP_TABLES, 3)
+    kept.start(people=folk)
+    live.stream_rendezvous(feed(spark, f"{tmp_path}/in", *rounds), kept, answer, f"{tmp_path}/check", "1 day", events).awaitTermination()
+    assert kept.commits() == [2, 3]  # of four micro-batches
+    after, answers = live.apply_batch(change_log(spark, log), folk, answer)
+    assert rows_of(after) == rows_of(kept.table("people"))
+    assert rows_of(answers) == rows_of(kept.table("answers"))
+    assert rows_of(events(answers)) == rows_of(kept.table("events"))
+
+
+def test_a_batch_lost_at_any_step_runs_again(spark, tmp_path, monkeypatch):
+    _, rounds = mixed(np.random.default_rng(3), rounds=2)
+    source = feed(spark, f"{tmp_path}/in", *rounds)
+
+    def run(name):
+        kept = KeptTables(spark, f"{tmp_path}/{name}", live.MEETUP_TABLES, 3)
+        kept.start(people=people_of(spark))
+        live.stream_rendezvous(source, kept, answer, f"{tmp_path}/check-{name}", "1 day", events).awaitTermination()
+        return {t: rows_of(kept.table(t)) for t in live.MEETUP_TABLES}
+
+    want = run("whole")
+    seen = set()
+
+    def dying(f, what):
+        def call(self, *args):
+            step = (self.batch_id, what, args[0] if what == "write" else "")
+            for when in ("before", "after"):
+                if when == "after":
+                    f(self, *args)
+                if self.batch_id >= 0 and (step, when) not in seen:
+                    seen.add((step, when))
+                    raise RuntimeError(f"lost {when} {step}")
+        return call
+
+    for what in ("write", "commit"):
+        monkeypatch.setattr(Batch, what, dying(getattr(Batch, what), what))
+    lost, got = 0, None
+    while got is None:
+        try:
+            got = run("torn")
+        except Exception as error:
+            assert "lost" in str(error)
+            lost += 1
+    assert lost == len(seen) == 2 * 2 * 5
+    assert got == want
+
+
+def test_a_batch_writes_no_bucket_that_it_does_not_touch(spark, tmp_path):
+    kept = KeptTables(spark, f"{tmp_path}/kept", live.MEETUP_TABLES, 8)
+    kept.start(people=people_of(spark))
+    mine = [change(1, person=1), change(2, person=5)]  # both of meetup 1
+    live.stream_rendezvous(feed(spark, f"{tmp_path}/in", mine), kept, answer, f"{tmp_path}/check", "1 day", events).awaitTermination()
+    touched = kept.touched(spark.sql("select 1L as meetup_id"), "meetup_id")
+    assert len(touched) == 1
+    for name in live.MEETUP_TABLES:
+        written = [n for n in dataset.list_names(spark, kept.path(name, 0)) if n.startswith("__bucket")]
+        assert written == [f"__bucket={touched[0]}"]
+    assert kept.table("people").count() == 12
+
+
+def test_old_versions_go_and_the_tables_stay(spark, tmp_path):
+    kept = KeptTables(spark, f"{tmp_path}/kept", {"t": "k"}, 2)
+    kept.start(t=spark.range(20).withColumnRenamed("id", "k"))
+    both = list(range(2))
+    for n in range(4):
+        batch = kept.open(n)
+        batch.write("t", batch.read("t").where(F.col("k") != n), both)
+        batch.commit(None)
+        kept.forget()
+    assert kept.open(3) is None
+    assert kept.commits() == [2, 3]
+    assert rows_of(kept.table("t")) == rows_of(spark.range(4, 20).withColumnRenamed("id", "k"))
+    left = [n for v in range(-1, 4) for n in dataset.list_names(spark, kept.path("t", v)) if n.startswith("__bucket")]
+    assert len(left) == 4
+    batch = kept.open(4)
+    with pytest.raises(ValueError, match="other buckets"):
+        batch.write("t", batch.read("t"), [0])
+    batch.write("t", batch.read("t", [0]).limit(0), [0])
+    batch.commit(None)
+    assert {r.b for r in kept.table("t").select(kept.bucket("k").alias("b")).distinct().collect()} == {1}
+
+
+def test_only_applied_changes_are_remembered_while_they_matter(spark, tmp_path):
+    kept = KeptTables(spark, f"{tmp_path}/kept", live.MEETUP_TABLES, 1)
+    kept.start(people=people_of(spark))
+    rounds = [
+        [change(50, meetup=2, person=1, at=9), change(9, person=1)],  # the first goes to a meetup that person 1 is not in
+        [change(8, person=1), change(10, person=5)],  # older than what was applied; new
+        [change(300, person=2, at=300)],
+        [change(301, person=3, at=301), change(7, person=7)],  # the second is a day's work too late
+    ]
+    live.stream_rendezvous(feed(spark, f"{tmp_path}/in", *rounds), kept, answer, f"{tmp_path}/check", "30 minutes").awaitTermination()
+    names = {r.id: r.name for r in kept.table("people").collect()}
+    assert (names[1], names[5], names[2], names[3], names[7]) == ("N9", "N10", "N300", "N301", "P7")
+    assert sorted((r.meetup_id, r.participant_id, r.seq) for r in kept.table("applied").collect()) == [(2, 2, 300), (3, 3, 301)]
+
+
+def test_newer_changes_by_meetup_and_participant(spark):
+    applied = spark.createDataFrame([(1, 1, 5, 50)], "meetup_id long, participant_id long, seq long, change_id long")
+    new = spark.createDataFrame([(1, 1, 4, 99), (1, 1, 5, 50), (1, 1, 5, 51), (1, 1, 6, 1), (2, 1, 1, 1)], "meetup_id long, participant_id long, seq long, change_id long")
+    assert sorted((r.meetup_id, r.seq, r.change_id) for r in live.newer_than_applied(new, applied).collect()) == [(1, 5, 51), (1, 6, 1), (2, 1, 1)]
+
+
+def test_events_are_cleared(spark):
     events = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "meetup_id long, event_id long")
     answers = spark.createDataFrame([(1, "ok"), (2, "off")], "meetup_id long, status string")
     got = live.events_after(events, answers, spark.createDataFrame([(1, 11)], "meetup_id long, event_id long"))
     assert sorted((r.meetup_id, r.event_id) for r in got.collect()) == [(1, 11), (3, 30)]
 
 
-def test_account_stream(spark, tmp_path):
-    from pyspark.sql.types import StructType
-
-    schema = "id string, supabase_user_id string, email string, display_name string, avatar_url string, profile_customized boolean, providers array<string>, auth_metadata map<string,string>, is_active boolean, last_seen_at timestamp, created_at timestamp, updated_at timestamp"
-    profiles = spark.sql("select 'u' || (id % 3) as supabase_user_id, timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id as int),0) as ts, id as seq, 'e' || id as email, 'd' || id as display_name, 'a' as avatar_url, array('g') as providers, map('name', 'x') as auth_metadata from range(9)")
-    profiles.repartition(3, "seq").write.parquet(f"{tmp_path}/in")
-    state = {"accounts": spark.createDataFrame([], schema)}
+ACCOUNT_COLUMNS = "id string, supabase_user_id string, email string, display_name string, avatar_url string, profile_customized boolean, providers array<string>, auth_metadata map<string,string>, is_active boolean, last_seen_at timestamp, created_at timestamp, updated_at timestamp"
 
-    def store(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{tmp_path}/accounts/{batch_id}")
-        state["accounts"] = spark.read.parquet(f"{tmp_path}/accounts/{batch_id}")
 
-    stream = spark.readStream.schema(StructType.fromJson(profiles.schema.jsonValue())).parquet(f"{tmp_path}/in")
-    live.stream_accounts(stream, lambda: state["accounts"], store, f"{tmp_path}/check").awaitTermination()
-    assert sorted((r.supabase_user_id, r.display_name, r.email) for r in state["accounts"].collect()) == [("u0", "d0", "e6"), ("u1", "d1", "e7"), ("u2", "d2", "e8")]
+def test_logins_in_any_order_equal_the_batch(spark, tmp_path):
+    profiles = spark.sql("select 'u' || (id % 5) as supabase_user_id, timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id div 2 as int),0) as ts, id as seq, 'e' || id as email, 'd' || id as display_name, 'a' || id as avatar_url, array('g') as providers, map('name', 'x' || id) as auth_metadata from range(25)")
+    old = spark.sql("select 'i' as id, 'u1' as supabase_user_id, 'old' as email, 'mine' as display_name, cast(null as string) as avatar_url, true as profile_customized, array('m') as providers, map('name', 'o') as auth_metadata, true as is_active, timestamp'2025-01-01' as last_seen_at, timestamp'2024-01-01' as created_at, timestamp'2025-01-01' as updated_at")
+    accounts = spark.createDataFrame(old.collect(), ACCOUNT_COLUMNS)
+    profiles.withColumn("r", F.xxhash64("seq") % 4).repartitionByRange(4, "r").drop("r").write.parquet(f"{tmp_path}/in")
+    kept = KeptTables(spark, f"{tmp_path}/kept", live.ACCOUNT_TABLES, 4)
+    kept.start(accounts=changes.with_login_keys(accounts, profiles))
+    stream = spark.readStream.schema(profiles.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live.stream_accounts(stream, kept, f"{tmp_path}/check").awaitTermination()
+    assert kept.commits()[-1] >= 2
+    got, want = kept.table("accounts"), changes.upsert_accounts(accounts, profiles)
+    assert rows_of(got, want.columns) == rows_of(want)
+    assert sorted((r.supabase_user_id, r.display_name, r.email) for r in got.collect()) == [("u0", "d0", "e20"), ("u1", "mine", "e21"), ("u2", "d2", "e22"), ("u3", "d3", "e23"), ("u4", "d4", "e24")]
