@@ -25,6 +25,8 @@ from .places import cell_position, snap
 TASK_NUMBERS = 50_000_000
 #: People of a meetup that one task adds up; a larger meetup is dealt to several and put together.
 TASK_PEOPLE = 50_000
+#: Destination cells of a block, where matrices are joined in blocks, and the numbers of a meetup's block that one task adds up.
+BLOCK_CELLS, BLOCK_NUMBERS = 2048, 16_000_000
 
 
 def id_key(df: DataFrame, column: str) -> Column:
@@ -126,10 +128,10 @@ def best_cell(times: DataFrame) -> DataFrame:
     return best.select("meetup_id", F.col("b.cell").alias("cell_id"), F.col("b.worst").alias("worst_seconds"), F.col("b.total").alias("total"))
 
 
-def task_matrices(rows: DataFrame) -> tuple[np.ndarray, DataFrame] | None:
+def task_matrices(rows: DataFrame, most: int) -> tuple[np.ndarray, DataFrame] | None:
     """All rows as one array, and (matrix_key, origin, place) of each; None if they are too large or ragged for that."""
     size = rows.agg(F.count("*").alias("n"), F.min(F.size("seconds")).alias("a"), F.max(F.size("seconds")).alias("b")).first()
-    if not size["n"] or size["a"] != size["b"] or size["n"] * size["b"] > TASK_NUMBERS:
+    if not size["n"] or size["a"] != size["b"] or size["n"] * size["b"] > most:
         return None
     table = rows.select("matrix_key", "origin", "seconds").toArrow()
     numbers = table.column("seconds").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -198,6 +200,90 @@ def best_cells(good: DataFrame, numbers: np.ndarray, people: DataFrame) -> DataF
     return whole.unionByName(by_cell.select("meetup_id", F.col("b.cell").alias("cell_id"), F.col("b.worst").alias("worst_seconds"), F.col("b.total").alias("total")))
 
 
+def in_blocks(rows: DataFrame, size: int = BLOCK_CELLS) -> DataFrame:
+    """(matrix_key, origin, block, seconds): rows cut into blocks of ``size`` destination cells; store them like that where they are large."""
+    if "block" in rows.columns:
+        return rows
+    cut = F.expr(f"transform(sequence(0, int((size(seconds) - 1) div {size})), b -> slice(seconds, b * {size} + 1, {size}))")
+    return rows.where(F.size("seconds") > 0).select("matrix_key", "origin", F.posexplode(cut).alias("block", "seconds"))
+
+
+def best_cells_in_blocks(good: DataFrame, blocks: DataFrame, people: DataFrame, size: int = BLOCK_CELLS) -> DataFrame:
+    """(meetup_id, cell_id, worst_seconds, total) from good(meetup_id, id, cell_id, k1, k2) and ``in_blocks`` of the matrices.
+
+    A task holds the numbers of one block of one meetup (of a part of its people
+    where there are many), whatever the size of the grid.  Of each block the best
+    cell leaves the task, or its maxima and sums if the people were dealt out.
+    """
+    kind = dict(good.dtypes)["meetup_id"]
+    most = max(1, BLOCK_NUMBERS // (2 * size))
+    parts = F.ceil(F.col("people") / most).cast("int")
+    keyed = good.join(people, "meetup_id").select(
+        "meetup_id", "id", F.col("cell_id").alias("origin"), F.explode(F.array_compact(F.array("k1", "k2"))).alias("matrix_key"), parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")
+    )
+    timed = keyed.join(blocks, ["matrix_key", "origin"]).select("meetup_id", "block", "part", "id", "parts", "seconds")
+    order = ["meetup_id", "block", "part", "id"]
+
+    def firsts(table: pa.Table, columns: list[str]) -> np.ndarray:
+        new = np.ones(len(table), bool)
+        if len(table) > 1:
+            new[1:] = False
+            for c in columns:
+                x = table.column(c)
+                new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy()
+        return np.flatnonzero(new)
+
+    def summed(table: pa.Table) -> pa.RecordBatch:
+        lists = table.column("seconds").combine_chunks()
+        widths = lists.value_lengths().to_numpy()
+        times = np.full((len(table), widths.max()), 1 << 17, np.int32)  # beyond a short block's end: never the best
+        times[np.arange(times.shape[1]) < widths[:, None]] = lists.flatten().to_numpy()
+        person, group = firsts(table, order), firsts(table, order[:3])
+        times = np.minimum.reduceat(times, person, axis=0)
+        starts = np.searchsorted(person, group)
+        worst, total = np.maximum.reduceat(times, starts, axis=0), np.add.reduceat(times, starts, axis=0, dtype=np.int64)
+        cell = ((worst.astype(np.int64) << 44) | total).argmin(axis=1)
+        at, block = np.arange(len(group)), table.column("block").to_numpy()[group]
+        many = table.column("parts").to_numpy()[group] > 1
+        offsets = np.concatenate(([0], np.cumsum(np.where(many, times.shape[1], 0)))).astype(np.int32)
+        arrays = [pa.ListArray.from_arrays(offsets, x[many].ravel()) for x in (worst, total)]
+        columns = [table.column("meetup_id").take(pa.array(group)).combine_chunks(), pa.array(block), pa.array(many), pa.array((block * size + cell).astype(np.int32)), pa.array(worst[at, cell]), pa.array(total[at, cell]), *arrays]
+        return pa.RecordBatch.from_arrays(columns, names=["meetup_id", "block", "many", "cell", "worst", "total", "worsts", "totals"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                table = pa.Table.from_batches([batch.slice(at, 1024)])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                last = int(firsts(table, order[:3])[-1])  # the last group may go on
+                if last:
+                    yield summed(table.slice(0, last))
+                rest = table.slice(last)
+        if rest is not None:
+            yield summed(rest)
+
+    found = stored(
+        timed.repartition(*order[:3]).sortWithinPartitions(*order)
+        .mapInArrow(run, f"meetup_id {kind}, block int, many boolean, cell int, worst int, total long, worsts array<int>, totals array<long>")
+    )
+    by_cell = (
+        found.where("many").select("meetup_id", "block", F.posexplode(F.arrays_zip("worsts", "totals")).alias("i", "x"))
+        .groupBy("meetup_id", (F.col("block") * size + F.col("i")).alias("cell")).agg(F.max("x.worsts").alias("worst"), F.sum("x.totals").alias("total"))
+    )
+    every = found.where("not many").select("meetup_id", "cell", "worst", "total").unionByName(by_cell)
+    best = every.groupBy("meetup_id").agg(F.min(F.struct("worst", "total", "cell")).alias("b"))
+    return best.select("meetup_id", F.col("b.cell").alias("cell_id"), F.col("b.worst").alias("worst_seconds"), F.col("b.total").alias("total"))
+
+
+def seconds_in_blocks(people: DataFrame, blocks: DataFrame, size: int = BLOCK_CELLS) -> DataFrame:
+    """people(k1, k2, cell_id, best, ...) with ``seconds`` to the cell ``best``, each from the one block that holds it."""
+    for k in ("1", "2"):
+        mine = blocks.select(F.col("matrix_key").alias(f"k{k}"), F.col("origin").alias("cell_id"), F.col("block").alias("at"), F.col("seconds").alias(f"s{k}"))
+        people = people.withColumn("at", F.expr(f"int(best div {size})")).join(mine, [f"k{k}", "cell_id", "at"], "left").withColumn(f"s{k}", F.get(f"s{k}", F.col("best") % size)).drop("at")
+    return people.withColumn("seconds", F.least("s1", "s2")).drop("s1", "s2")
+
+
 def seconds_at(people: DataFrame, numbers: np.ndarray) -> DataFrame:
     """people(i1, i2, best, ...) with ``seconds`` to the cell ``best``."""
     shared = people.sparkSession.sparkContext.broadcast(numbers)
@@ -212,7 +298,7 @@ def seconds_at(people: DataFrame, numbers: np.ndarray) -> DataFrame:
     return people.mapInArrow(run, people.withColumn("seconds", F.lit(0)).schema)
 
 
-def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, rows: DataFrame, matrices: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, min_people: int = 0, naive: str = "utc") -> DataFrame:
+def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, rows: DataFrame, matrices: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, min_people: int = 0, naive: str = "utc", task_numbers: int | None = None, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """One row per meetup: status, message, cell_id, position, worst_seconds, per_participant, excluded, transit_key_used.
 
     Outcomes in order: nobody placed; the first participant (created_at, id)
@@ -223,15 +309,16 @@ def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, ro
     without a zone is: a UTC wall clock, or with "local" one of ``tz``.
 
     Participants are located once and stored as narrow rows.  Matrices that fit a
-    task (``TASK_NUMBERS``) go there whole and a meetup is one array; otherwise
-    their rows are joined and exploded by cell.
+    task (``task_numbers``) go there whole and a meetup is one array; otherwise
+    they are joined in blocks of ``block_cells`` destinations, which ``rows`` may
+    have been stored in (``in_blocks``), and a task holds a meetup's block.
     """
     if min_people:
         meetups = meetups.join(min_placed(participants, min_people), F.col("id") == F.col("meetup_id"), "left_semi")
     horizon = matrices.select("matrix_key", "max_seconds")
     narrow = located(participants, meetups, cells, tz, res, naive).select("meetup_id", "id", "name", "created_at", "travel_mode", "cell_id", "transit_key", "k1", "k2")
-    known = task_matrices(rows)
-    places = F.broadcast(known[1]) if known else rows.select("matrix_key", "origin").withColumn("place", F.lit(0))
+    known = None if "block" in rows.columns else task_matrices(rows, TASK_NUMBERS if task_numbers is None else task_numbers)
+    places = F.broadcast(known[1]) if known else rows.select("matrix_key", "origin").distinct().withColumn("place", F.lit(0))
     for k in ("1", "2"):
         narrow = narrow.join(places.select(F.col("matrix_key").alias(f"k{k}"), F.col("origin").alias("cell_id"), F.col("place").alias(f"i{k}")), [f"k{k}", "cell_id"], "left")
         narrow = narrow.join(horizon.select(F.col("matrix_key").alias(f"k{k}"), F.col("max_seconds").alias(f"h{k}")), f"k{k}", "left")
@@ -249,11 +336,9 @@ def rendezvous(meetups: DataFrame, participants: DataFrame, cells: DataFrame, ro
         best = best_cells(good, known[0], sound)
         at_best = seconds_at(good.select(*chosen, "i1", "i2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id"), known[0])
     else:
-        timed = with_rows(good, rows)
-        least = F.when(F.col("k2").isNull(), F.col("s1")).otherwise(F.zip_with("s1", "s2", lambda a, b: F.least(a, b)))
-        best = best_cell(timed.select("meetup_id", least.alias("times")))
-        # Only the chosen cell of each row is read here; the element-wise minimum is not made again.
-        at_best = timed.select(*chosen, "s1", "s2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id").withColumn("seconds", F.least(F.get("s1", F.col("best")), F.get("s2", F.col("best"))))
+        blocks = in_blocks(rows, block_cells)
+        best = best_cells_in_blocks(good, blocks, sound, block_cells)
+        at_best = seconds_in_blocks(good.select(*chosen, "cell_id", "k1", "k2").join(best.select("meetup_id", F.col("cell_id").alias("best")), "meetup_id"), blocks, block_cells)
     people = F.sort_array(F.collect_list(F.struct("created_at", "id", "name", "seconds", "horizon")))
     answered = at_best.groupBy("meetup_id").agg(people.alias("people"))
     _, excluded = split_positioned(participants)

@@ -151,6 +151,13 @@ def answers(m: Model) -> DataFrame:
     return meet.rendezvous(m.meetups, m.participants, m.cells, m.times, m.matrices, ZONE, RES)
 
 
+@query()
+def rendezvous_naive_local(m: Model) -> DataFrame:
+    """The same from starts that are local wall clocks without a zone."""
+    local_ = m.meetups.withColumn("starts_at", times.to_local(F.col("starts_at"), ZONE))
+    return flat_answers(meet.rendezvous(local_, m.participants, m.cells, m.times, m.matrices, ZONE, RES, naive="local"))
+
+
 @query(BOTH + "SELECT id AS participant_id, min(s) FILTER (WHERE s > 0) AS least, count(*) FILTER (WHERE s < 65535) AS reachable, CAST(sum(s) AS BIGINT) AS total FROM times GROUP BY id", ("meetups", "participants"))
 def participant_best_time(m: Model) -> DataFrame:
     timed = meet.participant_times(m.participants, m.meetups, m.cells, m.times, ZONE, RES).where("times is not null")
@@ -174,6 +181,15 @@ def rendezvous(m: Model) -> DataFrame:
     return flat_answers(answers(m))
 
 
+@query()
+def rendezvous_in_blocks(m: Model) -> DataFrame:
+    """The same where the matrices are too large for a task: joined in blocks of 100 destinations."""
+    return flat_answers(meet.rendezvous(m.meetups, m.participants, m.cells, meet.in_blocks(m.times, 100), m.matrices, ZONE, RES, block_cells=100))
+
+
+SQL["rendezvous_in_blocks"] = SQL["rendezvous_naive_local"] = SQL["rendezvous"]  # the same answers
+
+
 def flat_answers(df: DataFrame) -> DataFrame:
     people = F.transform("per_participant", lambda p: F.concat_ws(":", p["participant_id"].cast("string"), p["seconds"].cast("string")))
     return df.select(
@@ -490,14 +506,14 @@ def ingested_matrices(m: Model) -> DataFrame:
 def dataset_checks(m: Model) -> DataFrame:
     folder = written_dataset(m)
     found = dataset.read_manifest(m.spark, f"{folder}/manifest.json")
-    checks = dataset.validate_dataset(found, dataset.read_grid(m.spark, f"{folder}/grid.json"), dataset.ingest_matrices(m.spark, folder, found))
+    checks = dataset.validate_dataset(found, dataset.read_grid(m.spark, dataset.grid_path(m.spark, folder)), dataset.ingest_matrices(m.spark, folder, found))
     return checks.select("check", "key", "ok")
 
 
 @query("SELECT cell_id AS cell_id, round(lat, 6) AS lat, round(lon, 6) AS lon, 'v1' AS grid_version FROM cells WHERE cell_id IN (SELECT l_partkey % 663 FROM lineitem)")
 def grid_cells(m: Model) -> DataFrame:
     """Cells of the written grid that some trip starts from."""
-    grid = dataset.read_grid(m.spark, f"{written_dataset(m)}/grid.json")
+    grid = dataset.read_grid(m.spark, dataset.grid_path(m.spark, written_dataset(m)))
     used = grid.join(m.trips.select(F.col("origin").cast("int").alias("cell_id")).distinct(), "cell_id", "left_semi")
     return used.select("cell_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "grid_version")
 

@@ -84,6 +84,71 @@ def test_tables_places_and_evolution(spark, tmp_path):
     assert [(r.key, r.label, r.context, r.lat, r.lon) for r in got] == [("?1-1", "", "", 2.0, 1.0), ("N5-0", "Cafe, Graben 1", "Wien", 48.2, 16.3)]
 
 
+def test_written_data_set_is_read_back(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    made = {k: rng.integers(0, 4000, (50, 50)) for k in ("walk", "car", "bike")}
+    made["car"][3] = UNREACHABLE
+    rows = spark.createDataFrame([(k, o, m[o].tolist()) for k, m in made.items() for o in range(50)], "matrix_key string, origin int, seconds array<int>").repartition(7)
+    cells = spark.createDataFrame([(i, 48 + i / 3, 16.1) for i in range(50)], "cell_id int, lat double, lon double").repartition(3)
+    folder = f"{tmp_path}/set"
+    dataset.write_dataset(rows, cells, folder, "v7", 3600, {"car": "Europe/Vienna"})
+    matrices = dataset.read_manifest(spark, f"{folder}/manifest.json")
+    assert {r.matrix_key: r.min_seconds for r in matrices.collect()} == {k: int(m[m != UNREACHABLE].min()) for k, m in made.items()}
+    for key, file in [(r.matrix_key, r.file) for r in matrices.collect()]:
+        assert (np.load(f"{folder}/{file}") == made[key]).all()  # as any reader of the format sees it
+    for block in (1, 700, 8 << 20):
+        got = dataset.ingest_matrices(spark, folder, matrices, block).collect()
+        assert len(got) == 150 and all(r.seconds == made[r.matrix_key][r.origin].tolist() for r in got)
+    assert sorted(map(str, dataset.whole_files(spark, folder, matrices).collect())) == sorted(map(str, got))
+    grid = dataset.read_grid(spark, dataset.grid_path(spark, folder))
+    dataset.require_valid(dataset.validate_dataset(matrices, grid, dataset.ingest_matrices(spark, folder, matrices)))
+    assert [(r.cell_id, r.lat) for r in grid.orderBy("cell_id").collect()] == [(i, 48 + i / 3) for i in range(50)]
+    for bad in (rows.where("origin <> 7 or matrix_key <> 'bike'"), rows.withColumn("seconds", F.expr("slice(seconds, 1, 50 - int(origin = 4))"))):
+        with pytest.raises(ValueError, match="bike"):
+            dataset.write_dataset(bad, cells, f"{tmp_path}/bad", "v7", 3600)
+
+
+def test_a_matrix_of_over_two_gigabytes_is_read_by_ranges(spark, tmp_path):
+    n = 33_000
+    with open(f"{tmp_path}/big.npy", "wb") as f:  # a sparse file: only the last row is on disk
+        np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (n, n)})
+        start = f.tell()
+        f.seek(start + 2 * n * (n - 1))
+        f.write((np.arange(n) % 60_000).astype("<u2").tobytes())
+    named = spark.createDataFrame([("walk", "big.npy")], "matrix_key string, file string")
+    uri = dataset.shared_uri(spark, str(tmp_path))
+    ranges = dataset.matrix_ranges(named, uri, 8 << 20)
+    assert ranges.agg(F.sum("rows"), F.max("rows")).first()[:] == (n, (8 << 20) // (2 * n))
+    last = dataset.read_ranges(ranges.where(F.col("first") + F.col("rows") == n), uri).orderBy("origin").collect()
+    assert last[-1].origin == n - 1 and last[-1].seconds == (np.arange(n) % 60_000).tolist() and set(last[0].seconds) == {0}
+
+
+def test_short_and_strange_files_are_refused(spark, tmp_path):
+    np.save(tmp_path / "short.npy", np.zeros((9, 9), np.uint16))
+    with open(tmp_path / "short.npy", "r+b") as f:
+        f.truncate(200)
+    np.save(tmp_path / "columns.npy", np.asfortranarray(np.zeros((3, 4), np.uint16)))
+    for file, what in (("short.npy", "ends before"), ("columns.npy", "stored by row")):
+        with pytest.raises(Exception, match=what):
+            dataset.ingest_matrices(spark, str(tmp_path), spark.createDataFrame([("walk", file)], "matrix_key string, file string")).collect()
+
+
+def test_tables_over_jdbc(spark):
+    url = "jdbc:derby:memory:meetpoint;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    values = {"string": "'a' || id", "double": "id + 0.5D", "bigint": "id", "boolean": "id % 2 = 0", "timestamp": "timestamp'2026-01-01 10:00:00'", "timestamp_ntz": "timestamp'2026-01-01 11:00:00'", "date": "date'2026-01-01'", "array<string>": "'[\"x\", \"y\"]'", "map<string,string>": "'{\"k\": \"v\"}'"}
+    for name, schema in dataset.TABLES.items():  # one column more than is read
+        columns = [f"{values[k.lower()]} as {c.upper()}" for c, k in (x.split() for x in schema.split(", "))]
+        spark.range(6).selectExpr(*columns, "1 as OTHER").write.jdbc(url, name.upper(), properties=driver)
+    tables = dataset.read_tables(spark, url, "jdbc", {"happenings": ("id", 0, 6, 3)})
+    for name, schema in dataset.TABLES.items():
+        assert tables[name].schema.simpleString().lower() == spark.createDataFrame([], schema).schema.simpleString().lower()
+        assert tables[name].count() == 6
+    assert tables["happenings"].rdd.getNumPartitions() == 3 and sorted(r.id for r in tables["happenings"].collect()) == list(range(6))
+    r = next(r for r in tables["accounts"].collect() if r.id == "a2")
+    assert (r.providers, r.auth_metadata, r.is_active) == (["x", "y"], {"k": "v"}, True)
+
+
 PEOPLE = "id long, meetup_id long, account_id long, name string, travel_mode string, latitude double, longitude double, created_at long"
 
 

@@ -74,3 +74,45 @@ def test_snapping(spark):
     named = places.snap_by_id(spark.createDataFrame([("x",), ("y",)], "h3 string"), spark.createDataFrame([("x", 4)], "h3 string, cell_id int"))
     assert sorted(r.cell_id for r in named.collect()) == [-1, 4]
     assert places.cell_position(named, spark.createDataFrame([(4, 1.0, 2.0)], "cell_id int, lat double, lon double")).where("position is null").count() == 1
+
+
+def test_ever_nearest_keeps_what_any_start_can_show(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, k, rng.randrange(40) * (1.0 if g else 0.0), rng.randrange(60)) for g in range(3) for k in range(400 if g < 2 else 3)]
+    shown = spark.createDataFrame(rows, "spot long, event_id long, distance_meters double, at long").selectExpr("*", "timestamp_ntz'2026-08-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(at as int), 0) as latest")
+    for limit in (1, 5):
+        kept = happenings.ever_nearest(shown.repartition(3), ["spot"], limit).collect()
+        out = {(r.spot, r.event_id) for r in kept}
+        assert len(out) == len(kept)
+        for g in range(3):
+            mine = [r for r in rows if r[0] == g]
+            want = set()
+            for t in range(61):
+                still = sorted(r[2] for r in mine if r[3] >= t)
+                if still:
+                    last = still[min(limit, len(still)) - 1]
+                    want |= {r[1] for r in mine if r[3] >= t and r[2] <= last}
+            assert {k for s, k in out if s == g} == want
+
+
+def test_few_of_many_events_stay(spark, monkeypatch):
+    n = 100_000
+    shown = spark.range(n).selectExpr("0 as spot", "id as event_id", "rand(1) * 1000 as distance_meters", "timestamp_ntz'2026-08-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, rand(2) * 86400) as latest")
+    kept = happenings.ever_nearest(shown, ["spot"], 20)
+    assert 150 < kept.count() < 400  # 20 * (1 + log(n / 20)) = 190
+    monkeypatch.setattr(happenings, "ARRAY_EVENTS", 50)
+    sizes = {r.chunk: r["count"] for r in happenings.ever_nearest(shown, ["spot"], 20).groupBy("chunk").count().collect()}
+    assert len(sizes) > 2 and max(sizes.values()) == 50
+
+
+def test_events_of_naive_local_starts(spark):
+    meetups = spark.sql("select 1L as id, timestamp_ntz'2026-08-05 21:30:00' as starts_at")
+    occ = [(1, 1, dt.datetime(2026, 8, 5, 19, 0), dt.datetime(2026, 8, 5, 21, 0), dt.date(2026, 8, 5), False), (2, 1, dt.datetime(2026, 8, 5, 20, 0), dt.datetime(2026, 8, 5, 22, 0), dt.date(2026, 8, 5), False)]
+    occurrences = spark.createDataFrame(occ, "id long, event_id long, start_utc timestamp_ntz, start_local timestamp_ntz, date_local date, all_day boolean")
+    near = spark.sql("select 1L as meetup_id, 1L as event_id")
+    assert [r.occurrence_id for r in happenings.next_occurrence(meetups, occurrences, near, naive="local").collect()] == [2]
+    assert happenings.next_occurrence(meetups, occurrences, near).count() == 0
+    zoned = occurrences.withColumn("start_utc", F.col("start_utc").cast("timestamp"))
+    assert [r.occurrence_id for r in happenings.next_occurrence(meetups, zoned, near, naive="local").collect()] == [2]
