@@ -94,7 +94,8 @@ def matrix_keys(mode: Column, transit_key: Column) -> Column:
 
 def located(participants: DataFrame, meetups: DataFrame, cells: DataFrame, tz: str = DEFAULT_TIMEZONE, res: int = 9, naive: str = "utc") -> DataFrame:
     """Placed participants with cell_id, transit_key, and the one or two matrix keys of their mode: keys, k1, k2."""
-    m = meetups.select(F.col("id").alias("meetup_id"), pick_transit_key(to_local(F.col("starts_at"), tz, naive)).alias("transit_key"))
+    local = meetups.select(F.col("id").alias("meetup_id"), to_local(F.col("starts_at"), tz, naive).alias("local"))  # by itself: the choice reads it often
+    m = local.select("meetup_id", pick_transit_key(F.col("local")).alias("transit_key"))
     placed = snap(participants.where(is_placed()), cells, res).join(m, "meetup_id")
     placed = placed.withColumn("keys", matrix_keys(F.col("travel_mode"), F.col("transit_key")))
     return placed.withColumns({"k1": F.get("keys", F.lit(0)), "k2": F.get("keys", F.lit(1))})

@@ -116,3 +116,25 @@ def test_events_of_naive_local_starts(spark):
     assert happenings.next_occurrence(meetups, occurrences, near).count() == 0
     zoned = occurrences.withColumn("start_utc", F.col("start_utc").cast("timestamp"))
     assert [r.occurrence_id for r in happenings.next_occurrence(meetups, zoned, near, naive="local").collect()] == [2]
+
+
+def test_crowded_spots_are_dealt_out(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    day = dt.date(2026, 8, 5)
+    rows = [(k, 48.2 + rng.randrange(90) * 1e-4, 16.37 + rng.randrange(90) * 1e-4, rng.randrange(24)) for k in range(300)]
+    events = spark.createDataFrame([r[:3] for r in rows], "id long, lat double, lon double").withColumn("disappeared_at", F.lit(None).cast("timestamp"))
+    occ = spark.createDataFrame([(k, k, dt.datetime(2026, 8, 5, h), day, k % 11 == 0) for k, _, _, h in rows], "id long, event_id long, start_utc timestamp_ntz, date_local date, all_day boolean")
+    centres = spark.createDataFrame([(g, dt.datetime(2026, 8, 5, g), day, 48.204, 16.374) for g in range(24)], "meetup_id long, starts_at timestamp_ntz, date_local date, centre_lat double, centre_lon double")
+    at = {r.id: r.d for r in events.select("id", distance_meters(F.col("lat"), F.col("lon"), F.lit(48.204), F.lit(16.374)).alias("d")).collect()}
+    for size in (4000, 37):
+        monkeypatch.setattr(happenings, "ARRAY_EVENTS", size)
+        got = {}
+        for r in happenings.nearest_showing(centres, events, occ, 600, 5).collect():
+            got.setdefault(r.meetup_id, set()).add(r.event_id)
+        for g in range(24):
+            still = sorted(at[k] for k, _, _, h in rows if (h >= g or k % 11 == 0) and at[k] <= 600)
+            last = still[min(5, len(still)) - 1]
+            least = {k for k, _, _, h in rows if (h >= g or k % 11 == 0) and at[k] <= last}
+            assert least <= got[g] and (size == 37 or got[g] == least)
