@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_key, distance_meters
+from ..sources.dataset import stored
 
 #: Metres of a degree of latitude, a little less than the true value.
 DEGREE = 111_000.0
+#: Left rows of a bucket that one task joins; a bucket with more is dealt to several.
+BUCKET_ROWS = 20_000
+#: Each ring of a search for the nearest is so many times as wide as the one before, and this many rings lead to the full width.
+WIDER, RINGS = 4, 5
 
 
 def snap(points: DataFrame, cells: DataFrame, res: int = 9, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
@@ -35,7 +40,8 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, keys: tuple[
     three bands that its circle can touch, and within a band to the buckets of
     longitude that it can touch there, whose width follows the band's latitude.
     ``keys`` are columns that must be equal too.  Column names of the two sides
-    must differ but for the keys.  Null and NaN coordinates match nothing.
+    must differ but for the keys.  Null and NaN coordinates match nothing.  A bucket
+    with over BUCKET_ROWS left rows is dealt to several keys by a hash of the rows.
     """
     height = radius / DEGREE
 
@@ -56,7 +62,14 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, keys: tuple[
     x = F.floor(F.pmod(F.col(r[1]), F.lit(360.0)) / width(F.col("__b"))).cast("long")
     # The last bucket of the circle may be narrow, so two on either side are taken.
     c = c.withColumn("__x", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda d: F.pmod(x + d, around)))))
-    joined = a.join(c, [*keys, "__b", "__x"]).drop("__b", "__x")
+    bucket = [*keys, "__b", "__x"]
+    dense = stored(a.groupBy(*bucket).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("__parts")).where("__parts > 1"))
+    if not dense.isEmpty():
+        one = F.coalesce("__parts", F.lit(1))
+        a = a.join(dense, bucket, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), one).cast("int")).drop("__parts")
+        c = c.join(dense, bucket, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), one - 1))).drop("__parts")
+        bucket.append("__part")
+    joined = a.join(c, bucket).drop("__b", "__x", "__part")
     return joined.withColumn("distance_meters", distance_meters(F.col(l[0]), F.col(l[1]), F.col(r[0]), F.col(r[1]))).where(F.col("distance_meters") <= radius)
 
 
@@ -64,8 +77,21 @@ def nearest_place(points: DataFrame, places: DataFrame, id_column: str, max_mete
     """points(id, lat, lon, ...) with the nearest places within ``max_meters``: place_id, distance_meters, rank; null without one.
 
     places(place_id, place_lat, place_lon, ...); ties go to the smaller place_id.
+    The search widens ring by ring: a point that has k places within a ring is
+    certain of them and leaves, so dense places are searched in small rings, and
+    wide rings are for points with few places around.  Of places at one spot only
+    the first k can be among the nearest.  Points with an id of their own each.
     """
-    near = within_radius(points.select(id_column, "lat", "lon"), places, max_meters, r=("place_lat", "place_lon")).drop("lat", "lon")
+    spot = Window.partitionBy("place_lat", "place_lon").orderBy("place_id")
+    few = stored(places.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k).drop("__n"))
     order = Window.partitionBy(id_column).orderBy("distance_meters", "place_id")
-    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return points.join(best, id_column, "left")
+    left, found = stored(points.select(id_column, "lat", "lon")), None
+    for ring in reversed(range(RINGS)):
+        near = within_radius(left, few, max_meters / WIDER**ring, r=("place_lat", "place_lon")).drop("lat", "lon")
+        best = stored(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        certain = best if not ring else best.join(best.where(F.col("rank") == k).select(id_column), id_column, "left_semi")
+        found = certain if found is None else found.unionByName(certain)
+        left = stored(left.join(certain.select(id_column), id_column, "left_anti"))
+        if left.isEmpty():
+            break
+    return points.join(found, id_column, "left")

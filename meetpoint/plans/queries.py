@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,6 +251,22 @@ def bake_matrix(m: Model) -> DataFrame:
     )
 
 
+@query(
+    f""", p AS (SELECT mode, origin, dest, quantile_cont(seconds, 0.5) FILTER (WHERE departed_at < DATE '1998-07-01') AS early50, quantile_cont(seconds, 0.9) FILTER (WHERE departed_at < DATE '1998-07-01') AS early90,
+      quantile_cont(seconds, 0.5) FILTER (WHERE departed_at >= DATE '1998-07-01') AS late50, quantile_cont(seconds, 0.9) FILTER (WHERE departed_at >= DATE '1998-07-01') AS late90 FROM trips GROUP BY ALL),
+    l AS (SELECT mode, name, CAST(floor(q + 0.5e0) AS BIGINT) AS s FROM p UNPIVOT (q FOR name IN (early50, early90, late50, late90)))
+    SELECT mode || '_' || left(name, length(name) - 2) || '_p' || right(name, 2) AS matrix_key, count(*) FILTER (WHERE s <= {MAX_SECONDS}) AS reachable,
+    CAST(coalesce(sum(s) FILTER (WHERE s <= {MAX_SECONDS}), 0) AS BIGINT) AS total, CAST({N_CELLS} AS BIGINT) AS origins FROM l GROUP BY 1""", ("trips",))
+def bake_windows(m: Model) -> DataFrame:
+    """Two windows of departures and two percentiles from one pass over the trips."""
+    day = dt.date(1998, 7, 1)
+    baked = matrix.bake_matrices(m.trips, m.cells, {"early": (dt.date(1900, 1, 1), day), "late": (day, dt.date(2100, 1, 1))}, {"p50": 0.5, "p90": 0.9}, MAX_SECONDS)
+    reached = F.filter("seconds", lambda s: s != UNREACHABLE)
+    return baked.groupBy("matrix_key").agg(
+        F.sum(F.size(reached)).alias("reachable"), F.sum(F.aggregate(reached, F.lit(0).cast("long"), lambda a, s: a + s)).alias("total"), F.count("*").alias("origins")
+    )
+
+
 # --- events near the rendezvous ---
 
 def haversine(a1: str, o1: str, a2: str, o2: str) -> str:

@@ -68,6 +68,22 @@ def test_bake(spark):
     assert got == {0: [UNREACHABLE, 200, UNREACHABLE], 1: [UNREACHABLE] * 3, 2: [UNREACHABLE] * 3}
 
 
+def test_bakes_of_windows_and_percentiles(spark):
+    rng = np.random.default_rng(4)
+    trips = [("walk" if k % 3 else "car", int(rng.integers(4)), int(rng.integers(4)), int(rng.integers(10)), int(rng.choice([5, 60, 3590, 3600, 3601, 3620, 9000]))) for k in range(900)]
+    df = spark.createDataFrame(trips, "mode string, origin int, dest int, departed_at int, seconds int").repartition(3)
+    cells = spark.range(4).select(F.col("id").cast("int").alias("cell_id"))
+    windows, percentiles = {"": None, "early": (0, 5), "none": (50, 60), "mid": (3, 8)}, {"p50": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0}
+    got = {(r.mode, r.departures, r.percentile, r.origin): (r.matrix_key, r.seconds) for r in matrix.bake_matrices(df, cells, windows, percentiles).collect()}
+    assert len(got) == 2 * 3 * 4 * 4
+    for (mode, w, p, origin), (key, seconds) in got.items():
+        assert key == "_".join(x for x in (mode, w, p) if x)
+        for dest in range(4):
+            s = [t[4] for t in trips if t[:3] == (mode, origin, dest) and (windows[w] is None or windows[w][0] <= t[3] < windows[w][1])]
+            value = int(np.floor(np.percentile(s, 100 * percentiles[p]) + 0.5)) if s else UNREACHABLE
+            assert seconds[dest] == (value if value <= 3600 else UNREACHABLE)
+
+
 def test_tables_places_and_evolution(spark, tmp_path):
     old = spark.createDataFrame([(1, "a")], "id long, name string")
     new = spark.createDataFrame([(2, "b", 1.5)], "id long, name string, latitude double")

@@ -138,3 +138,49 @@ def test_crowded_spots_are_dealt_out(spark, monkeypatch):
             last = still[min(5, len(still)) - 1]
             least = {k for k, _, _, h in rows if (h >= g or k % 11 == 0) and at[k] <= last}
             assert least <= got[g] and (size == 37 or got[g] == least)
+
+
+def metres(spark, pairs):
+    """Distances of (lat, lon, lat, lon) by the library's own formula."""
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a double, b double, c double, d double")
+    return {r.i: r.m for r in df.select("i", distance_meters(*map(F.col, "abcd")).alias("m")).collect()}
+
+
+def test_dense_buckets_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(4)
+    crowd = [(k, 48.2 + rng.random() * 1e-3, 16.37 + rng.random() * 1e-3) for k in range(300)] + [(k, 48 + rng.random(), 16 + rng.random()) for k in range(300, 400)]
+    spots = [(k, 48.2 + rng.random() * 2e-3, 16.37 + rng.random() * 2e-3) for k in range(30)]
+    far = metres(spark, [(a, b, c, d) for _, a, b in crowd for _, c, d in spots])
+    want = sorted((i, j) for n, (i, j) in enumerate((i, j) for i, _, _ in crowd for j, _, _ in spots) if far[n] <= 60)
+    left, right = spark.createDataFrame(crowd, "i long, lat double, lon double"), spark.createDataFrame(spots, "j long, x double, y double")
+    for rows in (20_000, 10):
+        monkeypatch.setattr(places, "BUCKET_ROWS", rows)
+        found = places.within_radius(left, right, 60, r=("x", "y"))
+        assert sorted((r.i, r.j) for r in found.collect()) == want and len(want) > 100
+        assert found.columns == ["i", "lat", "lon", "j", "x", "y", "distance_meters"]
+
+
+def test_nearest_places_ring_by_ring(spark):
+    rng = random.Random(5)
+    dense = [(48.2 + rng.random() * 1e-4, 16.37 + rng.random() * 1e-4) for _ in range(400)]
+    loose = [(48.1 + rng.random() * 0.05, 16.3 + rng.random() * 0.05) for _ in range(60)]
+    spots = [(k, *p) for k, p in enumerate([*dense, *loose, *[(48.2005, 16.3705)] * 50])]
+    asked = [(k, *p) for k, p in enumerate([*[dense[0]] * 3, *[(48.2005, 16.3705)] * 2, *((48.1 + rng.random() * 0.06, 16.3 + rng.random() * 0.06) for _ in range(40)), (10.0, 10.0)])]
+    asked.append((99, None, None))
+    solid = [p for p in asked if p[1] is not None]
+    far = metres(spark, [(a, b, c, d) for _, a, b in solid for _, c, d in spots])
+    for k in (1, 3):
+        found = places.nearest_place(spark.createDataFrame(asked, "id long, lat double, lon double"), spark.createDataFrame(spots, "place_id long, place_lat double, place_lon double"), "id", 2000, k)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.id, []).append((r.rank, r.place_id))
+        for n, (i, _, _) in enumerate(solid):
+            near = sorted((far[n * len(spots) + j], spots[j][0]) for j in range(len(spots)) if far[n * len(spots) + j] <= 2000)[:k]
+            assert sorted(got[i]) == ([(r, p) for r, (_, p) in enumerate(near, 1)] or [(None, None)])
+        assert got[99] == [(None, None)]
+
+
+def test_few_places_of_one_spot_are_searched(spark):
+    spots = spark.range(200_000).selectExpr("id as place_id", "48.2D as place_lat", "16.37D as place_lon")
+    asked = spark.range(2000).selectExpr("id", "48.2D + id * 1e-8 as lat", "16.37D as lon")
+    assert places.nearest_place(asked, spots, "id", k=2).groupBy("place_id", "rank").count().orderBy("rank").collect() == [(0, 1, 2000), (1, 2, 2000)]
