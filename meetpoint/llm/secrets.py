@@ -1,27 +1,36 @@
 """Secrets in text: patterns, and tokens that pass a battery of randomness tests.
 
-For a token over an encoding's alphabet four tests measure how far it is from
-uniform, independent symbols: chi-squared over all symbols of the alphabet,
-chi-squared over classes of it, runs about its middle, and lag-one serial
+For a token over an encoding's alphabet six tests measure how far it is from
+uniform, independent symbols: chi-squared over all symbols of the alphabet, over
+classes of it, and over the letters that words have often against the others; runs
+about its middle and runs of letters, capitals and digits; lag-one serial
 correlation.  Fisher's statistic joins them; random material has a small one.
 
 How small it must be is told by decoys: identifiers of like length, made of the
 words of the documents themselves (a name in camel case, with underscores or
-slashes, and digits), one for each document.  The share of decoys with no larger a
-statistic is a token's p-value under "ordinary", and the Benjamini-Hochberg rule
-within each class of lengths bounds the share of ordinary tokens among those
-reported by ``alpha``.  It needs only histograms of statistics, which are small.
+slashes, and digits), one for each document and each tested token, and of a fixed
+list of words, so that there are always some.  The share of decoys with no larger a
+statistic is a token's p-value under "ordinary".  Below the lowest twentieth of the
+decoys, where there are too few to count, it is fitted: the logarithm of the share
+falls at least as fast as it does there.  So p gets as small as it must for a few
+secrets among very many ordinary tokens.  The Benjamini-Hochberg rule
+over all lengths bounds the share of ordinary tokens among those reported by
+``alpha``; a token that occurs often counts once.  It needs only histograms of
+statistics, which are small whatever the corpus.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from bisect import bisect_right
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -42,10 +51,17 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Classes of the statistic: quarters, the last open.
-BINS = 400
-#: Lengths from 2 ** (LONGEST - 1) on are one class.
-LONGEST = 8
+#: Classes of the statistic, 64 for each doubling; the last is open.
+BINS = 1024
+#: Lengths have four classes for each doubling; the last, from 256 symbols on, is open.
+LONGEST = 32
+# Letters that words of many European languages have often, and words that identifiers are made of.
+COMMON = set("etaoinsrlETAOINSRL")
+NAMES = (
+    "get set user name value index file path data list item count size time date start end first last next node tree table row column query "
+    "result error message handler service client server request response option default parse format build create update delete load save "
+    "read write open close send stream buffer cache queue event state action context manager factory controller model view test helper core"
+).split()
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 MIXED = re.compile(r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]")
 
@@ -94,7 +110,7 @@ def sparse_tail(x: float, dof: int, n: int) -> float:
 
 
 def battery(token: str, alphabet: str) -> float:
-    """Fisher's statistic of the four tests; large where the token is not random over the alphabet."""
+    """Fisher's statistic of the six tests; large where the token is not random over the alphabet."""
     n, size = len(token), len(alphabet)
     place = {c: i for i, c in enumerate(alphabet)}
     values = [place[c] for c in token]
@@ -123,7 +139,33 @@ def battery(token: str, alphabet: str) -> float:
     power = sum(x * x for x in d)
     r = sum(a * b for a, b in zip(d, d[1:], strict=False)) / power if power else 1.0
     p3 = math.erfc(abs(r) * math.sqrt(n / 2))
-    return -2 * sum(math.log(max(p, 1e-300)) for p in (p0, p1, p2, p3))
+    p4, p5 = class_runs(token, alphabet), common_letters(token, alphabet)
+    return -2 * sum(math.log(max(p, 1e-300)) for p in (p0, p1, p2, p3, p4, p5))
+
+
+def kind_of(symbol: str) -> int:
+    return 0 if "a" <= symbol <= "z" else 1 if "A" <= symbol <= "Z" else 2 if "0" <= symbol <= "9" else 3
+
+
+def class_runs(token: str, alphabet: str) -> float:
+    """Two-sided normal tail of the number of places where small letters, capitals, digits and others change."""
+    n, kinds = len(token), [kind_of(c) for c in alphabet]
+    shares = [kinds.count(k) / len(kinds) for k in set(kinds)]
+    p = 1 - sum(x * x for x in shares)
+    if not p:
+        return 1.0
+    twice = sum(x * (1 - x) ** 2 for x in shares)  # a change on either side of a symbol
+    var = (n - 1) * p * (1 - p) + 2 * (n - 2) * (twice - p * p)
+    changes = sum(kind_of(a) != kind_of(b) for a, b in zip(token, token[1:], strict=False))
+    return math.erfc(abs(changes - (n - 1) * p) / math.sqrt(2 * max(var, 1e-9)))
+
+
+def common_letters(token: str, alphabet: str) -> float:
+    """Two-sided normal tail of the number of common letters among the token's letters."""
+    letters = [c for c in alphabet if kind_of(c) < 2]
+    q = sum(c in COMMON for c in letters) / len(letters)
+    mine = [c for c in token if kind_of(c) < 2]
+    return math.erfc(abs(sum(c in COMMON for c in mine) - len(mine) * q) / math.sqrt(2 * len(mine) * q * (1 - q))) if mine else 1.0
 
 
 def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
@@ -157,48 +199,73 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
 WORDS = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_-])")
 
 
-def decoy(text: str) -> tuple[int, float] | None:
-    """(length, statistic) of an identifier made of some of the text's words, from a hashed place on; None without enough words."""
-    roll = xxhash.xxh64_intdigest(text.encode(errors="surrogatepass"), 7)
-    least = 20 if roll % (LONGEST - 4) == 0 else 1 << (roll % (LONGEST - 4) + 4)
-    length = least + (roll >> 8) % (min(2 * least, 32) - least if least == 20 else least)
-    style = (roll >> 20) % 3
-    at = (roll >> 24) % max(1, len(text) - 6 * length)
+def identifier(words, length: int, style: int, number: int) -> str | None:
+    """The words joined into a name of ``length`` symbols; None if there are too few."""
     made, size = [], 0
-    for k, m in enumerate(WORDS.finditer(text, at)):
-        word = m[0].capitalize() if style == 0 else m[0].lower()
+    for k, word in enumerate(words):
+        word = word.capitalize() if style == 0 else word.lower()
         if k % 3 == 1:
-            word += str((roll >> 40) % 100)
+            word += str(number)
         made.append(word)
         size += len(word) + (style > 0)
         if size >= length:
             break
     token = ("", "_", "/")[style].join(made)[:length]
-    encoding = infer_encoding(token) if len(token) == length else None
-    return (length, battery(token, encoding[1])) if encoding else None
+    return token if len(token) == length else None
+
+
+def tested_decoy(token: str | None) -> tuple[int, int] | None:
+    encoding = infer_encoding(token) if token else None
+    return (length_class(len(token)), s_bin(battery(token, encoding[1]))) if encoding else None
+
+
+def decoys(text: str, lengths: list[int]) -> list[tuple[int, int]]:
+    """(length class, statistic's class) of identifiers made of the text's words from hashed places on: one of each length and one of any."""
+    found, data = [], text.encode(errors="surrogatepass")
+    for k, length in enumerate([0, *lengths]):
+        roll = xxhash.xxh64_intdigest(data, 7 + k)
+        length = length or 20 + (roll >> 8) % 108
+        at = (roll >> 24) % max(1, len(text) - 6 * length)
+        words = (m[0] for m in WORDS.finditer(text, at))
+        found.append(tested_decoy(identifier(words, length, (roll >> 20) % 3, (roll >> 40) % 100)))
+    return [x for x in found if x]
+
+
+@cache
+def prior_decoys(each: int = 1000) -> np.ndarray:
+    """Histogram (length class, statistic's class) of identifiers made of the fixed words, ``each`` of every length class."""
+    counts, rng = np.zeros((LONGEST + 1, BINS), np.int64), random.Random(0)
+    for k in range(length_class(20), LONGEST + 1):
+        lengths = [n for n in range(20, 300) if length_class(n) == k]
+        for _ in range(each):
+            words = rng.choices(NAMES, k=200)
+            made = tested_decoy(identifier(words, rng.choice(lengths), rng.randrange(3), rng.randrange(100)))
+            if made:
+                counts[made] += 1
+    return counts
 
 
 SCANNED = (
     "doc_id long, n_assign long, n_access long, n_hex long, base string, "
-    "tested array<struct<start: int, stop: int, length_class: int, s_bin: int>>, decoy struct<length_class: int, s_bin: int>"
+    "tested array<struct<start: int, stop: int, length_class: int, s_bin: int, token: long>>, decoys array<struct<length_class: int, s_bin: int>>"
 )
 
 
 def s_bin(statistic: float) -> int:
-    return min(BINS - 1, int(4 * statistic))
+    return min(BINS - 1, int(64 * math.log2(1 + statistic)))
 
 
 def length_class(length: int) -> int:
-    return min(LONGEST, length.bit_length())
+    return min(LONGEST, int(4 * math.log2(length)))
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): base counts, base spans (kind:start:end text), tested tokens and the text's decoy."""
+    """Per row of docs(doc_id, text): base counts, base spans (kind:start:end text), tested tokens and the text's decoys."""
 
     def run(batches):
         for batch in batches:
             counts = [[], [], []]
-            bases, tests, decoys = [], [], []
+            bases, tests, made = [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 base, tested = scan(text)
@@ -206,39 +273,75 @@ def scan_texts(docs: DataFrame) -> DataFrame:
                     column.append(sum(kind == k for _, kind, _ in base))
                 bases.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base))
                 tests.append([
-                    {"start": s, "stop": e, "length_class": length_class(e - s), "s_bin": s_bin(x)}
+                    {"start": s, "stop": e, "length_class": length_class(e - s), "s_bin": s_bin(x), "token": xxhash.xxh64_intdigest(text[s:e].encode()) - (1 << 63)}
                     for s, e, x in tested
                 ])
-                made = decoy(text)
-                decoys.append({"length_class": length_class(made[0]), "s_bin": s_bin(made[1])} if made else None)
-            ints = lambda *names: pa.struct([(n, pa.int32()) for n in names])
+                made.append([{"length_class": k, "s_bin": x} for k, x in decoys(text, [e - s for s, e, _ in tested])])
+            struct = lambda *names: pa.struct([(n, pa.int64() if n == "token" else pa.int32()) for n in names])
             columns = [
                 batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()),
-                pa.array(tests, pa.list_(ints("start", "stop", "length_class", "s_bin"))), pa.array(decoys, ints("length_class", "s_bin")),
+                pa.array(tests, pa.list_(struct("start", "stop", "length_class", "s_bin", "token"))), pa.array(made, pa.list_(struct("length_class", "s_bin"))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "tested", "decoy"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "tested", "decoys"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
 
 
-def reported_bins(scanned: DataFrame, alpha: float) -> DataFrame:
-    """(length_class, last_bin): tokens in bins up to there are reported as random.
+def p_values(decoys: np.ndarray, least: int = 25) -> np.ndarray:
+    """For each class of the statistic, the share of ordinary tokens up to it, from a histogram of decoys.
 
-    Benjamini-Hochberg within each length class, over histograms: the last bin
-    with p <= alpha * (tokens up to it) / (all tokens), p being the share of decoys
-    (and one more) up to it.  At most 8 x BINS rows take part.
+    Up to the lowest twentieth (or ``least`` decoys) the share's logarithm is taken
+    to fall in a straight line, as steeply as the decoys below do on average;
+    measured shares that are larger count instead.
     """
-    spots = scanned.select(F.explode("tested").alias("t")).select("t.length_class", "t.s_bin", F.lit(1).alias("token"))
-    made = scanned.where("decoy is not null").select("decoy.length_class", "decoy.s_bin", F.lit(0).alias("token"))
-    counts = spots.unionByName(made).groupBy("length_class", "s_bin").agg(F.sum("token").alias("tokens"), F.count_if(F.col("token") == 0).alias("decoys"))
-    upward = Window.partitionBy("length_class").orderBy("s_bin")
-    all_ = Window.partitionBy("length_class")
-    p = (1 + F.sum("decoys").over(upward)) / (1 + F.sum("decoys").over(all_))
-    return (
-        counts.withColumn("p", p).withColumn("up_to", F.sum("tokens").over(upward)).withColumn("all", F.sum("tokens").over(all_))
-        .where((F.col("tokens") > 0) & (F.col("p") * F.col("all") <= alpha * F.col("up_to")))
-        .groupBy("length_class").agg(F.max("s_bin").alias("last_bin"))
-    )
+    upto, n = np.cumsum(decoys), decoys.sum()
+    counted = (1 + upto) / (1 + n)
+    enough = max(least, int(np.ceil(n / 20)))
+    if n <= enough:
+        return counted
+    u = int(np.searchsorted(upto, enough))  # the first class by which there are enough
+    below = np.arange(u + 1)
+    gap = ((u + 0.5 - below) * decoys[: u + 1]).sum() / upto[u]
+    fitted = upto[u] / n * np.exp(-(u - below) / gap)
+    out = counted.copy()
+    out[: u + 1] = np.minimum(counted[: u + 1], np.maximum(fitted, upto[: u + 1] / n))
+    return out
+
+
+def last_reported(tokens: np.ndarray, decoys: np.ndarray, alpha: float) -> dict[int, int]:
+    """length class -> the last class of the statistic that Benjamini and Hochberg's rule reports.
+
+    Both are histograms (length class, statistic's class).  A token's p-value is
+    that of its length's decoys; the rule takes the tokens of all lengths together.
+    """
+    used = np.flatnonzero(tokens.any(axis=1))
+    if not len(used):
+        return {}
+    p = np.stack([p_values(decoys[k]) for k in used])
+    real = tokens[used]
+    order = np.argsort(p, axis=None, kind="stable")
+    sorted_p, upto = p.ravel()[order], np.cumsum(real.ravel()[order])
+    upto = upto[np.searchsorted(sorted_p, sorted_p, side="right") - 1]  # equal p-values count together
+    good = np.flatnonzero((upto > 0) & (sorted_p * upto[-1] <= alpha * upto))
+    if not len(good):
+        return {}
+    most = sorted_p[good[-1]]
+    return {int(k): int(at[-1]) for k, row in zip(used, p, strict=True) if len(at := np.flatnonzero(row <= most))}
+
+
+def reported_bins(scanned: DataFrame, alpha: float) -> dict[int, int]:
+    """length class -> the last class of the statistic that is reported as random.
+
+    Tokens are told apart by a hash and counted once, after a count for each task.
+    The driver gets two histograms, of at most LONGEST x BINS numbers each.
+    """
+    tested = scanned.select(F.explode("tested").alias("t")).groupBy("t.length_class", "t.s_bin", "t.token").agg(F.lit(1).alias("one"))
+    tokens = tested.groupBy("length_class", "s_bin").agg(F.count("*").alias("n"), F.lit(True).alias("real"))
+    made = scanned.select(F.explode("decoys").alias("d")).groupBy("d.length_class", "d.s_bin").agg(F.count("*").alias("n"), F.lit(False).alias("real"))
+    real, decoy = np.zeros((LONGEST + 1, BINS), np.int64), prior_decoys().copy()
+    for r in tokens.unionByName(made).collect():
+        (real if r["real"] else decoy)[r["length_class"], r["s_bin"]] += r["n"]
+    return last_reported(real, decoy, alpha)
 
 
 def find_secrets(docs: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -251,8 +354,7 @@ def find_secrets(docs: DataFrame, alpha: float = 0.05) -> DataFrame:
     do not matter.
     """
     scanned = materialise(scan_texts(docs))
-    # A map from length class to the last reported bin (at most 8 entries).
-    limits = dict(map(tuple, reported_bins(scanned, alpha).collect()))
+    limits = reported_bins(scanned, alpha)  # a small map
     known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<int,int>")
     random = F.filter("tested", lambda t: t["s_bin"] <= F.coalesce(F.element_at(known, t["length_class"]), F.lit(-1)))
 
@@ -292,7 +394,7 @@ def redact_secrets(docs: DataFrame, alpha: float = 0.05, mark: str = "[SECRET]")
     scanned whole and twice, once for the corpus's statistics and once to replace, and
     are never shuffled.
     """
-    limits = dict(map(tuple, reported_bins(materialise(scan_texts(docs)), alpha).collect()))
+    limits = reported_bins(materialise(scan_texts(docs)), alpha)
     names = docs.columns
     has_length = "n_chars" in names
 
