@@ -1,16 +1,21 @@
 """Personal data in text: patterns, and a skip-chain conditional random field.
 
 The field's nodes are a document's tokens with a digit or an at sign, its labels
-none, email, ip, card and phone.  Tokens next to each other share chain
-potentials; distant tokens that are equal or similar (same text, same last
-seven digits, same mailbox) share skip potentials, by links from each to the
-next one alike.  Where a pattern proves one of three or more alike, all are linked
-to a hub node that holds the proof instead, so it reaches each of them alike.
-Loopy sum-product message passing, until the messages stay, then lets what a
-pattern proves of one token decide about its likes elsewhere in the document.
+none, email, ip, card and phone.  Digit groups that blanks part are one token:
+a number that a pattern proves elsewhere in the document, in any spelling, or else
+the whole stretch of groups.  Tokens next to each other share chain potentials;
+distant tokens that are equal or similar (same text, same last seven digits, same
+mailbox) share skip potentials, by links from each to the next one alike.  Where
+a pattern proves one of a group of alike tokens, all are linked to a hub node that
+holds the proof, by a potential that carries it.  Loopy sum-product message
+passing, until the messages stay, then enforces one label for a value throughout
+the document.
 
 Weights are learned by pseudo-likelihood from tokens that the patterns label,
-on a bounded sample of tokens chosen by hash.
+on a bounded sample of tokens chosen by hash.  What no pattern labels is not
+always none: tokens alike to a proved one, and tokens that a word announces, are
+left out, and the features by which the patterns know a kind are hidden in one copy
+of the rows, so that words and shapes must do.
 """
 
 from __future__ import annotations
@@ -45,9 +50,9 @@ CUES = {
     "card": {"card", "visa", "credit", "account", "iban"},
     "phone": {"phone", "tel", "call", "fax", "mobile", "cell"},
 }
-#: Potential by which a token inside a base span holds its label.
-EVIDENCE = 8.0
-#: Messages are passed until none changes by more than TOLERANCE; ROUNDS ends what does not settle.
+#: Potential by which a token inside a base span holds its label, and that of a token and the hub that holds its group's proof.
+EVIDENCE, PROOF = 8.0, 12.0
+#: Messages of a document are passed until none changes by more than TOLERANCE; a document that doesn't settle in ROUNDS rounds takes the beliefs it has then.
 ROUNDS = 1000
 TOLERANCE = 1e-4
 LEAST_BELIEF = 0.8
@@ -98,6 +103,40 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
+GROUP = re.compile(r"[0-9().+-]+")
+#: Digits of a number that is joined over blanks, and the least of it that tells it apart.
+MOST_DIGITS, LEAST_DIGITS = 19, 7
+
+
+def joined(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``spans`` with digit groups that single blanks part joined, by the numbers that ``base`` proves or as a whole."""
+    proved = {d for a, _, b in base if len(d := NOT_DIGIT.sub("", text[a:b])) >= LEAST_DIGITS}
+    wanted = proved | {d[-k:] for d in proved for k in range(LEAST_DIGITS, len(d))}
+    out, i = [], 0
+    while i < len(spans):
+        j = i
+        while GROUP.fullmatch(text, *spans[j]) and j + 1 < len(spans) and 1 <= spans[j + 1][0] - spans[j][1] <= 2 and not text[spans[j][1] : spans[j + 1][0]].strip(" (") and GROUP.fullmatch(text, *spans[j + 1]):
+            j += 1
+        stretch = spans[i : j + 1]
+        i = j + 1
+        digits = [NOT_DIGIT.sub("", text[a:b]) for a, b in stretch]
+        k, loose = 0, []
+        while k < len(stretch):
+            ends = [m for m in range(len(stretch), k, -1) if len(d := "".join(digits[k:m])) <= MOST_DIGITS and d in wanted]
+            if ends:
+                out += whole(loose, digits[k - len(loose) : k]) + [(stretch[k][0], stretch[ends[0] - 1][1])]
+                k, loose = ends[0], []
+            else:
+                loose.append(stretch[k])
+                k += 1
+        out += whole(loose, digits[k - len(loose) : k])
+    return out
+
+
+def whole(stretch: list[tuple[int, int]], digits: list[str]) -> list[tuple[int, int]]:
+    return [(stretch[0][0], stretch[-1][1])] if stretch and LEAST_DIGITS <= sum(map(len, digits)) <= MOST_DIGITS else stretch
+
+
 def features(text: str, start: int, stop: int) -> int:
     """Binary features of a token as bits."""
     token = text[start:stop]
@@ -107,13 +146,23 @@ def features(text: str, start: int, stop: int) -> int:
     cue = {w.strip(".,:;()#") for w in before}
     tests = (
         True, "@" in token, n == len(token), n < 4, 4 <= n < 7, 7 <= n < 10, 10 <= n < 12, 12 <= n < 16, 16 <= n < 20, n >= 20,
-        "." in token, token.count(".") == 3, "-" in token, "(" in token or ")" in token, token.startswith("+"), any(c.isalpha() for c in token),
+        "." in token, token.count(".") == 3, "-" in token or " " in token, "(" in token or ")" in token, token.startswith("+"), any(c.isalpha() for c in token),
         12 <= n <= 19 and luhn(digits), *(bool(cue & words) for words in CUES.values()),
     )
     return sum(1 << i for i, x in enumerate(tests) if x)
 
 
 N_FEATURES = 17 + len(CUES)
+# Features by which the patterns know a kind: a leading plus, Luhn's sum, three dots.
+KNOWN_BY = (11, 14, 16)
+#: Bits of the cue words.
+CUE_BITS = ((1 << len(CUES)) - 1) << 17
+
+
+def possible(f: np.ndarray) -> np.ndarray:
+    """Whether a token's shape, as rows of features, may have each label: an email needs an at sign, and so on."""
+    at, none = f[:, 1] > 0, np.ones(len(f), bool)
+    return np.stack([none, at, (f[:, 11] > 0) & ~at, f[:, 7:9].any(axis=1) & ~at, f[:, 5:8].any(axis=1) & ~at], axis=1)
 
 
 def unpack(bits: np.ndarray) -> np.ndarray:
@@ -149,7 +198,7 @@ def graph(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, in
 
 
 def with_hubs(labels: list[int], edges: list[tuple[int, int, int]]) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
-    """(members of each hub, edges): the skip edges of a group of three or more with a proved token lead to its hub.
+    """(members of each hub, edges): the skip edges of a group with a proved token lead to its hub, as edges of kind 2.
 
     The hubs are numbered on from the tokens.
     """
@@ -167,10 +216,10 @@ def with_hubs(labels: list[int], edges: list[tuple[int, int, int]]) -> tuple[lis
     groups: dict[int, list[int]] = {}
     for i in range(len(labels)):
         groups.setdefault(find(i), []).append(i)
-    hubs = [g for g in groups.values() if len(g) > 2 and any(labels[i] for i in g)]
+    hubs = [g for g in groups.values() if len(g) > 1 and any(labels[i] for i in g)]
     inside = {i for g in hubs for i in g}
     kept = [e for e in edges if not (e[2] and e[0] in inside)]
-    return hubs, kept + [(i, len(labels) + h, 1) for h, g in enumerate(hubs) for i in g]
+    return hubs, kept + [(i, len(labels) + h, 2) for h, g in enumerate(hubs) for i in g]
 
 
 def neighbour_counts(n: int, labels: list[int], edges: list[tuple[int, int, int]]) -> np.ndarray:
@@ -193,10 +242,17 @@ def training_rows(docs: DataFrame, sample_docs: int, sample_tokens: int) -> Data
             rows = []
             for value in batch.column("text"):
                 text = value.as_py()
-                spans = tokens(text)
-                labels, edges = graph(text, spans, base_spans(text))
-                around = neighbour_counts(len(spans), labels, edges).reshape(len(spans), -1)
-                rows += [(features(text, a, b), y, x.tolist()) for (a, b), y, x in zip(spans, labels, around, strict=True)]
+                base = base_spans(text)
+                spans = joined(text, tokens(text), base)
+                labels, edges = graph(text, spans, base)
+                around = neighbour_counts(len(spans), labels, edges)
+                hubs, _ = with_hubs(labels, edges)
+                unsure = {i for g in hubs for i in g if not labels[i]}  # alike to a proved one
+                for i, (a, b) in enumerate(spans):
+                    bits = features(text, a, b)
+                    announced = not labels[i] and bits & CUE_BITS and ("@" in text[a:b] or sum(c.isdigit() for c in text[a:b]) >= LEAST_DIGITS)
+                    if i not in unsure and not announced:
+                        rows.append((bits, labels[i], around[i].ravel().tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["bits", "label", "around"])
 
@@ -210,6 +266,7 @@ def learn(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20_00
     rows = training_rows(docs, sample_docs, sample_tokens).collect()
     k = len(LABELS)
     unary, pair = np.zeros((N_FEATURES, k)), np.zeros((2, k, k))
+    unary[0, 0] = 1.0
     pair[1] = 4 * np.eye(k)  # the prior: tokens alike have the same label
     if not rows:
         return unary, pair
@@ -220,7 +277,9 @@ def learn(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20_00
     # Once with the token's shape hidden, so that the pair potentials learn to carry a label alone.
     hidden = np.zeros_like(f)
     hidden[:, 0] = 1
-    f, y, around, weight = np.concatenate((f, hidden)), np.tile(y, 2), np.tile(around, (2, 1, 1)), np.tile(weight, 2)
+    unknown = f.copy()
+    unknown[:, KNOWN_BY] = 0
+    f, y, around, weight = np.concatenate((f, hidden, unknown)), np.tile(y, 3), np.tile(around, (3, 1, 1)), np.tile(weight, 3)
     weight /= np.bincount(y, weight, k)[y] * len(np.unique(y))  # rare labels count as much as "none"
     truth = np.eye(k)[y]
     prior = pair.copy()
@@ -236,26 +295,33 @@ def learn(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20_00
     return unary, pair
 
 
-def beliefs(potentials: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Marginals by loopy sum-product; edges (a, b, kind) may belong to many documents at once."""
+def beliefs(potentials: np.ndarray, edges: np.ndarray, pair: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Marginals by loopy sum-product; edges (a, b, kind) may belong to many documents, ``group`` being each node's.
+
+    Each document's messages pass until they stay, whatever the others do.
+    """
     k = potentials.shape[1]
     base = potentials - potentials.max(axis=1, keepdims=True)
     if len(edges):
         source = np.concatenate((edges[:, 0], edges[:, 1]))
         target = np.concatenate((edges[:, 1], edges[:, 0]))
         back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-        table = np.exp(pair)[np.concatenate((edges[:, 2], edges[:, 2]))]
-        message = np.zeros((len(source), k))
+        kind = np.concatenate((edges[:, 2], edges[:, 2]))
+        table, message = np.exp(pair - pair.max(axis=(1, 2), keepdims=True)), np.zeros((len(source), k))
+        doc = np.zeros(len(source), np.int64) if group is None else group[source]
+        live = np.arange(len(source))
         for _ in range(ROUNDS):
             total = base.copy()
             np.add.at(total, target, message)
-            out = total[source] - message[back]
+            out = total[source[live]] - message[back[live]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ek,ekl->el", out, table))
+            new = np.log(np.einsum("ek,ekl->el", out, table[kind[live]]))
             new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = 0.5 * message + 0.5 * new
-            if change < TOLERANCE:
+            moves = np.zeros(doc.max() + 1, bool)
+            moves[doc[live][np.abs(new - message[live]).max(axis=1) >= TOLERANCE]] = True
+            message[live] = 0.5 * message[live] + 0.5 * new
+            live = live[moves[doc[live]]]
+            if not len(live):
                 break
         np.add.at(base, target, message)
     p = np.exp(base - base.max(axis=1, keepdims=True))
@@ -266,26 +332,31 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
     """docs(doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans).
 
     ``spans`` has the base spans and those of tokens outside them to which the
-    field gives a label with a belief of 0.8 or more; neighbours with one label
-    make one span.  Null and empty texts have none.  Repeated rows and null ids
-    stay; an empty table gives no rows.
+    field gives a label with a belief of 0.8 or more (the likeliest; of equal ones
+    the first of LABELS), if one alike is proved or a word before announces that
+    kind, not for their shape alone; neighbours with one label make one span.  Null and empty
+    texts have none; long ones are taken whole, and a document's result depends on
+    it and the weights alone.  Repeated rows and null ids stay; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     small_batches(docs)
     unary, pair = learn(docs.where("text is not null"), sample_docs, sample_tokens)
+    pair = np.concatenate((pair, PROOF * np.eye(len(LABELS))[None]))  # edges to hubs: not learned
 
     def run(batches):
         for batch in batches:
             column, n = batch.column("text"), batch.num_rows
-            base, nodes, bits, labels, edges, proved = [[]] * n, [], [], [], [], []
+            base, nodes, bits, labels, edges, proved, alike = [[]] * n, [], [], [], [], [], []
             for i in range(n):
                 text = column[i].as_py()
                 if not text or not SIGN.search(text):
                     continue
                 base[i] = base_spans(text)
-                spans = tokens(text)
+                spans = joined(text, tokens(text), base[i])
                 given, links = graph(text, spans, base[i])
                 hubs, links = with_hubs(given, links)
                 first = len(nodes)
+                alike += [first + j for g in hubs for j in g]
                 proved += [(first + len(spans) + h, given[j], len(g)) for h, g in enumerate(hubs) for j in g if given[j]]
                 nodes += [(i, a, b) for a, b in spans] + [(i, -1, -1)] * len(hubs)
                 bits += [features(text, a, b) for a, b in spans] + [0] * len(hubs)
@@ -293,19 +364,23 @@ def find_pii(docs: DataFrame, sample_docs: int = 50_000, sample_tokens: int = 20
                 edges += [(a + first, b + first, kind) for a, b, kind in links]
             added: dict[int, list] = {}
             if nodes:
-                given = np.array(labels)
-                potentials = unpack(np.array(bits, np.int64)) @ unary
+                given, shape = np.array(labels), unpack(np.array(bits, np.int64))
+                potentials = shape @ unary
+                token = np.array([a >= 0 for _, a, _ in nodes])
+                potentials[(token & (given == 0))[:, None] & ~possible(shape)] = -4 * EVIDENCE
+                told = shape[:, 17:] > 0  # by a word before
+                told[alike] = True
                 potentials[np.flatnonzero(given), given[given > 0]] += EVIDENCE
                 for hub, label, size in proved:  # so many tokens must not outvote the proof
                     potentials[hub, label] += EVIDENCE * size
-                p = beliefs(potentials, np.array(edges, np.int64).reshape(-1, 3), pair)
+                p = beliefs(potentials, np.array(edges, np.int64).reshape(-1, 3), pair, np.array([i for i, _, _ in nodes]))
                 best = p.argmax(axis=1)
                 for j in np.flatnonzero((given == 0) & (best > 0) & (p.max(axis=1) >= LEAST_BELIEF)):
                     i, a, b = nodes[j]
                     if a < 0:
                         continue
                     kind = int(best[j]) - 1
-                    if any(s < b and a < e for s, _, e in base[i]):
+                    if not told[j, kind] or any(s < b and a < e for s, _, e in base[i]):
                         continue
                     mine = added.setdefault(i, [])
                     if mine and mine[-1][1] == kind and a - mine[-1][2] <= 2:
