@@ -188,19 +188,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
         .select(F.col("fp").alias("f"), F.coalesce("component_id", "smallest").alias("component_id"))
     )
     return prints.join(by_print, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns.
-
-    Rows that repeat the kept doc_id are reduced to one; a component without any
-    doc_id goes (its rows cannot be told apart).
-    """
-    kept = near_duplicates(docs, max_bits, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    repeated = materialise(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    single = docs.join(kept, "doc_id", "left_semi")
-    if repeated.isEmpty():
-        return single.select(docs.columns)
-    twice = single.join(F.broadcast(repeated) if repeated.count() < 10_000 else repeated, "doc_id", "left_semi")
-    once = single.join(repeated, "doc_id", "left_anti")
-    return once.select(docs.columns).unionByName(twice.select(docs.columns).dropDuplicates(["doc_id"]))

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.dataset import shared_uri
 from .common import materialise, shared_dir, small_batches
 
 # Fixed values of the formats (WARC 1.1, its Zstandard profile, RFC 8878).
@@ -178,10 +179,11 @@ def write_archives(
     succeeded: a task that is run again writes files of another name, and the
     reader takes only what the manifest names.
     """
+    uri = shared_uri(pages.sparkSession, folder)  # as the reader finds the folder
     payloads = small_batches(pages).select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
 
     def write(batches):
-        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs, path = pafs.FileSystem.from_uri(uri)
         fs.create_dir(path, recursive=True)
         records, size = [], 0
 

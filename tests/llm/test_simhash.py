@@ -93,8 +93,4 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (None, 9), (9, 9), (None, None)], key=str)
-    kept = simhash.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 9]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
