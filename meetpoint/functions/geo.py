@@ -46,10 +46,57 @@ def _face_sql(i: int, fa: float, fo: float, az: float) -> str:
 FACE_ARRAY = "array(" + ", ".join(_face_sql(i, *f) for i, f in enumerate(FACES)) + ")"
 
 
+def plane(face: int, latitude: float, longitude: float) -> tuple[float, float]:
+    """Where a point (in radians) lies in a face's plane at resolution 0; the inner circle has radius 1, a corner is at (2, 0)."""
+    fa, fo, face_az = FACES[face]
+    az = math.atan2(math.cos(latitude) * math.sin(longitude - fo), math.cos(fa) * math.sin(latitude) - math.sin(fa) * math.cos(latitude) * math.cos(longitude - fo))
+    cosine = math.sin(fa) * math.sin(latitude) + math.cos(fa) * math.cos(latitude) * math.cos(longitude - fo)
+    r = math.tan(math.acos(cosine)) / SCALE
+    return r * math.cos(face_az - az), r * math.sin(face_az - az)
+
+
+def across(face: int, edge: int) -> tuple[int, int]:
+    """(face on the other side of an edge, turn of its plane against this one in sixths of a circle).
+
+    Edges 0, 1 and 2 have their middles at 60, 180 and 300 degrees of the face's plane.
+    """
+    la, lo = (math.radians(x) for x in _on_sphere(face, math.cos(math.pi / 3 * (2 * edge + 1)), math.sin(math.pi / 3 * (2 * edge + 1)), 0))
+
+    def distance(g: int) -> float:
+        fa, fo, _ = FACES[g]
+        return -(math.sin(fa) * math.sin(la) + math.cos(fa) * math.cos(la) * math.cos(lo - fo))
+
+    other = min((g for g in range(len(FACES)) if g != face), key=distance)
+    x, y = plane(other, la, lo)
+    # Seen from the other centre, the edge's middle lies opposite to how it lies from this one.
+    return other, round((math.atan2(y, x) - math.pi / 3 * (2 * edge + 1) - math.pi) / (math.pi / 3)) % 6
+
+
+def edge_array(res: int) -> str:
+    """For each face its three edges: the face across, the centre of that in this face's lattice (a, b), and the turn."""
+    a, b = (0, 2) if res % 2 == 0 else (1, 2)
+    scale = 7 ** (res // 2) * (1 if res % 2 == 0 else 2)
+    faces = []
+    for face in range(len(FACES)):
+        edges = []
+        for edge in range(3):
+            other, turn = across(face, edge)
+            na, nb = a, b
+            for _ in range(2 * edge):  # by 120 degrees
+                na, nb = -nb, na + nb
+            edges.append(f"named_struct('to', {other}, 'na', {na * scale}L, 'nb', {nb * scale}L, 'turn', {turn})")
+        faces.append(f"array({', '.join(edges)})")
+    return f"array({', '.join(faces)})"
+
+
 def cell_key(latitude: Column, longitude: Column, res: int) -> Column:
     """Struct (face, a, b) of the hexagon that holds the point; null for null or non-finite input.
 
-    Equal keys mean equal cells for points and centres on one face of the icosahedron.
+    The point is rounded in the plane of its own face of the icosahedron; where the
+    hexagon's centre lies beyond an edge, the lattice is carried on across it, so
+    the key is that of the centre's face, and of the face with the smaller number if
+    it lies on the edge.  Equal keys mean equal cells but at the twelve corners,
+    whose cells are pentagons.
     """
     la, lo = F.radians(latitude), F.radians(longitude)
     point = F.struct(la.alias("la"), lo.alias("lo"), (F.cos(lo) * F.cos(la)).alias("x"), (F.sin(lo) * F.cos(la)).alias("y"), F.sin(la).alias("z"))
@@ -80,16 +127,30 @@ def cell_key(latitude: Column, longitude: Column, res: int) -> Column:
         b = F.when((da > db) & (da > dc), rb).when(db > dc, -ra - rc).otherwise(rb)
         return F.struct(p["face"].alias("face"), a.cast("long").alias("a"), b.cast("long").alias("b"))
 
+    def beyond(p):  # twice the product with the vector to the centre across, less where that is on the edge
+        def over(e):
+            return F.struct((2 * p["a"] * e["na"] + 2 * p["b"] * e["nb"] + p["a"] * e["nb"] + p["b"] * e["na"] - 4 * 7**res).alias("over"), e["to"].alias("to"), e["na"].alias("na"), e["nb"].alias("nb"), e["turn"].alias("turn"))
+
+        return F.struct(p.alias("p"), F.array_max(F.transform(F.element_at(F.expr(edge_array(res)), p["face"] + 1), over)).alias("e"))
+
+    def carried(x):
+        p, e = x["p"], x["e"]
+        a, b = p["a"] - e["na"], p["b"] - e["nb"]
+        turned = [(a, b), (-b, a + b), (-a - b, a), (-a, -b), (b, -a - b), (a + b, -a)]
+        pick = lambda k: F.coalesce(*[F.when(e["turn"] == t, ab[k]) for t, ab in enumerate(turned)])
+        moved = F.struct(e["to"].alias("face"), pick(0).alias("a"), pick(1).alias("b"))
+        return F.when((e["over"] > 0) | ((e["over"] == 0) & (e["to"] < p["face"])), moved).otherwise(p)
+
     # One-element transforms name each step, so that nothing is computed twice.
-    steps = F.transform(F.transform(F.transform(F.transform(F.array(point), nearest), project), axial), cube)
+    steps = F.array(point)
+    for step in (nearest, project, axial, cube, beyond, carried):
+        steps = F.transform(steps, step)
     finite = ~F.isnan(latitude) & ~F.isnan(longitude) & (F.abs(latitude) <= 90) & (F.abs(longitude) <= 360)
     return F.when(finite, F.element_at(steps, 1))
 
 
-def cell_centre(face: int, a: int, b: int, res: int) -> tuple[float, float]:
-    """Latitude and longitude in degrees of a cell's centre (for making grids)."""
+def _on_sphere(face: int, x: float, y: float, res: int) -> tuple[float, float]:
     fa, fo, face_az = FACES[face]
-    x, y = a + b / 2, b * math.sqrt(3) / 2
     th = math.atan2(y, x)
     r = math.atan(math.hypot(x, y) * SCALE / math.sqrt(7) ** res)
     az = face_az - th - (ODD_TURN if res % 2 else 0.0)
@@ -98,6 +159,11 @@ def cell_centre(face: int, a: int, b: int, res: int) -> tuple[float, float]:
     return math.degrees(la), math.degrees(lo)
 
 
+def cell_centre(face: int, a: int, b: int, res: int) -> tuple[float, float]:
+    """Latitude and longitude in degrees of a cell's centre (for making grids)."""
+    return _on_sphere(face, a + b / 2, b * math.sqrt(3) / 2, res)
+
+
 def distance_meters(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance by the haversine formula."""
     half_lat, half_lon = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)

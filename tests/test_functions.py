@@ -114,3 +114,74 @@ def test_distance(spark):
     a, b, dl = math.radians(48.2), math.radians(48.21), math.radians(0.1)
     want = geo.EARTH_RADIUS * math.acos(math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(dl))
     assert abs(got - want) < 1e-3
+
+
+def test_planes_of_neighbours_agree_on_their_edge():
+    import math
+
+    from meetpoint.functions import geo
+
+    for face in range(20):
+        seen = set()
+        for edge in range(3):
+            other, turn = geo.across(face, edge)
+            seen.add(other)
+            assert face in [geo.across(other, k)[0] for k in range(3)]
+            middle = math.pi / 3 * (2 * edge + 1)
+            for along in (-1.5, -0.4, 0.0, 0.9):  # points of the edge, on either plane
+                x, y = math.cos(middle) - along * math.sin(middle), math.sin(middle) + along * math.cos(middle)
+                there = geo.plane(other, *map(math.radians, geo._on_sphere(face, x, y, 0)))
+                dx, dy, t = x - 2 * math.cos(middle), y - 2 * math.sin(middle), turn * math.pi / 3
+                assert abs(dx * math.cos(t) - dy * math.sin(t) - there[0]) < 1e-9 and abs(dx * math.sin(t) + dy * math.cos(t) - there[1]) < 1e-9
+        assert len(seen) == 3
+
+
+def test_grids_that_straddle_an_edge(spark):
+    """Every centre snaps to itself, and every point inside to a centre (about) as near as any."""
+    import math
+    import random
+
+    from meetpoint.functions import geo
+    from meetpoint.operators import places
+
+    def nearest_face(lat, lon):
+        la, lo = math.radians(lat), math.radians(lon)
+        return max(range(20), key=lambda g: math.sin(geo.FACES[g][0]) * math.sin(la) + math.cos(geo.FACES[g][0]) * math.cos(la) * math.cos(lo - geo.FACES[g][1]))
+
+    rng = random.Random(1)
+    for res, face, edge, along in ((9, 4, 0, 0.3), (8, 4, 1, -0.6), (7, 11, 2, 0.0), (6, 0, 1, 0.8)):
+        middle = math.pi / 3 * (2 * edge + 1)
+        lat, lon = geo._on_sphere(face, math.cos(middle) - along * math.sin(middle), math.sin(middle) + along * math.cos(middle), 0)
+        other = geo.across(face, edge)[0]
+        centres = {}
+        for f in (face, other):
+            x, y = geo.plane(f, math.radians(lat), math.radians(lon))
+            turn = geo.ODD_TURN if res % 2 else 0.0
+            x, y = (math.sqrt(7) ** res * v for v in (x * math.cos(turn) + y * math.sin(turn), y * math.cos(turn) - x * math.sin(turn)))
+            b0 = round(y / (math.sqrt(3) / 2))
+            a0 = round(x - b0 / 2)
+            for a in range(a0 - 14, a0 + 15):
+                for b in range(b0 - 14, b0 + 15):
+                    at = geo.cell_centre(f, a, b, res)
+                    if nearest_face(*at) == f:
+                        centres[(round(at[0], 9), round(at[1], 9))] = at  # a centre on the edge is one cell
+        cells = spark.createDataFrame([(i, *at) for i, at in enumerate(centres.values())], "cell_id int, lat double, lon double")
+        own = places.snap(cells.select(F.col("cell_id").alias("c"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), cells, res)
+        assert own.where("c <> cell_id").count() == 0 and own.count() == len(centres)
+        unit = math.degrees(geo.SCALE / math.sqrt(7) ** res)
+        points = [(k, lat + rng.uniform(-5, 5) * unit, lon + rng.uniform(-5, 5) * unit / math.cos(math.radians(lat))) for k in range(1500)]
+        assert {nearest_face(a, b) for _, a, b in points} == {face, other}
+        snapped = places.snap(spark.createDataFrame(points, "k long, latitude double, longitude double"), cells, res)
+        all_ = list(centres.values())
+
+        def metres(p, q):
+            h = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+            return 2 * math.asin(math.sqrt(h))
+
+        equal = 0
+        for r in snapped.collect():
+            far = [metres((r.latitude, r.longitude), c) for c in all_]
+            assert r.cell_id >= 0
+            assert far[r.cell_id] <= 1.3 * min(far)  # the plane's hexagons are not quite regular on the sphere
+            equal += far[r.cell_id] == min(far)
+        assert equal > 0.9 * len(points)
