@@ -44,11 +44,11 @@ def as_integers(vectors: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Pack (vec_id, v) into rows (dim, ids, data) of at most ``size`` vectors of one length."""
+    """Pack (row, vec_id, v) into rows (dim, rows, ids, data) of at most ``size`` vectors of one length."""
 
     def pack(batches):
         for batch in batches:
-            ids = batch.column("vec_id").to_numpy()
+            numbers, ids = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy()
             column = batch.column("v")
             lengths = np.diff(column.offsets.to_numpy())
             flat = column.flatten().to_numpy()
@@ -59,11 +59,11 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                     part = where[at : at + size]
                     data = flat[starts[part][:, None] + np.arange(dim)] if dim else np.zeros((len(part), 0), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(dim)]), pa.array([ids[part].astype("<i8").tobytes()]), pa.array([data.astype("<i8").tobytes()])],
-                        names=["dim", "ids", "data"],
+                        [pa.array([int(dim)]), *(pa.array([x.astype("<i8").tobytes()]) for x in (numbers[part], ids[part], data))],
+                        names=["dim", "rows", "ids", "data"],
                     )
 
-    return rows.mapInArrow(pack, "dim long, ids binary, data binary")
+    return rows.mapInArrow(pack, "dim long, rows binary, ids binary, data binary")
 
 
 def scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -74,11 +74,11 @@ def scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def each_score(batches, start: int):
-    """(block, low bounds, first query, query ids, scores, own, vector ids) of each pair of blocks, by parts."""
+    """(block, low bounds, first query, queries' rows, scores, own, vector ids) of each pair of blocks, by parts."""
     unpack = lambda x: np.frombuffer(x.as_py(), "<i8")
     for batch in batches:
         for k in range(batch.num_rows):
-            q_ids, q, c_ids, c = (unpack(batch.column(n)[k]) for n in ("q_ids", "q_data", "ids", "data"))
+            q_ids, q, c_rows, c_ids, c = (unpack(batch.column(n)[k]) for n in ("q_ids", "q_data", "rows", "ids", "data"))
             dim = batch.column("dim")[k].as_py()
             q, c = q.reshape(len(q_ids), dim), c.reshape(len(c_ids), dim)
             low = np.full(len(q_ids), start, np.int64)
@@ -86,7 +86,7 @@ def each_score(batches, start: int):
                 low[np.searchsorted(q_ids, batch.column("known")[k].as_py())] = batch.column("lows")[k].as_py()
             for at in range(0, len(q_ids), 256):
                 part = slice(at, at + 256)
-                own = q_ids[part, None] == c_ids[None, :]
+                own = q_ids[part, None] == c_rows[None, :]
                 yield batch.column("block")[k].as_py(), low[part], at, q_ids, scores(q[part], c), own, c_ids
 
 
@@ -142,28 +142,28 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score).
 
     Queries are the rows where the Column ``is_query`` holds; each is compared
-    with every vector of its length but those of its own id.  Scores are integer
+    with every vector of its length but its own row.  Scores are integer
     inner products of floor(256 * x); ties go to the smaller vec_id.  Vectors
     that are null or hold null, NaN or infinite parts take no part, nor do rows
-    without vec_id.  A repeated candidate row counts as often as it stands; of
-    queries that repeat a vec_id the smallest vector is taken.  Scores must fit
-    a long.  An empty table gives no rows.
+    without vec_id.  A repeated row is a candidate as often as it stands, also of
+    others of its vec_id, and each row of a repeated query has results of its own.
+    Scores must fit a long.  ``is_query`` may read vec_id; other columns are ignored,
+    whatever their names.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    ints = materialise(as_integers(vectors))
-    queries = ints.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = materialise(queries.withColumn("dim", F.size("v")))
+    ints = materialise(as_integers(vectors).withColumn("row", F.monotonically_increasing_id()))
+    queries = materialise(ints.where(is_query))
     n_queries = queries.count()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_blocks = math.ceil(n_queries / QUERY_BLOCK)
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of the vectors, for each block of queries
     query_blocks = materialise(
-        blocks(queries.select("vec_id", "v").repartition(n_blocks, "vec_id").sortWithinPartitions("vec_id"), QUERY_BLOCK)
-        .select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        blocks(queries.repartition(n_blocks, "row").sortWithinPartitions("row"), QUERY_BLOCK)
+        .select("dim", F.col("rows").alias("q_ids"), F.col("data").alias("q_data"))
         .withColumn("block", F.monotonically_increasing_id())
     )
-    vector_blocks = materialise(blocks(ints, VECTOR_BLOCK).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares))))
+    vector_blocks = materialise(blocks(ints, VECTOR_BLOCK).withColumn("share", F.pmod(F.xxhash64("rows"), F.lit(shares))))
     largest = ints.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     start, width = -int(largest) - 1, 1  # no product is farther from zero than the largest square
     while width * BINS < 2 * -start + 1:
@@ -204,4 +204,5 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         span, width = width, max(1, width // BINS)
     picked = pairs(wanted).mapInArrow(pick_scores(k, start), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return picked.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = picked.withColumn("rank", place).where(F.col("rank") <= k).withColumnRenamed("query_id", "row")
+    return ranked.join(queries.select("row", F.col("vec_id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")

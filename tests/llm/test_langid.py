@@ -60,3 +60,34 @@ def test_held_out_accuracy_and_rules(spark):
     assert langid.identify_languages(docs.limit(0)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).where("doc_id in (1, 600)")
     assert sorted(r.lang_pred for r in langid.identify_languages(unlabelled).collect()) == ["und", "und"]
+
+
+def test_predictions_equal_a_plain_loop(spark):
+    """Windows, filters, pooling and softmax, one byte after another."""
+    rng = random.Random(8)
+    rows = corpus(40, 5)
+    windows = np.stack([langid.cut([t.encode()])[0][0] for _, t, _ in rows])
+    classes = sorted(SYLLABLES)
+    net = langid.fit(windows, np.array([classes.index(lang) for *_, lang in rows]), classes, epochs=1)
+    texts = [rows[0][1], "ich", "é" * langid.WINDOW, "".join(rng.choice("abc ü") for _ in range(2 * langid.WINDOW + 5))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(docs, net).collect()}
+    width = len(net.tables)
+    for k, text in enumerate(texts):
+        data = text.encode()
+        starts = [*range(0, len(data) - langid.WINDOW + 1, langid.WINDOW)]
+        parts = [data[a : a + langid.WINDOW] for a in starts]
+        if len(data) % langid.WINDOW or not data:
+            parts.append(data[-langid.WINDOW :].ljust(langid.WINDOW))
+        mean = np.zeros(len(classes))
+        for part in parts:
+            pairs = langid.as_pairs(np.frombuffer(part, np.uint8)[None])[0].tolist()
+            pooled = [-np.inf] * len(net.bias)
+            for at in range(len(pairs) - width + 1):
+                for f in range(len(pooled)):
+                    pooled[f] = max(pooled[f], sum(float(net.tables[j][pairs[at + j], f]) for j in range(width)))
+            hidden = [max(0.0, x + b) for x, b in zip(pooled, net.bias, strict=True)]
+            z = np.array([sum(h * w for h, w in zip(hidden, net.weights[:, c], strict=True)) + net.offsets[c] for c in range(len(classes))])
+            mean += np.exp(z - z.max()) / np.exp(z - z.max()).sum() / len(parts)
+        assert got[k].lang_pred == classes[int(mean.argmax())]
+        assert abs(got[k].score - mean.max()) < 1e-3

@@ -36,3 +36,11 @@ def test_odd_rows(spark):
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 4, 49152), (0, 2, 4, 49152)]
     assert topk.exact_top_k(df.limit(0), F.lit(True)).count() == 0
     assert topk.exact_top_k(df.where("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_each_row_of_a_repeated_id_is_a_query_and_a_candidate(spark):
+    rows = [(0, [1.0, 1.0]), (0, [0.5, 0.5]), (1, [1.0, 0.0]), (0, [1.0, 1.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, 2)
+    one = 65536
+    want = [(0, 1, 0, 2 * one), (0, 2, 0, one)] * 2 + [(0, 1, 0, one), (0, 2, 0, one)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
