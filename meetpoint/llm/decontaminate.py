@@ -5,7 +5,10 @@ placeholders, other words lower case.  Windows of five template words are
 hashed; the documents' windows meet the benchmark's by an equi-join on the hash.
 A window of placeholders alone would meet any table of numbers, so it is hashed by
 its raw words; the windows with a plain word cover runs of up to eight placeholders.
-Items of fewer than five words are matched whole, by their raw words.
+Items of three or four words are matched whole: by their raw words, and with two
+plain words or more by their template too, so their re-parameterised copies are
+found.  Items of one or two words stand in too many texts by chance and are not
+searched for; ``unsearchable`` lists them.
 A document holds an item if the windows that match cover 0.8 or more of the
 item's words, and if its slots are consistent: what stands for one value of
 the item's placeholders is one value in the document.  So re-parameterised
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise
 
 WINDOW = 5
+#: Words of the shortest item that is searched for, and plain ones that a whole template needs.
+LEAST_WORDS, LEAST_PLAIN = 3, 2
 SIMILARITY = 0.8
 #: Alignments that words put in or left out may shift within one occurrence.
 SHIFT = 2
@@ -88,17 +93,27 @@ def window_hashes(tokens: Column, raw: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: window_hash(tokens, raw, i)))
 
 
-def short_hashes(raw: Column, lengths: list[int]) -> Column:
-    """(doc_pos, h) of all runs of so many raw words, hashed as whole items are."""
+def whole_hash(part: Column) -> Column:
+    return F.xxhash64(F.lit("whole"), part)
+
+
+def short_hashes(tokens: Column, raw: Column, lengths: list[int]) -> Column:
+    """(doc_pos, h) of all runs of so many words, hashed as whole items are: by raw words and by template."""
 
     def runs(k: int) -> Column:
         n = F.size(raw) - k + 1
-        spots = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("doc_pos"), raw_hash(F.slice(raw, i, k)).alias("h")))
+        spots = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(*[F.struct((i - 1).alias("doc_pos"), h.alias("h")) for h in (raw_hash(F.slice(raw, i, k)), whole_hash(F.slice(tokens, i, k)))])))
         return F.when(n > 0, spots).otherwise(F.array().cast("array<struct<doc_pos:int,h:bigint>>"))
 
     return F.concat(*[runs(k) for k in lengths])
 
 
+def unsearchable(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words) of the items that have too few words to be searched for."""
+    counted = benchmark.select("item_id", F.size(raw_words(F.coalesce("text", F.lit("")))).alias("n_words"))
+    return counted.where(F.col("n_words") < LEAST_WORDS)
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, item_hash, item_pos, h, item_words, slots) of benchmark(item_id, text); slots: (k, value)."""
     rows = (
@@ -112,10 +127,13 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         F.transform(part, lambda w, k: F.struct(k.alias("k"), is_slot(w).alias("slot"), F.element_at("raw", F.col("item_pos") + k).alias("value"))),
         lambda x: x["slot"],
     )
+    plain = F.size(F.filter("tokens", lambda w: ~is_slot(w)))
+    short = F.when(plain >= LEAST_PLAIN, F.array(raw_hash(F.col("raw")), whole_hash(F.col("tokens")))).otherwise(F.array(raw_hash(F.col("raw"))))
+    hashes = F.when(F.col("item_words") < WINDOW, short).otherwise(F.array(window_hash(F.col("tokens"), F.col("raw"), F.col("item_pos"))))
     return (
-        spots.where(F.col("item_words") > 0)
+        spots.where(F.col("item_words") >= LEAST_WORDS)
         .withColumn("slots", F.transform(slots, lambda x: F.struct(x["k"].alias("k"), x["value"].alias("value"))))
-        .withColumn("h", F.when(F.col("item_words") < WINDOW, raw_hash(F.col("raw"))).otherwise(window_hash(F.col("tokens"), F.col("raw"), F.col("item_pos"))))
+        .withColumn("h", F.explode(hashes))
         .select("item_id", "item_hash", "item_pos", "h", "item_words", "slots")
     )
 
@@ -133,21 +151,23 @@ PLACE = ("doc_id", "text_hash", "item_id", "item_hash", "width", "anchor")
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_windows: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, similarity, n_slots, n_conflicts): items that documents hold.
 
-    A row per document text and item.  Items of fewer than five words are held
-    where all their words stand in a row.  Null texts hold nothing; a null
-    doc_id is kept as it is; repeated rows of one id and text give one row.
-    Either table may be empty.
+    A row per document text and item.  Items of three or four words are held
+    where all their words, or those of their template, stand in a row; shorter ones
+    are not searched for.  Null and empty texts hold nothing, long ones are searched
+    whole; a null doc_id is kept as it is; repeated rows of one id and text give one
+    row.  Of equally full occurrences the first place decides.  Other columns are
+    ignored, whatever their names.  Either table may be empty.
     """
     windows = materialise(benchmark_windows(benchmark))
     # A column of its own: inside the windows' lambda the template would be made anew for each.
-    short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]  # four at most
+    short = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]  # two at most
     tokens = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("tokens"))
     # Raw words are needed for short items, and where so many placeholders stand that a window may have no other word.
     raw = raw_words(F.col("text"))
     tokens = tokens.withColumn("raw", raw if short else F.when(F.size(F.filter("tokens", is_slot)) >= WINDOW, raw)).drop("text")
     found = tokens.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tokens"), F.col("raw"))).alias("doc_pos", "h"))
     if short:
-        runs = tokens.select("doc_id", "text_hash", F.explode(short_hashes(F.col("raw"), sorted(short))).alias("run"))
+        runs = tokens.select("doc_id", "text_hash", F.explode(short_hashes(F.col("tokens"), F.col("raw"), sorted(short))).alias("run"))
         found = found.unionByName(runs.select("doc_id", "text_hash", "run.doc_pos", "run.h"))
     few = windows.count() <= broadcast_windows
     keys = windows.select("h", "item_id", "item_hash", "item_pos", "item_words", F.size("slots").alias("n_slots"))

@@ -89,3 +89,46 @@ def test_items_dense_in_placeholders_and_short_ones(spark):
         (5, "sort 8, 4, 2, 6 and 1"), (6, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (7, "name two other primes"), (8, "sort 7 and 3"),
     ]
     assert find(spark, docs, items) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
+
+
+def test_short_items_by_template_and_tiny_ones_not_at_all(spark):
+    items = [(1, "Is it 5 km"), (2, "the"), (3, "old station"), (4, "4 5 6"), (5, "name two primes"), (6, None)]
+    docs = [
+        (1, "Tell me. Is it 7 km to the old station"), (2, "is it 5 km or so"), (3, "it is 7 km"), (4, "count 4 5 6 now"), (5, "count 7 8 9 now"), (6, "Please name two primes"),
+        (7, "name two odd primes"), (8, "is it far"), (9, "Is it 7"),
+    ]
+    assert find(spark, docs, items) == [(1, 1), (2, 1), (4, 4), (6, 5)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.item_id, r.n_words) for r in dc.unsearchable(b).collect()) == [(2, 1), (3, 2), (6, 0)]
+
+
+def test_slots_by_brute_force(spark):
+    """Items of words and numbers, whole in a text with each number changed: held if equal numbers stay equal."""
+    import random
+
+    rng = random.Random(6)
+    vocab = [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    items, docs, want = [], [], []
+    for k in range(12):
+        numbers = [str(rng.randint(10, 14)) for _ in range(4)]
+        words = [w for n in numbers for w in (*rng.sample(vocab, 3), n)] + rng.sample(vocab, 2)
+        items.append((k, " ".join(words)))
+        for broken in (False, True):
+            new = {n: str(50 + i) for i, n in enumerate(dict.fromkeys(numbers))}
+            made, seen = [], 0
+            for w in words:
+                if w in new:
+                    seen += 1
+                    made.append(str(900 + seen) if broken else new[w])
+                else:
+                    made.append(w)
+            docs.append((len(docs), " ".join([*rng.sample(vocab, 5), *made, *rng.sample(vocab, 5)])))
+            here = {}
+            for w, m in zip(words, made, strict=True):
+                if w in new:
+                    here.setdefault(w, set()).add(m)
+            conflicts = sum(len(x) > 1 for x in here.values())
+            if conflicts <= 0.2 * len(here):
+                want.append((docs[-1][0], k))
+    assert find(spark, docs, items) == sorted(want, key=str)
+    assert len(want) < len(docs)
