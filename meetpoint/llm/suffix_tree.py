@@ -278,6 +278,7 @@ def retained(entries: DataFrame, evidence: float) -> DataFrame:
 
 def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least: int, longest: int, evidence: float) -> list[tuple[DataFrame, DataFrame]]:
     """For each depth: the retained contexts(context, size, left) and their entries(key, n, p, gain), written tables."""
+    spark = training.sparkSession
     tree: list[tuple[DataFrame, DataFrame]] = []
     filters: list = []  # broadcast once each
     slices = tokens // SLICE_TOKENS + 1
@@ -308,7 +309,7 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
         delete_shared(entries)
         often = counts.where((F.col("n") >= least) & ~F.col("own"))
         pair = key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)
-        filters.append(training.sparkSession.sparkContext.broadcast(pair))
+        filters.append(spark.sparkContext.broadcast(pair))
         free_shuffles(spark)
         delete_shared(counts)
     return tree
