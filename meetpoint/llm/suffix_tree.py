@@ -43,8 +43,6 @@ HELD_TOKENS = 1_000_000
 PART_TOKENS = 500_000
 #: Training tokens for each slice of the entries, and the words whose contexts are split at most.
 SLICE_TOKENS, MOST_SPLIT = 1_500_000, 1 << 18
-#: Parts of the texts whose keys are looked up one after another, so that their shuffles share the disk.
-ROUNDS = 2
 #: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
 BITS, MOST_BITS = 16, 1 << 27
 
@@ -249,11 +247,27 @@ def count_entries(training: DataFrame, filters: list, often: np.ndarray, slices:
 def count_words(training: DataFrame) -> DataFrame:
     """(key, n): the uses of each symbol."""
 
+    def summed(held):
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        first = starts_of(keys[order])
+        return keys[order[first]], np.add.reduceat(n[order], first)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for _, s, _, _ in parts(batch.column("symbols")):
-                keys, n = np.unique(s, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+                held.append(np.unique(s, return_counts=True))
+                size += len(held[-1][0])
+                if size >= HELD_TOKENS:  # few words are new after a while, so one count goes on
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size >= HELD_TOKENS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["key", "n"])
+                        held, size = [], 0
+        if held:
+            keys, n = summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return training.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -464,18 +478,11 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     def answer(key, asked, known):
         return answered(asked, known)
 
-    def looked_up(texts):
-        """The sums of some of the texts, a written table."""
-        asked = texts.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
-        sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
-        found = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
-        return materialise(found.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known"))))
-
-    found = None
-    for part in range(ROUNDS):
-        free_shuffles(spark)
-        sums = looked_up(corpus.where(F.col("row") % ROUNDS == part))
-        found = sums if found is None else found.unionByName(sums)
+    free_shuffles(spark)
+    asked = corpus.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
+    sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
+    answers = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
+    found = materialise(answers.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known"))))
     # a token adds log10(0.1 / norm), and log10((c + 0.1) / 0.1) if it is known
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(norm * 10))
     return corpus.join(found, F.col("row") == F.col("k")).select(
