@@ -85,7 +85,7 @@ def nearest_place(points: DataFrame, places: DataFrame, id_column: str, max_mete
     spot = Window.partitionBy("place_lat", "place_lon").orderBy("place_id")
     few = stored(places.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k).drop("__n"))
     order = Window.partitionBy(id_column).orderBy("distance_meters", "place_id")
-    left, found = stored(points.select(id_column, "lat", "lon")), None
+    left, found = stored(points.where("lat is not null and lon is not null").select(id_column, "lat", "lon")), None
     for ring in reversed(range(RINGS)):
         near = within_radius(left, few, max_meters / WIDER**ring, r=("place_lat", "place_lon")).drop("lat", "lon")
         best = stored(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
