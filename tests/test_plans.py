@@ -1,7 +1,9 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from meetpoint.plans import queries
 from meetpoint.plans.model import N_CELLS, RATES, Model
 from meetpoint.plans.queries import QUERIES
 from meetpoint.schemas import UNREACHABLE
@@ -53,3 +55,18 @@ def test_best_cells_by_brute_force(spark, given):
     status = {r.meetup_id: (r.status, r.cell_id) for r in QUERIES["rendezvous"](spark, given).collect()}
     assert set(status) == {o for o, _ in ORDERS} and status[3][0] == "no_positioned_participants"
     assert all(status[o] == ("ok", want[o][0]) for o in want if want[o][1] < UNREACHABLE)
+
+
+def test_registered_streams_have_several_batches_in_no_order_of_time(spark):
+    m = Model(spark, "/root/testdata/sf0.001")
+    round_ = F.pmod(F.xxhash64("change_id"), F.lit(queries.ROUNDS))
+    stream, checkpoint = queries.streamed(m, m.changes.withColumn("ts", F.col("ts").cast("timestamp")), F.array(round_))
+    spans = {}
+
+    def seen(batch, batch_id):
+        if not batch.isEmpty():
+            spans[batch_id] = batch.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+
+    stream.writeStream.foreachBatch(seen).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert len(spans) >= 3 and sum(n for *_, n in spans.values()) == m.changes.count()
+    assert max(lo for lo, *_ in spans.values()) < min(hi for _, hi, _ in spans.values())  # each batch has changes older than others' newest
