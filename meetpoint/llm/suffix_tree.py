@@ -43,6 +43,8 @@ HELD_TOKENS = 1_000_000
 PART_TOKENS = 500_000
 #: Training tokens for each slice of the entries, and the words whose contexts are split at most.
 SLICE_TOKENS, MOST_SPLIT = 1_500_000, 1 << 18
+#: Parts of the texts whose keys are looked up one after another, so that their shuffles share the disk.
+ROUNDS = 3
 #: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
 BITS, MOST_BITS = 16, 1 << 27
 
@@ -478,11 +480,18 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     def answer(key, asked, known):
         return answered(asked, known)
 
-    free_shuffles(spark)
-    asked = corpus.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
-    sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
-    answers = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
-    found = materialise(answers.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known"))))
+    def looked_up(texts):
+        """The sums of some of the texts, a written table."""
+        asked = texts.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
+        sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
+        answers = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
+        return materialise(answers.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known"))))
+
+    found = None
+    for part in range(ROUNDS):
+        free_shuffles(spark)
+        sums = looked_up(corpus.where(F.col("row") % ROUNDS == part))
+        found = sums if found is None else found.unionByName(sums)
     # a token adds log10(0.1 / norm), and log10((c + 0.1) / 0.1) if it is known
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(norm * 10))
     return corpus.join(found, F.col("row") == F.col("k")).select(
