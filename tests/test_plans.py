@@ -70,3 +70,18 @@ def test_registered_streams_have_several_batches_in_no_order_of_time(spark):
     stream.writeStream.foreachBatch(seen).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     assert len(spans) >= 3 and sum(n for *_, n in spans.values()) == m.changes.count()
     assert max(lo for lo, *_ in spans.values()) < min(hi for _, hi, _ in spans.values())  # each batch has changes older than others' newest
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapping_neither_shuffles_points_nor_interprets_arrays(spark):
+    plan = plan_of(QUERIES["snap_cells"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" not in plan and "lambda" not in plan
+
+
+def test_no_table_of_a_row_per_meetup_is_broadcast(spark):
+    for name in ("rendezvous", "rendezvous_in_blocks"):
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "SortMergeJoin [meetup_id" in plan and "BroadcastHashJoin [meetup_id" not in plan
