@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from meetpoint.operators import meet
 from meetpoint.plans import queries
 from meetpoint.plans.model import N_CELLS, RATES, Model
 from meetpoint.plans.queries import QUERIES
@@ -85,3 +86,14 @@ def test_no_table_of_a_row_per_meetup_is_broadcast(spark):
     for name in ("rendezvous", "rendezvous_in_blocks"):
         plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "SortMergeJoin [meetup_id" in plan and "BroadcastHashJoin [meetup_id" not in plan
+
+
+def test_best_times_and_cells_make_no_array_or_row_per_participant_and_cell(spark, given):
+    plans = {name: plan_of(QUERIES[name](spark, given)) for name in ("participant_best_time", "best_cell")}
+    assert not any("posexplode" in p or "zip_with" in p or ",seconds#" in p for p in plans.values())
+    m = Model(spark, given)
+    want = meet.participant_times(m.participants, m.meetups, m.cells, m.times, queries.ZONE, queries.RES).where("times is not null")
+    whole = {r.id: (min(s for s in r.times if s > 0), sum(s < UNREACHABLE for s in r.times), sum(r.times)) for r in want.collect()}
+    assert {r.participant_id: (r.least, r.reachable, r.total) for r in QUERIES["participant_best_time"](spark, given).collect()} == whole
+    cells = {r.meetup_id: tuple(r)[1:] for r in meet.best_cell(want).collect()}
+    assert {r.meetup_id: tuple(r)[1:] for r in meet.best_cell_of_meetups(m.participants, m.meetups, m.cells, m.times, queries.ZONE, queries.RES, task_numbers=1).collect()} == cells
