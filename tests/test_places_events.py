@@ -184,3 +184,31 @@ def test_few_places_of_one_spot_are_searched(spark):
     spots = spark.range(200_000).selectExpr("id as place_id", "48.2D as place_lat", "16.37D as place_lon")
     asked = spark.range(2000).selectExpr("id", "48.2D + id * 1e-8 as lat", "16.37D as lon")
     assert places.nearest_place(asked, spots, "id", k=2).groupBy("place_id", "rank").count().orderBy("rank").collect() == [(0, 1, 2000), (1, 2, 2000)]
+
+
+def test_showings_near_are_those_of_each_pair_counted(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from meetpoint.operators import happenings
+
+    pick = random.Random(5)
+    day = datetime(2026, 8, 1)
+    at = lambda: day + timedelta(hours=pick.randrange(0, 50))
+    spots = [(48.2 + i * 0.004, 16.37) for i in range(3)]
+    meetups = spark.createDataFrame([(i, at()) for i in range(60)], "id long, starts_at timestamp_ntz")
+    centres = spark.createDataFrame([(i, *spots[i % 3]) for i in range(60)], "meetup_id long, centre_lat double, centre_lon double")
+    events = spark.createDataFrame([(e, 48.195 + pick.randrange(8) * 0.003, 16.37, None) for e in range(25)] + [(99, None, 16.37, None)], "id long, lat double, lon double, disappeared_at timestamp_ntz")
+    rows = []
+    for i in range(400):
+        start = at()
+        all_day = pick.random() < 0.2
+        local = start + timedelta(hours=2)
+        rows.append((i, pick.randrange(25), None if pick.random() < 0.05 else start, local if pick.random() < 0.9 else day, local.date(), all_day))
+    occurrences = spark.createDataFrame(rows, "id long, event_id long, start_utc timestamp_ntz, start_local timestamp_ntz, date_local date, all_day boolean")
+    pairs = happenings.next_occurrence(meetups, occurrences, happenings.events_in_radius(centres, events, 1000))
+    want = pairs.groupBy("meetup_id").agg(F.count("*"), F.count_if("all_day"), F.min("start_local"), F.sum("event_id"))
+    got = happenings.showings_near(centres, meetups, events, occurrences, 1000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 30
