@@ -212,3 +212,28 @@ def test_showings_near_are_those_of_each_pair_counted(spark):
     want = pairs.groupBy("meetup_id").agg(F.count("*"), F.count_if("all_day"), F.min("start_local"), F.sum("event_id"))
     got = happenings.showings_near(centres, meetups, events, occurrences, 1000)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 30
+
+
+def test_meetups_of_a_spot_are_dealt_out(spark):
+    """The join's result is far larger than its input, so its partitions are not put together by the input's size."""
+    centres = spark.sql("select id as meetup_id, 48.2 + (id % 2) * 1e-4 as centre_lat, 16.37D as centre_lon from range(40)")
+    events = spark.sql("select id, 48.2 + id * 1e-4 as lat, 16.37D as lon, cast(null as timestamp_ntz) as disappeared_at from range(30)")
+    found = happenings.events_in_radius(centres, events, 200)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(r.meetup_id, r.event_id): r.distance_meters for r in found.collect()}
+    assert len(want) == found.count() == 20 * 18 + 20 * 19 and want[0, 0] == 0
+    whole = happenings.events_in_radius(centres, events, 200, whole=True)
+    assert {(r.meetup_id, r.event_id): r.distance_meters for r in whole.collect()} == {k: round(d) for k, d in want.items()}
+
+
+def test_listings_serve_several_batches(spark):
+    day = "timestamp_ntz'2026-08-01 00:00:00'"
+    events = spark.sql("select id, 48.2 + id * 1e-4 as lat, 16.37D as lon, cast(null as timestamp_ntz) as disappeared_at from range(30)")
+    shown = spark.sql(f"select id, id as event_id, {day} + make_interval(0,0,0,0,cast(id % 20 as int),0,0) as start_utc, {day} as start_local, date'2026-08-01' as date_local, false as all_day from range(30)")
+    spots = spark.sql("select 48.2D as centre_lat, 16.37D as centre_lon")
+    listed, some, showings = happenings.listed_around(spots, events, shown, 200, 2)
+    assert 0 < some.count() == showings.count() < 18
+    for hour in (0, 7, 15, 19):
+        centres = spots.selectExpr("1L as meetup_id", "*", f"{day} + make_interval(0,0,0,0,{hour},0,0) as starts_at", "date'2026-08-01' as date_local")
+        direct, served = happenings.nearest_showing(centres, events, shown, 200, 2), happenings.nearest_showing(centres, some, showings, 200, 2, listed)
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, served.collect()))
