@@ -2,7 +2,8 @@
 
 What a stream knows lies in ``KeptTables``: each batch reads only the buckets of
 the meetups (or users) it touches, as the batch before left them, writes these
-buckets anew, and commits once all its tables are written.  A batch that is lost
+buckets anew (of people and answers the touched meetups alone), and commits once
+all its tables are written.  A batch that is lost
 anywhere runs again to the same rows.
 """
 
@@ -84,17 +85,18 @@ def stream_rendezvous(
             batch = stored(batch)
             buckets = kept.touched(batch, "meetup_id")
             late = watermark(state.latest, delay)
-            people = state.read("people", buckets)
+            touched = stored(batch.select("meetup_id").distinct())
+            people = stored(state.read("people", buckets, touched))  # all that the batch needs of them
             applied = state.read("applied", buckets)
             known = batch.where(late.isNull() | (F.col("ts") >= late)).join(people.select("meetup_id", F.col("id").alias("participant_id")), ["meetup_id", "participant_id"], "left_semi")
-            fresh = known if applied is None else newer_than_applied(known, applied)
-            state.write("people", replace_participants(people, fresh), buckets)
+            fresh = stored(known if applied is None else newer_than_applied(known, applied))
+            people = stored(replace_participants(people, fresh))
+            state.write("people", people, buckets, True)
             state.write("applied", high_water(fresh.limit(0) if applied is None else applied, fresh, late), buckets)
-            touched = batch.select("meetup_id").distinct()
-            answered = answer(touched, state.written("people", buckets).join(touched, "meetup_id", "left_semi"))
-            state.write("answers", upsert_answers(state.read("answers", buckets), answered), buckets)
+            answered = stored(answer(touched, people))
+            state.write("answers", answered, buckets, True)
             if events:
-                now = state.written("answers", buckets).join(touched, "meetup_id", "left_semi")
+                now = state.written("answers", buckets, touched)
                 state.write("events", events_after(state.read("events", buckets), now, events(now)), buckets)
             state.commit(batch.agg(F.max(F.unix_micros("ts"))).first()[0])
         kept.forget()

@@ -342,3 +342,22 @@ def test_logins_in_any_order_equal_the_batch(spark, tmp_path):
     got, want = kept.table("accounts"), changes.upsert_accounts(accounts, profiles)
     assert rows_of(got, want.columns) == rows_of(want)
     assert sorted((r.supabase_user_id, r.display_name, r.email) for r in got.collect()) == [("u0", "d0", "e20"), ("u1", "mine", "e21"), ("u2", "d2", "e22"), ("u3", "d3", "e23"), ("u4", "d4", "e24")]
+
+
+def test_amended_buckets(spark, tmp_path, monkeypatch):
+    """A batch writes only the rows of its keys, and a bucket of many versions is written anew."""
+    monkeypatch.setattr("meetpoint.streaming.state.VERSIONS", 3)
+    kept = KeptTables(spark, f"{tmp_path}/kept", {"t": "k"}, 2)
+    kept.start(t=spark.sql("select id % 6 as k, id as v from range(18)"))
+    want, sizes = {(k % 6, k) for k in range(18)}, []
+    for n in range(5):
+        only = spark.sql(f"select {n % 3}L as k")
+        batch = kept.open(n)
+        assert {tuple(r) for r in batch.read("t", kept.touched(only, "k"), only).collect()} == {r for r in want if r[0] == n % 3}
+        batch.write("t", only.selectExpr("k", f"{100 + n}L as v"), kept.touched(only, "k"), True)
+        want = {r for r in want if r[0] != n % 3} | {(n % 3, 100 + n)}
+        batch.commit(None)
+        kept.forget()
+        sizes.append(spark.read.parquet(kept.path("t", n)).count())
+        assert {tuple(r) for r in kept.table("t").collect()} == want
+    assert sizes[0] == 1 and max(max(map(len, kept.manifest(n)["tables"]["t"]["buckets"].values())) for n in kept.commits()) <= 3
