@@ -71,3 +71,41 @@ def test_recall_of_scattered_changes_near_the_limit():
         tried += 1
         found += (similar.segment_pairs(prints[0]) == similar.segment_pairs(prints[1])).any()
     assert found / tried > 0.97
+
+
+def test_blocks_put_in_and_large_groups_by_brute_force(spark):
+    """Passages put in at just over 0.8, which fingerprints miss, and a group of near copies of which some are outside."""
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        words = [rng.choice(vocab) for _ in range(120)]
+        at = rng.randrange(20, 100)
+        texts += [" ".join(words), " ".join(words[:at] + [rng.choice(vocab) for _ in range(20)] + words[at:])]
+    base = [rng.choice(vocab) for _ in range(80)]
+    for _ in range(60):
+        new = list(base)
+        for _ in range(rng.randint(1, 5)):
+            new[rng.randrange(len(new))] = rng.choice(vocab)
+        texts.append(" ".join(new))
+    expected = plain_groups(texts)
+    assert len(set(expected[:80])) == 40 and 1 < len(set(expected[80:])) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in similar.keep_one_of_similar(docs).collect()) == sorted(set(expected))
+
+
+def test_prefixes_and_bit_maps_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    universe = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    frequent, uses = universe[::3], rng.integers(2, 50, len(universe[::3]))
+    similar_pairs = 0
+    for _ in range(3000):
+        a = np.sort(rng.choice(universe, rng.integers(1, 120), replace=False))
+        b = np.union1d(a[rng.random(len(a)) > 0.1], rng.choice(universe, rng.integers(0, 1 + len(a) // 10)))
+        if not len(b) or not similar.alike(a, b):
+            continue
+        similar_pairs += 1
+        assert np.intersect1d(*(similar.prefix(x, frequent, uses) for x in (a, b))).size
+        only = [np.bitwise_count((similar.bit_map(x) & ~similar.bit_map(y)).view(np.uint64)).sum() for x, y in ((a, b), (b, a))]
+        assert 9 * min(len(a) - only[0], len(b) - only[1]) >= 4 * (len(a) + len(b))
+    assert similar_pairs > 500
