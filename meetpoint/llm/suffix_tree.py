@@ -16,7 +16,8 @@ token) seen more than once a gain.  All of these are values of 64-bit keys, and
 score is a sum of values.  Words, contexts and entries are distributed tables that grow
 with the corpus.  The commonest keys (a bounded number) are added in the tasks; the
 others are joined with the tables, but for those that a filter of fixed size rules out.
-Neither shortcut changes a score.
+Pairs of the commonest words (a bounded number) are counted as short codes, others by
+their hashes.  None of these shortcuts changes a score.
 """
 
 from __future__ import annotations
@@ -36,13 +37,18 @@ END = np.uint64(xxhash.xxh64_intdigest(b""))
 #: Multipliers of the hash of a context.
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 DISCOUNT = 0.75
+#: What a word used once adds to the score of the counts.
+ONCE = np.log10(11.0)
 #: Words whose hashes a task remembers.
 HELD_WORDS = 400_000
 #: Tokens that a counting task holds before it counts and emits them.
 HELD_TOKENS = 1_000_000
 PART_TOKENS = 500_000
-#: Training tokens for each slice of the entries, and the words whose contexts are split at most.
-SLICE_TOKENS, MOST_SPLIT = 1_500_000, 1 << 18
+#: The bits of a word's code in a pair of words, so as many words have one at most, and the pairs that a task holds.
+CODE_BITS, HELD_PAIRS = 20, 4_000_000
+MOST_CODED = 1 << CODE_BITS
+#: Training tokens for each slice of the entries, and of the keys to look up, and the words whose contexts are split at most.
+SLICE_TOKENS, LOOKUP_TOKENS, MOST_SPLIT = 1_500_000, 6_000_000, 1 << 18
 #: Parts of the texts whose keys are looked up one after another, so that their shuffles share the disk.
 ROUNDS = 3
 #: Bits of a filter for each key, and at most: 16 MB whatever the corpus.
@@ -96,14 +102,19 @@ def parts(column):
         at = to
 
 
+def mixed(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts with a symbol before them."""
+    x = context * MULTIPLIERS[0] + symbol
+    x = (x ^ (x >> np.uint64(30))) * MULTIPLIERS[1]
+    x = (x ^ (x >> np.uint64(27))) * MULTIPLIERS[2]
+    return x ^ (x >> np.uint64(31))
+
+
 def longer(context: np.ndarray, s: np.ndarray, index: np.ndarray, depth: int) -> np.ndarray:
     """Hashes of the contexts of ``depth`` symbols, from those of one symbol less; undefined where the text is shorter."""
     symbol = np.full(len(s), END)
     symbol[depth:] = s[:-depth]
-    x = context * MULTIPLIERS[0] + np.where(index >= depth, symbol, END)
-    x = (x ^ (x >> np.uint64(30))) * MULTIPLIERS[1]
-    x = (x ^ (x >> np.uint64(27))) * MULTIPLIERS[2]
-    return x ^ (x >> np.uint64(31))
+    return mixed(context, np.where(index >= depth, symbol, END))
 
 
 def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
@@ -134,6 +145,68 @@ def may_be(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return there
 
 
+def commonest(values: DataFrame, most: int) -> int:
+    """The least number of uses at which at most ``most`` rows of values(uses) are as common, from a histogram of a thousand bins at most."""
+    size = F.floor(F.log2("uses") * 16).cast("int")
+    cut, taken = None, 0
+    for r in sorted(values.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("uses").alias("uses")).collect(), key=lambda r: -r["size"]):
+        taken += r["rows"]
+        if taken > most:
+            break
+        cut = r["uses"]
+    return (1 << 62) if cut is None else cut
+
+
+class Lookup:
+    """A sorted table of distinct hashes, with the place where those of each first bits begin."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 1
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, -1 if it is not there."""
+        out = np.full(len(keys), -1)
+        slot = (keys >> self.shift).astype(np.int64)
+        at, to = self.first[slot], self.first[slot + 1]
+        rows = np.flatnonzero(at < to)
+        at, to, keys = at[rows], to[rows], keys[rows]
+        while len(rows):
+            hit = self.table[at] == keys
+            out[rows[hit]] = at[hit]
+            on = np.flatnonzero(~hit & (at + 1 < to))
+            rows, at, to, keys = rows[on], at[on] + 1, to[on], keys[on]
+        return out
+
+
+class Codes:
+    """Codes of the commonest words, small for common ones; ``word`` and ``uses`` are by code."""
+
+    def __init__(self, word: np.ndarray, uses: np.ndarray):
+        self.word, self.uses = word, uses
+        order = np.argsort(word)
+        self.sorted, self.code = word[order], order.astype(np.int32)
+
+    def known(self) -> Lookup:
+        return Lookup(self.sorted)
+
+    def of(self, known: Lookup, s: np.ndarray) -> np.ndarray:
+        """The code of each symbol, -1 if it has none."""
+        at = known.place(s)
+        return np.where(at >= 0, self.code[at] if len(self.code) else 0, -1).astype(np.int64)
+
+
+def word_codes(words: DataFrame, most: int) -> tuple[Codes, int]:
+    """Codes of at most ``most`` words, and the least number of uses of a word that has one."""
+    cut = commonest(words.select(F.col("n").alias("uses")), most)
+    found = words.where(F.col("n") >= cut).toArrow()
+    word, uses = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.lexsort((word, -uses))
+    return Codes(word[order], uses[order]), cut
+
+
 def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens to count at this depth, hash of each token's context, of that context's suffix).
 
@@ -216,6 +289,121 @@ def merged(table: pa.Table, least: int, whole: bool) -> pa.Table:
     return pa.table([*(pa.array(x.view(np.int64)) for x in columns), pa.array(is_own)], names=["context", "key", "n", "own"])
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers as compressed bytes, those of one place together, as the high ones are mostly 0."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), asbytes=True)
+
+
+def spread(data: bytes, kind: type, count: int) -> np.ndarray:
+    """What ``squeezed`` was given."""
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=count * size), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, count).T).view(kind).ravel()
+
+
+def packed_pairs(pairs: np.ndarray, split: np.ndarray, slices: int) -> pa.RecordBatch:
+    """Pairs of codes of some tokens, counted, a row for each slice, as differences and counts.
+
+    Slices follow those of ``packed``; ``split`` has for each code if its pairs are dealt out by the second word.
+    """
+    pairs = np.sort(pairs)
+    first = starts_of(pairs)
+    n = np.diff(np.append(first, len(pairs))).astype(np.int32)
+    pairs = pairs[first]
+    before, code = pairs >> CODE_BITS, pairs & ((1 << CODE_BITS) - 1)
+    piece = 2 * slices + np.where(split[before], slices + code % slices, before % slices)
+    order = np.argsort(piece.astype(np.min_scalar_type(4 * slices)), kind="stable")
+    pairs, n, piece = pairs[order], n[order], piece[order]
+    runs = [*starts_of(piece), len(piece)]
+    rows = [(piece[a], b - a, squeezed(np.diff(pairs[a:b], prepend=0)), squeezed(n[a:b])) for a, b in zip(runs, runs[1:])]
+    of, counts, keys, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+    none = pa.nulls(len(rows), pa.binary())
+    kinds = pa.array([int(c).to_bytes(8, "little") for c in counts], pa.binary())
+    columns = [pa.array(of, pa.int64()), none, none, kinds, pa.array(keys, pa.binary()), pa.array(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "contexts", "suffixes", "kinds", "keys", "n"])
+
+
+def merged_pairs(table: pa.Table, codes: Codes, norm: float) -> pa.Table:
+    """(context, key, n, size, parent, kind 0) of a slice of coded pairs: the entries seen more than once."""
+    rows = [(int.from_bytes(c, "little"), k, n) for c, k, n in zip(*(table.column(x).to_pylist() for x in ("kinds", "keys", "n")), strict=True)]
+    pairs = np.concatenate([np.cumsum(spread(k, np.int64, c)) for c, k, _ in rows])
+    n = np.concatenate([spread(x, np.int32, c) for c, _, x in rows])
+    order = np.argsort(pairs)
+    first = starts_of(pairs[order])
+    seen = np.add.reduceat(n[order], first, dtype=np.int64)
+    pairs, seen = pairs[order[first[seen > 1]]], seen[seen > 1]
+    before, code = pairs >> CODE_BITS, pairs & ((1 << CODE_BITS) - 1)
+    context = mixed(np.zeros(len(pairs), np.uint64), codes.word[before])
+    columns = context.view(np.int64), (codes.word[code] ^ context).view(np.int64), seen, codes.uses[before], (codes.uses[code] + 0.1) / norm, np.zeros(len(pairs), np.int32)
+    return pa.table([pa.array(x) for x in columns], names=["context", "key", "n", "size", "parent", "kind"])
+
+
+def count_pairs(training: DataFrame, words: DataFrame, often: np.ndarray, slices: int, least: int, norm: float) -> DataFrame:
+    """(context, key, n, size, parent, kind) over all tokens in contexts of one word used ``least`` times.
+
+    A context's uses are its word's, so tokens after rarer words are left out, and
+    those whose own word is seen once.  Entries of two coded words are complete
+    (kind 0); of the others (kind 1), ``size`` and ``parent`` are to be found, and rows of
+    kind 2 have each context of theirs with its word as key.
+    """
+    codes, cut = word_codes(words, MOST_CODED)
+    rare = words.where(F.col("n") < cut)
+    start = codes.of(codes.known(), np.array([END]))[0]
+    place = codes.of(codes.known(), often)
+    split = np.zeros(len(codes.word), bool)
+    split[place[place >= 0]] = True
+    shared = training.sparkSession.sparkContext.broadcast((codes, split, key_filter(rare.where(F.col("n") >= least)), key_filter(rare.where(F.col("n") > 1))))
+
+    def hashed(held):
+        context, word, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.minimum(np.searchsorted(often, word), max(len(often) - 1, 0))
+        return packed(context, word, key, often[at] == word if len(often) else np.zeros(len(word), bool), slices)
+
+    def run(batches):
+        codes, split, contexts, symbols = shared.value
+        known = codes.known()
+        coded, others, sizes = [], [], [0, 0]
+        for batch in batches:
+            for _, s, index, starts in parts(batch.column("symbols")):
+                code = codes.of(known, s)
+                before, word = np.roll(code, 1), np.roll(s, 1)
+                before[starts], word[starts] = start, END
+                both = (code >= 0) & (before >= 0)
+                rows = np.flatnonzero(both)
+                rows = rows[(codes.uses[before[rows]] >= least) & (codes.uses[code[rows]] > 1)]
+                coded.append(before[rows] << CODE_BITS | code[rows])
+                rows = np.flatnonzero(~both)
+                for of, symbol, filter_, most in ((before, word, contexts, least), (code, s, symbols, 2)):
+                    there = of[rows] >= 0
+                    there[there] = codes.uses[of[rows[there]]] >= most
+                    rest = np.flatnonzero(of[rows] < 0)
+                    there[rest] = may_be(filter_, symbol[rows[rest]])
+                    rows = rows[there]
+                context = mixed(np.zeros(len(rows), np.uint64), word[rows])
+                others.append((context, word[rows], s[rows] ^ context))
+                sizes = [sizes[0] + len(coded[-1]), sizes[1] + len(rows)]
+                if sizes[0] >= HELD_PAIRS:
+                    yield packed_pairs(np.concatenate(coded), split, slices)
+                    coded, sizes[0] = [], 0
+                if sizes[1] >= HELD_TOKENS:
+                    yield hashed(others)
+                    others, sizes[1] = [], 0
+        if sizes[0]:
+            yield packed_pairs(np.concatenate(coded), split, slices)
+        if sizes[1]:
+            yield hashed(others)
+
+    def merge(key, table):
+        if key[0].as_py() >= 2 * slices:
+            return merged_pairs(table, shared.value[0], norm)
+        found = merged(table, 0, False)
+        kind = np.where(found.column("own").to_numpy(zero_copy_only=False), 2, 1).astype(np.int32)
+        return pa.table([*found.columns[:3], pa.array(np.zeros(len(kind), np.int64)), pa.array(np.zeros(len(kind))), pa.array(kind)], names=["context", "key", "n", "size", "parent", "kind"])
+
+    found = training.select("symbols").mapInArrow(run, "slice long, contexts binary, suffixes binary, kinds binary, keys binary, n binary")
+    return found.groupBy("slice").applyInArrow(merge, "context long, key long, n long, size long, parent double, kind int")
+
+
 def count_entries(training: DataFrame, filters: list, often: np.ndarray, slices: int, least: int) -> DataFrame:
     """(context, key, n, own) over all tokens in contexts to count, as ``merged`` has them.
 
@@ -301,19 +489,26 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
     share = max(tokens // slices // 4, tokens // MOST_SPLIT)  # so there are fewer than MOST_SPLIT such words
     common = np.sort(words.where(F.col("n") > share).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     while len(tree) < longest:
-        counts = materialise(count_entries(training, filters, common, slices, least), "zstd", "own")
-        contexts = counts.where("own").groupBy("context").agg(F.max("key").alias("suffix"), F.sum("n").alias("size")).where(F.col("size") >= least)
         if tree:
+            counts = materialise(count_entries(training, filters, common, slices, least), "zstd", "own")
+            free_shuffles(spark)
+            rows, is_own = counts.where("not own").select("context", "key", "n"), F.col("own")
+            contexts = counts.where("own").groupBy("context").agg(F.max("key").alias("suffix"), F.sum("n").alias("size")).where(F.col("size") >= least)
             contexts = contexts.join(tree[-1][0].select(F.col("context").alias("suffix")), "suffix", "left_semi")
             parents = tree[-1][1].select(F.col("key").alias("up"), F.col("p").alias("parent"))
         else:
+            counts = materialise(count_pairs(training, words, common, slices, least, norm), "zstd", "kind")
+            free_shuffles(spark)
+            rows, is_own = counts.where("kind = 1").select("context", "key", "n"), F.col("kind") == 2
+            uses = words.where(F.col("n") >= least).select("key", F.col("n").alias("size"))
+            contexts = counts.where("kind = 2").select("context", "key").distinct().join(uses, "key").select("context", F.lit(0).cast("long").alias("suffix"), "size")
             parents = words.select(F.col("key").alias("up"), ((F.col("n") + 0.1) / norm).alias("parent"))
         up = F.col("key").bitwiseXOR(F.col("context")).bitwiseXOR(F.col("suffix"))
-        entries = counts.where("not own").select("context", "key", "n").join(contexts, "context").withColumn("up", up).join(parents, "up").drop("up")
-        entries = materialise(entries, "zstd")
+        joined = materialise(rows.join(contexts, "context").withColumn("up", up).join(parents, "up").select("context", "key", "n", "size", "parent"), "zstd")
+        entries = joined if tree else joined.unionByName(counts.where("kind = 0").drop("kind"))
         kept = materialise(retained(entries, evidence))
         if kept.isEmpty():
-            for table in (counts, entries, kept):
+            for table in (counts, joined, kept):
                 free_shuffles(spark)
                 delete_shared(table)
             break
@@ -322,8 +517,8 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
         found = entries.drop("size").join(kept, "context").select("key", "n", (own + below).alias("p"), F.log10(1 + own / below).alias("gain"))
         tree.append((kept, materialise(found, "zstd")))
         free_shuffles(spark)
-        delete_shared(entries)
-        often = counts.where((F.col("n") >= least) & ~F.col("own"))
+        delete_shared(joined)
+        often = counts.where((F.col("n") >= least) & ~is_own)
         pair = key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)
         filters.append(spark.sparkContext.broadcast(pair))
         free_shuffles(spark)
@@ -331,61 +526,36 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
     return tree
 
 
-def commonest(values: DataFrame, most: int) -> int:
-    """The least number of uses at which at most ``most`` rows of values(uses) are as common, from a histogram of a thousand bins at most."""
-    size = F.floor(F.log2("uses") * 16).cast("int")
-    cut, taken = None, 0
-    for r in sorted(values.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("uses").alias("uses")).collect(), key=lambda r: -r["size"]):
-        taken += r["rows"]
-        if taken > most:
-            break
-        cut = r["uses"]
-    return (1 << 62) if cut is None else cut
-
+def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filters: tuple, depth: int, s: np.ndarray, index: np.ndarray, trained: np.ndarray):
+    """(base and gain of each token from the common keys, [tokens, their other keys] to look up).
 
-class Lookup:
-    """A sorted table of keys with a small bitmap before it, as most keys asked for are not there."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.bits = np.zeros(1 << 22, np.uint8)
-        slots = self.slots(table)
-        np.bitwise_or.at(self.bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
-
-    @staticmethod
-    def slots(keys: np.ndarray) -> np.ndarray:
-        return ((keys * MULTIPLIERS[0]) >> np.uint64(39)).astype(np.int64)
-
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key in the table, -1 if it is not there."""
-        out = np.full(len(keys), -1)
-        if len(self.table):
-            slots = self.slots(keys)
-            rows = np.flatnonzero((self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
-            asked, which = np.unique(keys[rows], return_inverse=True)
-            at = np.minimum(np.searchsorted(self.table, asked), len(self.table) - 1)
-            out[rows] = np.where(self.table[at] == asked, at, -1)[which]
-        return out
-
-
-def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: tuple, depth: int, s: np.ndarray, index: np.ndarray):
-    """(base and gain of each token from the common keys, [tokens, their other keys] to look up)."""
+    ``filters`` are of the other keys used more than once, and of the words used once.  In a text
+    ``trained`` on, a word that is neither common nor among the former is used once.
+    """
     sums, asked = [np.zeros(len(s)), np.zeros(len(s))], []
+    more, once = filters
 
-    def take(rows, keys):
+    def take(rows, keys, words=False):
         """Which of the keys are there or may be."""
         at = common.place(keys)
         there = at >= 0
         sums[0][rows[there]] += base[at[there]]
         sums[1][rows[there]] += gain[at[there]]
         others = np.flatnonzero(~there)
-        others = others[may_be(filter_, keys[others])]
+        ask = may_be_sliced(more, keys[others])
+        if words:
+            no = ~ask
+            own = trained[rows[others]]
+            sums[0][rows[others[no & own]]] += ONCE
+            new = np.flatnonzero(no & ~own)
+            ask[new] = may_be_sliced(once, keys[others[new]])
+        others = others[ask]
         asked.append((rows[others], keys[others]))
         there[others] = True
         return there
 
     rows = np.arange(len(s))
-    take(rows, s)
+    take(rows, s, True)
     context = np.zeros(len(s), np.uint64)
     for d in range(1, depth + 1):
         context = longer(context, s, index, d)
@@ -395,35 +565,114 @@ def score_tokens(common: Lookup, base: np.ndarray, gain: np.ndarray, filter_: tu
     return *sums, tuple(np.concatenate(x) for x in zip(*asked, strict=True))
 
 
-def asking(docs: np.ndarray, sums: np.ndarray, rows: np.ndarray, keys: np.ndarray, slices: int) -> pa.RecordBatch:
-    """The sums of some texts, and keys to look up for their rows: a row for each slice of the keys."""
-    piece = keys % slices
-    order = np.argsort(piece, kind="stable")
+def by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the keys by slice, the slices there, where each one's keys end)."""
+    piece = keys.view(np.int64) % slices
+    order = np.argsort(piece.astype(np.min_scalar_type(slices)), kind="stable")
     first = starts_of(piece[order])
-    ends = np.append(first[1:], len(keys))[: len(first)]
-    pieces = np.append(piece[order[first]], docs[0] % slices)  # the sums go to any slice
-    nothing = np.zeros(len(first), np.int64)
+    return order, piece[order[first]], np.append(first[1:], len(keys))[: len(first)]
+
+
+def bitmap(keys: np.ndarray, most: int) -> bytes:
+    """A filter of keys like that of ``key_filter``, for one slice."""
+    length = min(most, BITS * len(keys)) // 8 * 8
+    if not length:
+        return b""
+    found = np.zeros(length, bool)
+    for half in (keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)):
+        found[half % np.uint64(length)] = True
+    return np.packbits(found, bitorder="little").tobytes()
+
+
+def joined_bitmaps(found: dict[int, bytes], slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each slice's bitmap, where it begins, all bits)."""
+    pieces = [found.get(k, b"") for k in range(slices)]
+    lengths = np.array([8 * len(x) for x in pieces])
+    return lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(pieces) or b"\0", np.uint8)
+
+
+def may_be_sliced(filter_: tuple, keys: np.ndarray) -> np.ndarray:
+    lengths, begins, bits = filter_
+    piece = keys.view(np.int64) % len(lengths)
+    length, begin = lengths[piece], begins[piece]
+    there = length > 0
+
+    def on(halves, rows):
+        slot = begin[rows] + halves[rows].view(np.int64) % length[rows]
+        return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    for halves in (keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)):
+        rows = np.flatnonzero(there)
+        there[rows] = on(halves, rows)
+    return there
+
+
+def sliced_values(rest: DataFrame, slices: int) -> DataFrame:
+    """(slice, keys, values, words, more, once) of rest(key, value, word, once): a row each, sorted by key, with filters of the keys."""
+
+    def emitted(held):
+        keys, values, words, once = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, pieces, ends = by_slice(keys, slices)
+        flags = words[order] + 2 * once[order].astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array(pieces), binaries(keys[order], ends), binaries(values[order], ends), binaries(flags, ends)], names=["slice", "keys", "values", "flags"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "value", "word", "once")))
+            size += len(batch)
+            if size >= HELD_TOKENS:
+                yield emitted(held)
+                held, size = [], 0
+        if size:
+            yield emitted(held)
+
+    def join(key, table):
+        keys, values, flags = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("values", float), ("flags", np.uint8)))
+        order = np.argsort(keys)
+        keys, values, flags = keys[order], values[order], flags[order]
+        once = flags > 1
+        most = MOST_BITS // slices
+        row = [key[0].as_py(), keys.tobytes(), values.tobytes(), (flags & 1).tobytes(), bitmap(keys[~once], most), bitmap(keys[once], most)]
+        return pa.table([[x] for x in row], names=["slice", "keys", "values", "words", "more", "once"])
+
+    return rest.mapInArrow(run, "slice long, keys binary, values binary, flags binary").groupBy("slice").applyInArrow(join, "slice long, keys binary, values binary, words binary, more binary, once binary")
+
+
+def asking(docs: np.ndarray, sums: np.ndarray, rows: np.ndarray, keys: np.ndarray, slices: int) -> pa.RecordBatch:
+    """The sums of a block of texts, and keys to look up for them by their places in it: a row for each slice of the keys."""
+    order, pieces, ends = by_slice(keys, slices)
+    pieces = np.append(pieces, docs[0] % slices)  # the sums go to any slice
+    nothing = np.zeros(len(ends), np.int64)
     columns = [
-        pa.array(pieces), binaries(docs, np.append(nothing, len(docs))), binaries(sums.ravel(), np.append(nothing, sums.size)),
-        *(binaries(x[order], np.append(ends, len(keys))) for x in (rows, keys)),
+        pa.array(pieces), pa.array(np.full(len(pieces), docs[0])), binaries(docs, np.append(nothing, len(docs))), binaries(sums.ravel(), np.append(nothing, sums.size)),
+        *(binaries(x[order], np.append(ends, len(keys))) for x in (rows.astype(np.int32), keys)),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["slice", "docs", "sums", "rows", "keys"])
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "block", "docs", "sums", "rows", "keys"])
 
 
 def answered(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """(k, base, gain, known) of a slice: sums of the texts' rows k, from ``asking`` and the slice's known(key, base, gain)."""
-    docs, sums, rows, keys = (np.frombuffer(b"".join(asked.column(c).to_pylist()), d) for c, d in (("docs", np.int64), ("sums", float), ("rows", np.int64), ("keys", np.int64)))
-    out = [docs, *sums.reshape(-1, 3).T]
+    """(block, docs, sums, rows, found) for each row of ``asked``: what its keys add to the texts in those places of its block."""
+    rows, keys = (np.frombuffer(b"".join(asked.column(c).to_pylist()), d) for c, d in (("rows", np.int32), ("keys", np.uint64)))
+    sizes = [len(x) // 8 for x in asked.column("keys").to_pylist()]
+    ids, found = np.zeros(0, np.int64), np.zeros((0, 3))
     if len(keys) and len(known):
-        table = known.column("key").to_numpy()
-        order = np.argsort(table)
-        at = np.minimum(np.searchsorted(table, keys, sorter=order), len(table) - 1)
-        there = np.flatnonzero(table[order[at]] == keys)
-        ids, which = np.unique(rows[there], return_inverse=True)
-        base, gain = (known.column(c).to_numpy()[order[at[there]]] for c in ("base", "gain"))
-        more = ids, *(np.bincount(which, x, len(ids)) for x in (base, gain, base > 0))
-        out = [np.concatenate(x) for x in zip(out, more, strict=True)]
-    return pa.table([pa.array(x) for x in out], names=["k", "base", "gain", "known"])
+        table, values, words = (np.frombuffer(known.column(c)[0].as_py(), d) for c, d in (("keys", np.uint64), ("values", float), ("words", np.uint8)))
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        there = np.flatnonzero(table[at] == keys)
+        at = at[there]
+        ids, which = np.unique((np.repeat(np.arange(len(sizes)), sizes) << 32)[there] + rows[there], return_inverse=True)
+        found = np.stack([np.bincount(which, x, len(ids)) for x in (values[at] * words[at], values[at] * (1 - words[at].astype(float)), words[at])], axis=1)
+    ends = np.searchsorted(ids >> 32, np.arange(len(sizes)), "right")
+    columns = binaries((ids & 0xFFFFFFFF).astype(np.int32), ends), binaries(found.ravel(), 3 * ends)
+    return pa.table([*(asked.column(c) for c in ("block", "docs", "sums")), *columns], names=["block", "docs", "sums", "rows", "found"])
+
+
+def summed_up(table: pa.Table) -> pa.Table:
+    """(k, base, gain, known) of the texts k of a block, from all its rows of ``answered``."""
+    docs, sums, rows, found = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("docs", np.int64), ("sums", float), ("rows", np.int32), ("found", float)))
+    more = (np.bincount(rows, x, len(docs)) for x in found.reshape(-1, 3).T)
+    return pa.table([docs, *(x + y for x, y in zip(sums.reshape(-1, 3).T, more, strict=True))], names=["k", "base", "gain", "known"])
 
 
 def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int = 4, evidence: float = 2.0, most_common: int = 2_000_000) -> DataFrame:
@@ -460,32 +709,38 @@ def score_texts(docs: DataFrame, folds: int = 10, least: int = 16, longest: int
     order = np.argsort(keys)
     base, gain = (top.column(c).to_numpy()[order] for c in ("base", "gain"))
     common = keys[order], base + gain, base > 0  # a word has no gain, other keys no base
-    rest = values.where(F.col("uses") < cut).select("key", "base", "gain")
-    shared = spark.sparkContext.broadcast((common, key_filter(rest)))
+    slices = n // LOOKUP_TOKENS + 1
+    word = F.col("base") > 0
+    rest = materialise(sliced_values(values.where(F.col("uses") < cut).select("key", (F.col("base") + F.col("gain")).alias("value"), word.alias("word"), (word & (F.col("uses") == 1)).alias("once")), slices), "zstd")
+    free_shuffles(spark)
+    bits = rest.select("slice", "more", "once").toArrow()
+    filters = tuple(joined_bitmaps(dict(zip(bits.column("slice").to_pylist(), bits.column(c).to_pylist(), strict=True)), slices) for c in ("more", "once"))
+    shared = spark.sparkContext.broadcast((common, filters))
     depth = len(tree)
 
-    slices = n // SLICE_TOKENS + 1
-
     def run(batches):
-        (keys, value, word), filter_ = shared.value
-        known = Lookup(keys), value * word, value * ~word, filter_, depth
+        (keys, value, word), filters = shared.value
+        known = Lookup(keys), value * word, value * ~word, filters, depth
         for batch in batches:
-            row = batch.column("row").to_numpy()
+            row, trained = batch.column("row").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
             for at, s, index, starts in parts(batch.column("symbols")):
-                base_of, gain_of, (tokens, asked) = score_tokens(*known, s, index)
-                here = row[at : at + len(starts)]
+                here = slice(at, at + len(starts))
+                text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(s))))
+                base_of, gain_of, (tokens, asked) = score_tokens(*known, s, index, trained[here][text])
                 sums = np.stack([np.add.reduceat(x, starts) for x in (base_of, gain_of, (base_of > 0).astype(float))], axis=1)
-                yield asking(here, sums, here[np.searchsorted(starts, tokens, "right") - 1], asked.view(np.int64), slices)
+                yield asking(row[here], sums, text[tokens], asked, slices)
 
     def answer(key, asked, known):
         return answered(asked, known)
 
+    def sum_up(key, table):
+        return summed_up(table)
+
     def looked_up(texts):
         """The sums of some of the texts, a written table."""
-        asked = texts.select("row", "symbols").mapInArrow(run, "slice long, docs binary, sums binary, rows binary, keys binary")
-        sliced = rest.withColumn("slice", F.pmod("key", F.lit(slices)))
-        answers = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(answer, "k long, base double, gain double, known double")
-        return materialise(answers.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("base", "gain", "known"))))
+        asked = texts.select("row", "held_out", "symbols").mapInArrow(run, "slice long, block long, docs binary, sums binary, rows binary, keys binary")
+        answers = asked.groupBy("slice").cogroup(rest.groupBy("slice")).applyInArrow(answer, "block long, docs binary, sums binary, rows binary, found binary")
+        return materialise(answers.groupBy("block").applyInArrow(sum_up, "k long, base double, gain double, known double"))
 
     found = None
     for part in range(ROUNDS):

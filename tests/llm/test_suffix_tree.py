@@ -3,6 +3,9 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from meetpoint.llm import suffix_tree as st
@@ -122,3 +125,36 @@ def test_empty(spark):
     assert st.score_texts(docs).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {r.train_tokens for r in st.score_texts(only_held).collect()} == {0}
+
+
+@pytest.mark.parametrize("coded", [0, 6])
+def test_words_without_codes(spark, coded, monkeypatch):
+    monkeypatch.setattr(st, "MOST_CODED", coded)
+    monkeypatch.setattr(st, "HELD_PAIRS", 50)
+    monkeypatch.setattr(st, "SLICE_TOKENS", 300)
+    monkeypatch.setattr(st, "LOOKUP_TOKENS", 300)
+    rng = random.Random(5)
+    phrases = ["the cat sat on the mat", "a dog sat on a log", "on the sea", "so on"] + [f"x{i}" for i in range(9)] + [f"y{i} z" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 15)))) for i in range(150)] + [(200, None), (201, "never seen"), (None, "the cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scored = {r.doc_id: r for r in st.score_texts(docs, least=8, longest=3, most_common=20).collect()}
+    for (d, _), x in zip(rows, plain_scores(rows, 8, 3, 2.0)[0], strict=True):
+        assert math.isclose(scored[d].score, x, rel_tol=1e-6), d
+    for d, _, n, known, _, base in plain(rows):
+        assert scored[d][2:4] == (n, known) and math.isclose(scored[d].base_score, base, rel_tol=1e-9)
+
+
+def test_pairs_of_common_words_are_short():
+    """A pair takes under 5 bytes on its way to its slice; its hash and count took 12."""
+    rng = np.random.default_rng(1)
+    codes = st.Codes(rng.integers(0, 1 << 63, 50_000).astype(np.uint64), np.arange(50_000, 0, -1) * 10)
+    pairs = (rng.zipf(1.3, 300_000) % 50_000) << st.CODE_BITS | rng.zipf(1.2, 300_000) % 50_000
+    packed = pa.Table.from_batches([st.packed_pairs(x, np.arange(50_000) < 3, 4) for x in np.split(pairs, 3)])
+    size = sum(len(x) for c in ("kinds", "keys", "n") for x in packed.column(c).to_pylist())
+    assert size < 5 * sum(len(np.unique(x)) for x in np.split(pairs, 3))
+    found = pa.concat_tables(st.merged_pairs(packed.filter(pa.compute.equal(packed.column("slice"), k)), codes, 1e6) for k in set(packed.column("slice").to_pylist()))
+    pair, n = np.unique(pairs, return_counts=True)
+    assert sorted(found.column("n").to_pylist()) == sorted(n[n > 1])
+    context = st.mixed(np.zeros(len(pair), np.uint64), codes.word[pair >> st.CODE_BITS])
+    keys = codes.word[pair & (st.MOST_CODED - 1)] ^ context
+    assert dict(zip(found.column("key").to_numpy().view(np.uint64), found.column("n").to_pylist())) == dict(zip(keys[n > 1], n[n > 1]))
