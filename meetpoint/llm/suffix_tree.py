@@ -207,8 +207,8 @@ def word_codes(words: DataFrame, most: int) -> tuple[Codes, int]:
     return Codes(word[order], uses[order]), cut
 
 
-def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens to count at this depth, hash of each token's context, of that context's suffix).
+def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens to count at this depth, hash of each token's context, of that context's suffix, which tokens were counted a depth before).
 
     ``filters`` has for each smaller depth the retained contexts and the entries
     used often enough.  A context is counted if its suffix may be retained and
@@ -216,16 +216,21 @@ def counted(s: np.ndarray, index: np.ndarray, filters: list) -> tuple[np.ndarray
     where such entries were counted.  So all its uses are counted, or none.
     """
     context, suffix = longer(np.zeros(len(s), np.uint64), s, index, 1), np.zeros(len(s), np.uint64)
-    now = np.ones(len(s), bool)
+    now = then = np.ones(len(s), bool)
     for depth, (kept, often) in enumerate(filters, 2):
         rows = np.flatnonzero(index >= depth - 1)
         rows = rows[may_be(kept, context[rows])]
         before = rows - 1
         rows = rows[~now[before] | may_be(often, s[before] ^ context[before])]
-        now = np.zeros(len(s), bool)
+        then, now = now, np.zeros(len(s), bool)
         now[rows] = True
         suffix, context = context, longer(context, s, index, depth)
-    return np.flatnonzero(now), context, suffix
+    return np.flatnonzero(now), context, suffix, then
+
+
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the keys are in the sorted array ``some``."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
 
 
 def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -356,8 +361,7 @@ def count_pairs(training: DataFrame, words: DataFrame, often: np.ndarray, slices
 
     def hashed(held):
         context, word, key = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.minimum(np.searchsorted(often, word), max(len(often) - 1, 0))
-        return packed(context, word, key, often[at] == word if len(often) else np.zeros(len(word), bool), slices)
+        return packed(context, word, key, among(word, often), slices)
 
     def run(batches):
         codes, split, contexts, symbols = shared.value
@@ -404,21 +408,22 @@ def count_pairs(training: DataFrame, words: DataFrame, often: np.ndarray, slices
     return found.groupBy("slice").applyInArrow(merge, "context long, key long, n long, size long, parent double, kind int")
 
 
-def count_entries(training: DataFrame, filters: list, often: np.ndarray, slices: int, least: int) -> DataFrame:
-    """(context, key, n, own) over all tokens in contexts to count, as ``merged`` has them.
+def count_entries(training: DataFrame, filters: list, often: np.ndarray, large: np.ndarray, slices: int, least: int) -> DataFrame:
+    """(context, key, n, own) over all tokens in contexts to count, as ``merged`` has them, for two symbols and more.
 
-    The contexts that end in one of the words ``often`` (sorted) are split, as only
-    they can be a large share of a slice; their own rows hold parts of their uses.
+    Contexts that are a large share of a slice are split: of those that end in one of the words
+    ``often``, the ones that make up one of the entries ``large`` (both sorted), or an entry that was not
+    counted.  Their own rows hold parts of their uses, one for each slice, so others are left whole.
     """
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, s, index, _ in parts(batch.column("symbols")):
-                rows, context, suffix = counted(s, index, [f.value for f in filters])
-                before = np.where(index[rows] > 0, s[rows - 1], END)
-                at = np.searchsorted(often, before)
-                split = often[np.minimum(at, len(often) - 1)] == before if len(often) else np.zeros(len(rows), bool)
+                rows, context, suffix, then = counted(s, index, [f.value for f in filters])
+                before = rows - 1
+                split = among(s[before], often)
+                split[split] = among((s ^ suffix)[before[split]], large) | ~then[before[split]]
                 held.append((context[rows], suffix[rows], s[rows] ^ context[rows], split))
                 size += len(rows)
                 if size >= HELD_TOKENS:
@@ -490,7 +495,7 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
     common = np.sort(words.where(F.col("n") > share).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     while len(tree) < longest:
         if tree:
-            counts = materialise(count_entries(training, filters, common, slices, least), "zstd", "own")
+            counts = materialise(count_entries(training, filters, common, large, slices, least), "zstd", "own")
             free_shuffles(spark)
             rows, is_own = counts.where("not own").select("context", "key", "n"), F.col("own")
             contexts = counts.where("own").groupBy("context").agg(F.max("key").alias("suffix"), F.sum("n").alias("size")).where(F.col("size") >= least)
@@ -519,6 +524,7 @@ def grow(training: DataFrame, words: DataFrame, tokens: int, norm: float, least:
         free_shuffles(spark)
         delete_shared(joined)
         often = counts.where((F.col("n") >= least) & ~is_own)
+        large = np.sort(often.where(F.col("n") > share).select("key").toArrow().column("key").to_numpy().view(np.uint64))  # fewer than MOST_SPLIT too
         pair = key_filter(kept.select(F.col("context").alias("key"))), key_filter(often)
         filters.append(spark.sparkContext.broadcast(pair))
         free_shuffles(spark)
