@@ -6,7 +6,7 @@ k-th value; the bin with the k-th value is the next pass's range, until it is a
 single score.  A last pass emits the scores above it and the smallest ids at it.
 
 Vectors are packed into blocks.  A block of queries meets every block of
-vectors by an equi-join on (query block, share of the vectors), so both sides
+vectors by an equi-join on (length, share of the vectors), so both sides
 are spread over the cluster and nothing is broadcast.  A task counts a query's
 bins from the top and stops at the bin where it alone has k scores: the k-th
 value of all is not below that.
@@ -44,7 +44,7 @@ def as_integers(vectors: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Pack (row, vec_id, v) into rows (dim, rows, ids, data) of at most ``size`` vectors of one length."""
+    """Pack (row, vec_id, v) into rows (dim, rows, ids, data) of at most ``size`` vectors of one length, in the narrowest integers that hold them."""
 
     def pack(batches):
         for batch in batches:
@@ -58,8 +58,10 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                 for at in range(0, len(where), size):
                     part = where[at : at + size]
                     data = flat[starts[part][:, None] + np.arange(dim)] if dim else np.zeros((len(part), 0), np.int64)
+                    least, most = int(data.min(initial=0)), int(data.max(initial=0))
+                    kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(dim)]), *(pa.array([x.astype("<i8").tobytes()]) for x in (numbers[part], ids[part], data))],
+                        [pa.array([int(dim)]), *(pa.array([x.tobytes()]) for x in (numbers[part].astype("<i8"), ids[part].astype("<i8"), data.astype(kind)))],
                         names=["dim", "rows", "ids", "data"],
                     )
 
@@ -76,11 +78,16 @@ def scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def each_score(batches, start: int):
     """(block, low bounds, first query, queries' rows, scores, own, vector ids) of each pair of blocks, by parts."""
     unpack = lambda x: np.frombuffer(x.as_py(), "<i8")
+
+    def vectors(x, n: int, dim: int) -> np.ndarray:
+        data = x.as_py()
+        return np.frombuffer(data, f"<i{len(data) // (n * dim)}" if dim else "<i8").reshape(n, dim)
+
     for batch in batches:
         for k in range(batch.num_rows):
-            q_ids, q, c_rows, c_ids, c = (unpack(batch.column(n)[k]) for n in ("q_ids", "q_data", "rows", "ids", "data"))
+            q_ids, c_rows, c_ids = (unpack(batch.column(n)[k]) for n in ("q_ids", "rows", "ids"))
             dim = batch.column("dim")[k].as_py()
-            q, c = q.reshape(len(q_ids), dim), c.reshape(len(c_ids), dim)
+            q, c = vectors(batch.column("q_data")[k], len(q_ids), dim), vectors(batch.column("data")[k], len(c_ids), dim)
             low = np.full(len(q_ids), start, np.int64)
             if batch.column("known")[k].is_valid:
                 low[np.searchsorted(q_ids, batch.column("known")[k].as_py())] = batch.column("lows")[k].as_py()
@@ -157,13 +164,14 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_blocks = math.ceil(n_queries / QUERY_BLOCK)
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of the vectors, for each block of queries
     query_blocks = materialise(
         blocks(queries.repartition(n_blocks, "row").sortWithinPartitions("row"), QUERY_BLOCK)
         .select("dim", F.col("rows").alias("q_ids"), F.col("data").alias("q_data"))
         .withColumn("block", F.monotonically_increasing_id())
     )
-    vector_blocks = materialise(blocks(ints, VECTOR_BLOCK).withColumn("share", F.pmod(F.xxhash64("rows"), F.lit(shares))))
+    vector_blocks = materialise(blocks(ints, VECTOR_BLOCK))
+    shares = min(int(spark.conf.get("spark.sql.shuffle.partitions")), vector_blocks.count())  # of the vectors, for each block of queries
+    vector_blocks = vector_blocks.withColumn("share", F.pmod(F.xxhash64("rows"), F.lit(shares)))
     largest = ints.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     start, width = -int(largest) - 1, 1  # no product is farther from zero than the largest square
     while width * BINS < 2 * -start + 1:
@@ -178,7 +186,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
             packed = bounds.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "base"))).alias("p"))
             left = query_blocks.join(packed, "block", "left").select(*query_blocks.columns, F.col("p.query_id").alias("known"), F.col("p.base").alias("lows"))
         spread = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        return spread.join(vector_blocks, ["dim", "share"])
+        # The planner takes the copies for as small as one file of compressed blocks, so it is told not to broadcast them.
+        return spread.hint("merge").join(vector_blocks, ["dim", "share"])
 
     wanted = None
     while True:

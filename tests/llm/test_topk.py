@@ -44,3 +44,17 @@ def test_each_row_of_a_repeated_id_is_a_query_and_a_candidate(spark):
     one = 65536
     want = [(0, 1, 0, 2 * one), (0, 2, 0, one)] * 2 + [(0, 1, 0, one), (0, 2, 0, one)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_copies_of_query_blocks_are_not_broadcast_and_data_is_narrow(spark):
+    rows = [(0, [1e7]), (10, [-1e7]), (21, [3.0]), (22, [-130.0]), (23, [120.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, F.col("vec_id") % 10 == 0, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dim" in plan and "BroadcastHashJoin [dim" not in plan
+    assert sorted(map(tuple, got.collect())) == brute(rows, 2, 10)
+    sizes = {}
+    for some in ([21, 23], [21, 22], [0]):
+        few = topk.as_integers(df.where(F.col("vec_id").isin(some))).withColumn("row", F.col("vec_id")).coalesce(1)
+        sizes[len(some), some[-1]] = sum(len(r.data) for r in topk.blocks(few, 10).collect())
+    assert sizes == {(2, 23): 4, (2, 22): 8, (1, 0): 8}
