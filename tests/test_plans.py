@@ -97,3 +97,14 @@ def test_best_times_and_cells_make_no_array_or_row_per_participant_and_cell(spar
     assert {r.participant_id: (r.least, r.reachable, r.total) for r in QUERIES["participant_best_time"](spark, given).collect()} == whole
     cells = {r.meetup_id: tuple(r)[1:] for r in meet.best_cell(want).collect()}
     assert {r.meetup_id: tuple(r)[1:] for r in meet.best_cell_of_meetups(m.participants, m.meetups, m.cells, m.times, queries.ZONE, queries.RES, task_numbers=1).collect()} == cells
+
+
+def test_blocks_shuffle_places_of_rows_and_not_numbers(spark):
+    """A person's numbers to all cells are 2.6 KB, the places of their rows 8 bytes for each block."""
+    def shuffled():
+        held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = shuffled()
+    QUERIES["rendezvous_in_blocks"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled() - before < 40e6
