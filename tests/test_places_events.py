@@ -237,3 +237,37 @@ def test_listings_serve_several_batches(spark):
         centres = spots.selectExpr("1L as meetup_id", "*", f"{day} + make_interval(0,0,0,0,{hour},0,0) as starts_at", "date'2026-08-01' as date_local")
         direct, served = happenings.nearest_showing(centres, events, shown, 200, 2), happenings.nearest_showing(centres, some, showings, 200, 2, listed)
         assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, served.collect()))
+
+
+def test_first_showings_of_crowded_places_by_brute_force(spark):
+    """Events at a few places, with several showings a day, equal times, whole days and missing times; few spans stay."""
+    rng = random.Random(11)
+    day = dt.datetime(2026, 8, 5)
+    spots = [(48.2, 16.37), (48.203, 16.37)]
+    where = [(48.2 + i * 0.001, 16.37) for i in range(8)]
+    rows = [(e, *where[rng.randrange(8)]) for e in range(400)]
+    occ = []
+    for e, *_ in rows:
+        for _ in range(rng.randrange(1, 4)):
+            start = day + dt.timedelta(hours=rng.randrange(24))
+            occ.append((len(occ), e, None if rng.random() < 0.05 else start, None if rng.random() < 0.1 else start + dt.timedelta(hours=2 * (rng.random() < 0.9)), day.date(), rng.random() < 0.02))
+    asked = [(g, spots[g % 2], day + dt.timedelta(minutes=rng.randrange(1440))) for g in range(60)]
+    events = spark.createDataFrame(rows, "id long, lat double, lon double").withColumn("disappeared_at", F.lit(None).cast("timestamp"))
+    occurrences = spark.createDataFrame(occ, "id long, event_id long, start_utc timestamp_ntz, start_local timestamp_ntz, date_local date, all_day boolean")
+    centres = spark.createDataFrame([(g, at, day.date(), *spot) for g, spot, at in asked], "meetup_id long, starts_at timestamp_ntz, date_local date, centre_lat double, centre_lon double")
+    far = metres(spark, [(*a, *b) for a in where for b in spots])
+    far = {(a, b): far[i * 2 + j] for i, a in enumerate(where) for j, b in enumerate(spots)}
+    want = []
+    for g, spot, at in asked:
+        found = []
+        for e, *place in rows:
+            still = [(s is not None, s or day, o, local, whole) for o, ev, s, local, _, whole in occ if ev == e and (whole or (s is not None and s >= at))]
+            if far[tuple(place), spot] <= 500 and still:
+                _, _, o, local, whole = min(still, key=lambda x: x[:3])
+                found.append((far[tuple(place), spot], local is not None, local or day, e, o))
+        want += [(g, n, e, o) for n, (*_, e, o) in enumerate(sorted(found)[:5], 1)]
+    listed = happenings.spans_around(centres, events, occurrences, 500, 5)
+    got = happenings.first_showings(centres, listed, 5)
+    assert sorted((r.meetup_id, r["rank"], r.event_id, r.occurrence_id) for r in got.collect()) == sorted(want) and len(want) > 250
+    around = happenings.spans_of(occurrences).join(happenings.near_spots(centres, events, 500), "event_id").count()
+    assert listed.count() < around / 3  # by place: with ties of distance, whole places would stay
