@@ -271,3 +271,13 @@ def test_first_showings_of_crowded_places_by_brute_force(spark):
     assert sorted((r.meetup_id, r["rank"], r.event_id, r.occurrence_id) for r in got.collect()) == sorted(want) and len(want) > 250
     around = happenings.spans_of(occurrences).join(happenings.near_spots(centres, events, 500), "event_id").count()
     assert listed.count() < around / 3  # by place: with ties of distance, whole places would stay
+
+
+def test_meetups_of_an_event_come_one_after_another(spark):
+    """So that files of a row per meetup and event are small."""
+    centres = spark.sql("select id as meetup_id, 48.2D as centre_lat, 16.37D as centre_lon from range(400)")
+    events = spark.sql("select id, 48.2 + (id % 10) * 1e-4 as lat, 16.37D as lon, cast(null as timestamp_ntz) as disappeared_at from range(50)")
+    found = happenings.events_in_radius(centres, events, 200)
+    parts = found.rdd.mapPartitions(lambda rows: [[r.event_id for r in rows]]).collect()
+    assert sum(map(len, parts)) == 400 * 50
+    assert sum(x != y for p in parts for x, y in zip(p, p[1:])) < 4 * 50
